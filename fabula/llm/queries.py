@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import byte_bpe, chat, quality_rules, token_store, warc
+from fabula.llm import byte_bpe, chat, decontaminate, jaccard_join, lm_score, long_repeats, quality_rules, secrets, token_store, warc
 from fabula.llm.common import table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model trained on the documents that aren't held out."""
+    return lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op2_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start elsewhere too, and what was removed."""
+    out = long_repeats.remove(table(spark, sf_dir, "documents", "doc_id", "text"), length=400)
+    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["first"])
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("runs").cast("bigint").alias("n_spans"),
+        F.col("sha256").alias("kept_sha256"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: number and digest of its ids, digest of the decoded bytes."""
     out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text")))
@@ -22,6 +40,24 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, the strong ones and those that complementary parts confirm."""
+    out = secrets.find_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        *(of(k).alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of 85 % or more of their 4-word shingles."""
+    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back: the last chunk's row of each record."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
@@ -58,13 +94,24 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(more)))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they contain, re-parameterised ones included."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.find_leaks(docs, items)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
+        "op2_long_repeats": op2_long_repeats,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_secrets": op4_secrets,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_store": op8_token_store,
         "op9_chat": op9_chat,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
