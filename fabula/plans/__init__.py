@@ -1,0 +1,4 @@
+"""Registered queries over the given tables; importing a module of plans registers its queries."""
+
+from fabula.plans import story, tables  # noqa: F401
+from fabula.plans.registry import QUERIES, SQL  # noqa: F401
