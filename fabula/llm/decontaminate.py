@@ -86,17 +86,19 @@ class Templates:
         self.widths, self.passing, self.codes = widths, passing, Tokens()
         self.unit = xxhash.xxh64_intdigest(UNIT)
 
-    def of(self, raw: bytes) -> tuple[int, list[tuple[int, int, int, list[str | None]]]]:
-        """The number of tokens and ``(width, hash, position, slots)`` of each window that passes."""
-        if len(self.codes) > 300_000:
+    def of(self, raws: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, int, list[str | None]]]]]:
+        """For each text the number of tokens and ``(width, hash, position, slots)`` of each window that passes."""
+        if len(self.codes) > 200_000:
             self.codes = Tokens()
-        words = raw.split()
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        codes = codes[codes > 0]
-        if not hasattr(self, "made") or self.made[0] != (id(self.codes), len(self.codes.kind)):
-            c = self.codes
-            self.made = (id(c), len(c.kind)), np.array(c.plain, np.uint64), np.array(c.template, np.uint64), np.array(c.kind)
-        _, plain, template, kinds = self.made
+        found = [x.split() for x in raws]
+        all_ = [np.fromiter(map(self.codes.__getitem__, x), np.int64, len(x)) for x in found]
+        c = self.codes
+        tables = np.array(c.plain, np.uint64), np.array(c.template, np.uint64), np.array(c.kind)
+        for codes in all_:
+            codes = codes[codes > 0]
+            yield len(codes), self._windows(codes, *tables)
+
+    def _windows(self, codes: np.ndarray, plain: np.ndarray, template: np.ndarray, kinds: np.ndarray) -> list:
         kind = kinds[codes]
         is_unit = np.zeros(len(codes), bool)
         is_unit[1:] = (kind[1:] == 2) & (kind[:-1] == 1)
@@ -117,7 +119,7 @@ class Templates:
                             continue  # without slots it is the plain window
                         slots = [self.codes.value[codes[at + j]] if inside[j] else None for j in range(width)]
                     found.append((width, int(h[at].astype(np.int64)), at, slots))
-        return len(codes), found
+        return found
 
 
 def _arrow(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -132,8 +134,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
         made, names = Templates(), ["id", "h", "pos", "slots", "width", "tokens"]
         for batch in slices(batches, "t"):
             rows = []
-            for i, raw in zip(batch.column("i").to_pylist(), texts(batch.column("t")), strict=True):
-                n, found = made.of(raw)
+            for i, (n, found) in zip(batch.column("i").to_pylist(), made.of(texts(batch.column("t"))), strict=True):
                 rows += [(i, h, at, slots, width, n) for width, h, at, slots in found]
             if rows:
                 yield _arrow(rows, names)
@@ -151,8 +152,8 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[i
         made, names = Templates(widths, np.unpackbits(shared.value).astype(bool)), ["id", "h", "pos", "slots"]
         for batch in slices(batches, "t"):
             rows = []
-            for i, raw in zip(batch.column("i").to_pylist(), texts(batch.column("t")), strict=True):
-                rows += [(i, h, at, slots) for _, h, at, slots in made.of(raw)[1]]
+            for i, (_, found) in zip(batch.column("i").to_pylist(), made.of(texts(batch.column("t"))), strict=True):
+                rows += [(i, h, at, slots) for _, h, at, slots in found]
                 if len(rows) > 10_000:
                     yield _arrow(rows, names)
                     rows = []

@@ -95,18 +95,22 @@ def measure(raw: bytes, codes: Codes) -> tuple[int, ...]:
 
 def measurements(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` with the measurements of ``text_col``, one row for each row."""
-    source = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("t"))
     names = [f"k{i}" for i in range(len(keep))]
+    source, text = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True))), "t"
+    if text_col in keep:
+        text = names[keep.index(text_col)]
+    else:
+        source = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
-        for batch in slices(batches, "t"):
-            rows = [measure(x, codes) for x in texts(batch.column("t"))]
+        for batch in slices(batches, text):
+            rows = [measure(x, codes) for x in texts(batch.column(text))]
             found = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], [*names, *MEASURES])
 
-    kinds = source.drop("t").schema.fields
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kinds), *(f"{m} bigint" for m in MEASURES)])
+    kinds = [f"{n} {source.schema[n].dataType.simpleString()}" for n in names]
+    schema = ", ".join([*kinds, *(f"{m} bigint" for m in MEASURES)])
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), *MEASURES)
 
