@@ -23,7 +23,7 @@ def suffix(path: Column) -> Column:
 def read_text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Non-empty trimmed lines of UTF-8 text files, in order: LINES. Bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").load(paths)
-    rows = files.filter(suffix(F.col("path")).isin(*TEXT)).select("path", F.decode("content", "UTF-8").alias("text"))
+    rows = files.filter(suffix(F.col("path")).isin(*TEXT)).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     lines = rows.select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("pos", "line"))
     return lines.select("path", F.col("pos").cast("bigint").alias("pos"), F.trim("line").alias("line")).filter("line <> ''")
 
