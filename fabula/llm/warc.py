@@ -224,10 +224,12 @@ class ArchiveReader:
 
     def _body(self, n: int) -> Iterator[bytes]:
         while n > 0:
-            if not self.held and not self._more():
-                raise EOFError("an archive ends inside a record")
-            part, self.held = self.held[: min(n, self.chunk_bytes)], self.held[min(n, self.chunk_bytes) :]
-            n -= len(part)
+            size = min(n, self.chunk_bytes)
+            while len(self.held) < size:
+                if not self._more():
+                    raise EOFError("an archive ends inside a record")
+            part, self.held = self.held[:size], self.held[size:]
+            n -= size
             yield part
 
     def records(self) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
