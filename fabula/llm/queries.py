@@ -91,7 +91,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one more formatted, then read back from the formatted texts."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     more = spark.createDataFrame(HOSTILE, "conv_id bigint, turn bigint, role string, text string")
-    return chat.read_back(chat.format_conversations(turns.unionByName(more)))
+    return chat.read_back(chat.format_conversations(turns.unionByName(more))).drop("rewritten_at")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,5 +115,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+OP5_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 3], ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT a AS x, b AS y FROM links UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY 1) m USING (doc_id)"""
+
+_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INT >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+OP6_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), g AS (SELECT h, max(page_id) AS latest FROM p GROUP BY 1)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to FROM p JOIN g USING (h)"""
+
+OP7_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+g AS (SELECT doc_id, i, ws[i:i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+twice AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS r FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS j FROM g JOIN twice USING (doc_id, g)) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}') GROUP BY 1),
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+  coalesce(r, 0) AS n_repeat_words, coalesce(n, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper FROM w LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, {" + ".join(f"(CASE WHEN {rule} THEN {1 << bit} ELSE 0 END)" for bit, _, rule in quality_rules.RULES)} AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality_rules.mask_of(quality_rules.BASE)} <> 0 AS base_failed,
+  fail_bits & {quality_rules.mask_of(quality_rules.POLICIES["v1"])} = 0 AS kept, fail_bits::BIGINT AS fail_bits, 'v1' AS policy FROM b"""
+
+_GROWN = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in ("\\", *chat.CONTROLS))
+OP9_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length(r) + length(t) + 8 + {_GROWN})::BIGINT AS formatted_chars FROM c GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those queries that it can express on whole tables. The others are tested by brute force, a round trip or the
+    library that they follow."""
+    return {"op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat": OP9_SQL}
