@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from fabula.llm.common import materialise, new_folder, partitions, slices, texts
 VOCABULARY = "word_bpe_49k.json"
 #: Sequences in a record batch, and ids in a shard before the next document begins a new one.
 ROWS, SHARD_IDS = 64, 32 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_800_000
 MANIFEST = "bucket int, part int, path string, ids bigint, sequences bigint, documents bigint"
 
 
@@ -50,22 +51,15 @@ def encode_words(df: DataFrame, id_col: str, text_col: str, path: str, end_id: i
     little-endian, of 16 bits if the vocabulary allows) with ``end_id`` last.
 
     The vocabulary drops white space and never looks across it, so a text's ids are those of its words, and the library
-    encodes each word that the worker doesn't hold yet."""
+    encodes each word that the worker doesn't hold yet. It lower-cases too, so words that differ in A-Z only are one."""
     dtype = id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = vocabulary(path), {}
+        held = WordIds(path, dtype)
         end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in slices(batches, "t"):
-            words = [x.split() for x in texts(batch.column("t"))]
-            missing = list({w for x in words for w in x if w not in held})
-            if len(held) + len(missing) > CACHED_WORDS:
-                held.clear()
-                missing = list({w for x in words for w in x})
-            for k in range(0, len(missing), 4096):
-                part = missing[k : k + 4096]
-                found = model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                held.update((w, np.array(e.ids, dtype).tobytes()) for w, e in zip(part, found, strict=True))
+            words = [x.lower().split() for x in texts(batch.column("t"))]
+            held.learn(words)
             ids = [b"".join(map(held.__getitem__, x)) + end for x in words]
             d = batch.column("d").fill_null(np.iinfo(np.int64).min).to_numpy()
             b = np.searchsorted(np.array(bounds, np.int64), d).astype(np.int32)
@@ -74,6 +68,55 @@ def encode_words(df: DataFrame, id_col: str, text_col: str, path: str, end_id: i
     return df.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "b int, d bigint, ids binary")
 
 
+class WordIds(dict):
+    """Ids of words, as bytes; holds CACHED_WORDS of them or those of one batch."""
+
+    def __init__(self, path: str, dtype: str):
+        super().__init__()
+        self.model, self.dtype = vocabulary(path), dtype
+        self.last = np.zeros(self.model.get_vocab_size(), bool)
+        self.last[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[list[bytes]]) -> None:
+        distinct = set(chain.from_iterable(words))
+        missing = distinct.difference(self)
+        if len(self) + len(missing) > CACHED_WORDS:
+            self.clear()
+            missing = distinct
+        # the vocabulary parts letters and digits from the marks after them, so those have ids of their own
+        ends = {w: base for w in missing if w[-1:] in _MARKS and (base := w.rstrip(_MARKS)) and base[-1:].isalnum()}
+        plain = missing.difference(ends)
+        plain.update(x for x in (*ends.values(), *(w[len(b) :] for w, b in ends.items())) if x not in self)
+        asked = [(w, w.decode("utf-8", "replace")) for w in plain]
+        self._encode_joined([x for x in asked if x[1].isalpha()])
+        self._encode_each([x for x in asked if not x[1].isalpha()])
+        self.update((w, self[b] + self[w[len(b) :]]) for w, b in ends.items())
+
+
+    def _encode_each(self, words: list[tuple[bytes, str]]) -> None:
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            found = self.model.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            self.update((w, np.array(e.ids, self.dtype).tobytes()) for (w, _), e in zip(part, found, strict=True))
+
+    def _encode_joined(self, words: list[tuple[bytes, str]]) -> None:
+        """Words of letters alone, many in one text: each is one piece, whose last token is marked as a word's end."""
+        for k in range(0, len(words), 2048):
+            part = words[k : k + 2048]
+            ids = np.array(self.model.encode(" ".join([t for _, t in part]), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self._encode_each(part)
+                continue
+            data, width = ids.tobytes(), ids.itemsize
+            cuts = [0, *(ends * width).tolist()]
+            self.update((w, data[a:b]) for (w, _), a, b in zip(part, cuts, cuts[1:], strict=False))
+
+
+#: Marks that never join with a letter or digit before them.
+_MARKS = b".,;:!?"
+
+
 def id_type(path: str) -> str:
     return "<u2" if vocabulary(path).get_vocab_size() <= 1 << 16 else "<u4"
 
