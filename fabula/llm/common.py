@@ -90,20 +90,19 @@ PICK_BITS = 24
 def pick(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` (bigint or null) may be among those of ``wanted``: all of those and few others.
 
-    An exact join follows; this only keeps it from shuffling the texts of rows that cannot match."""
+    An exact join follows; this only keeps it from shuffling the texts of rows that cannot match. The bitmap is broadcast
+    as 256 rows, so the test stays in the scan's stage."""
     import numpy as np
     from pyspark.sql import functions as F
 
     slot = F.shiftrightunsigned(F.xxhash64(key), 64 - PICK_BITS).cast("int")
     bits = np.zeros(1 << PICK_BITS, bool)
     bits[wanted.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[batch.column("_slot").to_numpy()])).select(names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.withColumn("_slot", slot).mapInArrow(run, schema)
+    parts = np.packbits(bits).reshape(256, -1)
+    rows = df.sparkSession.createDataFrame([(i, x.tobytes()) for i, x in enumerate(parts) if x.any()], "_part int, _bits binary")
+    per_part = parts.shape[1] * 8
+    place = F.col("_slot") % per_part
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    asked = df.withColumn("_slot", slot).withColumn("_part", (F.col("_slot") / per_part).cast("int"))
+    met = asked.join(F.broadcast(rows), "_part")
+    return met.filter(F.getbit(byte, 7 - place % 8) == 1).select(*df.columns)

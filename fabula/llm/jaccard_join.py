@@ -1,19 +1,19 @@
 """N-gram Jaccard join: which documents' shingle sets overlap by a Jaccard similarity of 85 % or more, and the
 components that these links make. No link between different sets is lost.
 
-1. Signatures. One scan gives each document the size of its set, a digest of the set (equal sets are one class from here
-   on) and a hashed bitmap of the set.
-2. Frequent shingles. Tasks send sorted hashes, packed, to ranges of the hash space, which count in how many documents
+1. Frequent shingles. Tasks send sorted hashes, packed, to ranges of the hash space, which count in how many documents
    each occurs. At most ``HOT_MAX`` of the most frequent ones, if in over ``HOT_OVER`` documents, are broadcast.
+2. Signatures. A second scan gives each document the size of its set, a digest of the set (equal sets are one class from
+   here on), a hashed bitmap of the set, and its prefix.
 3. Prefixes. All sets are ordered alike, frequent shingles last. Two sets of sizes n and m that link share a shingle
    among the first ``n - ceil(0.85 n) + 1`` of either, so only those shingles are posted. The order changes how many
    meet, never which links are found.
-4. Stars. In each posted shingle's bucket every class would meet the bucket's first class of another component; each
-   class takes the partner that it meets most often. A few such rounds join large groups of near copies without listing
-   their pairs.
+4. Stars. In each posted shingle's bucket the classes meet its most central ones. A few such rounds join large groups of
+   near copies without listing their pairs.
 5. Tiles. What is left are buckets whose classes are in different components. A bucket is cut by set size into tiles of
    ``TILE`` classes; tiles whose sizes are compatible meet in a group of bounded size, where bit counts of the bitmaps
-   bound the overlap of each pair from above. Pairs of one component are skipped.
+   bound the overlap of each pair from above. Pairs of one component are skipped. A class first tries the likeliest
+   partner of each other component, and then all that are left between different components.
 6. Exact check. Partners' sets, sorted arrays of 64-bit hashes computed again from the texts, are streamed past each
    other and intersected. Links give components by alternating small and large stars.
 
@@ -26,29 +26,44 @@ result; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.llm.common import materialise, partitions, pick, slices, texts
 
 NGRAM, PERCENT = 4, 85
 HOT_OVER, HOT_MAX = 32, 1_000_000
-STAR_ROUNDS, TILE = 2, 256
+#: How many central classes of a bucket the others try, round by round.
+STARS, TILE = (2, 6), 256
+#: Bytes of text whose sets a task holds at once.
+SLICE = 1 << 20
 SALTS = 16
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
 class WordHashes(dict):
+    """Numbers words; ``values`` has their hashes."""
+
+    LIMIT = 1 << 17
+
+    def __init__(self):
+        super().__init__()
+        self.values = np.zeros(self.LIMIT, np.uint64)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+        code = len(self)
+        if code >= len(self.values):  # only within one batch
+            self.values = np.concatenate([self.values, np.zeros(len(self.values), np.uint64)])
+        self[word] = code
+        self.values[code] = xxhash.xxh64_intdigest(word)
+        return code
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,17 +72,35 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(raw: bytes, words: WordHashes, ngram: int = NGRAM) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct ``ngram``-word shingles of a text, A-Z in lower case."""
-    found = raw.lower().split()
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    width = min(ngram, len(h))
-    if not width:
-        return h
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
     acc = np.full(len(h) - width + 1, width, np.uint64)
     for j in range(width):
-        acc = _mix(acc * _M[2] + h[j : len(h) - width + 1 + j])
-    return np.unique(acc)
+        acc += h[j : len(h) - width + 1 + j] * _M[j]
+    return _mix(acc)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def shingle_sets(raws: list[bytes], words: WordHashes, ngram: int = NGRAM) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct ``ngram``-word shingles, A-Z in lower case."""
+    if len(words) >= words.LIMIT:
+        words.clear()
+    found = [x.lower().split() for x in raws]
+    codes = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+    h = words.values[codes]
+    all_, at, out = _windows(h, ngram) if len(h) >= ngram else h[:0], 0, []
+    for n in map(len, found):
+        own = all_[at : at + n - ngram + 1] if n >= ngram else _windows(h[at : at + n], n) if n else h[:0]
+        out.append(_distinct(own))
+        at += n
+    return out
+
+
+def shingle_set(raw: bytes, words: WordHashes, ngram: int = NGRAM) -> np.ndarray:
+    return shingle_sets([raw], words, ngram)[0]
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -85,8 +118,9 @@ def alone(n: int, percent: int = PERCENT) -> bool:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """A bitmap of a power of two bits, four times the set's size at least."""
-    size = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    """A bitmap of a power of two bits, twice the set's size at least. It travels with each of a class's postings that are
+    left to the tiles, so it is small; pairs that it lets pass are counted and then compared exactly."""
+    size = max(64, 1 << (2 * len(hashes) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(hashes >> np.uint64(8)) & np.uint64(size - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -112,22 +146,6 @@ def _scan(docs: DataFrame, run, schema: str) -> DataFrame:
     return docs.select(F.col("i"), F.col("t")).mapInArrow(run, schema)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``i, n, cls, sig`` of each document; ``cls`` is null for an empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in slices(batches, "t"):
-            sets = [shingle_set(x, words) for x in texts(batch.column("t"))]
-            classes = [class_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("i"), pa.array([*map(len, sets)], pa.int64()), pa.array(classes, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                ["i", "n", "cls", "sig"],
-            )
-
-    return _scan(docs, run, "i bigint, n bigint, cls bigint, sig binary")
-
-
 def class_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -160,13 +178,12 @@ def frequent_shingles(docs: DataFrame, ranges: int) -> np.ndarray:
             rows = [(r, int(b - a), _pack((slots[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["r", "n", "data"])
 
-        for batch in slices(batches, "t"):
-            for raw in texts(batch.column("t")):
-                s = shingle_set(raw, words)
+        for batch in slices(batches, "t", SLICE):
+            for s in shingle_sets(texts(batch.column("t")), words):
                 if len(s) and not alone(len(s)):
                     held.append(s)
                     size += len(s)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield packed()
                 held, size = [], 0
         if size:
@@ -205,36 +222,41 @@ def frequent_shingles(docs: DataFrame, ranges: int) -> np.ndarray:
     return np.sort(hot.filter(F.col("n") >= least).select("slot").toPandas()["slot"].to_numpy(np.int64).view(np.uint64))
 
 
-def postings(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
-    """``tok, cls``: the shingles in each class's prefix. A task posts a class once as long as it remembers it."""
+def signatures(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
+    """``i, n, cls, sig, toks`` of each document: set size, class (null for an empty set), bitmap, and the shingles of its
+    prefix. A task gives a class's prefix once as long as it remembers the class. Written as a table."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot, seen = WordHashes(), shared.value, set()
         maybe = np.zeros(1 << 22, bool)
         maybe[hot & np.uint64((1 << 22) - 1)] = True
-        for batch in slices(batches, "t"):
-            tokens, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for raw in texts(batch.column("t")):
-                s = shingle_set(raw, words)
-                n = len(s)
-                if not n or alone(n) or (c := class_of(s)) in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(c)
-                common = maybe[s & np.uint64((1 << 22) - 1)]
-                if len(hot) and common.any():
-                    at = np.flatnonzero(common)
-                    slots = _slots(s[at], ranges)
-                    common[at] = hot[np.minimum(np.searchsorted(hot, slots), len(hot) - 1)] == slots
-                    s = np.concatenate([s[~common], s[common]])
-                first = s[: n - least_overlap(n) + 1]
-                tokens.append(first)
-                classes.append(np.full(len(first), c))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], ["tok", "cls"])
-
-    return _scan(docs, run, "tok bigint, cls bigint")
+
+        def prefix(s: np.ndarray, c: int | None) -> np.ndarray | None:
+            n = len(s)
+            if not n or alone(n) or c in seen:
+                return None
+            if len(seen) > 100_000:
+                seen.clear()
+            seen.add(c)
+            common = maybe[s & np.uint64((1 << 22) - 1)]
+            if len(hot) and common.any():
+                at = np.flatnonzero(common)
+                slots = _slots(s[at], ranges)
+                common[at] = hot[np.minimum(np.searchsorted(hot, slots), len(hot) - 1)] == slots
+                s = np.concatenate([s[~common], s[common]])
+            return s[: n - least_overlap(n) + 1].view(np.int64)
+
+        for batch in slices(batches, "t", SLICE):
+            sets = shingle_sets(texts(batch.column("t")), words)
+            classes = [class_of(s) if len(s) else None for s in sets]
+            columns = [
+                batch.column("i"), pa.array([*map(len, sets)], pa.int64()), pa.array(classes, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([prefix(s, c) for s, c in zip(sets, classes, strict=True)], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["i", "n", "cls", "sig", "toks"])
+
+    return materialise(_scan(docs, run, "i bigint, n bigint, cls bigint, sig binary, toks array<bigint>"), "signatures")
 
 
 def shared_postings(posted: DataFrame, n: int) -> DataFrame:
@@ -251,45 +273,34 @@ def shared_postings(posted: DataFrame, n: int) -> DataFrame:
 def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of classes that link, by exact intersection. Written as a table.
 
-    A pair's sets meet where ``a``'s set is: it comes first in its group and ``b``'s sets stream past it. A class with many
-    partners is copied to several groups."""
+    A pair's texts meet where ``a``'s text is: it comes first in its group and ``b``'s stream past it, and their sets are
+    computed there, texts being smaller than sets. A class with many partners is copied to several groups."""
     spark, per_group = docs.sparkSession, 500
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_group).cast("int").alias("g"))
     seconds = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cls"))
     firsts = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("cls"))
-    roles = firsts.unionByName(seconds)
     one = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("i").alias("i"))
-    wanted = materialise(one.join(roles.select("cls").distinct(), "cls").select("i", "cls"), "wanted")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in slices(batches, "t", 1 << 20):
-            found = [shingle_set(x, words) for x in texts(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(s) if len(s) else None for s in found], pa.int64()), batch.column("i"), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "i", "hashes"]
-            )
-
-    computed = pick(docs, "i", wanted).mapInArrow(sets, "cls bigint, i bigint, hashes binary")
-    exact = computed.join(wanted, (computed["cls"] == wanted["cls"]) & computed["i"].eqNullSafe(wanted["i"])).select(computed["cls"], "hashes")
-    rows = exact.join(roles, "cls").repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "role", "cls")
+    roles = materialise(firsts.unionByName(seconds).join(one, "cls"), "roles")
+    there = pick(docs, "i", roles).join(roles.withColumnRenamed("i", "j"), F.col("i").eqNullSafe(F.col("j")))
+    rows = there.select("a", "salt", "role", "cls", "t").repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "role", "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, mine = None, None
-        for batch in batches:
-            out = []
-            for a, role, cls, data in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "cls", "hashes")), strict=True):
-                s = np.frombuffer(data, np.uint64)
+        words, first, mine = WordHashes(), None, None
+        for batch in slices(batches, "t", SLICE):
+            out, sets = set(), shingle_sets(texts(batch.column("t")), words)
+            for a, role, cls, s in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "cls")), sets, strict=True):
+                if not len(s) or class_of(s) != cls:
+                    continue  # another text under the same id
                 if role == 0:
                     first, mine = a, s
                 elif a == first:
                     at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
                     if links(len(mine), len(s), int((mine[at] == s).sum())):
-                        out.append((a, cls))
+                        out.add((a, cls))
             if out:
-                out = sorted(set(out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
 
-    return materialise(rows.select("a", "role", "cls", "hashes").mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    return materialise(rows.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -319,20 +330,42 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``tok, cls, comp`` of the buckets that hold more than one component."""
+    """``tok, cls, comp, m`` of the buckets that hold more than one component; m classes each."""
     rows = shared.withColumn("comp", F.col("cls")) if labels is None else shared.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ends = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "cls")).alias("first"))
-    return rows.join(ends.filter("lo <> hi"), "tok").select("tok", "cls", "comp", "first")
+    ends = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return rows.join(ends.filter("lo <> hi"), "tok").select("tok", "cls", "comp", "m")
+
+
+def star_pairs(labelled: DataFrame, signed: DataFrame, stars: int) -> DataFrame:
+    """Pairs ``a, b`` of classes and the central ones of other components that they meet in half of their prefix or more.
 
+    The more classes share a class's shingles, the more central it is: what copies were made from has all that they kept.
+    A class tries the ``stars`` it meets most often. This only chooses what to try first; the rest is left to the tiles."""
+    central = labelled.groupBy("cls").agg(F.sum("m").alias("c"))
+    rows = labelled.select("tok", "cls", "comp").join(central, "cls")
+    rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("c"), "cls"))
+    leads = rows.withColumn("r", rank).filter(F.col("r") <= stars).select("tok", F.col("cls").alias("lead"), F.col("comp").alias("lead_comp"))
+    met = rows.join(leads, "tok").filter("comp <> lead_comp").groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("k"))
+    sizes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"))
+    own = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    often = met.join(sizes, "cls").filter(2 * F.col("k") >= own)
+    best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("k"), "lead"))
+    return often.withColumn("r", best).filter(F.col("r") <= stars).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
 
-def star_pairs(labelled: DataFrame) -> DataFrame:
-    """For each class the first class of another component that it meets in most buckets."""
-    met = labelled.filter("comp <> first.comp").groupBy("cls", F.col("first.cls").alias("lead")).agg(F.count(F.lit(1)).alias("k"))
-    return met.groupBy("cls").agg(F.max_by("lead", F.struct("k", "lead")).alias("a")).select("a", F.col("cls").alias("b"))
+
+def least_shared(n: Column, m: Column) -> Column:
+    """How many shingles of both prefixes sets of sizes n and m share at least if they link.
+
+    A set misses at most ``n - overlap`` of its prefix in the other set, and of the set whose prefix ends first in the
+    common order, what both have is in the other's prefix too."""
+    overlap = F.ceil((n + m) * PERCENT / (100 + PERCENT) - F.lit(1e-9))
+    own = lambda x: x - F.ceil(x * PERCENT / 100) + 1 - (x - overlap)
+    return F.greatest(F.lit(1), F.least(own(n), own(m)))
 
 
 def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of classes of different components that share a bucket and whose bitmaps allow a link."""
+    """``a < b, x, y, o``: distinct pairs of classes of different components x and y whose prefixes share enough and whose
+    bitmaps allow a link, with what they may overlap by at most. Written as a table."""
     one = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     ranked = (
         labelled.select("tok", "cls", "comp")
@@ -349,20 +382,25 @@ def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int) -> DataFrame:
     dealt = rows.join(one.select("cls", "sig"), "cls").repartition(n, "tok", "p", "q").sortWithinPartitions("tok", "p", "q", "n", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, [], set()
+        key, held, found = None, [], Counter()
 
         def compare() -> None:
-            for k, (m, b, comp, tile, bits) in enumerate(held):
-                for n, a, other, tile_a, bits_a in reversed(held[:k]):
-                    if 100 * n < PERCENT * m:
-                        break  # the smaller ones are smaller still
-                    if comp == other or key[1] != key[2] and tile == tile_a or a == b:
+            """Meets each class outside the largest component with those of other components, once."""
+            if len(held) < 2:
+                return
+            largest = Counter(x[2] for x in held).most_common(1)[0][0]
+            big, rest = [x for x in held if x[2] == largest], [x for x in held if x[2] != largest]
+            for k, (n, a, comp, tile_a, bits_a) in enumerate(rest):
+                for m, b, other, tile, bits in chain(big, rest[:k]):
+                    if comp == other or a == b or key[1] != key[2] and tile == tile_a or 100 * min(n, m) < PERCENT * max(n, m):
                         continue
-                    if links(n, m, overlap_bound(n, bits_a, m, bits)):
-                        found.add((min(a, b), max(a, b)))
+                    o = overlap_bound(n, bits_a, m, bits)
+                    if links(n, m, o):
+                        found[(a, n, comp, b, m, other, o) if a < b else (b, m, other, a, n, comp, o)] += 1
 
         def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], ["a", "b"])
+            columns = [*zip(*found, strict=True), [*found.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "n", "x", "b", "m", "y", "o", "k"])
 
         for batch in batches:
             for tok, p, q, n, cls, comp, tile, sig in zip(*(batch.column(c).to_pylist() for c in ("tok", "p", "q", "n", "cls", "comp", "tile", "sig")), strict=True):
@@ -377,30 +415,58 @@ def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int) -> DataFrame:
         if found:
             yield batch_of()
 
-    return dealt.select("tok", "p", "q", "n", "cls", "comp", "tile", "sig").mapInArrow(run, "a bigint, b bigint").distinct()
+    met = dealt.select("tok", "p", "q", "n", "cls", "comp", "tile", "sig").mapInArrow(run, "a bigint, n bigint, x bigint, b bigint, m bigint, y bigint, o bigint, k bigint")
+    met = met.groupBy("a", "b", "n", "m", "x", "y", "o").agg(F.sum("k").alias("k"))
+    return materialise(met.filter(F.col("k") >= least_shared(F.col("n"), F.col("m"))).select("a", "b", "x", "y", "o"), "tile-pairs")
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each class's pairs with one other component the one that may overlap most."""
+    both = pairs.select("a", "b", "o", F.col("a").alias("own"), F.col("y").alias("other")).unionByName(pairs.select("a", "b", "o", F.col("b").alias("own"), F.col("x").alias("other")))
+    rank = F.row_number().over(Window.partitionBy("own", "other").orderBy(F.desc("o"), "a", "b"))
+    return both.withColumn("r", rank).filter("r = 1").select("a", "b").distinct()
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes are still in different components."""
+    side = lambda c: labels.select(F.col("cls").alias(c), F.col("comp").alias(f"_{c}"))
+    rows = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return rows.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect all that link."""
-    ranges = partitions(docs.sparkSession)
-    hot = frequent_shingles(docs, ranges)
-    shared = shared_postings(postings(docs, hot, ranges), ranges)
-    found, labels = None, None
-    for k in range(STAR_ROUNDS + 1):
-        labelled = materialise(_labelled(shared, labels), "labelled")
-        pairs = star_pairs(labelled) if k < STAR_ROUNDS else tile_pairs(labelled, signed, ranges)
-        more = verify(docs, signed, materialise(pairs, "pairs"))
+    n = partitions(docs.sparkSession)
+    shared = shared_postings(signed.filter("toks IS NOT NULL").select(F.explode("toks").alias("tok"), "cls"), n)
+    found, tried, labels, left = None, None, None, None
+    for step in (*STARS, "likeliest", "rest"):
+        if step == "rest":
+            pairs = apart(left, labels)
+        else:
+            labelled = materialise(_labelled(shared, labels), "labelled")
+            shared = labelled.select("tok", "cls")
+            if step == "likeliest":
+                left = tile_pairs(labelled, signed, n)
+                pairs = likeliest(left)
+            else:
+                pairs = star_pairs(labelled, signed, step)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        more = verify(docs, signed, pairs)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
         found = more if found is None else found.unionByName(more)
-        if k < STAR_ROUNDS:
+        if step != "rest":
             labels = components(found)
-            shared = labelled.select("tok", "cls")
     return found
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``df``: ``doc_id, n_shingles, component_id``."""
     docs = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    signed = materialise(signatures(docs), "signatures")
+    ranges = partitions(df.sparkSession)
+    signed = signatures(docs, frequent_shingles(docs, ranges), ranges)
     labels = components(class_links(docs, signed))
     classes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("i").alias("least"), F.count(F.lit(1)).alias("k"))
     tied = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
