@@ -3,8 +3,9 @@
 A text becomes template tokens: words without surrounding punctuation, where numbers, units after a number and
 capitalised names are typed placeholders. Windows of WINDOW tokens are hashed, in this form and in plain lower case, and
 documents' windows are hash-joined with the benchmark's. Where windows meet, the values in their slots must map
-consistently: one benchmark value to one document value over all matches of a document and item. So a question asked
-again with other numbers or names is caught, and a chance meeting of templates isn't.
+consistently: one benchmark value to one document value over all matches of a placement of an item in a document. A
+template window with a value that doesn't is no match; plain windows match whatever the slots of others are. So a question
+asked again with other numbers or names is caught, a verbatim one with an edit too, and a chance meeting of templates isn't.
 
 Plan: one scan of the documents. A bitmap of BITS bits, whatever the benchmark's size, passes the windows that may be in
 the benchmark; those few go into the exact join, which is salted, since one item may be leaked into a third of all
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm.common import slices, texts
@@ -30,7 +31,7 @@ from fabula.llm.common import slices, texts
 WINDOW = 8
 #: A template window needs so many tokens that aren't placeholders.
 LITERALS = 4
-#: An item is leaked into a document if so large a part of its tokens is covered by windows with consistent slots.
+#: An item is leaked into a document if so large a part of its tokens is covered by plain windows and those with consistent slots.
 COVERAGE = 0.5
 BITS = 23
 SALTS = 8
@@ -164,6 +165,16 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[i
     return source.mapInArrow(run, WINDOWS)
 
 
+def _pairs(windows: str) -> Column:
+    """The distinct values in slots, of benchmark (a) and document (b), of an array of windows; plain windows have none."""
+    return F.array_distinct(F.filter(F.flatten(F.transform(windows, lambda w: w["slots"])), lambda s: s["a"].isNotNull()))
+
+
+def _unclear(pairs: Column) -> Column:
+    """The benchmark values of sorted ``pairs`` that meet more than one document value."""
+    return F.transform(F.filter(pairs, lambda s, k: (k > 0) & s["a"].eqNullSafe(F.get(pairs, k - 1)["a"])), lambda s: s["a"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item that it contains: ``doc_id, item_id, n_windows, covered_tokens, item_tokens,
     coverage, n_slots, reparameterised``."""
@@ -186,12 +197,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     )
     # The placement of an item in a document is told by the difference of positions; slots are judged in each placement.
     place = ["doc_id", "item_id", "tokens", F.col("at") - F.col("pos")]
-    values = F.filter(F.flatten(F.collect_set("slots")), lambda s: s["a"].isNotNull())
-    placed = met.groupBy(*place[:3], place[3].alias("shift")).agg(
-        F.collect_set(F.struct("pos", "width")).alias("at"), F.array_distinct(values).alias("pairs")
-    )
+    placed = met.groupBy(*place[:3], place[3].alias("shift")).agg(F.collect_set(F.struct("pos", "width", "slots")).alias("windows"))
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda s: s["a"]))) == F.size("pairs")
-    sound = placed.filter(one_to_one)
+    clear = F.filter("windows", lambda w: ~F.coalesce(F.arrays_overlap(w["slots"]["a"], _unclear(F.array_sort("pairs"))), F.lit(False)))
+    sound = placed.withColumn("pairs", _pairs("windows")).select(*place[:3], F.when(one_to_one, F.col("windows")).otherwise(clear).alias("windows"))
+    sound = sound.filter(F.size("windows") > 0).select(
+        *place[:3], F.transform("windows", lambda w: F.struct(w["pos"].alias("pos"), w["width"].alias("width"))).alias("at"), _pairs("windows").alias("pairs")
+    )
     joined = sound.groupBy("doc_id", "item_id", "tokens").agg(
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),

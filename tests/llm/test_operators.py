@@ -377,5 +377,16 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert rows(got, "doc_id") == [(1,)]
 
 
+def test_verbatim_windows_count_beside_inconsistent_slots(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(42)]
+    words[5] = words[38] = "1"
+    edited = [*words[:38], "2", *words[39:]]
+    cases = [(1, " ".join(edited)), (2, " ".join(edited).replace("1", "7")), (3, " ".join(words))]
+    df = spark.createDataFrame(cases, "doc_id bigint, text string")
+    got = decontaminate.find_leaks(df, spark.createDataFrame([(9, " ".join(words))], "item_id bigint, text string"))
+    # 2: "1" meets 7 and 2, so none of the template windows over either place counts
+    assert rows(got, "doc_id", "covered_tokens", "n_slots", "reparameterised") == [(1, 38, 0, False), (2, 32, 0, False), (3, 42, 1, False)]
+
+
 def test_shared_dir_is_the_session_s(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
