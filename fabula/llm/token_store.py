@@ -51,14 +51,15 @@ def encode_words(df: DataFrame, id_col: str, text_col: str, path: str, end_id: i
     little-endian, of 16 bits if the vocabulary allows) with ``end_id`` last.
 
     The vocabulary drops white space and never looks across it, so a text's ids are those of its words, and the library
-    encodes each word that the worker doesn't hold yet. It lower-cases too, so words that differ in A-Z only are one."""
+    encodes each word that the worker doesn't hold yet. It lower-cases too, so words that differ in A-Z only are one, but
+    for those that have an added token's text in any case: it looks for these tokens before it lower-cases."""
     dtype = id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = WordIds(path, dtype)
         end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in slices(batches, "t"):
-            words = [x.lower().split() for x in texts(batch.column("t"))]
+            words = [held.split(x) for x in texts(batch.column("t"))]
             held.learn(words)
             ids = [b"".join(map(held.__getitem__, x)) + end for x in words]
             d = batch.column("d").fill_null(np.iinfo(np.int64).min).to_numpy()
@@ -76,6 +77,15 @@ class WordIds(dict):
         self.model, self.dtype = vocabulary(path), dtype
         self.last = np.zeros(self.model.get_vocab_size(), bool)
         self.last[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.added = [t.content.lower().encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.added)
+
+    def split(self, text: bytes) -> list[bytes]:
+        """The words of a text, A-Z in lower case but in words that have an added token's text in any case."""
+        low = text.lower()
+        if not self.added or self.mark not in low or not any(t in low for t in self.added):
+            return low.split()
+        return [w if any(t in x for t in self.added) else x for w, x in zip(text.split(), low.split(), strict=True)]
 
     def learn(self, words: list[list[bytes]]) -> None:
         distinct = set(chain.from_iterable(words))

@@ -304,6 +304,19 @@ def test_token_store(spark, docs, odd, empty):
     assert token_store.read_store(token_store.write_store(empty, new_folder(spark, "tokens"), path)).count() == 0
 
 
+def test_added_tokens_match_in_their_own_case_only(spark):
+    from tokenizers import Tokenizer
+
+    path = token_store.default_vocabulary()
+    plain = Tokenizer.from_file(path)
+    cases = ["<|endoftext|>", "<|ENDOFTEXT|>", "a <|EndOfText|>. B", "X<|STARTOFTEXT|>Y <|startoftext|>Z", "<|Other|> ENDOFTEXT <|", "A WORD <|endoftext|>THE END."]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    got = token_store.read_store(token_store.write_store(df, new_folder(spark, "tokens"), path))
+    ids = [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in cases]
+    assert len(ids[0]) < len(ids[1])
+    assert rows(got, "doc_id", "n_tokens", "ids_crc32") == [(k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)]
+
+
 # ---- 9
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", ""]), st.lists(st.sampled_from([*chat.CONTROLS, "\\", "x", "\n", " ", "<", "s>"]), max_size=8).map("".join)), max_size=6))
