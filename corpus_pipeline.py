@@ -13,6 +13,8 @@ from fabula.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, sec
 from fabula.llm.common import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents are near duplicates if their shingles of so many words have so high a Jaccard similarity, in per cent.
+DUPLICATE_NGRAM, DUPLICATE_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id. Rows that share that id all stay."""
-    found = jaccard_join.join(docs)
-    later = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_later")).distinct()
-    return docs.select(COLUMNS).join(later, F.col("doc_id").eqNullSafe(F.col("_later")), "left_anti")
+    """Of each component of near duplicates the document with the least id. Rows of the component that share that id all
+    stay; others go by id and text, so what shares an id with one of them but isn't in the component stays too."""
+    found = jaccard_join.join(docs, ngram=DUPLICATE_NGRAM, percent=DUPLICATE_PERCENT, hash_col="_h")
+    later = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_later"), "_h").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_later")) & (F.xxhash64("text") == F.col("_h"))
+    return docs.select(COLUMNS).join(later, same, "left_anti")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

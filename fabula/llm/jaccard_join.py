@@ -1,12 +1,12 @@
-"""N-gram Jaccard join: which documents' shingle sets overlap by a Jaccard similarity of 85 % or more, and the
-components that these links make. No link between different sets is lost.
+"""N-gram Jaccard join: which documents' shingle sets overlap by a Jaccard similarity of ``percent`` (85 % unless said
+otherwise) or more, and the components that these links make. No link between different sets is lost.
 
 1. Frequent shingles. Tasks send sorted hashes, packed, to ranges of the hash space, which count in how many documents
    each occurs. At most ``HOT_MAX`` of the most frequent ones, if in over ``HOT_OVER`` documents, are broadcast.
 2. Signatures. A second scan gives each document the size of its set, a digest of the set (equal sets are one class from
    here on), a hashed bitmap of the set, and its prefix.
 3. Prefixes. All sets are ordered alike, frequent shingles last. Two sets of sizes n and m that link share a shingle
-   among the first ``n - ceil(0.85 n) + 1`` of either, so only those shingles are posted. The order changes how many
+   among the first ``n - ceil(percent n) + 1`` of either, so only those shingles are posted. The order changes how many
    meet, never which links are found.
 4. Stars. In each posted shingle's bucket the classes meet its most central ones. A few such rounds join large groups of
    near copies without listing their pairs.
@@ -166,7 +166,7 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def frequent_shingles(docs: DataFrame, ranges: int) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, ranges: int, ngram: int = NGRAM, percent: int = PERCENT) -> np.ndarray:
     """Sorted slots of the most frequent shingles: HOT_MAX at most, each in over HOT_OVER documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +179,8 @@ def frequent_shingles(docs: DataFrame, ranges: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["r", "n", "data"])
 
         for batch in slices(batches, "t", SLICE):
-            for s in shingle_sets(texts(batch.column("t")), words):
-                if len(s) and not alone(len(s)):
+            for s in shingle_sets(texts(batch.column("t")), words, ngram):
+                if len(s) and not alone(len(s), percent):
                     held.append(s)
                     size += len(s)
             if size > 1_500_000:
@@ -222,8 +222,8 @@ def frequent_shingles(docs: DataFrame, ranges: int) -> np.ndarray:
     return np.sort(hot.filter(F.col("n") >= least).select("slot").toPandas()["slot"].to_numpy(np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
-    """``i, n, cls, sig, toks`` of each document: set size, class (null for an empty set), bitmap, and the shingles of its
+def signatures(docs: DataFrame, hot: np.ndarray, ranges: int, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """``i, h, n, cls, sig, toks`` of each document: hash of its text, set size, class (null for an empty set), bitmap, and the shingles of its
     prefix. A task gives a class's prefix once as long as it remembers the class. Written as a table."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -234,7 +234,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
 
         def prefix(s: np.ndarray, c: int | None) -> np.ndarray | None:
             n = len(s)
-            if not n or alone(n) or c in seen:
+            if not n or alone(n, percent) or c in seen:
                 return None
             if len(seen) > 100_000:
                 seen.clear()
@@ -245,18 +245,18 @@ def signatures(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
                 slots = _slots(s[at], ranges)
                 common[at] = hot[np.minimum(np.searchsorted(hot, slots), len(hot) - 1)] == slots
                 s = np.concatenate([s[~common], s[common]])
-            return s[: n - least_overlap(n) + 1].view(np.int64)
+            return s[: n - least_overlap(n, percent) + 1].view(np.int64)
 
         for batch in slices(batches, "t", SLICE):
-            sets = shingle_sets(texts(batch.column("t")), words)
+            sets = shingle_sets(texts(batch.column("t")), words, ngram)
             classes = [class_of(s) if len(s) else None for s in sets]
             columns = [
-                batch.column("i"), pa.array([*map(len, sets)], pa.int64()), pa.array(classes, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                batch.column("i"), batch.column("h"), pa.array([*map(len, sets)], pa.int64()), pa.array(classes, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([prefix(s, c) for s, c in zip(sets, classes, strict=True)], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["i", "n", "cls", "sig", "toks"])
+            yield pa.RecordBatch.from_arrays(columns, ["i", "h", "n", "cls", "sig", "toks"])
 
-    return materialise(_scan(docs, run, "i bigint, n bigint, cls bigint, sig binary, toks array<bigint>"), "signatures")
+    return materialise(docs.select("i", "t", F.xxhash64("t").alias("h")).mapInArrow(run, "i bigint, h bigint, n bigint, cls bigint, sig binary, toks array<bigint>"), "signatures")
 
 
 def shared_postings(posted: DataFrame, n: int) -> DataFrame:
@@ -270,7 +270,7 @@ def shared_postings(posted: DataFrame, n: int) -> DataFrame:
     return materialise(kept.select("tok", "cls"), "postings")
 
 
-def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The pairs ``a, b`` of classes that link, by exact intersection. Written as a table.
 
     A pair's texts meet where ``a``'s text is: it comes first in its group and ``b``'s stream past it, and their sets are
@@ -287,7 +287,7 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first, mine = WordHashes(), None, None
         for batch in slices(batches, "t", SLICE):
-            out, sets = set(), shingle_sets(texts(batch.column("t")), words)
+            out, sets = set(), shingle_sets(texts(batch.column("t")), words, ngram)
             for a, role, cls, s in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "cls")), sets, strict=True):
                 if not len(s) or class_of(s) != cls:
                     continue  # another text under the same id
@@ -295,7 +295,7 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
                     first, mine = a, s
                 elif a == first:
                     at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
-                    if links(len(mine), len(s), int((mine[at] == s).sum())):
+                    if links(len(mine), len(s), int((mine[at] == s).sum()), percent):
                         out.add((a, cls))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
@@ -336,7 +336,7 @@ def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(ends.filter("lo <> hi"), "tok").select("tok", "cls", "comp", "m")
 
 
-def star_pairs(labelled: DataFrame, signed: DataFrame, stars: int) -> DataFrame:
+def star_pairs(labelled: DataFrame, signed: DataFrame, stars: int, percent: int = PERCENT) -> DataFrame:
     """Pairs ``a, b`` of classes and the central ones of other components that they meet in half of their prefix or more.
 
     The more classes share a class's shingles, the more central it is: what copies were made from has all that they kept.
@@ -347,23 +347,23 @@ def star_pairs(labelled: DataFrame, signed: DataFrame, stars: int) -> DataFrame:
     leads = rows.withColumn("r", rank).filter(F.col("r") <= stars).select("tok", F.col("cls").alias("lead"), F.col("comp").alias("lead_comp"))
     met = rows.join(leads, "tok").filter("comp <> lead_comp").groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("k"))
     sizes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"))
-    own = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    own = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     often = met.join(sizes, "cls").filter(2 * F.col("k") >= own)
     best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("k"), "lead"))
     return often.withColumn("r", best).filter(F.col("r") <= stars).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
 
 
-def least_shared(n: Column, m: Column) -> Column:
+def least_shared(n: Column, m: Column, percent: int = PERCENT) -> Column:
     """How many shingles of both prefixes sets of sizes n and m share at least if they link.
 
     A set misses at most ``n - overlap`` of its prefix in the other set, and of the set whose prefix ends first in the
     common order, what both have is in the other's prefix too."""
-    overlap = F.ceil((n + m) * PERCENT / (100 + PERCENT) - F.lit(1e-9))
-    own = lambda x: x - F.ceil(x * PERCENT / 100) + 1 - (x - overlap)
+    overlap = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
+    own = lambda x: x - F.ceil(x * percent / 100) + 1 - (x - overlap)
     return F.greatest(F.lit(1), F.least(own(n), own(m)))
 
 
-def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int) -> DataFrame:
+def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """``a < b, x, y, o``: distinct pairs of classes of different components x and y whose prefixes share enough and whose
     bitmaps allow a link, with what they may overlap by at most. Written as a table."""
     one = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -375,7 +375,7 @@ def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int) -> DataFrame:
     ranked = materialise(ranked, "tiles")
     ends = ranked.groupBy("tok", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = ends.alias("x"), ends.alias("y")
-    compatible = F.expr(f"x.tok = y.tok AND x.tile < y.tile AND 100 * x.hi >= {PERCENT} * y.lo")
+    compatible = F.expr(f"x.tok = y.tok AND x.tile < y.tile AND 100 * x.hi >= {percent} * y.lo")
     meeting = x.join(y, compatible).select("x.tok", F.col("x.tile").alias("p"), F.col("y.tile").alias("q"))
     sides = meeting.select("tok", F.col("p").alias("tile"), "p", "q").unionByName(meeting.select("tok", F.col("q").alias("tile"), "p", "q"))
     rows = ranked.withColumns({"p": F.col("tile"), "q": F.col("tile")}).unionByName(ranked.join(sides, ["tok", "tile"]))
@@ -392,10 +392,10 @@ def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int) -> DataFrame:
             big, rest = [x for x in held if x[2] == largest], [x for x in held if x[2] != largest]
             for k, (n, a, comp, tile_a, bits_a) in enumerate(rest):
                 for m, b, other, tile, bits in chain(big, rest[:k]):
-                    if comp == other or a == b or key[1] != key[2] and tile == tile_a or 100 * min(n, m) < PERCENT * max(n, m):
+                    if comp == other or a == b or key[1] != key[2] and tile == tile_a or 100 * min(n, m) < percent * max(n, m):
                         continue
                     o = overlap_bound(n, bits_a, m, bits)
-                    if links(n, m, o):
+                    if links(n, m, o, percent):
                         found[(a, n, comp, b, m, other, o) if a < b else (b, m, other, a, n, comp, o)] += 1
 
         def batch_of() -> pa.RecordBatch:
@@ -417,7 +417,7 @@ def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int) -> DataFrame:
 
     met = dealt.select("tok", "p", "q", "n", "cls", "comp", "tile", "sig").mapInArrow(run, "a bigint, n bigint, x bigint, b bigint, m bigint, y bigint, o bigint, k bigint")
     met = met.groupBy("a", "b", "n", "m", "x", "y", "o").agg(F.sum("k").alias("k"))
-    return materialise(met.filter(F.col("k") >= least_shared(F.col("n"), F.col("m"))).select("a", "b", "x", "y", "o"), "tile-pairs")
+    return materialise(met.filter(F.col("k") >= least_shared(F.col("n"), F.col("m"), percent)).select("a", "b", "x", "y", "o"), "tile-pairs")
 
 
 def likeliest(pairs: DataFrame) -> DataFrame:
@@ -434,7 +434,7 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, signed: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect all that link."""
     n = partitions(docs.sparkSession)
     shared = shared_postings(signed.filter("toks IS NOT NULL").select(F.explode("toks").alias("tok"), "cls"), n)
@@ -446,14 +446,14 @@ def class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
             labelled = materialise(_labelled(shared, labels), "labelled")
             shared = labelled.select("tok", "cls")
             if step == "likeliest":
-                left = tile_pairs(labelled, signed, n)
+                left = tile_pairs(labelled, signed, n, percent)
                 pairs = likeliest(left)
             else:
-                pairs = star_pairs(labelled, signed, step)
+                pairs = star_pairs(labelled, signed, step, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        more = verify(docs, signed, pairs)
+        more = verify(docs, signed, pairs, ngram, percent)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
         found = more if found is None else found.unionByName(more)
@@ -462,12 +462,13 @@ def class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return found
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``df``: ``doc_id, n_shingles, component_id``."""
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, hash_col: str | None = None) -> DataFrame:
+    """A row for each row of ``df``: ``doc_id, n_shingles, component_id`` and, if ``hash_col`` names it, the xxhash64 of its
+    text, which tells rows of one id apart."""
     docs = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
     ranges = partitions(df.sparkSession)
-    signed = signatures(docs, frequent_shingles(docs, ranges), ranges)
-    labels = components(class_links(docs, signed))
+    signed = signatures(docs, frequent_shingles(docs, ranges, ngram, percent), ranges, ngram, percent)
+    labels = components(class_links(docs, signed, ngram, percent))
     classes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("i").alias("least"), F.count(F.lit(1)).alias("k"))
     tied = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = tied.groupBy("comp").agg(F.min("least").alias("component"), F.sum("k").alias("k")).filter("k > 1").select("comp", "component")
@@ -475,5 +476,5 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     answers = tied.join(least, "comp").select("cls", "component", copies)
     salted = signed.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
     return salted.join(answers, ["cls", "salt"], "left").select(
-        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id")
+        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"), *([F.col("h").alias(hash_col)] if hash_col else [])
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from fabula.llm import byte_bpe
+from fabula.llm import byte_bpe, jaccard_join
 
 from . import brute
 from .data import words
@@ -40,6 +40,32 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest()
 
 
+def test_near_duplicates_go_by_row_and_by_80_percent(spark):
+    import random
+
+    rng = random.Random(7)
+    a, b, c = (" ".join(words(rng, 300, s)) for s in "abc")
+    tail = f"{a} {' '.join(words(rng, 65, 'd'))}"  # 296 of 361 five-word shingles, 82 %
+    rows = [(1, a), (2, tail), (None, a), (None, b), (4, f"{a} end"), (4, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, df.repartition(3), "").collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(1, a), (None, b), (4, c)} and len(got) == 3
+
+
+def test_components_at_80_percent_of_five_words(spark):
+    w = [f"t{k}" for k in range(300)]
+    data = [(k, " ".join(w[7 * k : 7 * k + 60])) for k in range(30)] + [(100 + k, " ".join(w[7 * k : 7 * k + 72])) for k in range(30)]
+    sets = {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} for i, x in ((i, t.split()) for i, t in data)}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for x in sets:
+            least[x] = min(least[y] for y in sets if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]))
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    got = jaccard_join.join(df, ngram=5, percent=80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), least[i]) for i in sets}
+    assert len({*least.values()}) < len(data)
+
+
 def test_stages_keep_the_columns(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20).withColumn("k0", F.lit(1))
