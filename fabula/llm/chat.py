@@ -5,8 +5,10 @@ conversation, one turn more each time, and compares it with the one before: what
 prefix that isn't kept as it was shows that the template rewrites history. Where a text lies within its span follows
 from one more rendering with a probe in its place, so loss masks need no knowledge of the template either.
 
-Rendering all prefixes costs the square of a conversation's length, so longer ones are rendered in segments of
-``max_turns`` turns, each a row of its own; a task holds one segment. Rows are dealt by conversation and sorted by turn.
+Rendering all prefixes costs the square of a conversation's length. A template whose own class says ``stateless = True``
+renders a turn alike wherever it stands, so with it longer conversations are rendered in segments of ``max_turns`` turns,
+each a row of its own; a task holds one segment. Any other template gets the whole history, whatever its length. Rows are
+dealt by conversation and sorted by turn.
 
 Edge cases: a null text or role is an empty one; rows without a conversation id are one conversation; rows of one turn
 are ordered by role and text; an empty table gives an empty result; other columns are ignored. A conversation whose
@@ -50,6 +52,8 @@ def unescape(text: str) -> str:
 class MarkedTurns:
     """The default template: ``<s>role``, a new line, the text, ``</s>``."""
 
+    stateless = True
+
     def render(self, turns: list[Turn]) -> str:
         return "".join([f"<s>{_role(r)}\n{escape(t)}</s>" for r, t in turns])
 
@@ -95,10 +99,11 @@ FORMATTED = "conv_id bigint, segment int, n_turns int, formatted string, starts
 
 
 def format_conversations(df: DataFrame, template=None, loss_role: str = "assistant", max_turns: int = MAX_TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row for each segment of a conversation, FORMATTED; spans count code points of ``formatted``, end exclusive.
+    """A row for each segment of a conversation (the whole one, unless the template is stateless), FORMATTED; spans count code points of ``formatted``, end exclusive.
 
     A conversation's segments follow each other in one partition. ``rewritten_at`` counts turns of the conversation."""
     made = template or MarkedTurns()
+    parted = vars(type(made)).get("stateless", False)  # a subclass may render otherwise, so it has to say so itself
     rows = df.select(
         F.col(conv_col).cast("bigint").alias("c"),
         F.col(turn_col).cast("bigint").alias("n"),
@@ -116,7 +121,7 @@ def format_conversations(df: DataFrame, template=None, loss_role: str = "assista
         conv, number, turns, out, size = None, 0, [], [], 0
         for batch in batches:
             for c, r, t in zip(*(batch.column(x).to_pylist() for x in ("c", "r", "t")), strict=True):
-                if turns and (c != conv or len(turns) == max_turns):
+                if turns and (c != conv or parted and len(turns) == max_turns):
                     out.append(segment(conv, number, turns))
                     size, number, turns = size + len(out[-1][3]), number + 1 if c == conv else 0, []
                 elif c != conv:

@@ -348,6 +348,28 @@ def test_rewriting_templates_are_found(spark):
     assert r["rewritten_at"] == 1 and r["loss_starts"] == []
 
 
+class Headed(chat.MarkedTurns):
+    """Begins with a header."""
+
+    def render(self, turns):
+        return "<bos>" + super().render(turns)
+
+
+class Late(chat.MarkedTurns):
+    """Rewrites its first turn at the sixth."""
+
+    def render(self, turns):
+        return super().render([("cut", ""), *turns[1:]] if len(turns) > 5 else turns)
+
+
+def test_templates_with_history_see_all_of_it(spark):
+    df = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(11)], "conv_id int, turn int, role string, text string")
+    headed = chat.format_conversations(df, Headed(), max_turns=4).collect()
+    assert [(r["n_turns"], r["formatted"].count("<bos>"), len(r["starts"])) for r in headed] == [(11, 1, 11)]
+    assert [r["rewritten_at"] for r in chat.format_conversations(df, Late(), loss_role="user", max_turns=4).collect()] == [5]
+    assert chat.format_conversations(df, max_turns=4).count() == 3
+
+
 def test_conversations(spark):
     data = [(c, k, "assistant" if k % 2 else "user", f"c{c} t{k} </s>") for c in (1, 2, None) for k in range(11)] + [(3, 0, None, None), (3, 0, None, None)]
     df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string").repartition(3).withColumn("c", F.lit("clash"))
