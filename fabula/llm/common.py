@@ -90,17 +90,25 @@ PICK_BITS = 24
 def pick(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` (bigint or null) may be among those of ``wanted``: all of those and few others.
 
-    An exact join follows; this only keeps it from shuffling the texts of rows that cannot match. The bitmap is broadcast
-    as 256 rows, so the test stays in the scan's stage."""
+    An exact join follows; this only keeps it from shuffling the texts of rows that cannot match. Tasks make the bitmap's
+    256 parts, so that many bytes, whatever the data, reach the driver and are broadcast."""
     import numpy as np
     from pyspark.sql import functions as F
 
     slot = F.shiftrightunsigned(F.xxhash64(key), 64 - PICK_BITS).cast("int")
-    bits = np.zeros(1 << PICK_BITS, bool)
-    bits[wanted.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
-    parts = np.packbits(bits).reshape(256, -1)
-    rows = df.sparkSession.createDataFrame([(i, x.tobytes()) for i, x in enumerate(parts) if x.any()], "_part int, _bits binary")
-    per_part = parts.shape[1] * 8
+    per_part = (1 << PICK_BITS) // 256
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch.column("s").to_numpy()
+            for p in np.unique(slots // per_part).tolist():
+                found.setdefault(p, np.zeros(per_part, bool))[slots[slots // per_part == p] % per_part] = True
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()])], ["_part", "_bits"])
+
+    dealt = wanted.select(slot.alias("s")).repartition(min(256, partitions(df.sparkSession)), (F.col("s") / per_part).cast("int"))
+    rows = df.sparkSession.createDataFrame(dealt.mapInArrow(bitmaps, "_part int, _bits binary").collect(), "_part int, _bits binary")
     place = F.col("_slot") % per_part
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
     asked = df.withColumn("_slot", slot).withColumn("_part", (F.col("_slot") / per_part).cast("int"))

@@ -8,12 +8,11 @@ otherwise) or more, and the components that these links make. No link between di
 3. Prefixes. All sets are ordered alike, frequent shingles last. Two sets of sizes n and m that link share a shingle
    among the first ``n - ceil(percent n) + 1`` of either, so only those shingles are posted. The order changes how many
    meet, never which links are found.
-4. Stars. In each posted shingle's bucket the classes meet its most central ones. A few such rounds join large groups of
-   near copies without listing their pairs.
-5. Tiles. What is left are buckets whose classes are in different components. A bucket is cut by set size into tiles of
-   ``TILE`` classes; tiles whose sizes are compatible meet in a group of bounded size, where bit counts of the bitmaps
-   bound the overlap of each pair from above. Pairs of one component are skipped. A class first tries the likeliest
-   partner of each other component, and then all that are left between different components.
+4. Blocks. Each class goes once, with its text, to a block of its most crowded bucket, where sets meet exactly and links
+   that connect are kept. Two turns of this, dealt differently, join large groups of near copies without listing pairs.
+5. Tiles. What is left are buckets whose classes are in different components. A bucket is cut by set size into bands and
+   those into tiles; tiles of neighbouring bands meet in a group of bounded size. Of two sets of different components, the
+   places of the shared shingle bound the overlap from above, and so do bit counts of the bitmaps.
 6. Exact check. Partners' sets, sorted arrays of 64-bit hashes computed again from the texts, are streamed past each
    other and intersected. Links give components by alternating small and large stars.
 
@@ -26,22 +25,24 @@ result; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import math
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.llm.common import materialise, partitions, pick, slices, texts
 
 NGRAM, PERCENT = 4, 85
 HOT_OVER, HOT_MAX = 32, 1_000_000
-#: How many central classes of a bucket the others try, round by round.
-STARS, TILE = (2, 6), 256
+#: How often blocks of about so many shingles are dealt, and about how many classes a tile has.
+TURNS, BLOCK, TILE = 2, 65_536, 256
+#: How many partners a class meets in one group of the exact check.
+PER_GROUP = 500
 #: Bytes of text whose sets a task holds at once.
 SLICE = 1 << 20
 SALTS = 16
@@ -223,8 +224,9 @@ def frequent_shingles(docs: DataFrame, ranges: int, ngram: int = NGRAM, percent:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, ranges: int, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """``i, h, n, cls, sig, toks`` of each document: hash of its text, set size, class (null for an empty set), bitmap, and the shingles of its
-    prefix. A task gives a class's prefix once as long as it remembers the class. Written as a table."""
+    """``i, h, n, cls, sig, toks, cold`` of each document: hash of its text, set size, class (null for an empty set), bitmap,
+    and the shingles of its prefix, of which the first ``cold`` aren't frequent. A task gives a class's bitmap and prefix
+    once as long as it remembers the class. Written as a table."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,75 +234,146 @@ def signatures(docs: DataFrame, hot: np.ndarray, ranges: int, ngram: int = NGRAM
         maybe = np.zeros(1 << 22, bool)
         maybe[hot & np.uint64((1 << 22) - 1)] = True
 
-        def prefix(s: np.ndarray, c: int | None) -> np.ndarray | None:
+        def prefix(s: np.ndarray, c: int | None) -> tuple[bytes | None, np.ndarray | None, int]:
             n = len(s)
             if not n or alone(n, percent) or c in seen:
-                return None
+                return None, None, 0
             if len(seen) > 100_000:
                 seen.clear()
             seen.add(c)
-            common = maybe[s & np.uint64((1 << 22) - 1)]
+            common, cold, sig = maybe[s & np.uint64((1 << 22) - 1)], n, signature(s)
             if len(hot) and common.any():
                 at = np.flatnonzero(common)
                 slots = _slots(s[at], ranges)
                 common[at] = hot[np.minimum(np.searchsorted(hot, slots), len(hot) - 1)] == slots
-                s = np.concatenate([s[~common], s[common]])
-            return s[: n - least_overlap(n, percent) + 1].view(np.int64)
+                s, cold = np.concatenate([s[~common], s[common]]), n - int(common.sum())
+            taken = n - least_overlap(n, percent) + 1
+            return sig, s[:taken].view(np.int64), min(cold, taken)
 
         for batch in slices(batches, "t", SLICE):
             sets = shingle_sets(texts(batch.column("t")), words, ngram)
             classes = [class_of(s) if len(s) else None for s in sets]
+            sigs, toks, cold = zip(*(prefix(s, c) for s, c in zip(sets, classes, strict=True)), strict=True)
             columns = [
-                batch.column("i"), batch.column("h"), pa.array([*map(len, sets)], pa.int64()), pa.array(classes, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([prefix(s, c) for s, c in zip(sets, classes, strict=True)], pa.list_(pa.int64())),
+                batch.column("i"), batch.column("h"), pa.array([*map(len, sets)], pa.int64()), pa.array(classes, pa.int64()),
+                pa.array(sigs, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(cold, pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["i", "h", "n", "cls", "sig", "toks"])
+            yield pa.RecordBatch.from_arrays(columns, ["i", "h", "n", "cls", "sig", "toks", "cold"])
 
-    return materialise(docs.select("i", "t", F.xxhash64("t").alias("h")).mapInArrow(run, "i bigint, h bigint, n bigint, cls bigint, sig binary, toks array<bigint>"), "signatures")
+    schema = "i bigint, h bigint, n bigint, cls bigint, sig binary, toks array<bigint>, cold int"
+    return materialise(docs.select("i", "t", F.xxhash64("t").alias("h")).mapInArrow(run, schema), "signatures")
 
 
-def shared_postings(posted: DataFrame, n: int) -> DataFrame:
-    """The distinct postings in buckets of two classes or more. Written as a table."""
+def shared_postings(signed: DataFrame, n: int) -> DataFrame:
+    """``tok, cls, n, pos``: the distinct postings of frequent shingles, and those of others in buckets of two classes or
+    more. Frequent ones aren't gathered by their shingle; the buckets of others are small. Written as a table."""
+    posted = signed.filter("toks IS NOT NULL").select("cls", F.col("n").cast("int").alias("n"), "cold", F.posexplode("toks").alias("pos", "tok"))
     bucket = Window.partitionBy("tok").orderBy("cls")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = posted.repartition(n, "tok").select(
-        "tok", "cls", F.lag("cls").over(bucket).alias("before"), F.first("cls").over(whole).alias("lo"), F.last("cls").over(whole).alias("hi")
+    rare = posted.filter("pos < cold").repartition(n, "tok").select(
+        "tok", "cls", "n", "pos", F.lag("cls").over(bucket).alias("before"), F.first("cls").over(whole).alias("lo"), F.last("cls").over(whole).alias("hi")
     )
-    kept = marked.filter("lo <> hi AND (before IS NULL OR before <> cls)")
-    return materialise(kept.select("tok", "cls"), "postings")
+    rare = rare.filter("lo <> hi AND (before IS NULL OR before <> cls)").select("tok", "cls", "n", "pos")
+    frequent = posted.filter("pos >= cold").select("tok", "cls", "n", "pos").distinct()
+    return materialise(rare.unionByName(frequent), "postings")
+
+
+def open_postings(postings: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``tok, cls, n, pos, comp`` of the buckets that hold more than one component, and those buckets' ``tok, m, big, k``: m
+    classes, k of them in the component ``big``, the largest. Both written as tables."""
+    rows = postings.withColumn("comp", F.col("cls")) if labels is None else postings.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = rows.select("tok", "cls", "n", "pos", "comp")
+    parts = rows.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
+    ends = parts.groupBy("tok").agg(F.sum("k").alias("m"), F.max_by("comp", F.struct("k", "comp")).alias("big"), F.max("k").alias("k"))
+    ends = materialise(ends.filter("m > k"), "buckets")
+    return materialise(rows.join(ends.select("tok"), "tok", "left_semi"), "open"), ends
+
+
+def candidate_texts(docs: DataFrame, signed: DataFrame, postings: DataFrame) -> DataFrame:
+    """``cls, t``: one text of each class with shared postings. Equal texts of a task meet before they are shuffled. Written
+    as a table."""
+    wanted = signed.filter("toks IS NOT NULL").join(postings.select("cls").distinct(), "cls", "left_semi")
+    wanted = materialise(wanted.groupBy("cls").agg(F.min("h").alias("h")), "wanted")
+    keyed = docs.select(F.xxhash64("t").alias("h"), "t")
+    some = pick(keyed, "h", wanted).groupBy("h").agg(F.first("t").alias("t"))
+    return materialise(some.join(wanted, "h").select("cls", "t"), "candidates")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets share, by a product of the incidence matrix of those in two sets or more."""
+    all_ = np.concatenate(sets)
+    _, at, times = np.unique(all_, return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), [*map(len, sets)])
+    several = times[at] > 1
+    if not several.any():
+        return np.zeros((len(sets), len(sets)), np.int64)
+    _, column = np.unique(at[several], return_inverse=True)
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(1, (1 << 22) // len(sets))
+    for lo in range(0, int(column.max()) + 1, width):
+        inside = (column >= lo) & (column < lo + width)
+        part = np.zeros((len(sets), width), np.float32)  # sums of ones are exact up to 2 ** 24
+        part[own[several][inside], column[inside] - lo] = 1
+        total += part @ part.T
+    return np.rint(total).astype(np.int64)
+
+
+def forest(linked: np.ndarray, comps: list[int]) -> list[tuple[int, int]]:
+    """Links that connect what ``linked`` (a symmetric matrix) connects beside what is in one component already."""
+    parent: dict[int, int] = {c: c for c in comps}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
+        x, y = root(comps[a]), root(comps[b])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
 
 
-def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a, b`` of classes that link, by exact intersection. Written as a table.
+def block_links(postings: DataFrame, ends: DataFrame, candidates: DataFrame, n: int, turn: int, ngram: int, percent: int) -> DataFrame:
+    """Links ``a, b`` found in blocks, enough to connect what links in a block. Written as a table.
 
-    A pair's texts meet where ``a``'s text is: it comes first in its group and ``b``'s stream past it, and their sets are
-    computed there, texts being smaller than sets. A class with many partners is copied to several groups."""
-    spark, per_group = docs.sparkSession, 500
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_group).cast("int").alias("g"))
-    seconds = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cls"))
-    firsts = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("cls"))
-    one = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("i").alias("i"))
-    roles = materialise(firsts.unionByName(seconds).join(one, "cls"), "roles")
-    there = pick(docs, "i", roles).join(roles.withColumnRenamed("i", "j"), F.col("i").eqNullSafe(F.col("j")))
-    rows = there.select("a", "salt", "role", "cls", "t").repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "role", "cls")
+    Each class goes, with its text, to one block of its most crowded bucket. Blocks are dealt by a hash that differs from
+    turn to turn and hold about BLOCK shingles and TILE classes at most, so a bucket of any size is compared in time in proportion to it. This
+    only joins large groups early, to leave few components to the tiles, which miss nothing."""
+    crowded = postings.join(ends.select("tok", "m"), "tok").groupBy("cls").agg(
+        F.max_by("tok", F.struct("m", "tok")).alias("home"), F.first("n").alias("n"), F.first("comp").alias("comp")
+    )
+    crowded = materialise(crowded, "homes")
+    dealt_to = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / TILE)).cast("int")
+    blocks = crowded.groupBy("home").agg(dealt_to.alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    dealt = crowded.join(blocks.select("home", "g"), "home").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("g")).cast("int"))
+    rows = dealt.select("home", "block", "cls", "comp").join(candidates, "cls").repartition(n, "home", "block").sortWithinPartitions("home", "block", "cls")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first, mine = WordHashes(), None, None
-        for batch in slices(batches, "t", SLICE):
-            out, sets = set(), shingle_sets(texts(batch.column("t")), words, ngram)
-            for a, role, cls, s in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "cls")), sets, strict=True):
-                if not len(s) or class_of(s) != cls:
-                    continue  # another text under the same id
-                if role == 0:
-                    first, mine = a, s
-                elif a == first:
-                    at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
-                    if links(len(mine), len(s), int((mine[at] == s).sum()), percent):
-                        out.add((a, cls))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, key, held = WordHashes(), None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len({comp for _, comp, _ in held}) < 2:
+                return
+            sets = [s for _, _, s in held]
+            sizes, shared = np.array([*map(len, sets)]), shared_counts(sets)
+            linked = 100 * shared >= percent * (sizes[:, None] + sizes - shared)
+            out = [(held[a][0], held[b][0]) for a, b in forest(linked, [comp for _, comp, _ in held])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+        for batch in slices(batches, "t", SLICE):
+            sets = shingle_sets(texts(batch.column("t")), words, ngram)
+            for home, block, cls, comp, s in zip(*(batch.column(c).to_pylist() for c in ("home", "block", "cls", "comp")), sets, strict=True):
+                if (home, block) != key:
+                    yield from found()
+                    key, held = (home, block), []
+                held.append((cls, comp, s))
+        yield from found()
 
-    return materialise(rows.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    return materialise(rows.mapInArrow(run, "a bigint, b bigint"), "block-links")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -329,137 +402,112 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return materialise(ones.unionByName(now.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct()).groupBy("cls").agg(F.min("comp").alias("comp")), "components")
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``tok, cls, comp, m`` of the buckets that hold more than one component; m classes each."""
-    rows = shared.withColumn("comp", F.col("cls")) if labels is None else shared.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ends = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
-    return rows.join(ends.filter("lo <> hi"), "tok").select("tok", "cls", "comp", "m")
-
-
-def star_pairs(labelled: DataFrame, signed: DataFrame, stars: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``a, b`` of classes and the central ones of other components that they meet in half of their prefix or more.
-
-    The more classes share a class's shingles, the more central it is: what copies were made from has all that they kept.
-    A class tries the ``stars`` it meets most often. This only chooses what to try first; the rest is left to the tiles."""
-    central = labelled.groupBy("cls").agg(F.sum("m").alias("c"))
-    rows = labelled.select("tok", "cls", "comp").join(central, "cls")
-    rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("c"), "cls"))
-    leads = rows.withColumn("r", rank).filter(F.col("r") <= stars).select("tok", F.col("cls").alias("lead"), F.col("comp").alias("lead_comp"))
-    met = rows.join(leads, "tok").filter("comp <> lead_comp").groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("k"))
-    sizes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"))
-    own = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    often = met.join(sizes, "cls").filter(2 * F.col("k") >= own)
-    best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("k"), "lead"))
-    return often.withColumn("r", best).filter(F.col("r") <= stars).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-
-
-def least_shared(n: Column, m: Column, percent: int = PERCENT) -> Column:
-    """How many shingles of both prefixes sets of sizes n and m share at least if they link.
-
-    A set misses at most ``n - overlap`` of its prefix in the other set, and of the set whose prefix ends first in the
-    common order, what both have is in the other's prefix too."""
-    overlap = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
-    own = lambda x: x - F.ceil(x * percent / 100) + 1 - (x - overlap)
-    return F.greatest(F.lit(1), F.least(own(n), own(m)))
-
-
-def tile_pairs(labelled: DataFrame, signed: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """``a < b, x, y, o``: distinct pairs of classes of different components x and y whose prefixes share enough and whose
-    bitmaps allow a link, with what they may overlap by at most. Written as a table."""
-    one = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    ranked = (
-        labelled.select("tok", "cls", "comp")
-        .join(one.select("cls", "n"), "cls")
-        .withColumn("tile", ((F.row_number().over(Window.partitionBy("tok").orderBy("n", "cls")) - 1) / TILE).cast("int"))
-    )
-    ranked = materialise(ranked, "tiles")
-    ends = ranked.groupBy("tok", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = ends.alias("x"), ends.alias("y")
-    compatible = F.expr(f"x.tok = y.tok AND x.tile < y.tile AND 100 * x.hi >= {percent} * y.lo")
-    meeting = x.join(y, compatible).select("x.tok", F.col("x.tile").alias("p"), F.col("y.tile").alias("q"))
-    sides = meeting.select("tok", F.col("p").alias("tile"), "p", "q").unionByName(meeting.select("tok", F.col("q").alias("tile"), "p", "q"))
-    rows = ranked.withColumns({"p": F.col("tile"), "q": F.col("tile")}).unionByName(ranked.join(sides, ["tok", "tile"]))
-    dealt = rows.join(one.select("cls", "sig"), "cls").repartition(n, "tok", "p", "q").sortWithinPartitions("tok", "p", "q", "n", "cls")
+def allowed(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of sizes n and m may link if ``at`` and ``to`` are the places of their first common shingle: what comes
+    before it is in one of them only."""
+    least = -(-percent * (n + m) // (100 + percent))
+    return (n - at >= least) & (m - to >= least)
+
+
+def tile_pairs(postings: DataFrame, ends: DataFrame, signed: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
+    """``a < b``: distinct pairs of classes of different components that may link by the places of a shingle in their
+    prefixes and by their bitmaps. Written as a table.
+
+    The classes of a bucket's largest component make passive tiles, the others active ones; both hold classes of like size,
+    about TILE of them. An active tile meets all tiles of like sizes, passive ones don't meet each other."""
+    one = signed.filter("toks IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"))
+    band = F.floor(F.log("n") / (1e-6 - math.log(percent / 100))).cast("int")  # sets two bands apart can't link
+    rows = postings.join(ends.select("tok", "big"), "tok").withColumns({"active": F.col("comp") != F.col("big"), "band": band})
+    bands = rows.groupBy("tok", "band", "active").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("g"))
+    of = lambda name, where: bands.filter(where).select("tok", F.col("band").alias(f"{name}_band"), F.col("g").alias(f"{name}_g"))
+    # pairs of bands with an active side; the first is active, and if both are, the lower
+    x, y = of("x", "active"), bands.select("tok", F.col("band").alias("y_band"), F.col("g").alias("y_g"), F.col("active").alias("y_active"))
+    near = x.join(y, "tok").filter((F.abs(F.col("x_band") - F.col("y_band")) <= 1) & (~F.col("y_active") | (F.col("x_band") <= F.col("y_band"))))
+    near = materialise(near, "bands")
+    tile = lambda g: F.pmod(F.xxhash64("cls"), F.col(g)).cast("int")
+    key = ["tok", "x_band", "y_band", "y_active"]
+    all_of = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    first = rows.filter("active").join(near.withColumnRenamed("x_band", "band"), ["tok", "band"]).withColumn("x_band", F.col("band"))
+    first = first.select(*key, tile("x_g").alias("p"), all_of("y_g").alias("q"), "cls", "n", "pos", "comp", F.lit(0).alias("side"))
+    second = rows.withColumn("y_active", F.col("active")).join(near.withColumn("band", F.col("y_band")), ["tok", "band", "y_active"])
+    second = second.select(*key, all_of("x_g").alias("p"), tile("y_g").alias("q"), "cls", "n", "pos", "comp", F.lit(1).alias("side"))
+    both = first.unionByName(second).filter("NOT y_active OR x_band < y_band OR p <= q")  # a band with itself: half of its tiles
+    met = both.join(one, "cls").repartition(n, *key, "p", "q").sortWithinPartitions(*key, "p", "q", "side", "cls")
+    names = [*key, "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, [], Counter()
-
-        def compare() -> None:
-            """Meets each class outside the largest component with those of other components, once."""
-            if len(held) < 2:
-                return
-            largest = Counter(x[2] for x in held).most_common(1)[0][0]
-            big, rest = [x for x in held if x[2] == largest], [x for x in held if x[2] != largest]
-            for k, (n, a, comp, tile_a, bits_a) in enumerate(rest):
-                for m, b, other, tile, bits in chain(big, rest[:k]):
-                    if comp == other or a == b or key[1] != key[2] and tile == tile_a or 100 * min(n, m) < percent * max(n, m):
-                        continue
-                    o = overlap_bound(n, bits_a, m, bits)
-                    if links(n, m, o, percent):
-                        found[(a, n, comp, b, m, other, o) if a < b else (b, m, other, a, n, comp, o)] += 1
+        at, held, found = None, ([], []), set()
 
         def batch_of() -> pa.RecordBatch:
-            columns = [*zip(*found, strict=True), [*found.values()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "n", "x", "b", "m", "y", "o", "k"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+            found.clear()
+            return out
 
-        for batch in batches:
-            for tok, p, q, n, cls, comp, tile, sig in zip(*(batch.column(c).to_pylist() for c in ("tok", "p", "q", "n", "cls", "comp", "tile", "sig")), strict=True):
-                if (tok, p, q) != key:
-                    compare()
-                    key, held = (tok, p, q), []
-                held.append((n, cls, comp, tile, (int.from_bytes(sig, "little"), 8 * len(sig))))
-            if len(found) > 50_000:
-                yield batch_of()
-                found.clear()
-        compare()
+        def compare() -> Iterator[pa.RecordBatch]:
+            xs, ys = held
+            if not xs or not ys:
+                return
+            cls, size, pos, comp = (np.array([r[k] for r in ys], np.int64) for k in range(4))
+            for a, n, place, own, bits in xs:
+                ok = allowed(np.int64(n), np.int64(place), size, pos, percent) & (comp != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+                for k in np.flatnonzero(ok).tolist():
+                    _, m, _, _, others = ys[k]
+                    if links(n, m, overlap_bound(n, bits, m, others), percent):
+                        b = ys[k][0]
+                        found.add((a, b) if a < b else (b, a))
+                if len(found) > 50_000:
+                    yield batch_of()
+
+        for batch in slices(batches, "sig", SLICE):
+            for *group, side, cls, n, pos, comp, sig in zip(*(batch.column(c).to_pylist() for c in (*names, "side", "cls", "n", "pos", "comp", "sig")), strict=True):
+                if group != at:
+                    yield from compare()
+                    at, held = group, ([], [])
+                held[side].append((cls, n, pos, comp, (int.from_bytes(sig, "little"), 8 * len(sig))))
+        yield from compare()
         if found:
             yield batch_of()
 
-    met = dealt.select("tok", "p", "q", "n", "cls", "comp", "tile", "sig").mapInArrow(run, "a bigint, n bigint, x bigint, b bigint, m bigint, y bigint, o bigint, k bigint")
-    met = met.groupBy("a", "b", "n", "m", "x", "y", "o").agg(F.sum("k").alias("k"))
-    return materialise(met.filter(F.col("k") >= least_shared(F.col("n"), F.col("m"), percent)).select("a", "b", "x", "y", "o"), "tile-pairs")
+    return materialise(met.select(*names, "side", "cls", "n", "pos", "comp", "sig").mapInArrow(run, "a bigint, b bigint").distinct(), "tile-pairs")
 
 
-def likeliest(pairs: DataFrame) -> DataFrame:
-    """Of each class's pairs with one other component the one that may overlap most."""
-    both = pairs.select("a", "b", "o", F.col("a").alias("own"), F.col("y").alias("other")).unionByName(pairs.select("a", "b", "o", F.col("b").alias("own"), F.col("x").alias("other")))
-    rank = F.row_number().over(Window.partitionBy("own", "other").orderBy(F.desc("o"), "a", "b"))
-    return both.withColumn("r", rank).filter("r = 1").select("a", "b").distinct()
+def verify(candidates: DataFrame, pairs: DataFrame, n: int, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` of classes that link, by intersection of their sorted arrays. Written as a table.
 
+    ``a``'s text comes first in its group and ``b``'s stream past it; sets are computed there, texts being smaller than
+    sets. A class with many partners is copied to several groups."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).cast("int").alias("g"))
+    seconds = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cls"))
+    firsts = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("cls"))
+    rows = firsts.unionByName(seconds).join(candidates, "cls").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role", "cls")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, mine = WordHashes(), None
+        for batch in slices(batches, "t", SLICE):
+            out, sets = [], shingle_sets(texts(batch.column("t")), words, ngram)
+            for a, role, cls, s in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "cls")), sets, strict=True):
+                if role == 0:
+                    mine = s
+                    continue
+                at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
+                if links(len(mine), len(s), int((mine[at] == s).sum()), percent):
+                    out.append((a, cls))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose classes are still in different components."""
-    side = lambda c: labels.select(F.col("cls").alias(c), F.col("comp").alias(f"_{c}"))
-    rows = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return rows.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    return materialise(rows.select("a", "role", "cls", "t").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def class_links(docs: DataFrame, signed: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect all that link."""
     n = partitions(docs.sparkSession)
-    shared = shared_postings(signed.filter("toks IS NOT NULL").select(F.explode("toks").alias("tok"), "cls"), n)
-    found, tried, labels, left = None, None, None, None
-    for step in (*STARS, "likeliest", "rest"):
-        if step == "rest":
-            pairs = apart(left, labels)
-        else:
-            labelled = materialise(_labelled(shared, labels), "labelled")
-            shared = labelled.select("tok", "cls")
-            if step == "likeliest":
-                left = tile_pairs(labelled, signed, n, percent)
-                pairs = likeliest(left)
-            else:
-                pairs = star_pairs(labelled, signed, step, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        more = verify(docs, signed, pairs, ngram, percent)
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both if tried is None else tried.unionByName(both)
+    postings, ends = open_postings(shared_postings(signed, n), None)
+    candidates, found = candidate_texts(docs, signed, postings), None
+    for turn in range(TURNS):
+        more = block_links(postings, ends, candidates, n, turn, ngram, percent)
         found = more if found is None else found.unionByName(more)
-        if step != "rest":
-            labels = components(found)
-    return found
+        postings, ends = open_postings(postings.drop("comp"), components(found))
+    return found.unionByName(verify(candidates, tile_pairs(postings, ends, signed, n, percent), n, ngram, percent))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, hash_col: str | None = None) -> DataFrame:
