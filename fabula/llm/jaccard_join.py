@@ -6,8 +6,8 @@ otherwise) or more, and the components that these links make. No link between di
 2. Signatures. A second scan gives each document the size of its set, a digest of the set (equal sets are one class from
    here on), a hashed bitmap of the set, and its prefix.
 3. Prefixes. All sets are ordered alike, frequent shingles last. Two sets of sizes n and m that link share a shingle
-   among the first ``n - ceil(percent n) + 1`` of either, so only those shingles are posted. The order changes how many
-   meet, never which links are found.
+   among the first ``n - ceil(percent n) + 1`` of either, so only those shingles are posted, and only where the places
+   that it has in both sets allow a link. The order changes how many meet, never which links are found.
 4. Blocks. Each class goes once, with its text, to a block of its most crowded bucket, where sets meet exactly and links
    that connect are kept. Two turns of this, dealt differently, join large groups of near copies without listing pairs.
 5. Tiles. What is left are buckets whose classes are in different components. A bucket is cut by set size into bands and
@@ -39,6 +39,8 @@ from fabula.llm.common import materialise, partitions, pick, slices, texts
 
 NGRAM, PERCENT = 4, 85
 HOT_OVER, HOT_MAX = 32, 1_000_000
+#: In buckets of so many classes each posting is judged by all others.
+FEW = 64
 #: How often blocks of about so many shingles are dealt, and about how many classes a tile has.
 TURNS, BLOCK, TILE = 2, 65_536, 256
 #: How many partners a class meets in one group of the exact check.
@@ -264,16 +266,22 @@ def signatures(docs: DataFrame, hot: np.ndarray, ranges: int, ngram: int = NGRAM
     return materialise(docs.select("i", "t", F.xxhash64("t").alias("h")).mapInArrow(run, schema), "signatures")
 
 
-def shared_postings(signed: DataFrame, n: int) -> DataFrame:
-    """``tok, cls, n, pos``: the distinct postings of frequent shingles, and those of others in buckets of two classes or
-    more. Frequent ones aren't gathered by their shingle; the buckets of others are small. Written as a table."""
+def shared_postings(signed: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
+    """``tok, cls, n, pos``: the distinct postings that may be the first common shingle of two classes that link, by the
+    places it has in both (``allowed``). Frequent shingles aren't gathered and all stay, as do those of buckets of over
+    FEW classes. Written as a table."""
     posted = signed.filter("toks IS NOT NULL").select("cls", F.col("n").cast("int").alias("n"), "cold", F.posexplode("toks").alias("pos", "tok"))
     bucket = Window.partitionBy("tok").orderBy("cls")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rare = posted.filter("pos < cold").repartition(n, "tok").select(
         "tok", "cls", "n", "pos", F.lag("cls").over(bucket).alias("before"), F.first("cls").over(whole).alias("lo"), F.last("cls").over(whole).alias("hi")
     )
-    rare = rare.filter("lo <> hi AND (before IS NULL OR before <> cls)").select("tok", "cls", "n", "pos")
+    rare = rare.filter("lo <> hi AND (before IS NULL OR before <> cls)").select("tok", "cls", "n", "pos", F.row_number().over(bucket).alias("r"))
+    some = F.when(F.col("r") <= FEW, F.struct("cls", "n", "pos"))
+    rare = rare.select("*", F.max("r").over(whole).alias("m"), F.collect_list(some).over(whole).alias("bucket"))
+    least = f"({percent} * (n + x.n) + {99 + percent}) div {100 + percent}"
+    meets = f"x -> x.cls <> cls AND n - pos >= {least} AND x.n - x.pos >= {least} AND 100 * least(n, x.n) >= {percent} * greatest(n, x.n)"
+    rare = rare.filter(f"m > {FEW} OR exists(bucket, {meets})").select("tok", "cls", "n", "pos")
     frequent = posted.filter("pos >= cold").select("tok", "cls", "n", "pos").distinct()
     return materialise(rare.unionByName(frequent), "postings")
 
@@ -308,12 +316,12 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     if not several.any():
         return np.zeros((len(sets), len(sets)), np.int64)
     _, column = np.unique(at[several], return_inverse=True)
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(1, (1 << 22) // len(sets))
-    for lo in range(0, int(column.max()) + 1, width):
+    own, columns, total = own[several], int(column.max()) + 1, np.zeros((len(sets), len(sets)), np.float32)
+    width = max(1, (1 << 20) // len(sets))
+    for lo in range(0, columns, width):
         inside = (column >= lo) & (column < lo + width)
-        part = np.zeros((len(sets), width), np.float32)  # sums of ones are exact up to 2 ** 24
-        part[own[several][inside], column[inside] - lo] = 1
+        part = np.zeros((len(sets), min(width, columns - lo)), np.float32)  # sums of ones are exact up to 2 ** 24
+        part[own[inside], column[inside] - lo] = 1
         total += part @ part.T
     return np.rint(total).astype(np.int64)
 
@@ -348,6 +356,8 @@ def block_links(postings: DataFrame, ends: DataFrame, candidates: DataFrame, n:
     crowded = materialise(crowded, "homes")
     dealt_to = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / TILE)).cast("int")
     blocks = crowded.groupBy("home").agg(dealt_to.alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    if turn:
+        blocks = blocks.filter("g > 1")  # a bucket of one block has been through
     dealt = crowded.join(blocks.select("home", "g"), "home").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("g")).cast("int"))
     rows = dealt.select("home", "block", "cls", "comp").join(candidates, "cls").repartition(n, "home", "block").sortWithinPartitions("home", "block", "cls")
 
@@ -501,7 +511,7 @@ def verify(candidates: DataFrame, pairs: DataFrame, n: int, ngram: int = NGRAM,
 def class_links(docs: DataFrame, signed: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect all that link."""
     n = partitions(docs.sparkSession)
-    postings, ends = open_postings(shared_postings(signed, n), None)
+    postings, ends = open_postings(shared_postings(signed, n, percent), None)
     candidates, found = candidate_texts(docs, signed, postings), None
     for turn in range(TURNS):
         more = block_links(postings, ends, candidates, n, turn, ngram, percent)
