@@ -19,13 +19,16 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 400-byte strings that start elsewhere too, and what was removed."""
     out = long_repeats.remove(table(spark, sf_dir, "documents", "doc_id", "text"), length=400)
-    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["first"])
+    total = lambda runs: F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["first"])
     return out.select(
         F.col("id").alias("doc_id"),
         "n_bytes",
-        removed.alias("n_removed"),
+        total("runs").alias("n_removed"),
         F.size("runs").cast("bigint").alias("n_spans"),
         F.col("sha256").alias("kept_sha256"),
+        total("later").alias("n_later"),
+        "n_near",
+        "longest",
     )
 
 

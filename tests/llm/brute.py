@@ -45,6 +45,27 @@ def repeats(docs, length):
     return rows
 
 
+def later_and_near(docs, length, short):
+    """Rows of id, runs of bytes whose string of ``length`` has an earlier start, bytes in strings of ``short`` that start
+    elsewhere too, the longest run of these; ids must ascend."""
+    raws = [(t or "").encode() for _, t in docs]
+    seen, near = set(), Counter()
+    for r in raws:
+        near.update(r[k : k + short] for k in range(len(r) - short + 1))
+    rows = []
+    for (i, _), r in zip(docs, raws, strict=True):
+        later, again = bytearray(len(r)), bytearray(len(r))
+        for k in range(len(r) - length + 1):
+            if r[k : k + length] in seen:
+                later[k : k + length] = b"1" * length
+            seen.add(r[k : k + length])
+        for k in range(len(r) - short + 1):
+            if near[r[k : k + short]] > 1:
+                again[k : k + short] = b"1" * short
+        rows.append((i, [m.span() for m in re.finditer(b"1+", later)], again.count(b"1"), max(map(len, re.findall(b"1+", again)), default=0)))
+    return rows
+
+
 def shingles(text, n=4):
     w = WORD.findall(lower(text or ""))
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -80,12 +81,18 @@ def test_class_probabilities_add_up():
 
 
 # ---- 2
-@pytest.mark.parametrize("length", [40, 100])
-def test_long_repeats(docs, length):
-    out = long_repeats.remove(docs, length=length)
+@pytest.mark.parametrize("length, short, group", [(40, 24, 400), (100, 64, 2), (400, 256, 400)])
+def test_long_repeats(spark, docs, length, short, group):
+    rng = random.Random(5)
+    big = "".join(rng.choices("abcdefgh \n", k=1_060_000))  # over the edge of a block
+    more = [(1000, big[1_040_000:1_050_000] + "x"), (1001, "y" + big[1_047_000:1_049_000]), (1002, big)] if length == 400 else []
+    out = long_repeats.remove(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string")) if more else docs, length=length, short=short, group=group)
     removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["first"])
-    got = rows(out, "id", "n_bytes", removed, F.size("runs"), "sha256")
-    assert got == sorted(brute.repeats(corpus(), length), key=repr)
+    out = out.withColumn("n_removed", removed).collect()
+    assert sorted(((r["id"], r["n_bytes"], r["n_removed"], len(r["runs"]), r["sha256"]) for r in out), key=repr) == sorted(brute.repeats(corpus() + more, length), key=repr)
+    # equal texts come in order of their least id
+    rows_ = {r["id"]: ([tuple(x) for x in r["later"]], r["n_near"], r["longest"]) for r in out}
+    assert rows_ == {r[0]: r[1:] for r in brute.later_and_near(corpus() + more, length, short)}
 
 
 def test_long_repeats_of_odd_rows(odd, empty):
