@@ -1,11 +1,11 @@
 """N-gram Jaccard join: which documents' shingle sets overlap by a Jaccard similarity of ``percent`` (85 % unless said
 otherwise) or more, and the components that these links make. No link between different sets is lost.
 
-1. Frequent shingles. Tasks send sorted hashes, packed, to ranges of the hash space, which count in how many documents
-   each occurs. At most ``HOT_MAX`` of the most frequent ones, if in over ``HOT_OVER`` documents, are broadcast.
+1. Ranks. Tasks send sorted hashes, packed, to ranges of the hash space, which count in how many documents each shingle
+   occurs. Two bitmaps of fixed size, broadcast, tell those in few documents from those in more and in many.
 2. Signatures. A second scan gives each document the size of its set, a digest of the set (equal sets are one class from
    here on), a hashed bitmap of the set, and its prefix.
-3. Prefixes. All sets are ordered alike, frequent shingles last. Two sets of sizes n and m that link share a shingle
+3. Prefixes. All sets are ordered alike, by rank, so that frequent shingles come last. Two sets of sizes n and m that link share a shingle
    among the first ``n - ceil(percent n) + 1`` of either, so only those shingles are posted, and only where the places
    that it has in both sets allow a link. The order changes how many meet, never which links are found.
 4. Blocks. Each class goes once, with its text, to a block of its most crowded bucket, where sets meet exactly and links
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from fabula.llm.common import materialise, partitions, pick, slices, texts
 
 NGRAM, PERCENT = 4, 85
-HOT_OVER, HOT_MAX = 32, 1_000_000
+#: Bits of the bitmaps that rank shingles by frequency.
+SLOTS = 1 << 27
 #: In buckets of so many classes each posting is judged by all others.
 FEW = 64
 #: How often blocks of about so many shingles are dealt, and about how many classes a tile has.
@@ -153,9 +154,37 @@ def class_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _slots(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of the hash space and the low half of each hash, in one number."""
-    return ((((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+def _place(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of the hash space and the low half of each hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
+
+
+class Ranks:
+    """How frequent shingles are, in bitmaps of SLOTS bits, whatever the corpus: 0, 1 and 2 for those in few, more and many
+    documents. Two shingles of one slot rank alike, which is no harm: sets need only agree on the order."""
+
+    def __init__(self, ranges: int):
+        self.ranges, self.width = ranges, max(8, SLOTS // ranges // 8 * 8)
+        self.bitmaps: list[np.ndarray] = []
+
+    def slots(self, low: np.ndarray) -> np.ndarray:
+        """Places in a range's part of the bitmap."""
+        return (low.astype(np.uint64) * np.uint64(self.width)) >> np.uint64(32)
+
+    def add(self, parts: list[tuple[int, bytes]]) -> None:
+        bits = np.zeros(self.ranges * self.width // 8, np.uint8)
+        for r, data in parts:
+            bits[r * self.width // 8 : (r + 1) * self.width // 8] = np.frombuffer(data, np.uint8)
+        self.bitmaps.append(bits)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        r, low = _place(hashes, self.ranges)
+        slot = r * np.uint64(self.width) + self.slots(low)
+        byte, bit = (slot >> np.uint64(3)).astype(np.int64), (slot & np.uint64(7)).astype(np.uint8)
+        out = np.zeros(len(hashes), np.uint8)
+        for bits in self.bitmaps:
+            out += (bits[byte] >> bit) & 1
+        return out
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -169,14 +198,16 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def frequent_shingles(docs: DataFrame, ranges: int, ngram: int = NGRAM, percent: int = PERCENT) -> np.ndarray:
-    """Sorted slots of the most frequent shingles: HOT_MAX at most, each in over HOT_OVER documents."""
+def learn_ranks(docs: DataFrame, ranges: int, ngram: int = NGRAM, percent: int = PERCENT) -> Ranks:
+    """Counts in how many documents each shingle occurs and ranks them: 1 from the least power of two on that leaves an eighth
+    of the slots taken at most, 2 from sixteen times as many on."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = WordHashes(), [], 0
 
         def packed() -> pa.RecordBatch:
-            slots = np.sort(_slots(np.concatenate(held), ranges))
+            r, low = _place(np.concatenate(held), ranges)
+            slots = np.sort((r << np.uint64(32)) | low)
             cuts = np.searchsorted(slots, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
             rows = [(r, int(b - a), _pack((slots[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["r", "n", "data"])
@@ -193,48 +224,45 @@ def frequent_shingles(docs: DataFrame, ranges: int, ngram: int = NGRAM, percent:
             yield packed()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, ranks = None, [], Ranks(ranges)
 
-        def counted() -> pa.RecordBatch:
+        def counted() -> Iterator[pa.RecordBatch]:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            hot = n > HOT_OVER
-            slots = (np.uint64(at) << np.uint64(32)) | values[hot].astype(np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(slots.view(np.int64)), pa.array(n[hot])], ["slot", "n"])
+            slots = ranks.slots(values).astype(np.int64)
+            for level in range(1, int(n.max()).bit_length()):
+                bits = np.zeros(ranks.width, bool)
+                bits[slots[n >= 1 << level]] = True
+                row = [at], [level], [int(bits.sum())], [np.packbits(bits, bitorder="little").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["r", "level", "taken", "bits"])
 
         for batch in batches:
             for r, n, data in zip(*(batch.column(c).to_pylist() for c in ("r", "n", "data")), strict=True):
                 if r != at and held:
-                    yield counted()
+                    yield from counted()
                     held = []
                 at = r
                 held.append(_unpack(data, n))
         if held:
-            yield counted()
+            yield from counted()
 
     sent = _scan(docs, send, "r int, n int, data binary").repartition(ranges, "r").sortWithinPartitions("r")
-    hot = materialise(sent.mapInArrow(count, "slot bigint, n bigint"), "frequent")
-    least, so_far = None, 0
-    steps = hot.groupBy(F.floor(F.log2("n") * 32).alias("s")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).collect()
-    for r in sorted(steps, key=lambda r: -r["n"]):
-        so_far += r["k"]
-        if so_far > HOT_MAX:
-            break
-        least = r["n"]
-    if least is None:
-        return np.zeros(0, np.uint64)
-    return np.sort(hot.filter(F.col("n") >= least).select("slot").toPandas()["slot"].to_numpy(np.int64).view(np.uint64))
+    levels = materialise(sent.mapInArrow(count, "r int, level int, taken bigint, bits binary"), "frequent")
+    taken = {x["level"]: x["taken"] for x in levels.groupBy("level").agg(F.sum("taken").alias("taken")).collect()}
+    ranks = Ranks(ranges)
+    first = min((k for k, n in taken.items() if n <= SLOTS / 8), default=None)
+    for level in (first, first + 4) if first is not None else ():
+        ranks.add([(x["r"], bytes(x["bits"])) for x in levels.filter(F.col("level") == level).select("r", "bits").collect()])
+    return ranks
 
 
-def signatures(docs: DataFrame, hot: np.ndarray, ranges: int, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def signatures(docs: DataFrame, ranks: Ranks, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """``i, h, n, cls, sig, toks, cold`` of each document: hash of its text, set size, class (null for an empty set), bitmap,
     and the shingles of its prefix, of which the first ``cold`` aren't frequent. A task gives a class's bitmap and prefix
     once as long as it remembers the class. Written as a table."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hot, seen = WordHashes(), shared.value, set()
-        maybe = np.zeros(1 << 22, bool)
-        maybe[hot & np.uint64((1 << 22) - 1)] = True
+        words, ranks, seen = WordHashes(), shared.value, set()
 
         def prefix(s: np.ndarray, c: int | None) -> tuple[bytes | None, np.ndarray | None, int]:
             n = len(s)
@@ -243,14 +271,10 @@ def signatures(docs: DataFrame, hot: np.ndarray, ranges: int, ngram: int = NGRAM
             if len(seen) > 100_000:
                 seen.clear()
             seen.add(c)
-            common, cold, sig = maybe[s & np.uint64((1 << 22) - 1)], n, signature(s)
-            if len(hot) and common.any():
-                at = np.flatnonzero(common)
-                slots = _slots(s[at], ranges)
-                common[at] = hot[np.minimum(np.searchsorted(hot, slots), len(hot) - 1)] == slots
-                s, cold = np.concatenate([s[~common], s[common]]), n - int(common.sum())
+            rank = ranks.of(s)
             taken = n - least_overlap(n, percent) + 1
-            return sig, s[:taken].view(np.int64), min(cold, taken)
+            order = np.argsort(rank, kind="stable")[:taken]
+            return signature(s), s[order].view(np.int64), int((rank[order] < 2).sum())
 
         for batch in slices(batches, "t", SLICE):
             sets = shingle_sets(texts(batch.column("t")), words, ngram)
@@ -524,8 +548,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: i
     """A row for each row of ``df``: ``doc_id, n_shingles, component_id`` and, if ``hash_col`` names it, the xxhash64 of its
     text, which tells rows of one id apart."""
     docs = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    ranges = partitions(df.sparkSession)
-    signed = signatures(docs, frequent_shingles(docs, ranges, ngram, percent), ranges, ngram, percent)
+    signed = signatures(docs, learn_ranks(docs, partitions(df.sparkSession), ngram, percent), ngram, percent)
     labels = components(class_links(docs, signed, ngram, percent))
     classes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("i").alias("least"), F.count(F.lit(1)).alias("k"))
     tied = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
