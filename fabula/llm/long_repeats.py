@@ -44,7 +44,9 @@ LENGTH, SHORT = 400, 256
 #: Bytes of an anchor, a quarter of ``short`` at most.
 GRAM = 64
 #: Kinds of spans that meet in one suffix order.
-GROUP = 400
+GROUP = 4096
+#: Positions that are compared at once.
+CHUNK = 50_000
 SALTS = 16
 #: What a code says of windows: a window of ``short`` bytes that occurs again, one of ``length``, one with an earlier match.
 NEAR, AGAIN, LATER = 0, 1, 2
@@ -167,40 +169,64 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
 
 def group_codes(raws: list[bytes], windows: list[int], short: int, length: int) -> list[list[int]]:
     """For each string of a group, in the order of their texts, the codes of its windows: those that occur again in the
-    group, and those that start earlier in it. ``windows``: how many windows of ``short`` bytes each has."""
+    group, and those that start earlier in it. ``windows``: how many windows of ``short`` bytes each has.
+
+    What begins with the same ``short`` bytes is together in suffix order, and only that is compared, CHUNK positions or
+    so at a time."""
     data = np.frombuffer(b"".join(raws), np.uint8)
-    ends = np.cumsum([*map(len, raws)])
+    sizes = np.array([*map(len, raws)])
+    ends = np.cumsum(sizes)
     own = np.repeat(np.arange(len(raws)), windows)
-    offset = np.concatenate([np.arange(n) for n in windows])
-    place = (ends - [*map(len, raws)])[own] + offset
+    offset = np.arange(len(own)) - np.repeat(np.cumsum([0, *windows[:-1]]), windows)
+    place = (ends - sizes)[own] + offset
     _, group, times = np.unique(gram_hashes(data, short)[place], return_inverse=True, return_counts=True)
     live = np.flatnonzero(times[group] > 1)
-    if not len(live):
-        return [[] for _ in raws]
-    rest, own, offset, group = np.minimum(ends[own[live]] - place[live] - short, length - short), own[live], offset[live], group[live]
-    width = length - short
-    tail = np.concatenate([data, np.zeros(length, np.uint8)])[(place[live] + short)[:, None] + np.arange(width)]
-    tail[np.arange(width) >= rest[:, None]] = 0
-    order = np.lexsort((np.arange(len(live)), rest, tail.view(f"S{width}").ravel(), group))
-    a, b = order[:-1], order[1:]
-    differ = tail[a] != tail[b]
-    same = np.where(differ.any(1), differ.argmax(1), width)
-    common = np.where(group[a] == group[b], short + np.minimum(same, np.minimum(rest[a], rest[b])), 0)
-    before, left, after, right = previous_factors(order, np.concatenate([[0], common]))
-    later, again = np.maximum(left, right) >= length, np.zeros(len(live), bool)
-    again[later] = True
-    for source, shared in ((before, left), (after, right)):
-        again[source[shared >= length]] = True
+    live = live[np.argsort(group[live], kind="stable")]
+    kind_of, group, later, again = group, group[live], np.zeros(len(own), bool), np.zeros(len(own), bool)
+    padded, lo = np.concatenate([data, np.zeros(length, np.uint8)]), 0
+    while lo < len(live):
+        hi = int(np.searchsorted(group, group[min(lo + CHUNK, len(live)) - 1], side="right"))
+        at = np.sort(live[lo:hi])  # in the order of the texts
+        later[at], again[at] = _factors(padded, place[at], ends[own[at]], kind_of[at], short, length)
+        lo = hi
+    near = np.zeros(len(own), bool)
+    near[live] = True
     out: list[list[int]] = [[] for _ in raws]
-    for kind, which in ((NEAR, np.ones(len(live), bool)), (AGAIN, again), (LATER, later)):
-        w, j = own[which], offset[which]
-        if len(w):
+    for kind, which in ((NEAR, near), (AGAIN, again), (LATER, later)):
+        k = np.flatnonzero(which)
+        if len(k):
+            w, j = own[k], offset[k]
             cuts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (j[1:] != j[:-1] + 1)]))
             for x, first, n in zip(w[cuts].tolist(), j[cuts].tolist(), np.diff(cuts, append=len(w)).tolist(), strict=True):
                 out[x].append(code(first, n, kind))
     return out
 
 
+def _factors(data: np.ndarray, place: np.ndarray, end: np.ndarray, group: np.ndarray, short: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the positions ``place`` have a previous factor of ``length`` bytes, and which have one or are one. Strings end
+    at ``end``; what is in one ``group`` begins with the same ``short`` bytes."""
+    width = length - short
+    rest = np.minimum(end - place - short, width)
+    again = np.zeros(len(place), bool)
+    if not width:
+        order = np.lexsort((np.arange(len(place)), group))
+        common = np.where(group[order[:-1]] == group[order[1:]], short, 0)
+    else:
+        tail = data[(place + short)[:, None] + np.arange(width)]
+        tail[np.arange(width) >= rest[:, None]] = 0
+        order = np.lexsort((np.arange(len(place)), rest, tail.view(f"S{width}").ravel(), group))
+        a, b = order[:-1], order[1:]
+        differ = tail[a] != tail[b]
+        same = np.where(differ.any(1), differ.argmax(1), width)
+        common = np.where(group[a] == group[b], short + np.minimum(same, np.minimum(rest[a], rest[b])), 0)
+    before, left, after, right = previous_factors(order, np.concatenate([[0], common]))
+    later = np.maximum(left, right) >= length
+    again[later] = True
+    for source, shared in ((before, left), (after, right)):
+        again[source[shared >= length]] = True
+    return later, again
+
+
 def code(first: int, n: int, kind: int) -> int:
     """``n`` windows of a kind, from the window ``first`` on, in one number."""
     return first << 20 | n << 2 | kind

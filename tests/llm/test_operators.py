@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -210,13 +211,28 @@ def test_jaccard_of_odd_rows(odd, empty):
 def test_many_tiles(spark, monkeypatch):
     """Chains of sets, in which no star reaches everything."""
     monkeypatch.setattr(jaccard_join, "TILE", 4)
-    monkeypatch.setattr(jaccard_join, "HOT_OVER", 3)
     w = [f"t{k}" for k in range(300)]
     data = [(k, " ".join(w[3 * k : 3 * k + 60])) for k in range(60)] + [(100 + k, " ".join(w[3 * k : 3 * k + 70])) for k in range(40)]
     got = jaccard_join.join(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4))
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(data), key=repr)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=5, max_size=30).map(lambda b: bytes(x % 2 + 97 for x in b)), min_size=2, max_size=8), st.integers(3, 5), st.integers(0, 4), st.sampled_from([3, 50_000]))
+def test_previous_factors_in_a_group(raws, short, more, chunk):
+    length, long_repeats.CHUNK = short + more, chunk
+    got = long_repeats.group_codes(raws, [len(r) - short + 1 for r in raws], short, length)
+    places = {n: defaultdict(list) for n in (short, length)}
+    for n, found in places.items():
+        for x, r in enumerate(raws):
+            for j in range(len(r) - n + 1):
+                found[r[j : j + n]].append((x, j))
+    several = lambda n: [p for p in places[n].values() if len(p) > 1]
+    want = {long_repeats.NEAR: {p for ps in several(short) for p in ps}, long_repeats.AGAIN: {p for ps in several(length) for p in ps}, long_repeats.LATER: {p for ps in several(length) for p in ps[1:]}}
+    for kind, places_ in want.items():
+        assert {(x, j) for x, codes in enumerate(got) for c in codes if c & 3 == kind for j in range(c >> 20, (c >> 20) + (c >> 2 & 0x3FFFF))} == places_
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.sets(st.integers(0, 2**64 - 1), max_size=80), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80))
 def test_bitmaps_bound_from_above(shared, a, b):
