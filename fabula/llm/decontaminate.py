@@ -12,8 +12,10 @@ the benchmark; those few go into the exact join, which is salted, since one item
 documents. The rest is grouping by document and item.
 
 Edge cases: null or empty texts and items have no windows; an item of fewer than WINDOW tokens is one window of all its
-tokens; rows that share an id are taken as parts of one document; a null id is an id; empty tables give an empty result;
-other columns of the inputs are ignored.
+tokens; an item of fewer than LEAST tokens says too little to be found anywhere and is never reported; rows that share an
+id, a null one too, are different documents, each with rows of its own, but equal rows are reported once; rows of items
+that share an id are one item in parts; a text of any length is one row of windows, of which only those that may be in
+the benchmark are kept; empty tables give an empty result; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WINDOW = 8
 LITERALS = 4
 #: An item is leaked into a document if so large a part of its tokens is covered by plain windows and those with consistent slots.
 COVERAGE = 0.5
+#: Items of fewer tokens are in too many texts by chance.
+LEAST = 3
 BITS = 23
 SALTS = 8
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years k c f hz khz mhz ghz w kw j kj v a pa usd eur gbp dollar dollars euro euros cent cents percent % mile miles meter meters metre metres gram grams pound pounds inch inches foot feet".split())
@@ -40,6 +44,7 @@ NUMBER, UNIT, NAME = "\x01number", "\x01unit", "\x01name"
 _EDGES = " \t.,;:!?\"'()[]{}<>|*#&…«»„“”‘’¿¡-–—_/\\~^=+`"
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WINDOWS = "id bigint, h bigint, pos int, slots array<string>"
+DOCUMENT_WINDOWS = f"{WINDOWS}, k bigint"
 
 
 class Tokens(dict):
@@ -124,7 +129,7 @@ class Templates:
 
 
 def _arrow(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"id": pa.int64(), "h": pa.int64(), "pos": pa.int32(), "slots": pa.list_(pa.string()), "width": pa.int32(), "tokens": pa.int32()}
+    kinds = {"id": pa.int64(), "h": pa.int64(), "pos": pa.int32(), "slots": pa.list_(pa.string()), "width": pa.int32(), "tokens": pa.int32(), "k": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names)
 
 
@@ -136,7 +141,8 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in slices(batches, "t"):
             rows = []
             for i, (n, found) in zip(batch.column("i").to_pylist(), made.of(texts(batch.column("t"))), strict=True):
-                rows += [(i, h, at, slots, width, n) for width, h, at, slots in found]
+                if n >= LEAST:
+                    rows += [(i, h, at, slots, width, n) for width, h, at, slots in found]
             if rows:
                 yield _arrow(rows, names)
 
@@ -145,24 +151,26 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[int], passing: np.ndarray) -> DataFrame:
-    """The documents' windows that the bitmap passes: WINDOWS."""
+    """The documents' windows that the bitmap passes: DOCUMENT_WINDOWS, ``k`` being the hash of the text, which tells rows of
+    one id apart."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.packbits(passing))  # 2 ** BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, names = Templates(widths, np.unpackbits(shared.value).astype(bool)), ["id", "h", "pos", "slots"]
+        made, names = Templates(widths, np.unpackbits(shared.value).astype(bool)), ["id", "h", "pos", "slots", "k"]
         for batch in slices(batches, "t"):
             rows = []
-            for i, (_, found) in zip(batch.column("i").to_pylist(), made.of(texts(batch.column("t"))), strict=True):
-                rows += [(i, h, at, slots) for _, h, at, slots in found]
+            for i, k, (_, found) in zip(batch.column("i").to_pylist(), batch.column("k").to_pylist(), made.of(texts(batch.column("t"))), strict=True):
+                rows += [(i, h, at, slots, k) for _, h, at, slots in found]
                 if len(rows) > 10_000:
                     yield _arrow(rows, names)
                     rows = []
             if rows:
                 yield _arrow(rows, names)
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return source.mapInArrow(run, WINDOWS)
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text).alias("k"), text.alias("t"))
+    return source.mapInArrow(run, DOCUMENT_WINDOWS)
 
 
 def _pairs(windows: str) -> Column:
@@ -178,6 +186,11 @@ def _unclear(pairs: Column) -> Column:
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item that it contains: ``doc_id, item_id, n_windows, covered_tokens, item_tokens,
     coverage, n_slots, reparameterised``."""
+    return leaks(docs, items, id_col, text_col, item_col, item_text_col, coverage).drop("k")
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, coverage: float) -> DataFrame:
+    """The rows of ``find_leaks`` with ``k``, the xxhash64 of the document's text."""
     wanted = item_windows(items, item_col, item_text_col)
     widths = sorted(r[0] for r in wanted.select("width").distinct().collect())  # WINDOW values at most
     passing = np.zeros(1 << BITS, bool)
@@ -191,20 +204,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         .alias("d")
         .join(wanted.withColumn("salt", copies).alias("i"), ["h", "salt"])
         .select(
-            F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), F.col("d.pos").alias("at"), F.col("i.pos").alias("pos"),
+            F.col("d.id").alias("doc_id"), F.col("d.k").alias("k"), F.col("i.id").alias("item_id"), F.col("d.pos").alias("at"), F.col("i.pos").alias("pos"),
             "width", "tokens", F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
         )
     )
     # The placement of an item in a document is told by the difference of positions; slots are judged in each placement.
-    place = ["doc_id", "item_id", "tokens", F.col("at") - F.col("pos")]
-    placed = met.groupBy(*place[:3], place[3].alias("shift")).agg(F.collect_set(F.struct("pos", "width", "slots")).alias("windows"))
+    place = ["doc_id", "k", "item_id", "tokens"]
+    placed = met.groupBy(*place, (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set(F.struct("pos", "width", "slots")).alias("windows"))
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda s: s["a"]))) == F.size("pairs")
     clear = F.filter("windows", lambda w: ~F.coalesce(F.arrays_overlap(w["slots"]["a"], _unclear(F.array_sort("pairs"))), F.lit(False)))
-    sound = placed.withColumn("pairs", _pairs("windows")).select(*place[:3], F.when(one_to_one, F.col("windows")).otherwise(clear).alias("windows"))
+    sound = placed.withColumn("pairs", _pairs("windows")).select(*place, F.when(one_to_one, F.col("windows")).otherwise(clear).alias("windows"))
     sound = sound.filter(F.size("windows") > 0).select(
-        *place[:3], F.transform("windows", lambda w: F.struct(w["pos"].alias("pos"), w["width"].alias("width"))).alias("at"), _pairs("windows").alias("pairs")
+        *place, F.transform("windows", lambda w: F.struct(w["pos"].alias("pos"), w["width"].alias("width"))).alias("at"), _pairs("windows").alias("pairs")
     )
-    joined = sound.groupBy("doc_id", "item_id", "tokens").agg(
+    joined = sound.groupBy(*place).agg(
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
     )
@@ -220,6 +233,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     )
     out = joined.select(
         "doc_id",
+        "k",
         "item_id",
         F.size("at").alias("n_windows"),
         covered.alias("covered_tokens"),
@@ -230,7 +244,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out.withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens")).filter(F.col("coverage") >= coverage)
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    leaked = find_leaks(docs, items, id_col, **more).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(id_col).cast("bigint").eqNullSafe(F.col("_leaked")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """``docs`` without the rows that contain an item; others of the same id, or without one, stay."""
+    found = leaks(docs, items, id_col, text_col, item_col, item_text_col, coverage).select(F.col("doc_id").alias("_leaked_id"), F.col("k").alias("_leaked_text")).distinct()
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_leaked_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_leaked_text"))
+    return docs.join(found, same, "left_anti")

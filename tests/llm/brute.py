@@ -117,3 +117,53 @@ def revisits(rows):
         i: (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), *(("response", None) if i == max(groups[p]) else ("revisit", max(groups[p]))))
         for i, p in rows
     }
+
+
+def leaks(docs, items, coverage=0.5, width=8, literals=4, least=3):
+    """Rows of id, item, windows, covered tokens, slots, whether re-parameterised; ids must differ."""
+    from fabula.llm.decontaminate import _EDGES, UNITS
+
+    def read(text):
+        out = []
+        for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+            t = word.strip(_EDGES)
+            if t:
+                digits = sum(c.isdigit() for c in t)
+                kind = "number" if digits and 2 * digits >= len(t) else "name" if t[0].isupper() else "unit" if t.lower() in UNITS else ""
+                out.append((t.lower(), "" if kind == "unit" and (not out or out[-1][1] != "number") else kind))
+        return out
+
+    def windows(tokens, n):
+        found = []
+        for k in range(len(tokens) - n + 1):
+            part = tokens[k : k + n]
+            found.append((k, ("plain", *(t for t, _ in part)), None))
+            slots = [t if kind else None for t, kind in part]
+            if any(slots) and sum(s is None for s in slots) >= min(literals, n):
+                found.append((k, ("template", *(kind and "<" + kind + ">" or t for t, kind in part)), slots))
+        return found
+
+    rows = []
+    texts = {i: read(t) for i, t in docs}
+    for item, text in items:
+        tokens = read(text)
+        if len(tokens) < least:
+            continue
+        n = min(width, len(tokens))
+        for i, own in texts.items():
+            placed = defaultdict(list)
+            for at, key, slots in windows(own, n):
+                for pos, other, theirs in windows(tokens, n):
+                    if key == other:
+                        placed[at - pos].append((pos, tuple((a, b) for a, b in zip(theirs, slots, strict=True) if a is not None) if slots else ()))
+            at, pairs = set(), set()
+            for found in placed.values():
+                met = {p for _, ps in found for p in ps}
+                unclear = {a for a, _ in met if len({b for x, b in met if x == a}) > 1}
+                kept = [(pos, ps) for pos, ps in found if not unclear & {a for a, _ in ps}]
+                at |= {pos for pos, _ in kept}
+                pairs |= {p for _, ps in kept for p in ps}
+            covered = len({pos + j for pos in at for j in range(n)})
+            if at and covered / len(tokens) >= coverage:
+                rows.append((i, item, len(at), covered, len(pairs), any(a != b for a, b in pairs)))
+    return sorted(rows)

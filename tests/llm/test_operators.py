@@ -448,3 +448,29 @@ def test_verbatim_windows_count_beside_inconsistent_slots(spark):
 
 def test_shared_dir_is_the_session_s(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_leaks_by_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)] + ["Anna", "Bert", "Cleo", "km", "kg", "hours"]
+    word = lambda: str(rng.randrange(1, 9)) if rng.random() < 0.15 else rng.choice(vocabulary)
+    items = [(k, " ".join(word() for _ in range(rng.choice([2, 5, 8, 14, 30])))) for k in range(12)] + [(50, None), (51, "")]
+    docs = []
+    for k in range(60):
+        words = [word() for _ in range(rng.randrange(0, 50))]
+        part = (items[rng.randrange(12)][1] or "").split()
+        changed = [rng.choice(["Dora", "Emil", str(rng.randrange(10, 20))]) if rng.random() < 0.4 and (w[0].isupper() or w.isdigit()) else w for w in part]
+        cut = rng.randrange(len(words) + 1)
+        docs.append((k, " ".join([*words[:cut], *changed, *words[cut:]])))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string"))
+    found = rows(got, "doc_id", "item_id", "n_windows", "covered_tokens", "n_slots", "reparameterised")
+    assert sorted(found) == brute.leaks(docs, items) and found
+
+
+def test_clean_keeps_other_rows_of_an_id(spark):
+    item = "one two three four five six seven eight nine ten"
+    data = [(None, f"begin {item} end", 1), (None, "a clean text", 2), (3, item, 3), (3, "another clean one", 4), (None, None, 5), (4, "a clean", 6)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, k bigint")
+    items = spark.createDataFrame([(1, item), (2, "clean"), (3, None)], "item_id bigint, text string")
+    assert rows(decontaminate.clean(docs, items), "k") == [(2,), (4,), (5,), (6,)]
+    assert decontaminate.clean(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == 6
