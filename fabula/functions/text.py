@@ -14,16 +14,28 @@ SCENE_NUMBER = r"^\s*(\d{1,3})\s*-\s*(\d{1,3})\s*([A-Za-z])?\s*[、,，：:．\.
 MAX_EPISODE, MAX_SCENE, MAX_TAIL, MAX_HEADING = 200, 50, 30, 30
 HEADING = r"(日内|夜内|日外|夜外|晨内|晨外|内景|外景|内\s*/\s*外|外\s*/\s*内|清晨|傍晚|黎明|凌晨|早晨|上午|中午|下午|晚上|深夜|半夜|[，,\s](日|夜|外|内|早|晚|晨|暮)$)"
 ACTION_MARKS = ("▲", "△", "◇", "◆")
+QUOTE_MARKS = (*ACTION_MARKS, "*")
 SCENE_HEADER = r"(?i)^(?:第?\s*\d+\s*场|场\s*\d+|scene\b|int\.|ext\.|内景|外景|日|夜)"
 OFF_SCREEN = r"(?i)(?:\bOS\b|（\s*OS\s*）|旁白\s*[：:]|内心独白\s*[：:])"
 VOICE_OVER = r"(?i)(?:\bVO\b|V\.O\.|（\s*VO\s*）|画外音\s*[：:])"
 DIALOGUE = r"^[\[\(（【]?\s*([一-鿿A-Za-z0-9_·]{1,24})\s*[\]\)）】]?\s*[：:]\s*(.+)$"
 STAGE_WORDS = ("动作", "镜头", "切", "转", "灯光")
-META_LINES = r"^\s*(场景|人物|地点|时间|字幕)\s*[:：]"
+META_WORDS = ("人物", "出场", "角色", "登场", "场景", "时间", "地点", "时空")
 NUMERALS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "两": 2}
 NUMERAL_UNITS = {"十": 10, "百": 100, "千": 1000}
 GENERIC_NAMES = ("出场人物", "电话", "空镜", "电子提示音", "保镖", "保镖若干", "保镖若干。", "宾客", "宾客若干", "工作人员", "小弟", "护士", "服务员", "店员")
 ACTION_NAMES = r"(上前|迎上|走出|看向|转头|回头|冷喝|点头|挥手|指着|皱眉|扫视|目光|翻白眼|站起|伸出|拍了拍|握住|反手|一脚|趴倒|坐下|起身|惊讶|着急|疑惑|不屑|做出|手势|表情|动作|的样子|地说|的人)"
+NUMBERED_NAMES = (r"^场景\d+$", r"^(同学|宾客)\d+$")
+KEYWORD_STOPS = ("what", "which", "kind", "type", "does", "do", "and", "the", "a", "an", "of", "in", "is", "are", "for", "primarily", "primary", "address", "addresses", "problem", "problems", "solution", "solutions", "main", "major", "task", "tasks")
+QUESTION_PHRASES = (
+    (r"(?i)是*(什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个)是*", ""),
+    (r"(?i)(^| )(what|who|how|which|where|why)('re|'s)? ", " "),
+    (r"(?i)(^| )('s|'re|is|are|were|was|do|does|did|don't|doesn't|didn't|has|have|be|there|you|me|your|my|mine|just|please|may|i|should|would|wouldn't|will|won't|done|go|for|with|so|the|a|an|by|i'm|it's|he's|she's|they|they're|you're|as|by|on|in|at|up|out|down|of|to|or|and|if) ", " "),
+)
+PLANNER_PROMPTS = (
+    "你是一名研究规划助手", "输出 json 数组，每项包含 title, question, depth, parent_title", "depth=1 的 parent_title 为空", "你的输出不是有效 json", "请修复并仅输出 json 数组",
+    "you are a research planner", "return a json array; each item has title, question, depth, parent_title", "depth=1 parent_title is null", "your previous output is invalid json", "fix it and output json array only",
+)
 URL = r"https?://[^\s]+"
 
 
@@ -113,7 +125,72 @@ def normal_name(name: Column) -> Column:
 def real_name(name: Column) -> Column:
     """Whether a name looks like a person's: not generic, not an action, not too long."""
     t = F.trim(name)
-    return (t != "") & (F.length(t) <= 8) & ~t.isin(*GENERIC_NAMES) & ~t.rlike(ACTION_NAMES)
+    numbered = reduce(lambda a, b: a | b, [t.rlike(p) for p in NUMBERED_NAMES])
+    return (t != "") & (F.length(t) <= 8) & ~t.isin(*GENERIC_NAMES) & ~numbered & ~t.rlike(ACTION_NAMES)
+
+
+def meta_line(line: Column) -> Column:
+    """Whether a line tells of the script's structure (heads of scenes, casts, places, empty lines) and is no evidence."""
+    t = F.trim(line)
+    head = F.left(t, F.lit(4))
+    listed = reduce(lambda a, b: a | b, [F.startswith(t, F.lit(w)) for w in META_WORDS]) & head.rlike("[:：]")
+    numbered = t.rlike(r"^\d") & (F.left(t, F.lit(6)).contains("场") | head.contains("集") | F.substring(t, 2, 1).isin("-", "－"))
+    return (t == "") | listed | F.startswith(t, F.lit("第")) | numbered
+
+
+def best_quote(text: Column, longest: int = 90) -> Column:
+    """``quote, line`` of a scene: its first action line, else its first line that someone says, else its first line that
+    isn't structure, else its beginning; cut to ``longest`` characters. Lines are numbered from 1."""
+
+    def judged(line: Column, i: Column) -> Column:
+        t = F.trim(line)
+        marked = reduce(lambda a, b: a | b, [F.startswith(t, F.lit(m)) for m in QUOTE_MARKS])
+        wide, narrow = F.position(F.lit("："), t), F.position(F.lit(":"), t)
+        colon = F.when(wide > 0, wide).otherwise(narrow)
+        name = F.trim(F.substr(t, F.lit(1), colon - 1))
+        said = colon.between(2, 13) & F.length(name).between(1, 6) & ~meta_line(name)
+        rank = F.when(meta_line(t), 4).when(marked, 1).when(said, 2).otherwise(3)
+        return F.struct(rank.alias("rank"), (i + 1).alias("line"), t.alias("quote"))
+
+    first = F.array_min(F.transform(F.split(text, "\n"), judged))
+    found = first["rank"] < 4
+    quote = F.when(found, first["quote"]).otherwise(F.trim(text))
+    cut = F.when(F.length(quote) > longest, F.concat(F.left(quote, F.lit(longest - 1)), F.lit("…"))).otherwise(quote)
+    return F.struct(cut.alias("quote"), F.when(found, first["line"]).otherwise(1).alias("line"))
+
+
+def keywords(text: Column, most: int = 6) -> Column:
+    """The first ``most`` Latin words of three letters or more that aren't stop words, each once whatever its case."""
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9\-]+"), F.lit(0))
+    wanted = F.filter(found, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*KEYWORD_STOPS))
+    low = F.transform(wanted, F.lower)
+    return F.slice(F.filter(wanted, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), 1, most)
+
+
+def without_question_phrases(text: Column) -> Column:
+    for pattern, by in QUESTION_PHRASES:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def mostly_other_script(text: Column) -> Column:
+    """Whether a query is taken as Chinese: three words at most, or 70 % of them not Latin letters alone."""
+    words = F.split(text, "[ \\t]+")
+    return (F.size(words) <= 3) | (F.size(F.filter(words, lambda w: ~w.rlike("^[a-zA-Z]+$"))) >= 0.7 * F.size(words))
+
+
+def planner_artifact(question: Column, answer: Column, source: Column, sources: tuple[str, ...]) -> Column:
+    """Whether a message belongs to a planner's inner dialogue: by its source, or a plan as JSON that answers a planner's prompt."""
+    low = F.lower(F.trim(F.regexp_replace(F.coalesce(question, F.lit("")), r"\s+", " ")))
+    plan = F.try_parse_json(answer)
+    item = "array<struct<title:string,question:string,depth:string,parent_title:string,parentTitle:string>>"
+    items = F.coalesce(F.from_json(F.when(F.trim(answer).startswith("["), answer), item), F.from_json(answer, f"items {item}")["items"])
+    whole = lambda x: x["title"].isNotNull() & x["question"].isNotNull() & x["depth"].isNotNull()
+    # that an item says whose child it is can't be told from parsed nulls, but from the text
+    planned = plan.isNotNull() & (F.size(items) > 0) & F.forall(F.slice(items, 1, 8), whole) & answer.rlike('"parent_title"|"parentTitle"')
+    prompt = reduce(lambda a, b: a | b, [low.contains(m) for m in PLANNER_PROMPTS])
+    asks = low.contains("parent_title") | low.contains("json") | low.contains("规划") | low.contains("planner")
+    return F.coalesce(F.lower(source).isin(*sources), F.lit(False)) | F.coalesce(planned & (prompt | asks), F.lit(False))
 
 
 def half_width(text: Column) -> Column:

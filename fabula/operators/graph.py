@@ -69,22 +69,24 @@ def similar_names(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.withColumn("similarity", similar(a, b))
 
 
-def resolve_names(mentions: DataFrame, merge_at: float = 0.85) -> DataFrame:
-    """``script_id, name, entity``: names of a script (``script_id, name, n``) joined greedily, the frequent ones first, each
-    to the most similar entity that there is by then. Order decides, so a script's names are one group; a script has few."""
+def resolve_names(mentions: DataFrame, merge_at: float = 0.85, ask_at: float = 0.65) -> DataFrame:
+    """``script_id, name, entity, ask``: names of a script (``script_id, name, n``) joined greedily, the frequent ones first, each
+    to the most similar entity that there is by then; ``ask`` is an entity that is similar enough to ask about. Order decides,
+    so a script's names are one group; a script has few."""
 
     def resolve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         heads: list[str] = []
         out = []
         for name in rows.sort_values(["n", "name"], ascending=[False, True])["name"]:
             best = max(heads, key=lambda h: (name_similarity(h, name), -heads.index(h)), default=None)
-            if best is None or name_similarity(best, name) < merge_at:
+            like, ask = name_similarity(best, name) if best is not None else 0.0, None
+            if like < merge_at:
                 heads.append(name)
-                best = name
-            out.append((key[0], name, best))
-        return pd.DataFrame(out, columns=["script_id", "name", "entity"])
+                best, ask = name, best if like >= ask_at else None
+            out.append((key[0], name, best, ask))
+        return pd.DataFrame(out, columns=["script_id", "name", "entity", "ask"])
 
-    return mentions.groupBy("script_id").applyInPandas(resolve, "script_id bigint, name string, entity string")
+    return mentions.groupBy("script_id").applyInPandas(resolve, "script_id bigint, name string, entity string, ask string")
 
 
 def roles(entities: DataFrame) -> DataFrame:

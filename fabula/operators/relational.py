@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +83,18 @@ def first_of(parts: Sequence[tuple[DataFrame, str]], key: str, name: str) -> Dat
     """For each key the value of the first frame, in order, that has one: parts are (frame with key and value, value)."""
     found = reduce(lambda a, b: a.join(b, key, "full"), [df.select(key, F.col(v).alias(f"_v{i}")) for i, (df, v) in enumerate(parts)])
     return found.select(key, F.coalesce(*(f"_v{i}" for i in range(len(parts)))).alias(name), F.coalesce(*(F.when(F.col(f"_v{i}").isNotNull(), i) for i in range(len(parts)))).alias("source"))
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as a table and read from there, so that what several readers share is computed once and outlives any
+    executor. The folder is that of ``spark.checkpoint.dir``; where none is set, in local mode only, a temporary one."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/fabula-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -31,51 +31,57 @@ def query_terms(text: Column, least: int = 2, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.concat(F.array(F.trim(text)), words)), 1, most)
 
 
-def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``term, id, tf, positions``: where each term is in each document, in order."""
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
-    return words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).cast("bigint").alias("len"))
+def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The index: ``id, term, tf, len`` of every document, ``len`` being its number of tokens; a document without tokens has
+    one row without a term. What searches share is made once (``relational.stored``)."""
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ws"))
+    rows = words.select("id", F.size("ws").cast("bigint").alias("len"), F.explode_outer("ws").alias("term"))
+    return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, match_all: bool = True) -> DataFrame:
-    """``qid, id, score`` for queries ``qid, term`` (distinct); with ``match_all`` a document has every term of the query.
+def bm25(queries: DataFrame, index: DataFrame, match_all: bool = True) -> DataFrame:
+    """``qid, id, score`` for queries ``qid, term`` (distinct) by the postings of an ``index``; with ``match_all`` a document
+    has every term of the query.
 
-    Counting is restricted to terms that queries have; statistics of the corpus are two numbers."""
-    wanted = queries.select("term").distinct()
-    words = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    tf = words.join(wanted, "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    size = lengths(docs, id_col, text_col)
-    corpus = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    Only postings of terms that queries have go on; a frequent term's are split over tasks, as Spark splits a skewed join.
+    Statistics of the corpus are two numbers."""
+    tf = index.join(queries.select("term").distinct(), "term", "left_semi")
+    corpus = index.groupBy("id").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(df, "term").join(size, "id").crossJoin(F.broadcast(corpus))
+    asked = queries.join(df, "term").crossJoin(F.broadcast(corpus))
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    hits = queries.join(rows.select("term", "id", weight.alias("w")), "term")
+    hits = asked.join(tf, "term").select("qid", "id", weight.alias("w"))
     out = hits.groupBy("qid", "id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("terms"))
     if match_all:
         need = queries.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
-        out = out.join(F.broadcast(need), "qid").filter("terms = need")
+        out = out.join(need, "qid").filter("terms = need")
     return out.select("qid", "id", "score")
 
 
-def keyword_hits(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``qid, id, hits``: how many of a query's terms a document contains, one at least. The term table is small."""
-    low = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("t"))
-    rows = low.join(F.broadcast(queries), F.contains("t", F.lower("term")))
-    return rows.groupBy("qid", "id").agg(F.count_distinct("term").alias("hits"))
+def keyword_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """``qid, id, hits``: how many of a query's terms (runs of letters and digits) a document contains, one at least.
+
+    A term in a text is inside one of its tokens, so terms meet the distinct tokens, by their first three characters as a
+    gram of the token, and then the postings of the tokens that hold them."""
+    grams = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n))))
+    vocabulary = index.filter("term IS NOT NULL").select(F.col("term").alias("token")).distinct()
+    pieces = vocabulary.select("token", F.explode(F.array_distinct(grams(F.col("token")))).alias("gram"))
+    low = queries.select("qid", F.lower("term").alias("term")).distinct()
+    terms = low.select("term").distinct().withColumn("gram", F.left("term", F.lit(3)))
+    holding = pieces.join(terms, "gram").filter(F.contains("token", "term")).select("token", "term")
+    found = index.join(holding, F.col("token") == index["term"]).select("id", holding["term"].alias("term")).distinct()
+    return found.join(low, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def vector_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours: ``qid, id, score`` by cosine of ``qid, vec`` against all ``id, vec``. The queries are a stated, bounded
-    set and are broadcast; each task keeps its k best of a query before rows are dealt by query."""
-    scored = items.crossJoin(F.broadcast(queries.select("qid", F.col("vec").alias("q")))).select("qid", "id", cosine(F.col("vec"), F.col("q")).alias("score"))
+    """Exact neighbours: ``qid, id, score`` by cosine of ``qid, vec`` against all ``id, vec``. The queries are a stated set;
+    Spark broadcasts them if they are small and else meets them block by block. Each task keeps its k best of a query
+    before rows are dealt by query."""
+    scored = items.crossJoin(queries.select("qid", F.col("vec").alias("q"))).select("qid", "id", cosine(F.col("vec"), F.col("q")).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -117,8 +123,8 @@ def mmr(candidates: DataFrame, k: int, weight: float = MMR_LAMBDA, pool: int = M
 
 
 def boosted(hits: DataFrame, remembered: DataFrame, by: float = 0.3) -> DataFrame:
-    """Scores of documents that the conversation remembers (``id``), raised; the list is short and broadcast."""
-    marked = hits.join(F.broadcast(remembered.select("id", F.lit(True).alias("_m"))), "id", "left")
+    """Scores of documents that the conversation remembers (``id``), raised."""
+    marked = hits.join(remembered.select("id", F.lit(True).alias("_m")), "id", "left")
     return marked.withColumn("score", F.when(F.col("_m"), F.col("score") * (1 + by)).otherwise(F.col("score"))).drop("_m")
 
 
@@ -132,25 +138,66 @@ def token_similarity(weights: DataFrame, doc_terms: DataFrame) -> DataFrame:
     """``qid, id, similarity``: the part of a query's weight (``qid, term, w``) whose terms a document has (``id, term``)."""
     total = weights.groupBy("qid").agg(F.sum("w").alias("total"))
     hit = weights.join(doc_terms.distinct(), "term").groupBy("qid", "id").agg(F.sum("w").alias("hit"))
-    return hit.join(F.broadcast(total), "qid").select("qid", "id", ratio(F.col("hit"), F.col("total")).alias("similarity"))
+    return hit.join(total, "qid").select("qid", "id", ratio(F.col("hit"), F.col("total")).alias("similarity"))
+
+
+def field_tokens(docs: DataFrame, id_col: str, content: Column, title: Column, important: Column, question: Column) -> DataFrame:
+    """``id, term, times``: a document's tokens, those of its title twice, of its important words five times and of its
+    question six times."""
+    fields = F.array(*(F.struct(F.lit(times).alias("times"), tokens(F.coalesce(c, F.lit(""))).alias("ws")) for c, times in ((content, 1), (title, 2), (important, 5), (question, 6))))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(fields).alias("f")).select("id", "f.times", F.explode("f.ws").alias("term"))
+    return rows.groupBy("id", "term").agg(F.sum("times").alias("times"))
+
 
+def hybrid(hits: DataFrame, similarity: DataFrame, query_vectors: DataFrame, vectors: DataFrame, by_terms: float = 0.3, by_vector: float = 0.7) -> DataFrame:
+    """``hits`` (qid, id, …) with ``hybrid``: terms' similarity (qid, id, similarity) and cosine of vectors (qid, q; id, vec),
+    weighted. Without a vector the cosine is 0."""
+    rows = hits.join(similarity, ["qid", "id"], "left").join(query_vectors, "qid", "left").join(vectors, "id", "left")
+    near = F.coalesce(cosine(F.col("vec"), F.col("q")), F.lit(0.0))
+    return rows.withColumn("hybrid", by_terms * F.coalesce("similarity", F.lit(0.0)) + by_vector * near).drop("similarity", "q", "vec")
 
-def term_weights(doc_terms: DataFrame, n_docs: Column | int) -> DataFrame:
-    """``term, df, w``: weights from how many documents have a term, adding up to 1."""
-    df = doc_terms.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
+
+def adaptive_page(ranked: DataFrame, page: Column, size: int, deep: int = 3, pool: int = 128) -> DataFrame:
+    """The rows of each query's ``page`` (from 1). ``ranked``: qid, id, stored (place in the store's order, from 1), score.
+
+    Pages up to ``deep`` are cut from the ``pool`` first rows (more if pages are long) ranked again by score; later pages are
+    those of the store's order."""
+    wide = max(size * deep, pool)
+    again = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    near = ranked.withColumn("page", page).filter((F.col("page") <= deep) & (F.col("stored") <= wide)).withColumn("place", again)
+    far = ranked.withColumn("page", page).filter(F.col("page") > deep).withColumn("place", F.col("stored"))
+    rows = near.unionByName(far)
+    return rows.filter((F.col("place") > (F.col("page") - 1) * size) & (F.col("place") <= F.col("page") * size))
+
+
+def term_weights(doc_terms: DataFrame, size: DataFrame) -> DataFrame:
+    """``term, df, w``: weights from how many documents have a term, adding up to 1. ``size``: one row with ``n``, how many
+    documents there are."""
+    df = doc_terms.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size.select("n")))
+    n = F.col("n")
     raw = F.log10(10 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rows = df.withColumn("raw", raw)
     total = rows.agg(F.sum("raw").alias("t"))
     return rows.crossJoin(F.broadcast(total)).select("term", "df", (F.col("raw") / F.col("t")).alias("w"))
 
 
+def weighted_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """``item_id, kind, term, w`` of queries' words (item_id, pos, term, w): the words, their ``synonyms`` (term, synonym) for
+    a quarter of the weight, and neighbours as phrases for twice the larger weight; the largest weight of each."""
+    by = Window.partitionBy("item_id").orderBy("pos")
+    rows = terms.select("item_id", "pos", "term", "w", *(F.lead(c).over(by).alias(f"next_{c}") for c in ("pos", "term", "w")))
+    words = rows.select("item_id", F.lit("term").alias("kind"), "term", "w")
+    like = rows.join(synonyms, "term").select("item_id", F.lit("synonym").alias("kind"), F.col("synonym").alias("term"), (F.col("w") / 4).alias("w"))
+    phrases = rows.filter("next_pos = pos + 1").select("item_id", F.lit("phrase").alias("kind"), F.concat_ws(" ", "term", "next_term").alias("term"), (2 * F.greatest("w", "next_w")).alias("w"))
+    return words.unionByName(like).unionByName(phrases).groupBy("item_id", "kind", "term").agg(F.max("w").alias("w"))
+
+
 def tag_portion(tags: DataFrame, smoothing: int = 1000, top: int = 3) -> DataFrame:
     """``id, tag, score``: tags of documents (``id, tag, c``) over their share everywhere, as whole numbers, the best ``top``."""
     counts = tags.groupBy("tag").agg(F.sum("c").alias("n"))
     share = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("tag", ((F.col("n") + 1) / (F.col("all") + smoothing)).alias("share"))
     own = tags.groupBy("id").agg(F.sum("c").alias("cnt"))
-    rows = tags.join(F.broadcast(share), "tag").join(own, "id")
+    rows = tags.join(share, "tag").join(own, "id")
     score = F.bround(0.1 * (F.col("c") + 1) / (F.col("cnt") + smoothing) / F.greatest(F.lit(1e-6), F.col("share")), 0).cast("bigint")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "tag")
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", "tag", "score", "rank")
@@ -163,7 +210,7 @@ def cascade(levels: Sequence[DataFrame]) -> DataFrame:
         level = df.select("qid", "id", "score").withColumn("level", F.lit(i))
         rows = level if rows is None else rows.unionByName(level)
     first = rows.groupBy("qid").agg(F.min("level").alias("level"))
-    return rows.join(F.broadcast(first), ["qid", "level"])
+    return rows.join(first, ["qid", "level"])
 
 
 def line_score(query_terms_: Column, line: Column, before: Column, after: Column) -> Column:

@@ -13,16 +13,20 @@ def dimension_scores(signals: DataFrame, rubric: DataFrame, threshold: float = 0
 
     A missing signal takes its weight out of the mean, and a dimension covered to less than ``threshold`` has no score.
     Coverage is the part of the dimension's weight whose signals have a score; the rubric is a small table of fixed size."""
-    scripts = signals.select("script_id").distinct()
-    found = signals.select("script_id", "key", "score", "confidence")
-    rows = scripts.crossJoin(F.broadcast(rubric)).join(found, ["script_id", "key"], "left")
-    has = F.col("score").isNotNull()
+    rows = signals.select("script_id", "key", "score", "confidence").join(F.broadcast(rubric.select("key", "dimension", "weight")), "key", "left")
+    has, w = F.col("score").isNotNull(), F.col("weight")
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("score")))
-    out = rows.groupBy("script_id", "dimension").agg(
-        ratio(F.sum(F.when(has, clamped * F.col("weight"))), F.sum(F.when(has, F.col("weight")))).alias("mean"),
-        F.coalesce(ratio(F.sum(F.when(has, F.col("weight"))), F.sum("weight")), F.lit(0.0)).alias("coverage"),
-        ratio(F.sum(F.when(has, F.col("confidence") * F.col("weight"))), F.sum(F.when(has, F.col("weight")))).alias("sure"),
-    )
+    of = lambda x: F.sum(F.when(has, x))
+    sums = rows.groupBy("script_id", "dimension").agg(F.struct(of(clamped * w).alias("scored"), of(F.col("confidence") * w).alias("sure"), of(w).alias("found")).alias("s"))
+    # a dimension of which a script has no signal is there too, without a score
+    listed = F.filter(F.collect_list(F.struct("dimension", "s")), lambda x: x["dimension"].isNotNull())
+    each = sums.groupBy("script_id").agg(F.map_from_entries(listed).alias("by"))
+    totals = rubric.groupBy("dimension").agg(F.sum("weight").alias("total"))
+    met = each.crossJoin(F.broadcast(totals)).select("script_id", "dimension", "total", F.try_element_at("by", F.col("dimension")).alias("s"))
+    out = met.select(
+        "script_id", "dimension", ratio(F.col("s.scored"), F.col("s.found")).alias("mean"), F.coalesce(ratio(F.col("s.found"), F.col("total")), F.lit(0.0)).alias("coverage"),
+        ratio(F.col("s.sure"), F.col("s.found")).alias("sure"),
+    )
     gated = F.when(F.col("coverage") >= threshold, F.col("mean"))
     return out.select(
         "script_id", "dimension", gated.alias("score"), "coverage", F.when(gated.isNull(), "insufficient").otherwise(confidence_label(F.col("sure"))).alias("confidence")

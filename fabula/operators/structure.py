@@ -23,13 +23,15 @@ def segment_scripts(lines: DataFrame) -> DataFrame:
     """Lines (script_id, pos, line) with ``episode``, ``scene_no``, ``scene``: which scene each belongs to. No line is lost.
 
     Episodes begin at their markers; where a scene's number names another episode than the marker before, or there is
-    none, the number's episode counts. Scenes begin at scene numbers; a script without any begins one at each bare
-    heading. Lines before the first marker are scene 0 of their script."""
+    none, the number's episode counts. Scenes begin at scene numbers; an episode (what lies between two episode markers)
+    without any begins one at each bare heading, and one without these is a scene. Lines before the first marker are
+    scene 0 of their script."""
     in_order = Window.partitionBy("script_id").orderBy("pos")
     rows = lines.select(
         "script_id", "pos", "line", tx.episode_number(F.col("line")).alias("_ep"), tx.scene_marker(F.col("line")).alias("_sc"), tx.bare_heading(F.col("line")).alias("_head")
     )
-    numbered = F.max(F.col("_sc").isNotNull()).over(Window.partitionBy("script_id"))
+    rows = rows.withColumn("_part", F.count("_ep").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = F.max(F.col("_sc").isNotNull()).over(Window.partitionBy("script_id", "_part"))
     rows = rows.withColumn("_starts", F.when(numbered, F.col("_sc").isNotNull()).otherwise(F.col("_head")))
     rows = rows.withColumn("_cut", F.col("_starts") | F.col("_ep").isNotNull())
     last = in_order.rowsBetween(Window.unboundedPreceding, 0)
@@ -183,15 +185,17 @@ def cosine(a: Sequence[float], b: Sequence[float]) -> float:
 def semantic_chunks(sentences: Sequence[str], target: int, most: int, threshold: float, embed: Callable[[str], Sequence[float]] = hash_vector) -> list[str]:
     """Sentences joined; a new chunk begins where the next would pass ``most``, or ``target`` while it differs from the last."""
     out: list[list[str]] = []
-    size = 0
+    size, last = 0, ()
     for s in sentences:
-        new = not out or size + len(s) > most or (size + len(s) >= target and cosine(embed(out[-1][-1]), embed(s)) < threshold)
+        now = embed(s)
+        new = not out or size + len(s) > most or (size + len(s) >= target and cosine(last, now) < threshold)
         if new:
             out.append([s])
             size = len(s)
         else:
             out[-1].append(s)
             size += len(s)
+        last = now
     return [" ".join(x) for x in out]
 
 
@@ -207,9 +211,15 @@ def chunked(docs: DataFrame, cut: Callable[[str], list[tuple[int, str]]], id_col
 
 
 def chunk_route(kind: Column, text: Column, prose: int = 1200, most: int = 4000) -> Column:
-    """How a block is chunked: kept whole, cut by meaning if it is long prose, by size if it is too long."""
-    n = F.length(text)
-    return F.when(n > most, "sliding").when(kind.isin("table", "figure", "equation", "code"), "whole").when(n > prose, "semantic").otherwise("whole")
+    """How a block is chunked: tables, figures and the like are kept whole, long prose is cut by meaning, and what else is
+    too long by size."""
+    n = F.length(F.trim(text))
+    return (
+        F.when(kind.isin("table", "figure", "image"), "whole")
+        .when(~kind.isin("title", "heading", "code", "equation", "link", "reference", "caption") & (n >= prose), "semantic")
+        .when(n <= most, "whole")
+        .otherwise("sliding")
+    )
 
 
 def budget_prefix(costs: Column, budget: int) -> Column:
@@ -252,24 +262,117 @@ def diff_stats(pairs: DataFrame, old: str, new: str) -> DataFrame:
 
 #: Families of bullets, each from the outer to the inner level (fixed values).
 BULLETS = (
-    (r"^第[零一二三四五六七八九十百\d]+(编|部分|章|节|条)", r"^[（(][零一二三四五六七八九十百]+[)）]"),
-    (r"^\d{1,2}[. 、]", r"^\d{1,2}\.\d{1,2}[^a-zA-Z/%~-]", r"^\d{1,2}\.\d{1,2}\.\d{1,2}"),
-    (r"^[零一二三四五六七八九十百]+[ 、]", r"^[（(][零一二三四五六七八九十百]+[)）]", r"^\d{1,2}[. 、]"),
-    (r"^PART (ONE|TWO|THREE|FOUR|FIVE)", r"^Chapter (I+V?|VI*|XI|IX|X)", r"^Section \d+", r"^Article \d+"),
+    (
+        r"第[零一二三四五六七八九十百0-9]+(分?编|部分)",
+        r"第[零一二三四五六七八九十百0-9]+章",
+        r"第[零一二三四五六七八九十百0-9]+节",
+        r"第[零一二三四五六七八九十百0-9]+条",
+        r"[\(（][零一二三四五六七八九十百]+[\)）]",
+    ),
+    (
+        r"第[0-9]+章",
+        r"第[0-9]+节",
+        r"[0-9]{0,2}[\. 、]",
+        r"[0-9]{0,2}\.[0-9]{0,2}[^a-zA-Z/%~-]",
+        r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}",
+        r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}",
+    ),
+    (
+        r"第[零一二三四五六七八九十百0-9]+章",
+        r"第[零一二三四五六七八九十百0-9]+节",
+        r"[零一二三四五六七八九十百]+[ 、]",
+        r"[\(（][零一二三四五六七八九十百]+[\)）]",
+        r"[\(（][0-9]{0,2}[\)）]",
+    ),
+    (
+        r"PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)",
+        r"Chapter (I+V?|VI*|XI|IX|X)",
+        r"Section [0-9]+",
+        r"Article [0-9]+",
+    ),
 )
+#: What begins like a bullet and is none (fixed values).
+NO_BULLETS = (r"0", r"[0-9]+ +[0-9~个只-]", r"[0-9]+\.{2,}")
+
+
+def is_bullet(line: Column, patterns: Sequence[str]) -> Column:
+    """Whether a line begins with one of the patterns and with none of those that only look like a bullet."""
+    begins = lambda ps: line.rlike("^(?:" + "|".join(f"(?:{p})" for p in ps) + ")")
+    return begins(patterns) & ~begins(NO_BULLETS)
 
 
 def bullet_family(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     """For each document the family of bullets that most lines fit, the first of equals, -1 if none: one aggregation."""
-    fits = [F.count_if(F.col("line").rlike("|".join(f"(?:{p})" for p in family))) for family in BULLETS]
+    fits = [F.count_if(is_bullet(F.col("line"), family)) for family in BULLETS]
     counts = lines.groupBy(by).agg(F.array(*fits).alias("n"))
     top = F.array_max("n")
     return counts.select(by, F.when(top > 0, F.array_position("n", top) - 1).otherwise(F.lit(-1)).cast("bigint").alias("family"))
 
 
 def heading_levels(lines: DataFrame, family: int, by: str = "doc_id") -> DataFrame:
-    """Each line's level in a family of bullets (0 outermost, the number of levels if none fits)."""
-    level = F.lit(len(BULLETS[family]))
+    """Each line's level in a family of bullets: 0 outermost, one more than the number of levels if none fits."""
+    level = F.lit(len(BULLETS[family]) + 1)
     for i, p in reversed([*enumerate(BULLETS[family])]):
-        level = F.when(F.col("line").rlike(p), i).otherwise(level)
+        level = F.when(is_bullet(F.col("line"), [p]), i).otherwise(level)
     return lines.withColumn("level", level)
+
+
+# ---- layout
+
+
+def sequence_ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
+def overlap_ratio(a: Column, b: Column) -> Column:
+    """Shared distinct tokens (two or more of a-z, 0-9) of two texts over the tokens of both."""
+    toks = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
+    x, y = toks(a), toks(b)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+
+
+def layout_match(snippets: DataFrame, blocks: DataFrame, least: float = 0.42) -> DataFrame:
+    """``doc_id, pos, score``: the block (doc_id, pos, text) where a document's ``snippet`` begins.
+
+    The first block that holds the snippet's beginning or is held in the snippet, with score 1; else the likeliest, by
+    sequence and tokens of the block or of it and the next, if it reaches ``least``. Only documents without the former
+    meet all their blocks."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    rows = blocks.select("doc_id", "pos", plain("text").alias("b")).withColumn("both", F.trim(F.concat_ws(" ", "b", F.lead("b").over(by_doc)))).filter("b <> ''")
+    asked = snippets.select("doc_id", plain("snippet").alias("s")).filter("s <> ''").withColumn("head", F.left("s", F.lit(160)))
+    met = rows.join(asked, "doc_id").withColumn("held", F.contains("b", "head") | F.contains("s", "b"))
+    found = met.groupBy("doc_id").agg(F.min(F.when(F.col("held"), F.col("pos"))).alias("first"))
+
+    @F.pandas_udf("struct<one:double,two:double>")
+    def ratios(head: pd.Series, one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        # compared with as much of a block as of a snippet, and some more of two blocks
+        found = [(sequence_ratio(h, x[: max(len(h), 240)]), sequence_ratio(h, y[: max(len(h), 240) + 120])) for h, x, y in zip(head, one, two, strict=True)]
+        return pd.DataFrame(found, columns=["one", "two"])
+
+    left = met.join(found.filter("first IS NULL").select("doc_id"), "doc_id").withColumn("r", ratios("head", "b", "both"))
+    single = 0.7 * F.col("r.one") + 0.3 * overlap_ratio(F.col("head"), F.col("b"))
+    merged = 0.98 * (0.65 * F.col("r.two") + 0.35 * overlap_ratio(F.col("head"), F.col("both")))
+    best = left.select("doc_id", "pos", F.greatest(single, merged).alias("score")).groupBy("doc_id").agg(
+        F.max_by("pos", F.struct(F.round("score", 9), -F.col("pos"))).alias("pos"), F.max("score").alias("score")
+    )
+    held = found.filter("first IS NOT NULL").select("doc_id", F.col("first").alias("pos"), F.lit(1.0).alias("score"))
+    return held.unionByName(best.filter(F.col("score") >= least))
+
+
+def routed_chunks(blocks: DataFrame, prose: int, most: int, size: int, overlap: int, cut: Callable[[str], list[tuple[int, str]]]) -> DataFrame:
+    """``doc_id, pos, route, chunk, piece`` of blocks (doc_id, pos, kind, text): each is chunked as its route says.
+
+    Blocks kept whole and those cut by size are expressions; those cut by meaning go through ``cut`` in batches."""
+    rows = blocks.withColumn("route", chunk_route(F.col("kind"), F.col("text"), prose, most)).filter(F.trim("text") != "")
+    whole = rows.filter("route = 'whole'").select("doc_id", "pos", "route", F.lit(0).cast("bigint").alias("chunk"), F.trim("text").alias("piece"))
+    slid = rows.filter("route = 'sliding'").select("doc_id", "pos", "route", F.posexplode(tx.sliding_chunks(F.col("text"), size, overlap)).alias("chunk", "c"))
+    slid = slid.select("doc_id", "pos", "route", F.col("chunk").cast("bigint").alias("chunk"), "c.piece")
+
+    def run(batches):
+        for batch in batches:
+            out = [(d, p, "semantic", k, piece) for d, p, t in zip(batch["doc_id"], batch["pos"], batch["text"], strict=True) for k, (_, piece) in enumerate(cut(t))]
+            yield pd.DataFrame(out, columns=["doc_id", "pos", "route", "chunk", "piece"])
+
+    meant = rows.filter("route = 'semantic'").select("doc_id", "pos", "text").mapInPandas(run, "doc_id bigint, pos bigint, route string, chunk bigint, piece string")
+    return whole.unionByName(slid).unionByName(meant)

@@ -29,8 +29,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events")
 
 
-def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def units(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
     """script_id, unit_id, idx, episode_no, k, value and DIMS as columns."""
+    if isinstance(sf_dir, DataFrame):
+        return sf_dir  # units that are there already
     rows = events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     kind = F.col("event_type")
@@ -78,20 +80,22 @@ UNIT_TAGS = "unit_tags AS (" + " UNION ALL ".join(f"SELECT script_id, unit_id, i
 
 def script_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script's genres: the last digit of each unit's property, with a confidence by its value."""
-    rows = units(spark, sf_dir).filter("idx <= 4")
-    return rows.select("script_id", F.lit("drama_tags").alias("dim"), F.concat(F.lit("genre"), F.col("k") % 3).alias("value"), (F.col("k") / 100).alias("confidence"))
+    return units(spark, sf_dir).select("script_id", F.lit("drama_tags").alias("dim"), F.concat(F.lit("genre"), F.col("k") % 3).alias("value"), (F.col("k") / 100).alias("confidence"))
 
 
-SCRIPT_TAGS = "script_tags AS (SELECT script_id, 'drama_tags' AS dim, 'genre' || (k % 3) AS value, k / 100.0::DOUBLE AS confidence FROM units WHERE idx <= 4)"
+SCRIPT_TAGS = "script_tags AS (SELECT script_id, 'drama_tags' AS dim, 'genre' || (k % 3) AS value, k / 100.0::DOUBLE AS confidence FROM units)"
 
 
 def episode_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last unit of an episode says whether it ends with a hook."""
-    last = units(spark, sf_dir).groupBy("script_id", "episode_no").agg(F.max_by("plot_hook", "idx").alias("value"))
-    return last.select("script_id", "episode_no", F.lit("episode_end_hook").alias("dim"), "value")
+    """The last unit of an episode says whether it ends with a hook, and whether with a paid break."""
+    last = units(spark, sf_dir).groupBy("script_id", "episode_no").agg(F.max_by("plot_hook", "idx").alias("hook"), F.max_by("k", "idx").alias("k"))
+    breaks = F.when(F.col("k") % 3 == F.col("script_id") % 4, "ep_end").otherwise("none")
+    both = F.array(F.struct(F.lit("episode_end_hook").alias("dim"), F.col("hook").alias("value")), F.struct(F.lit("paid_break_position").alias("dim"), breaks.alias("value")))
+    return last.select("script_id", "episode_no", F.inline(both))
 
 
-EPISODE_TAGS = "episode_tags AS (SELECT script_id, episode_no, 'episode_end_hook' AS dim, max_by(plot_hook, idx) AS value FROM units GROUP BY 1, 2)"
+EPISODE_TAGS = """episode_tags AS (SELECT script_id, episode_no, 'episode_end_hook' AS dim, max_by(plot_hook, idx) AS value FROM units GROUP BY 1, 2
+  UNION ALL SELECT script_id, episode_no, 'paid_break_position', CASE WHEN max_by(k, idx) % 3 = script_id % 4 THEN 'ep_end' ELSE 'none' END FROM units GROUP BY 1, 2)"""
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,16 +104,20 @@ def synonyms(spark: S, sf: str) -> DataFrame:
     return events(spark, sf).select("event_id", "event_type").join(F.broadcast(table), "event_type", "left").select("event_id", "synonym")
 
 
+_QUOTES = """CASE WHEN event_type = 'view' AND idx % 50 = 7 THEN '▲' || value || repeat(' 走', 60) WHEN event_type = 'error' THEN '人物：' || value WHEN event_type = 'click' AND idx % 3 = 0 THEN ' click：' || value
+  WHEN event_type = 'purchase' THEN 'much too long a name: ' || value ELSE '第' || idx || '场' END"""
+
+
 @query(
     "str22_quote_pick",
-    with_(LINES, "r AS (SELECT doc_id, pos, line, CASE WHEN length(line) BETWEEN 20 AND 60 THEN 0 WHEN length(line) > 60 THEN 1 ELSE 2 END AS pass FROM lines)", "b AS (SELECT doc_id, min_by(line, (pass, pos)) AS line FROM r GROUP BY 1)", select="SELECT doc_id, CASE WHEN length(line) > 90 THEN left(line, 90) || '…' ELSE line END AS quote FROM b"),
+    with_(UNITS, f"r AS (SELECT script_id, episode_no, idx, trim({_QUOTES}) AS line, row_number() OVER (PARTITION BY script_id, episode_no ORDER BY idx) AS no FROM units)", "p AS (SELECT *, CASE WHEN line LIKE '▲%' THEN 1 WHEN line LIKE 'click：%' THEN 2 WHEN line LIKE 'much%' THEN 3 ELSE 4 END AS pass FROM r)", "b AS (SELECT script_id, episode_no, min(pass) AS pass, min_by(line, (pass, no)) AS line, min_by(no, (pass, no)) AS no, string_agg(line, chr(10) ORDER BY no) AS text FROM p GROUP BY 1, 2)", "q AS (SELECT *, CASE WHEN pass < 4 THEN line ELSE text END AS q FROM b)", select="SELECT script_id, episode_no, CASE WHEN length(q) > 90 THEN left(q, 89) || '…' ELSE q END AS quote, CASE WHEN pass < 4 THEN no ELSE 1 END AS line FROM q"),
 )
 def quote_pick(spark: S, sf: str) -> DataFrame:
-    """The first line that the earliest pass takes, cut to a length."""
-    n = F.length("line")
-    rows = lines(spark, sf).withColumn("pass", F.when(n.between(20, 60), 0).when(n > 60, 1).otherwise(2))
-    best = rows.groupBy("doc_id").agg(F.min_by("line", F.struct("pass", "pos")).alias("line"))
-    return best.select("doc_id", tx.truncated(F.col("line"), 90).alias("quote"))
+    """The quote of each episode: an action, else something said, else any line that isn't structure, else the beginning."""
+    rows = units(spark, sf).select("script_id", "episode_no", "idx", F.expr(_QUOTES).alias("line"))
+    texts = rows.groupBy("script_id", "episode_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    best = texts.withColumn("q", tx.best_quote(F.col("text")))
+    return best.select("script_id", "episode_no", "q.quote", F.col("q.line").cast("bigint").alias("line"))
 
 
 @query("str34_title_keys", r"SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name || ' — ' || p_type, '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM part")

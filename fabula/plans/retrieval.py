@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.operators import retrieval as ops
+from fabula.operators.relational import stored
 from fabula.plans.adapters import UNIT_TAGS, UNITS, read, unit_tags, units, with_
 from fabula.plans.registry import query
 
@@ -30,8 +31,12 @@ def docs(spark: S, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "text")
 
 
-def _bm25(spark: S, sf: str, match_all: bool) -> DataFrame:
-    return ops.bm25(questions(spark, sf), docs(spark, sf), "doc_id", "text", match_all)
+def _index(spark: S, sf: str) -> DataFrame:
+    return stored(ops.postings(docs(spark, sf), "doc_id", "text"), "index")
+
+
+def _bm25(spark: S, sf: str, match_all: bool, index: DataFrame | None = None) -> DataFrame:
+    return ops.bm25(questions(spark, sf), index or _index(spark, sf), match_all)
 
 
 @query("ret2_all_terms_bm25", with_(QUESTIONS, WORDS, LENS, _BM25, "need AS (SELECT qid, count(*) AS need FROM questions GROUP BY 1)", select="SELECT qid, id, round(score, 6) AS score FROM bm JOIN need USING (qid) WHERE terms = need"))
@@ -46,7 +51,7 @@ def any_term_bm25(spark: S, sf: str) -> DataFrame:
 
 @query("ret3_keyword_hits", with_(QUESTIONS, select="SELECT qid, doc_id AS id, count(DISTINCT term) AS hits FROM questions JOIN documents ON contains(lower(text), term) GROUP BY 1, 2"))
 def keyword_hits(spark: S, sf: str) -> DataFrame:
-    return ops.keyword_hits(questions(spark, sf), docs(spark, sf), "doc_id", "text")
+    return ops.keyword_hits(questions(spark, sf), _index(spark, sf))
 
 
 _QV = "qv AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)"
@@ -72,8 +77,9 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid, channel ORDER BY score DES
 
 def _recalled(spark: S, sf: str) -> DataFrame:
     """Two channels, each to rank 30, with ranks in the channel."""
-    one = _bm25(spark, sf, False).select("qid", "id", F.round("score", 9).alias("score"), F.lit("bm25").alias("channel"))
-    two = keyword_hits(spark, sf).select("qid", "id", F.col("hits").cast("double").alias("score"), F.lit("keyword").alias("channel"))
+    index = _index(spark, sf)
+    one = _bm25(spark, sf, False, index).select("qid", "id", F.round("score", 9).alias("score"), F.lit("bm25").alias("channel"))
+    two = ops.keyword_hits(questions(spark, sf), index).select("qid", "id", F.col("hits").cast("double").alias("score"), F.lit("keyword").alias("channel"))
     return ops.channel_ranks(one.unionByName(two)).filter("rank <= 30")
 
 
@@ -116,19 +122,23 @@ def metadata_rescoring(spark: S, sf: str) -> DataFrame:
 _WEIGHTS = "dt AS (SELECT DISTINCT id, term FROM words WHERE term IN (SELECT term FROM questions)), raw AS (SELECT term, count(*) AS df, log10(10 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM dt GROUP BY 1), tw AS (SELECT term, df, raw / sum(raw) OVER () AS w FROM raw)"
 
 
-def _doc_terms(spark: S, sf: str) -> DataFrame:
-    words = docs(spark, sf).select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(ops.tokens(F.col("text")))).alias("term"))
-    return words.join(questions(spark, sf).select("term").distinct(), "term", "left_semi")
+def _doc_terms(spark: S, sf: str, index: DataFrame) -> DataFrame:
+    return index.select("id", "term").join(questions(spark, sf).select("term").distinct(), "term", "left_semi")
 
 
 def _weights(spark: S, sf: str, terms: DataFrame) -> DataFrame:
-    n = docs(spark, sf).count()
-    return ops.term_weights(terms, n)
+    return ops.term_weights(terms, docs(spark, sf).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _similarity(spark: S, sf: str, index: DataFrame) -> DataFrame:
+    terms = _doc_terms(spark, sf, index)
+    weights = questions(spark, sf).join(_weights(spark, sf, terms), "term").select("qid", "term", "w")
+    return ops.token_similarity(weights, terms)
 
 
 @query("str13_term_weights", with_(QUESTIONS, WORDS, _WEIGHTS, select="SELECT term, df, round(w, 9) AS w FROM tw"))
 def term_weights(spark: S, sf: str) -> DataFrame:
-    return _weights(spark, sf, _doc_terms(spark, sf)).withColumn("w", F.round("w", 9))
+    return _weights(spark, sf, _doc_terms(spark, sf, _index(spark, sf))).withColumn("w", F.round("w", 9))
 
 
 _TSIM = "qw AS (SELECT qid, term, w FROM questions JOIN tw USING (term)), ts AS (SELECT qid, id, sum(w) / (SELECT sum(w) FROM qw x WHERE x.qid = q.qid) AS sim FROM qw q JOIN dt USING (term) GROUP BY 1, 2)"
@@ -136,39 +146,73 @@ _TSIM = "qw AS (SELECT qid, term, w FROM questions JOIN tw USING (term)), ts AS
 
 @query("str14_token_similarity", with_(QUESTIONS, WORDS, _WEIGHTS, _TSIM, select="SELECT qid, id, round(sim, 6) AS similarity FROM ts"))
 def token_similarity(spark: S, sf: str) -> DataFrame:
-    terms = _doc_terms(spark, sf)
-    weights = questions(spark, sf).join(_weights(spark, sf, terms), "term").select("qid", "term", "w")
-    return ops.token_similarity(weights, terms).withColumn("similarity", F.round("similarity", 6))
+    return _similarity(spark, sf, _index(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+
+
+#: A document's source is its title, its language its important word and its first line its question; the vector of a number
+#: is that of the item and of the document with it.
+_FIELDS = f"""ft AS (SELECT DISTINCT id, term FROM (SELECT doc_id AS id, unnest(list_concat({_TOK.format('text')}, list_concat({_TOK.format('source')}, {_TOK.format('lang')}))) AS term FROM documents) WHERE term IN (SELECT term FROM questions)),
+fraw AS (SELECT term, count(*) AS df, log10(10 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM ft GROUP BY 1), fw AS (SELECT term, raw / sum(raw) OVER () AS w FROM fraw),
+fq AS (SELECT qid, term, w FROM questions JOIN fw USING (term)), fs AS (SELECT qid, id, sum(w) / (SELECT sum(w) FROM fq x WHERE x.qid = q.qid) AS sim FROM fq q JOIN ft USING (term) GROUP BY 1, 2),
+hy AS (SELECT qid, bm.id, score, 0.3 * coalesce(sim, 0) + 0.7 * coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0) + 0.01 * (bm.id % 5) AS hybrid
+  FROM bm LEFT JOIN fs USING (qid, id) LEFT JOIN embeddings e ON e.vec_id = bm.id LEFT JOIN embeddings q ON q.vec_id = qid)"""
+
 
+def _hybrid(spark: S, sf: str) -> DataFrame:
+    """Documents that have a term, scored again by terms of all fields, by vectors and by a feature of rank."""
+    d, e = read(spark, sf, "documents"), read(spark, sf, "embeddings")
+    first_line = F.substring_index("text", "\n", 1)
+    fields = stored(ops.field_tokens(d, "doc_id", F.col("text"), F.col("source"), F.col("lang"), first_line), "fields")
+    similarity = _similarity(spark, sf, fields)
+    asked = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")).join(read(spark, sf, "benchmark").select(F.col("item_id").alias("qid")), "qid")
+    out = ops.hybrid(_bm25(spark, sf, False), similarity, asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    return out.withColumn("hybrid", F.col("hybrid") + 0.01 * (F.col("id") % 5))
 
-@query("ret12_hybrid_rerank", with_(QUESTIONS, WORDS, LENS, _BM25, _WEIGHTS, _TSIM, select="SELECT qid, id, round(0.3 * sim + 0.7 * score / (1 + score), 6) AS score FROM ts JOIN bm USING (qid, id)"))
+
+@query("ret12_hybrid_rerank", with_(QUESTIONS, WORDS, LENS, _BM25, _FIELDS, select="SELECT qid, id, round(hybrid, 5) AS score FROM hy"))
 def hybrid_rerank(spark: S, sf: str) -> DataFrame:
-    terms = _doc_terms(spark, sf)
-    weights = questions(spark, sf).join(_weights(spark, sf, terms), "term").select("qid", "term", "w")
-    sim = ops.token_similarity(weights, terms)
-    s = F.col("score")
-    return sim.join(_bm25(spark, sf, False), ["qid", "id"]).select("qid", "id", F.round(0.3 * F.col("similarity") + 0.7 * s / (1 + s), 6).alias("score"))
+    return _hybrid(spark, sf).select("qid", "id", F.round("hybrid", 5).alias("score"))
+
+
+@query(
+    "top10_ret15_adaptive_page",
+    with_(
+        QUESTIONS, WORDS, LENS, _BM25, _FIELDS,
+        "st AS (SELECT *, qid % 5 + 1 AS page, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS stored FROM hy)",
+        "pl AS (SELECT qid, id, page, row_number() OVER (PARTITION BY qid ORDER BY round(hybrid, 5) DESC, id) AS place FROM st WHERE page <= 3 AND stored <= 128 UNION ALL SELECT qid, id, page, stored FROM st WHERE page > 3)",
+        select="SELECT qid, page, place, id FROM pl WHERE place > (page - 1) * 10 AND place <= page * 10",
+    ),
+)
+def adaptive_page(spark: S, sf: str) -> DataFrame:
+    """One of five pages of ten for each question: the first three ranked again from a wide pool, the others as stored."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "id")
+    ranked = _hybrid(spark, sf).select("qid", "id", F.row_number().over(order).alias("stored"), F.round("hybrid", 5).alias("score"))
+    out = ops.adaptive_page(ranked, (F.col("qid") % 5 + 1).cast("bigint"), 10)
+    return out.select("qid", "page", F.col("place").cast("bigint").alias("place"), "id")
 
 
 @query("ret11_relaxed_fusion", with_(QUESTIONS, WORDS, LENS, _BM25, "f AS (SELECT qid, id, 0.05 * score + 0.95 * terms AS f FROM bm)", "strict AS (SELECT * FROM f WHERE f >= 1.5)", select="SELECT qid, id, round(f, 6) AS score, 0::BIGINT AS level FROM strict UNION ALL SELECT qid, id, round(f, 6), 1 FROM f WHERE f >= 1.0 AND qid NOT IN (SELECT qid FROM strict)"))
 def relaxed_fusion(spark: S, sf: str) -> DataFrame:
     """Weighted fusion of a score and of the number of terms; questions that find nothing are asked again with a lower bar."""
-    hits = keyword_terms(spark, sf)
+    hits = stored(keyword_terms(spark, sf), "hits")
     strict, loose = hits.filter("score >= 1.5"), hits.filter("score >= 1.0")
     return ops.cascade([strict, loose]).select("qid", "id", F.round("score", 6).alias("score"), F.col("level").cast("bigint").alias("level"))
 
 
 def keyword_terms(spark: S, sf: str) -> DataFrame:
-    terms = _doc_terms(spark, sf)
-    n = questions(spark, sf).join(terms, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("terms"))
-    return _bm25(spark, sf, False).join(n, ["qid", "id"]).select("qid", "id", (0.05 * F.col("score") + 0.95 * F.col("terms")).alias("score"))
+    index = _index(spark, sf)
+    n = questions(spark, sf).join(_doc_terms(spark, sf, index), "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("terms"))
+    return _bm25(spark, sf, False, index).join(n, ["qid", "id"]).select("qid", "id", (0.05 * F.col("score") + 0.95 * F.col("terms")).alias("score"))
 
 
-@query("ret1_cascade", with_(QUESTIONS, WORDS, LENS, _BM25, "need AS (SELECT qid, count(*) AS need FROM questions GROUP BY 1)", "one AS (SELECT qid, id FROM bm JOIN need USING (qid) WHERE terms = need AND id % 2 = 0)", "two AS (SELECT DISTINCT qid, doc_id AS id FROM questions JOIN documents ON contains(lower(text), term))", select="SELECT qid, id, 0::BIGINT AS level FROM one UNION ALL SELECT qid, id, 1 FROM two WHERE qid NOT IN (SELECT qid FROM one)"))
+@query("ret1_cascade", with_(QUESTIONS, WORDS, LENS, _BM25, "need AS (SELECT qid, count(*) AS need FROM questions GROUP BY 1)", "one AS (SELECT qid, id FROM bm JOIN need USING (qid) WHERE terms = need)", "two AS (SELECT DISTINCT qid, doc_id AS id FROM questions JOIN documents ON contains(lower(text), term))", select="SELECT qid, id, 0::BIGINT AS level FROM one UNION ALL SELECT qid, id, 1 FROM two WHERE qid NOT IN (SELECT qid FROM one)"))
 def cascade(spark: S, sf: str) -> DataFrame:
-    """All terms first (here among half of the documents); questions without a hit fall back to any keyword."""
-    one = _bm25(spark, sf, True).filter("id % 2 = 0")
-    two = keyword_hits(spark, sf).withColumnRenamed("hits", "score")
+    """All terms first; questions without a hit fall back to any keyword."""
+    index = _index(spark, sf)
+    one = _bm25(spark, sf, True, index)
+    two = ops.keyword_hits(questions(spark, sf), index).withColumnRenamed("hits", "score")
     return ops.cascade([one, two.withColumn("score", F.col("score").cast("double"))]).select("qid", "id", F.col("level").cast("bigint").alias("level"))
 
 
@@ -229,21 +273,22 @@ def line_search(spark: S, sf: str) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     top = _bm25(spark, sf, False).withColumn("k", F.row_number().over(order)).filter("k <= 3")
     by_doc = Window.partitionBy("id").orderBy("line")
-    lines = docs(spark, sf).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    top = stored(top, "top")
+    searched = docs(spark, sf).join(top.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    lines = searched.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
     lines = lines.withColumns({"before": F.lag("t").over(by_doc), "after": F.lead("t").over(by_doc)})
-    scored = top.join(F.broadcast(terms), "qid").join(lines, "id").withColumn("s", ops.line_score(F.col("terms"), F.col("t"), F.col("before"), F.col("after")))
+    scored = top.join(terms, "qid").join(lines, "id").withColumn("s", ops.line_score(F.col("terms"), F.col("t"), F.col("before"), F.col("after")))
     return scored.groupBy("qid", "id").agg(F.max_by("line", F.struct(F.round("s", 9), -F.col("line"))).cast("bigint").alias("line"), F.round(F.max("s"), 6).alias("score"))
 
 
 @query("ret14_citation_support")
 def citation_support(spark: S, sf: str) -> DataFrame:
     """Which neighbours support a vector: similarity above 0.99 of the best, over a threshold that decays until one is met."""
-    near = _vectors(spark, sf, 20).filter("qid <> id")
-    best = near.groupBy("qid").agg(F.max("score").alias("best"))
-    rungs = F.array(*(F.lit(round(0.63 * 0.8**i, 6)) for i in range(4) if 0.63 * 0.8**i >= 0.3))
-    bar = F.array_max(F.filter(rungs, lambda t: t <= F.col("best")))
     from pyspark.sql import Window
 
+    near = _vectors(spark, sf, 20).filter("qid <> id").withColumn("best", F.max("score").over(Window.partitionBy("qid")))
+    rungs = F.array(*(F.lit(round(0.63 * 0.8**i, 6)) for i in range(4) if 0.63 * 0.8**i >= 0.3))
+    bar = F.array_max(F.filter(rungs, lambda t: t <= F.col("best")))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    hits = near.drop("rank").join(F.broadcast(best.withColumn("bar", bar)), "qid").filter((F.col("score") >= F.col("bar")) & (F.col("score") >= 0.99 * F.col("best")))
+    hits = near.drop("rank").withColumn("bar", bar).filter((F.col("score") >= F.col("bar")) & (F.col("score") >= 0.99 * F.col("best")))
     return hits.withColumn("rank", rank).filter("rank <= 4").select("qid", "id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions.scoring import label
 from fabula.operators import scoring, signals
+from fabula.operators.relational import stored
 from fabula.plans.adapters import (
     CAST,
     ENTITIES,
@@ -22,7 +23,6 @@ from fabula.plans.adapters import (
     read,
     relationships,
     script_tags,
-    scripts,
     units,
     with_,
 )
@@ -41,9 +41,9 @@ _SCENES = "scene_rows AS (SELECT conv_id AS script_id, regexp_replace(text, '\\.
 
 
 def script_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.facts(
-        scripts(spark, sf_dir), units(spark, sf_dir), script_tags(spark, sf_dir), episode_tags(spark, sf_dir), entities(spark, sf_dir), relationships(spark, sf_dir), _scenes(spark, sf_dir), GENRES
-    )
+    """The facts of every script, from units that are put in order and tagged once."""
+    u = stored(units(spark, sf_dir), "units")
+    return signals.facts(u.select("script_id").distinct().withColumn("total_episodes", F.lit(None).cast("bigint")), u, script_tags(spark, u), episode_tags(spark, u), entities(spark, u), relationships(spark, u), _scenes(spark, sf_dir), GENRES)
 
 
 _FACTS = f"""x AS (SELECT *, {INTENSITY} AS x FROM units),
@@ -66,7 +66,7 @@ uf AS (SELECT script_id, count(*)::DOUBLE AS units, greatest(1, count(DISTINCT e
     count(*) FILTER (voiceover_type = 'narrator') AS narrator, count(*) FILTER (voiceover_type = 'mixed') AS mixed
   FROM ranked GROUP BY 1),
 tf AS (SELECT script_id, count(*) AS dramas, avg(confidence) AS dc, count(*) FILTER (value IN ('genre1', 'genre2')) AS mainstream FROM script_tags GROUP BY 1),
-ef AS (SELECT script_id, count(*) FILTER (value <> 'none') AS end_hooks FROM episode_tags GROUP BY 1),
+ef AS (SELECT script_id, count(*) FILTER (value <> 'none' AND dim = 'episode_end_hook') AS end_hooks, count(*) FILTER (value <> 'none' AND dim = 'paid_break_position') AS breaks FROM episode_tags GROUP BY 1),
 cf AS (SELECT script_id, count(*) AS entities, count(*) FILTER (role = 'protagonist') AS leads, count(*) FILTER (role = 'protagonist' AND agency_level IN ('high', 'medium')) AS able,
     count(*) FILTER (role = 'antagonist') AS antagonists FROM entities GROUP BY 1),
 rf AS (SELECT script_id, count(*) AS relations, count(*) FILTER (polarity = 'negative') AS hostile, count(*) FILTER (polarity IN ('negative', 'mixed')) AS conflicts,
@@ -106,7 +106,7 @@ _SCORES = {
         "emotional_contrast": "CASE pos + neg WHEN 2 THEN 9 WHEN 1 THEN 6 ELSE 3 END",
         "dry_streak_max": "CASE WHEN dry_streak <= 2 THEN 10 WHEN dry_streak <= 4 THEN 8 WHEN dry_streak <= 6 THEN 6 ELSE 3 END",
         "episode_end_hook_rate": "CASE WHEN end_hooks / ep >= 0.8 THEN 10 WHEN end_hooks / ep >= 0.5 THEN 8 WHEN end_hooks / ep >= 0.25 THEN 6 ELSE 3 END",
-        "paid_break_potential": "3",
+        "paid_break_potential": "CASE WHEN breaks / ep >= 0.8 THEN 10 WHEN breaks / ep >= 0.4 THEN 8 WHEN breaks / ep >= 0.15 THEN 6 ELSE 3 END",
     },
     "pacing": {
         "opening_speed": "CASE WHEN coalesce(opening, 1) / units <= 0.05 THEN 10 WHEN coalesce(opening, 1) / units <= 0.12 THEN 8 WHEN coalesce(opening, 1) / units <= 0.2 THEN 6 ELSE 3 END",
@@ -198,7 +198,7 @@ _OVERALL = "overall AS (SELECT script_id, round(sum(score * w) / sum(w), 3) AS o
 
 
 def _overall(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scores = scoring.dimension_scores(_all_signals(spark, sf_dir), _rubric(spark))
+    scores = stored(scoring.dimension_scores(_all_signals(spark, sf_dir), _rubric(spark)), "scores")
     return scores, scoring.overall(scores, spark.createDataFrame(WEIGHTS, "dimension string, base double, multiplier double"))
 
 

@@ -41,21 +41,40 @@ def short_chunks(spark: S, sf: str) -> DataFrame:
     return docs(spark, sf).filter(F.col("lang").isin("de") | (F.length(F.trim("text")) >= 400)).select("doc_id")
 
 
-_FIRST = "regexp_extract(trim(text), '^([^\\s]+)', 1)"
+_NAMES = """n AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '场景' || doc_id WHEN 1 THEN '宾客' || doc_id % 10 WHEN 2 THEN '护士' WHEN 3 THEN '王' || source WHEN 4 THEN '站起来' ELSE regexp_extract(trim(text), '^([^\\s]+)', 1) END AS name FROM documents)"""
 
 
-@query("flt8_flt9_names", f"WITH n AS (SELECT doc_id, {_FIRST} AS name FROM documents) SELECT doc_id, name <> '' AND length(name) <= 8 AS real, length(name) <= 16 AND regexp_matches(name, '[\\p{{L}}\\p{{N}}_]') AS valid FROM n")
+@query("flt8_flt9_names", with_(_NAMES, select="SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 4 THEN false ELSE name <> '' AND length(name) <= 8 END AS real, length(name) <= 16 AND regexp_matches(name, '[\\p{L}\\p{N}_]') AS valid FROM n"))
 def names(spark: S, sf: str) -> DataFrame:
-    name = F.regexp_extract(F.trim("text"), r"^([^\s]+)", 1)
+    """First words of documents, and in their place numbered scenes and guests, generic names and actions."""
+    i = F.col("doc_id")
+    first = F.regexp_extract(F.trim("text"), r"^([^\s]+)", 1)
+    name = F.when(i % 6 == 0, F.concat(F.lit("场景"), i.cast("string"))).when(i % 6 == 1, F.concat(F.lit("宾客"), (i % 10).cast("string"))).when(i % 6 == 2, "护士")
+    name = name.when(i % 6 == 3, F.concat(F.lit("王"), F.col("source"))).when(i % 6 == 4, "站起来").otherwise(first)
     rows = docs(spark, sf).select("doc_id", name.alias("name"))
     return rows.select("doc_id", tx.real_name(F.col("name")).alias("real"), ((F.length("name") <= 16) & F.col("name").rlike(r"[\p{L}\p{N}_]")).alias("valid"))
 
 
-@query("flt12_flt14_meta_lines", with_(LINES, select="SELECT doc_id, count(*) FILTER (line LIKE '[%' OR line LIKE '#%' OR regexp_matches(line, '^[0-9]+[.)] ')) AS meta, count(*) AS n FROM lines GROUP BY 1"))
+_META = """CASE idx % 8 WHEN 0 THEN '人物：' || event_type WHEN 1 THEN '人物关系图：' || event_type WHEN 2 THEN episode_no || '-' || idx || ' 客厅' WHEN 3 THEN '  ' || idx || '场 夜'
+  WHEN 4 THEN '第' || episode_no || '集' WHEN 5 THEN '  ' WHEN 6 THEN event_type || '：' || value ELSE ' 地点: ' || event_type END"""
+
+
+@query("flt12_meta_lines", with_(UNITS, select="SELECT script_id, count(*) FILTER (idx % 8 IN (0, 3, 4, 5, 7) OR (idx % 8 = 2 AND episode_no < 10)) AS meta, count(*) AS n FROM units GROUP BY 1"))
 def meta_lines(spark: S, sf: str) -> DataFrame:
-    line = F.col("line")
-    meta = line.startswith("[") | line.startswith("#") | line.rlike(r"^[0-9]+[.)] ")
-    return lines(spark, sf).groupBy("doc_id").agg(F.count_if(meta).alias("meta"), F.count(F.lit(1)).alias("n"))
+    """Units written as lines of a script, some of them structure and some that only begin alike."""
+    line = F.expr(_META)
+    return units(spark, sf).groupBy("script_id").agg(F.count_if(tx.meta_line(line)).alias("meta"), F.count(F.lit(1)).alias("n"))
+
+
+@query("flt14_planner_artifacts", "SELECT conv_id, turn, conv_id % 5 = 0 OR (conv_id % 5 IN (1, 2) AND turn % 2 = 1) AS internal FROM conversations")
+def planner_artifacts(spark: S, sf: str) -> DataFrame:
+    """Messages of a planner's inner dialogue: by source, and by plans as JSON where a plan was asked for."""
+    i, odd = F.col("conv_id") % 5, F.col("turn") % 2 == 1
+    item = F.struct(F.left("text", F.lit(20)).alias("title"), F.lit("why").alias("question"), F.lit(1).alias("depth"), F.lit("x").alias("parent_title"))
+    answer = F.when(odd & i.isin(0, 1), F.to_json(F.array(item))).when(odd & i.isin(2, 3), F.to_json(F.struct(F.array(item, item).alias("items")))).otherwise(F.col("text"))
+    question = F.when(i == 1, "You are a  Research planner").when(i == 2, "answer as JSON").otherwise("no such thing")
+    rows = read(spark, sf, "conversations").withColumns({"q": question, "a": answer, "s": F.when(i == 0, "Inner").otherwise("user")})
+    return rows.select("conv_id", "turn", tx.planner_artifact(F.col("q"), F.col("a"), F.col("s"), ("inner",)).alias("internal"))
 
 
 @query("str9_query_terms", r"SELECT item_id, array_to_string(list_distinct_ordered[1:8], '|') AS terms FROM (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {'p': list_position(ws, w), 'w': w})), lambda s: s.w) AS list_distinct_ordered FROM (SELECT item_id, list_concat([trim(text)], list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 2)) AS ws FROM benchmark))")
@@ -63,23 +82,29 @@ def query_terms(spark: S, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select("item_id", F.array_join(retrieval.query_terms(F.col("text")), "|").alias("terms"))
 
 
-@query("str10_half_width", "SELECT doc_id, translate(left(text, 50), '！，：', '!,:') AS t FROM documents")
+@query("str10_half_width", "SELECT doc_id, text AS t FROM documents")
 def half_width(spark: S, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", tx.half_width(F.left("text", F.lit(50))).alias("t"))
+    """Every text with its ASCII made full-width, and read as half-width again."""
+    plain = "".join(map(chr, range(0x21, 0x7F)))
+    return docs(spark, sf).select("doc_id", tx.half_width(F.translate("text", plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))).alias("t"))
 
 
-@query("str16_str17_stop_phrases", "SELECT item_id, trim(regexp_replace(text, '\\b(the|of|and|to)\\b', '', 'gi')) AS t, len(list_filter(string_split(text, ' '), lambda w: NOT regexp_full_match(w, '[A-Za-z]+'))) >= 0.7 * len(string_split(text, ' ')) OR len(string_split(text, ' ')) <= 3 AS other FROM benchmark")
+_STOPPED = "text"
+for _pattern, _by in tx.QUESTION_PHRASES:
+    _STOPPED = f"regexp_replace({_STOPPED}, '{_pattern.removeprefix('(?i)').replace(chr(39), chr(39) * 2)}', '{_by}', 'gi')"
+
+
+@query("str16_str17_stop_phrases", f"SELECT item_id, {_STOPPED} AS t, len(string_split_regex(text, '[ \\t]+')) <= 3 OR len(list_filter(string_split_regex(text, '[ \\t]+'), lambda w: NOT regexp_full_match(w, '[a-zA-Z]+'))) >= 0.7 * len(string_split_regex(text, '[ \\t]+')) AS other FROM benchmark")
 def stop_phrases(spark: S, sf: str) -> DataFrame:
-    words = F.split("text", " ")
-    odd = F.size(F.filter(words, lambda w: ~w.rlike("^[A-Za-z]+$")))
-    return read(spark, sf, "benchmark").select("item_id", F.trim(F.regexp_replace("text", r"(?i)\b(the|of|and|to)\b", "")).alias("t"), ((odd >= 0.7 * F.size(words)) | (F.size(words) <= 3)).alias("other"))
+    return read(spark, sf, "benchmark").select("item_id", tx.without_question_phrases(F.col("text")).alias("t"), tx.mostly_other_script(F.col("text")).alias("other"))
+
+
+_KEY = "list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]+'), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.KEYWORD_STOPS) + "], lower(w)))"
 
 
-@query("str19_keywords", r"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 5 AND w NOT IN ('there', 'which'))))[1:6], ',') AS keywords FROM benchmark")
+@query("str19_keywords", f"WITH k AS (SELECT item_id, {_KEY} AS ws FROM benchmark), l AS (SELECT *, list_transform(ws, lambda w: lower(w)) AS ls FROM k) SELECT item_id, array_to_string(list_filter(ws, lambda w, i: list_position(ls, lower(w)) = i)[1:6], ',') AS keywords FROM l")
 def keywords(spark: S, sf: str) -> DataFrame:
-    found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 5)
-    left = F.array_sort(F.array_except(F.array_distinct(found), F.array(F.lit("there"), F.lit("which"))))
-    return read(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(left, 1, 6), ",").alias("keywords"))
+    return read(spark, sf, "benchmark").select("item_id", F.array_join(tx.keywords(F.col("text")), ",").alias("keywords"))
 
 
 @query("str20_token_jaccard", r"WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS s FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS j FROM t a JOIN t b ON b.item_id = a.item_id + 1")
@@ -115,15 +140,16 @@ def recursive_chunks(spark: S, sf: str) -> DataFrame:
     return structure.chunked(docs(spark, sf), lambda t: structure.recursive_chunks(t, 800, 80))
 
 
-@query("str28_semantic_chunks")
-def semantic_chunks(spark: S, sf: str) -> DataFrame:
+def _by_meaning(text: str) -> list[tuple[int, str]]:
     import re
 
-    def cut(text: str) -> list[tuple[int, str]]:
-        parts = [s for s in re.split(r"(?<=[。！？!?.])\s+|\n+", text) if s.strip()]
-        return [(k, c) for k, c in enumerate(structure.semantic_chunks(parts, 300, 900, 0.2))]
+    parts = [s for s in re.split(r"(?<=[。！？!?.])\s+|\n+", text) if s.strip()]
+    return [*enumerate(structure.semantic_chunks(parts, 300, 900, 0.2))]
 
-    return structure.chunked(docs(spark, sf), cut).drop("start")
+
+@query("str28_semantic_chunks")
+def semantic_chunks(spark: S, sf: str) -> DataFrame:
+    return structure.chunked(docs(spark, sf), _by_meaning).drop("start")
 
 
 @query("str30_budget_merge")
@@ -156,9 +182,9 @@ def templates(spark: S, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", tx.rendered(F.lit("{name} by {brand}, {missing}"), values).alias("t"))
 
 
-@query("str37_intents", "WITH s AS (SELECT doc_id, lower(left(text, 400)) AS t FROM documents) SELECT doc_id, round(least(0.25 * ((t LIKE '%the%' AND NOT regexp_matches(t, '(?:not|don''t|no)\\s+the'))::INT + (t LIKE '%que%' AND NOT regexp_matches(t, '(?:not|don''t|no)\\s+que'))::INT), 0.6) + least(0.25 * (regexp_matches(t, '^[a-m]')::INT), 0.4), 6) AS score FROM s")
+@query("str37_intents", "WITH s AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, round(least(0.25 * ((t LIKE '%the%' AND NOT regexp_matches(t, '(?:not|don''t|no)\\s+the'))::INT + (t LIKE '%que%' AND NOT regexp_matches(t, '(?:not|don''t|no)\\s+que'))::INT), 0.6) + least(0.25 * (regexp_matches(t, '^[a-m]')::INT), 0.4), 6) AS score FROM s")
 def intents(spark: S, sf: str) -> DataFrame:
-    score = tx.intent_score(F.left("text", F.lit(400)), ["the", "que"], ["^[a-m]"])
+    score = tx.intent_score(F.col("text"), ["the", "que"], ["^[a-m]"])
     return docs(spark, sf).select("doc_id", F.round(score, 6).alias("score"))
 
 
@@ -199,31 +225,41 @@ def scene_markers(spark: S, sf: str) -> DataFrame:
 
 
 def script_lines(spark: S, sf: str) -> DataFrame:
-    """Units written as lines of a script: each episode begins with its marker, each tenth unit with a scene number."""
+    """Units written as lines of a script. Each episode begins with its marker; of three episodes one has scene numbers and
+    headings, one headings alone, and one neither; each tenth unit may begin a scene."""
     u = units(spark, sf)
     first = F.col("idx") == F.min("idx").over(Window.partitionBy("script_id", "episode_no"))
     said = F.concat(F.col("event_type"), F.lit("：value "), F.col("value").cast("string"))
     text = F.when(F.col("event_type") == "view", F.concat(F.lit("（"), F.col("value").cast("string"), F.lit("）"))).otherwise(said)
     number = F.concat(F.col("episode_no").cast("string"), F.lit("-"), (F.floor(F.col("idx") / 10) % 50 + 1).cast("string"), F.lit(" 内景"))
-    rows = F.filter(F.array(F.when(first, F.concat(F.lit("第"), F.col("episode_no").cast("string"), F.lit("集"))), F.when(F.col("idx") % 10 == 0, number), text), lambda x: x.isNotNull())
-    each = u.withColumn("rows", rows).select("script_id", "idx", F.posexplode("rows").alias("k", "line"))
+    kind, tenth = F.col("episode_no") % 3, F.col("idx") % 10
+    rows = F.array(
+        F.when(first, F.concat(F.lit("第"), F.col("episode_no").cast("string"), F.lit("集"))),
+        F.when((kind == 0) & (tenth == 0), number),
+        F.when((kind < 2) & (tenth == 5), F.lit("客厅 日内")),
+        text,
+    )
+    each = u.withColumn("rows", F.filter(rows, lambda x: x.isNotNull())).select("script_id", "idx", F.posexplode("rows").alias("k", "line"))
     return each.select("script_id", (F.col("idx") * 4 + F.col("k")).alias("pos"), "line")
 
 
-_SCRIPT = """sl AS (SELECT script_id, idx * 4 + k AS pos, line FROM (SELECT script_id, idx, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM (
-  SELECT script_id, idx, list_filter([CASE WHEN idx = min(idx) OVER (PARTITION BY script_id, episode_no) THEN '第' || episode_no || '集' END, CASE WHEN idx % 10 = 0 THEN episode_no || '-' || (idx // 10 % 50 + 1) || ' 内景' END,
-    CASE WHEN event_type = 'view' THEN '（' || value || '）' ELSE event_type || '：value ' || value END], lambda x: x IS NOT NULL) AS ls FROM units)))"""
-_SEG = """sg AS (SELECT *, sum((line LIKE '第%集' OR line LIKE '% 内景')::INT) OVER (PARTITION BY script_id ORDER BY pos) AS scene FROM sl)"""
+_SCRIPT = """sl AS (SELECT script_id, idx * 4 + k AS pos, line, part, numbered FROM (SELECT script_id, idx, part, numbered, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM (
+  SELECT script_id, idx, count(CASE WHEN starts THEN 1 END) OVER (PARTITION BY script_id ORDER BY idx) AS part, episode_no % 3 = 0 AND bool_or(idx % 10 = 0) OVER (PARTITION BY script_id, episode_no) AS numbered,
+    list_filter([CASE WHEN starts THEN '第' || episode_no || '集' END, CASE WHEN episode_no % 3 = 0 AND idx % 10 = 0 THEN episode_no || '-' || (idx // 10 % 50 + 1) || ' 内景' END,
+    CASE WHEN episode_no % 3 < 2 AND idx % 10 = 5 THEN '客厅 日内' END, CASE WHEN event_type = 'view' THEN '（' || value || '）' ELSE event_type || '：value ' || value END], lambda x: x IS NOT NULL) AS ls
+  FROM (SELECT *, idx = min(idx) OVER (PARTITION BY script_id, episode_no) AS starts FROM units))))"""
+_SEG = """sg AS (SELECT *, sum((line LIKE '第%集' OR line LIKE '% 内景' OR (line = '客厅 日内' AND NOT numbered))::INT) OVER (PARTITION BY script_id ORDER BY pos) AS scene FROM sl)"""
 
 
 @query("cmp1_segment_scripts", with_(UNITS, _SCRIPT, _SEG, select="SELECT script_id, scene::BIGINT AS scene, min(pos) AS first, max(pos) AS last, count(*) AS lines FROM sg GROUP BY 1, 2"))
 def segment_scripts(spark: S, sf: str) -> DataFrame:
-    """Scripts cut into scenes at episode markers and scene numbers; every line is in one scene."""
+    """Scripts cut into scenes at episode markers and at scene numbers or, in episodes without any, headings; every line is in
+    one scene."""
     out = structure.scenes_of(structure.segment_scripts(script_lines(spark, sf)))
     return out.select("script_id", F.col("scene").cast("bigint").alias("scene"), "first", "last", "lines")
 
 
-@query("str5_cmp2_line_kinds", with_(UNITS, _SCRIPT, select="SELECT script_id, CASE WHEN line LIKE '第%集' OR line LIKE '% 内景' THEN 'stage_direction' WHEN line LIKE '（%' THEN 'action' ELSE 'dialogue' END AS kind, count(*) AS n, count(DISTINCT CASE WHEN line LIKE '%：%' THEN string_split(line, '：')[1] END) AS speakers FROM sl GROUP BY 1, 2"))
+@query("str5_cmp2_line_kinds", with_(UNITS, _SCRIPT, select="SELECT script_id, CASE WHEN line LIKE '第%集' OR line LIKE '% 内景' OR line = '客厅 日内' THEN 'stage_direction' WHEN line LIKE '（%' THEN 'action' ELSE 'dialogue' END AS kind, count(*) AS n, count(DISTINCT CASE WHEN line LIKE '%：%' THEN string_split(line, '：')[1] END) AS speakers FROM sl GROUP BY 1, 2"))
 def line_kinds(spark: S, sf: str) -> DataFrame:
     rows = structure.script_lines(script_lines(spark, sf))
     return rows.groupBy("script_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("speaker").alias("speakers"))
@@ -244,14 +280,6 @@ def name_similarity(spark: S, sf: str) -> DataFrame:
     return graph.similar_names(pairs, "a", "b").join(customers, "n_nationkey").select("n_nationkey", F.round("similarity", 6).alias("similarity"), "customers")
 
 
-@query("cmp4_resolve_names")
-def resolve_names(spark: S, sf: str) -> DataFrame:
-    """Users' kinds of event, cut to various lengths, resolved to entities by script, greedily."""
-    u = units(spark, sf).withColumn("name", F.substr("event_type", F.lit(1), (3 + F.col("k") % 6).cast("int")))
-    mentions = u.groupBy("script_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    return graph.resolve_names(mentions)
-
-
 @query("cmp6_graph_of_script", with_(UNITS, "p AS (SELECT script_id, least(event_type, nx) AS a, greatest(event_type, nx) AS b FROM (SELECT script_id, event_type, lead(event_type) OVER (PARTITION BY script_id ORDER BY idx) AS nx FROM units) WHERE nx <> event_type)", select="SELECT script_id, a, b, count(*) AS n FROM p GROUP BY 1, 2, 3"))
 def graph_of_script(spark: S, sf: str) -> DataFrame:
     """One undirected edge for each pair of characters that follow each other."""
@@ -284,14 +312,27 @@ def line_changes(spark: S, sf: str) -> DataFrame:
     return structure.diff_stats(pairs, "text", "other").select("doc_id", "added", "removed")
 
 
-@query("agg32_bullet_families", with_(LINES, "c AS (SELECT doc_id, [count(*) FILTER (regexp_matches(line, '^第[零一二三四五六七八九十百\\d]+(编|部分|章|节|条)|^[（(][零一二三四五六七八九十百]+[)）]')), count(*) FILTER (regexp_matches(line, '^\\d{1,2}[. 、]|^\\d{1,2}\\.\\d{1,2}[^a-zA-Z/%~-]|^\\d{1,2}\\.\\d{1,2}\\.\\d{1,2}')), count(*) FILTER (regexp_matches(line, '^[零一二三四五六七八九十百]+[ 、]|^[（(][零一二三四五六七八九十百]+[)）]|^\\d{1,2}[. 、]')), count(*) FILTER (regexp_matches(line, '^PART (ONE|TWO|THREE|FOUR|FIVE)|^Chapter (I+V?|VI*|XI|IX|X)|^Section \\d+|^Article \\d+'))] AS n FROM lines GROUP BY 1)", select="SELECT doc_id, CASE WHEN list_max(n) > 0 THEN list_position(n, list_max(n)) - 1 ELSE -1 END AS family FROM c"))
+_LISTED = """bl AS (SELECT doc_id, pos, CASE (doc_id + pos) % 9 WHEN 0 THEN '第一章 ' WHEN 1 THEN '（二）' WHEN 2 THEN '3. ' WHEN 3 THEN '2.1 ' WHEN 4 THEN '4.1.2' WHEN 5 THEN 'PART SEVEN ' WHEN 6 THEN '0. ' WHEN 7 THEN '12 3' ELSE '' END || line AS line FROM lines)"""
+_BULLET = lambda ps: "regexp_matches(line, '^(?:" + "|".join(f"(?:{p})" for p in ps) + ")') AND NOT regexp_matches(line, '^(?:" + "|".join(f"(?:{p})" for p in structure.NO_BULLETS) + ")')"
+
+
+def listed_lines(spark: S, sf: str) -> DataFrame:
+    """Lines of documents, most of them with a bullet or what looks like one before them."""
+    at = (F.col("doc_id") + F.col("pos")) % 9
+    mark = F.lit("")
+    for i, x in enumerate(("第一章 ", "（二）", "3. ", "2.1 ", "4.1.2", "PART SEVEN ", "0. ", "12 3")):
+        mark = F.when(at == i, x).otherwise(mark)
+    return lines(spark, sf).select("doc_id", "pos", F.concat(mark, "line").alias("line"))
+
+
+@query("agg32_bullet_families", with_(LINES, _LISTED, "c AS (SELECT doc_id, [" + ", ".join(f"count(*) FILTER ({_BULLET(f)})" for f in structure.BULLETS) + "] AS n FROM bl GROUP BY 1)", select="SELECT doc_id, CASE WHEN list_max(n) > 0 THEN list_position(n, list_max(n)) - 1 ELSE -1 END AS family FROM c"))
 def bullet_families(spark: S, sf: str) -> DataFrame:
-    return structure.bullet_family(lines(spark, sf))
+    return structure.bullet_family(listed_lines(spark, sf))
 
 
-@query("agg33_heading_levels", with_(LINES, "l AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^\\d{1,2}[. 、]') THEN 0 WHEN regexp_matches(line, '^\\d{1,2}\\.\\d{1,2}[^a-zA-Z/%~-]') THEN 1 WHEN regexp_matches(line, '^\\d{1,2}\\.\\d{1,2}\\.\\d{1,2}') THEN 2 ELSE 3 END AS level FROM lines)", select="SELECT doc_id, level::BIGINT AS level, count(*) AS n FROM l GROUP BY 1, 2"))
+@query("agg33_heading_levels", with_(LINES, _LISTED, "l AS (SELECT doc_id, CASE " + " ".join(f"WHEN {_BULLET([p])} THEN {i}" for i, p in enumerate(structure.BULLETS[1])) + f" ELSE {len(structure.BULLETS[1]) + 1} END AS level FROM bl)", select="SELECT doc_id, level::BIGINT AS level, count(*) AS n FROM l GROUP BY 1, 2"))
 def heading_levels(spark: S, sf: str) -> DataFrame:
-    return structure.heading_levels(lines(spark, sf), 1).groupBy("doc_id", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return structure.heading_levels(listed_lines(spark, sf), 1).groupBy("doc_id", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cmp13b_reference_groups", with_(LINES, "n AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM lines)", select="SELECT doc_id, (n - 1) // 25 AS bucket, 'References ' || min(n) || '-' || max(n) AS title, string_agg(line, chr(10) ORDER BY pos) AS text FROM n GROUP BY 1, 2"))
@@ -305,10 +346,34 @@ def attached_blocks(spark: S, sf: str) -> DataFrame:
     return structure.attach_to_text(blocks, "equation").select("doc_id", "pos", "owner")
 
 
-@query("cmp16_chunk_routes", "SELECT doc_id, CASE WHEN length(text) > 4000 THEN 'sliding' WHEN source IN ('src1', 'src2') THEN 'whole' WHEN length(text) > 1200 THEN 'semantic' ELSE 'whole' END AS route FROM documents")
+_ROUTE = "CASE WHEN source IN ('src1', 'src2') THEN 'whole' WHEN source <> 'src3' AND length(trim(text)) >= 1200 THEN 'semantic' WHEN length(trim(text)) <= 4000 THEN 'whole' ELSE 'sliding' END"
+
+
+def _blocks(spark: S, sf: str) -> DataFrame:
+    """Documents as blocks of a layout: two sources are tables, one is code."""
+    kind = F.when(F.col("source").isin("src1", "src2"), "table").when(F.col("source") == "src3", "code").otherwise("text")
+    return docs(spark, sf).select("doc_id", F.lit(0).cast("bigint").alias("pos"), kind.alias("kind"), "text")
+
+
+@query("cmp16_chunk_routes", f"SELECT doc_id, {_ROUTE} AS route FROM documents")
 def chunk_routes(spark: S, sf: str) -> DataFrame:
-    kind = F.when(F.col("source").isin("src1", "src2"), "table").otherwise("text")
-    return docs(spark, sf).select("doc_id", structure.chunk_route(kind, F.col("text")).alias("route"))
+    return _blocks(spark, sf).select("doc_id", structure.chunk_route(F.col("kind"), F.col("text")).alias("route"))
+
+
+@query("cmp16_routed_chunks")
+def routed_chunks(spark: S, sf: str) -> DataFrame:
+    """Blocks chunked each by its route. Cuts by meaning depend on the cuts before, so there is no SQL twin."""
+    return structure.routed_chunks(_blocks(spark, sf), 1200, 4000, 1000, 100, _by_meaning)
+
+
+@query("cmp13_str33_layout_match")
+def layout_match(spark: S, sf: str) -> DataFrame:
+    """Where a document's longest line, damaged in every second document, is found among its blocks of 400 characters."""
+    longest = lines(spark, sf).groupBy("doc_id").agg(F.max_by("line", F.struct(F.length("line"), -F.col("pos"))).alias("line"))
+    snippet = F.when(F.col("doc_id") % 2 == 0, F.translate("line", "et", "ae")).otherwise(F.col("line"))
+    blocks = docs(spark, sf).select("doc_id", F.posexplode(tx.sliding_chunks(F.col("text"), 400, 0)).alias("pos", "c")).select("doc_id", "pos", F.col("c.piece").alias("text"))
+    out = structure.layout_match(longest.select("doc_id", snippet.alias("snippet")), blocks)
+    return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.round("score", 6).alias("score"))
 
 
 @query("cmp13d_metadata", r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
@@ -335,14 +400,6 @@ def rewrite_seeds(spark: S, sf: str) -> DataFrame:
     return top_n(e, ["script_id"], [F.asc("score"), F.asc("episode_no")], 3).select("script_id", "episode_no", "unit_id", severity.alias("severity"))
 
 
-@query("cmp12_report_rows", "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1")
-def report_rows(spark: S, sf: str) -> DataFrame:
-    """A report as JSON, read again: the document is made and parsed by the engine."""
-    made = events(spark, sf).groupBy("user_id").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))).alias("report"))
-    parsed = made.select("user_id", F.from_json("report", "n bigint, top double").alias("r"))
-    return parsed.select("user_id", "r.n", "r.top")
-
-
 @query("jsn1_jsn3_lookups", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.z') IS NOT NULL AS has_z FROM events")
 def json_lookups(spark: S, sf: str) -> DataFrame:
     variant = F.try_parse_json("props")
@@ -408,10 +465,10 @@ def ring_buffer(spark: S, sf: str) -> DataFrame:
     return runs.ring(frames(spark, sf), 20).select("run_id", "seq")
 
 
-@query("stm3_stm4_live_runs", "WITH r AS (SELECT user_id AS run_id, max(ts) AS latest, count(*) AS frames FROM events WHERE event_id % 40 <> 0 GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup' AND day(ts) >= 29) = 0) SELECT run_id, frames FROM r WHERE floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(latest)) <= 86400 ORDER BY latest DESC, run_id LIMIT 256")
+@query("stm3_stm4_live_runs", "WITH r AS (SELECT user_id * 100 + day(ts) AS run_id, max(ts) AS latest, count(*) AS frames FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup') = 0) SELECT run_id, frames FROM r WHERE floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(latest)) <= 86400 ORDER BY latest DESC, run_id LIMIT 256")
 def live_runs(spark: S, sf: str) -> DataFrame:
-    """Runs with a frame in the last day and no completion in the last days."""
-    f = frames(spark, sf).filter("seq % 40 <> 0").withColumn("frame", F.when(F.dayofmonth("ts") >= 29, F.col("frame")).otherwise("x"))
+    """Runs, here a user's days, with a frame in the last day and no completion."""
+    f = frames(spark, sf).withColumn("run_id", F.col("run_id") * 100 + F.dayofmonth("ts"))
     return runs.alive(f, "2024-01-31", 86400).select("run_id", "frames")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -105,11 +107,44 @@ def write_versioned(df: DataFrame, folder: str, partition_by: list[str] | None =
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
 
 
-def insert_with_children(parent: DataFrame, children: DataFrame, folder: str, key: str) -> None:
-    """A parent and its rows, the children first, so a parent that is there has all of them; its counts come from them."""
-    children.write.mode("append").parquet(f"{folder}/children")
+def insert_with_children(parent: DataFrame, children: DataFrame, folder: str, key: str, batch: str = "0") -> None:
+    """A batch of parents and their rows, the children first, so a parent that is there has all of them; its counts come from
+    them. A batch written again replaces itself."""
+    children.write.mode("overwrite").parquet(f"{folder}/children/batch={batch}")
     n = children.groupBy(key).agg(F.count(F.lit(1)).alias("n_children"))
-    parent.join(n, key, "left").fillna(0, subset=["n_children"]).write.mode("append").parquet(f"{folder}/parents")
+    parent.join(n, key, "left").fillna(0, subset=["n_children"]).write.mode("overwrite").parquet(f"{folder}/parents/batch={batch}")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of its own under ``spark.checkpoint.dir``, or, in local mode where that isn't set, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/fabula-{tag}-{uuid.uuid4().hex}"
+
+
+def yaml_items(text: Column) -> Column:
+    """The items of the first list in a flat YAML text as maps of strings; quotes and comments are taken off."""
+    items = F.slice(F.split(text, r"(?m)^\s*-\s+"), 2, 1_000_000)
+    plain = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"\s#.*$", "")), "^[\"']|[\"']$", "")
+    entry = lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)).alias("key"), plain(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"))
+    return F.transform(items, lambda x: F.map_from_entries(F.transform(F.filter(F.split(x, "\n"), lambda line: line.contains(":")), entry)))
+
+
+def markdown_table(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Few rows as one text, a table of Markdown in the given order."""
+    head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), F.lit(" |"))
+    listed = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
+    return rows.agg(F.concat(F.lit(head), F.array_join(F.transform(listed, lambda x: x["_line"]), "\n")).alias("report"))
+
+
+def write_json_reports(rows: DataFrame, folder: str, by: str) -> None:
+    """Rows as JSON, a folder for each value of ``by``; a report written again replaces itself."""
+    rows.withColumn("_by", F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_by").json(folder)
 
 
 def export_text(scenes: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ MAX_RUNS = 256
 
 def replay(frames: DataFrame, cursor: DataFrame) -> DataFrame:
     """Frames (run_id, seq, …) after each run's cursor (run_id, seen), in order of their number."""
-    rows = frames.join(F.broadcast(cursor), "run_id").filter(F.col("seq") > F.col("seen"))
+    rows = frames.join(cursor, "run_id").filter(F.col("seq") > F.col("seen"))
     return rows.drop("seen").orderBy("run_id", "seq")
 
 
@@ -39,19 +39,22 @@ def alive(frames: DataFrame, now: str, ttl: int = TTL_SECONDS, most: int = MAX_R
 
 def byte_quota(rows: DataFrame, keys: list[str], size: str, limit: int, order: list[str], id_col: str) -> DataFrame:
     """Which items pass a limit on bytes in their window: one that would pass it is refused and uses up nothing, so this is
-    a fold in order over a window's items, not a running sum."""
-    items = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("_size"), F.col(id_col).alias("_id")))).alias("x"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<id:bigint,ok:boolean>>").alias("out"))
-
-    def step(acc, item):
-        ok = acc["used"] + item["_size"] <= limit
-        return F.struct(
-            F.when(ok, acc["used"] + item["_size"]).otherwise(acc["used"]).alias("used"),
-            F.concat(acc["out"], F.array(F.struct(item["_id"].cast("bigint").alias("id"), ok.alias("ok")))).alias("out"),
-        )
-
-    folded = items.select(F.explode(F.aggregate("x", start, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select(F.col("r.id").alias(id_col), F.col("r.ok").alias("accepted"))
+    a fold in order over a window's items, not a running sum. Rows stream past in order; what is held is one number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used = None, 0
+        for batch in batches:
+            accepted = []
+            for *now, n in zip(*(batch[c] for c in [*keys, "_size"]), strict=True):
+                if now != key:
+                    key, used = now, 0
+                ok = used + n <= limit
+                used += n if ok else 0
+                accepted.append(ok)
+            yield pd.DataFrame({id_col: batch["_id"], "accepted": accepted})
+
+    dealt = rows.select(*keys, *order, F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("_size"), F.col(id_col).cast("bigint").alias("_id"))
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{id_col} bigint, accepted boolean")
 
 
 class RingProcessor(StatefulProcessor):
