@@ -1,23 +1,27 @@
-"""Language-model scores: a log-bilinear neural model over word classes, trained in numpy by noise-contrastive estimation.
+"""Language-model scores: a two-level log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
-Tokens are words of a text with A-Z in lower case, then one end. The model is class-factored: each of the ``FREQUENT``
-commonest words is a class of its own, other words fall into classes by the bytes they end with. The log-bilinear model
-predicts a token's class from the two classes before it; inside a class a word has its smoothed share of the class's
-training tokens, one unknown word included. Both factors are normalised, so the probabilities of all words, and of an
-unknown word in each class, add up to one.
+Tokens are words of a text with A-Z in lower case, then one end. The first level predicts a token's class from the two
+classes before it: each of the ``FREQUENT`` commonest words is a class of its own, other words fall into classes by the
+bytes they end with. The second level predicts the word inside its class from the class before it, by a vector of each
+of the ``VOCABULARY`` commonest words. Words without a vector share what is left of their class by their smoothed counts,
+one unknown word included. Each factor is normalised, so the probabilities of all words, and of an unknown word in each
+class, add up to one.
 
 * Counts. Each task counts the words of its training documents and emits partial sums; Spark adds them up. The counts
   stay a table. The commonest words, ``HELD`` at most, are broadcast; other words of a document meet their
   counts in a join, which carries a row for each document and such word.
-* Training. Each task counts the (context, class) cells of its training documents, at most ``CLASSES ** 3`` of them, so
-  the sums that the driver trains from are bounded too, while they cover every training token. Minibatches are drawn
-  from the cells, noise from the classes' unigram distribution.
-* Scoring. A batch's distinct contexts go through one matrix product and a log-softmax over all classes; tokens look
-  their log-probabilities up in it.
+* Training. Each task counts the cells of its training documents, (context, class) and (class before, word), at most
+  ``CLASSES ** 3 + CLASSES * VOCABULARY`` of them, so the sums that the driver trains from are bounded too, while they
+  cover every training token. Each step goes over all cells, and over all noise: instead of drawing noise words, their
+  expectation is taken, which is the limit of noise-contrastive estimation for many draws.
+* Scoring. A batch's distinct contexts go through one matrix product and a log-softmax over all classes; the second
+  level is one matrix product of all classes by all words with a log-softmax inside each class, made once by a worker.
+  Tokens look their log-probabilities up.
 
 Edge cases: a null or empty text is an end alone; a null id is not held out and is scored like any other; rows that
-share an id keep their own scores, as each row is numbered in the written table of partial scores; an empty table gives
-an empty result; without training tokens every class is equally likely; other columns of the input are ignored.
+share an id keep their own scores, as each row is numbered in the written table of partial scores; equal rows are
+scored alike; long texts are tokenised one at a time, and a row has what one text needs; an empty table gives an empty
+result; without training tokens every class is equally likely; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,9 @@ END = CLASSES - 1
 #: The end as a word; no word has a space.
 END_WORD = b" "
 HELD = 200_000
-DIM, NOISE, STEPS, BATCH, RATE, SEED = 32, 24, 1500, 2048, 0.08, 20
+#: Words with vectors: enough of them make up nearly all of a text, and their parameters fit into a worker.
+VOCABULARY = 32_768
+DIM, NOISE, STEPS, WORD_STEPS, RATE, SEED = 32, 24, 250, 60, 0.05, 20
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -83,12 +89,18 @@ def _counts(found: Counter) -> pa.RecordBatch:
 
 
 class Lexicon:
-    """The held words with their classes and counts, and each class's totals."""
+    """The held words (the commonest first) with their classes and counts, each class's totals, and which words have vectors."""
 
     def __init__(self, words: list[bytes], counts: list[int], totals: np.ndarray, kinds: np.ndarray):
         self.counts = dict(zip(words, counts, strict=True))
-        frequent = [w for w in words if w != END_WORD][:FREQUENT]
-        self.frequent = {w: i for i, w in enumerate(frequent)} | {END_WORD: END}
+        common = [w for w in words if w != END_WORD]
+        self.frequent = {w: i for i, w in enumerate(common[:FREQUENT])} | {END_WORD: END}
+        own = common[FREQUENT : FREQUENT + VOCABULARY]
+        classes = np.array([ending_class(w) for w in own], np.int64)
+        order = np.argsort(classes, kind="stable")  # words of a class are together
+        self.vectored = {own[k]: i for i, k in enumerate(order.tolist())}
+        self.word_class = classes[order]
+        self.word_counts = np.array([self.counts[own[k]] for k in order.tolist()], np.float64)
         self.totals, self.kinds = totals, kinds  # of each class: training tokens, distinct words
         self.tokens, self.distinct = int(totals.sum()), int(kinds.sum())
 
@@ -97,9 +109,14 @@ class Lexicon:
         return ending_class(word) if c is None else c
 
     def inside(self) -> np.ndarray:
-        """log10 of what a count + 1 is divided by, in each class."""
+        """log10 of what a count + 1 is divided by, in each class, for words without a vector."""
         return np.log10(self.totals + self.kinds + 1.0)
 
+    def with_vector(self) -> np.ndarray:
+        """log10 of the part of each class that its words with vectors have; the others have (count + 1) / 10 ** inside."""
+        left = self.totals - np.bincount(self.word_class, self.word_counts, CLASSES) + self.kinds - np.bincount(self.word_class, minlength=CLASSES) + 1.0
+        return np.log10(np.maximum(1.0 - left / (self.totals + self.kinds + 1.0), 1e-300))
+
 
 def learn_lexicon(counts: DataFrame) -> Lexicon:
     """From the table of counts; HELD words come to the driver, and two sums of each class."""
@@ -135,44 +152,58 @@ def learn_lexicon(counts: DataFrame) -> Lexicon:
 
 
 class ClassCodes(dict):
-    """A word's class, remembered for as many words as a worker may hold."""
+    """A word's class and, from ``CLASSES`` on in steps of it, its vector; remembered as long as words fit into ``BYTES``."""
+
+    BYTES = 32 << 20
 
-    def __init__(self, frequent: dict[bytes, int]):
-        super().__init__(frequent)
-        self.frequent = frequent
+    def __init__(self, frequent: dict[bytes, int], vectored: dict[bytes, int]):
+        self.known = frequent | {w: ending_class(w) + CLASSES * (i + 1) for w, i in vectored.items()}
+        super().__init__(self.known)
+        self.left = self.BYTES
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        c = ending_class(word)
+        if len(word) > 200:
+            return c
+        self.left -= 100 + len(word)
+        if self.left < 0:
             self.clear()
-            self.update(self.frequent)
-        self[word] = c = ending_class(word)
+            self.update(self.known)
+            self.left = self.BYTES
+        self[word] = c
         return c
 
 
-def class_sequences(raws: list[bytes], codes: ClassCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Classes of all tokens of the texts, their contexts (class before last * CLASSES + last class), each text's number
-    of tokens, and the words."""
+def class_sequences(raws: list[bytes], codes: ClassCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Classes of all tokens of the texts, their vectors (-1: none), their contexts (class before last * CLASSES + last
+    class), each text's number of tokens, and the words."""
     words = [x.lower().split() for x in raws]
-    parts, contexts = [], []
+    parts, vectors, contexts = [], [], []
     for x in words:
         c = np.fromiter(map(codes.__getitem__, x), np.int64, len(x))
-        c = np.append(c, END)
+        v, c = np.divmod(np.append(c, END), CLASSES)
+        vectors.append(v - 1)
         before = np.concatenate([[END, END], c[:-1]])
         parts.append(c)
         contexts.append(before[:-1] * CLASSES + before[1:])
     flat = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
-    return flat(parts), flat(contexts), np.array([len(x) + 1 for x in words], np.int64), words
+    return flat(parts), flat(vectors), flat(contexts), np.array([len(x) + 1 for x in words], np.int64), words
 
 
-def cell_counts(training: DataFrame, text_col: str, frequent: dict[bytes, int]) -> DataFrame:
-    """``cell`` (context * CLASSES + class) and ``n``, over every training token."""
+def cell_counts(training: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame:
+    """``cell`` and ``n``, over every training token: context * CLASSES + class, and from CLASSES ** 3 on the class before *
+    VOCABULARY + word."""
+    shared = training.sparkSession.sparkContext.broadcast((lexicon.frequent, lexicon.vectored))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, found = ClassCodes(frequent), np.zeros(CLASSES**3, np.int32)
+        codes, found = ClassCodes(*shared.value), np.zeros(CLASSES**3 + CLASSES * VOCABULARY, np.int32)
         for batch in slices(batches, "t"):
-            classes, contexts, _, _ = class_sequences(texts(batch.column("t")), codes)
-            cells, n = np.unique(contexts * CLASSES + classes, return_counts=True)
-            found[cells] += n.astype(np.int32)
+            classes, vectors, contexts, _, _ = class_sequences(texts(batch.column("t")), codes)
+            some = vectors >= 0
+            words = CLASSES**3 + contexts[some] % CLASSES * VOCABULARY + vectors[some]
+            for each in (contexts * CLASSES + classes, words):
+                cells, n = np.unique(each, return_counts=True)
+                found[cells] += n.astype(np.int32)
         cells = np.flatnonzero(found)
         for k in range(0, len(cells), 100_000):
             part = cells[k : k + 100_000]
@@ -183,60 +214,120 @@ def cell_counts(training: DataFrame, text_col: str, frequent: dict[bytes, int])
 
 
 class LogBilinear:
-    """Scores of the next class: ``(a * left[x] + b * right[y]) . out[z] + bias[z]`` with diagonal context weights."""
+    """Scores of the next class, ``(far * words[x] + near * words[y]) . out[z] + bias[z]``, and of a word of vector w in its
+    class, ``before[y] . vectors[w] + shares[w]``."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, word_class: np.ndarray | None = None, seed: int = SEED):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         self.words, self.out, self.bias = small(CLASSES, DIM), small(CLASSES, DIM), np.zeros(CLASSES, np.float32)
         self.near, self.far = np.ones(DIM, np.float32), np.full(DIM, 0.5, np.float32)
+        self.word_class = np.zeros(0, np.int64) if word_class is None else word_class
+        n = len(self.word_class)
+        self.before, self.vectors, self.shares = small(CLASSES, DIM), small(n, DIM), np.zeros(n, np.float32)
+
+    def queries(self, contexts: np.ndarray) -> np.ndarray:
+        return self.words[contexts // CLASSES] * self.far + self.words[contexts % CLASSES] * self.near
 
     def log10_rows(self, contexts: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of all classes after each context."""
-        q = self.words[contexts // CLASSES] * self.far + self.words[contexts % CLASSES] * self.near
-        s = (q @ self.out.T + self.bias).astype(np.float64)
+        s = (self.queries(contexts) @ self.out.T + self.bias).astype(np.float64)
         s -= s.max(1, keepdims=True)
         return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
 
+    def log10_words(self) -> np.ndarray:
+        """Normalised log10 probabilities of each word among those of its class, after each class: CLASSES rows."""
+        s = self.before @ self.vectors.T + self.shares
+        if not s.shape[1]:
+            return s
+        starts = np.flatnonzero(np.diff(self.word_class, prepend=-1))
+        of = np.repeat(np.arange(len(starts)), np.diff(starts, append=s.shape[1]))
+        s -= np.maximum.reduceat(s, starts, 1)[:, of]
+        return (s - np.log(np.add.reduceat(np.exp(s), starts, 1))[:, of]) / np.float32(np.log(10))
+
+
+class Adam:
+    """Steps along the gradient of a log-likelihood."""
+
+    def __init__(self, model: LogBilinear, names: tuple[str, ...], rate: float = RATE):
+        self.model, self.names, self.rate, self.t = model, names, rate, 0
+        self.first, self.second = ({n: np.zeros_like(getattr(model, n)) for n in names} for _ in range(2))
+
+    def step(self, grads: tuple[np.ndarray, ...]) -> None:
+        self.t += 1
+        for n, g in zip(self.names, grads, strict=True):
+            self.first[n] += 0.1 * (g - self.first[n])
+            self.second[n] += 0.01 * (g * g - self.second[n])
+            hat, size = self.first[n] / (1 - 0.9**self.t), self.second[n] / (1 - 0.99**self.t)
+            getattr(self.model, n)[...] += self.rate * hat / (np.sqrt(size) + 1e-8)
+
+
+def train(cells: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = SEED, word_class: np.ndarray | None = None, word_steps: int = WORD_STEPS) -> LogBilinear:
+    """Noise-contrastive estimation of both levels from all cells: to tell what followed from NOISE times as much noise by
+    frequency."""
+    model = LogBilinear(word_class, seed)
+    first = cells < CLASSES**3
+    if first.any():
+        _train_classes(model, cells[first], counts[first].astype(np.float32), steps)
+    if not first.all():
+        _train_words(model, cells[~first] - CLASSES**3, counts[~first].astype(np.float32), word_steps)
+    return model
+
 
-def train(cells: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = SEED) -> LogBilinear:
-    """Noise-contrastive estimation: each step draws BATCH cells by their counts and NOISE classes by their frequency, and
-    learns (AdaGrad) to tell the cells' classes from the noise."""
-    model, rng = LogBilinear(seed), np.random.default_rng(seed)
-    if not len(cells):
-        return model
-    unigram = np.bincount(cells % CLASSES, counts, CLASSES) + 1.0
-    unigram /= unigram.sum()
-    log_noise = np.log(NOISE * unigram).astype(np.float32)
-    model.bias = np.log(unigram).astype(np.float32)
-    cumulative, noise = np.cumsum(counts, dtype=np.float64), np.cumsum(unigram)
-    names = ("words", "out", "bias", "near", "far")
-    squares = {n: np.full_like(getattr(model, n), 1e-3) for n in names}
+def _sigmoid(s: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
+def _train_classes(model: LogBilinear, cells: np.ndarray, counts: np.ndarray, steps: int) -> None:
+    context, target = np.divmod(cells, CLASSES)
+    unigram = np.bincount(target, counts, CLASSES) + 1.0
+    unigram = (unigram / unigram.sum()).astype(np.float32)
+    log_noise, model.bias = np.log(NOISE * unigram), np.log(unigram)
+    distinct, at = np.unique(context, return_inverse=True)
+    x, y = np.divmod(distinct, CLASSES)
+    total = counts.sum()
+    seen = np.bincount(at, counts).astype(np.float32) / total
+    share = counts / total
+    adam, n = Adam(model, ("words", "out", "bias", "near", "far")), len(distinct)
     for _ in range(steps):
-        drawn = np.minimum(np.searchsorted(cumulative, rng.random(BATCH) * cumulative[-1], side="right"), len(cells) - 1)
-        context, target = np.divmod(cells[drawn], CLASSES)
-        x, y = np.divmod(context, CLASSES)
-        others = np.minimum(np.searchsorted(noise, rng.random(NOISE), side="right"), CLASSES - 1)
         far, near = model.words[x], model.words[y]
         q = far * model.far + near * model.near
-        own = (q * model.out[target]).sum(1) + model.bias[target] - log_noise[target]
-        fake = q @ model.out[others].T + model.bias[others] - log_noise[others]
-        # gradients of the log-likelihood; noise is shared by the batch
-        g, h = 1 / (1 + np.exp(own)), -1 / (1 + np.exp(-fake))
-        dq = g[:, None] * model.out[target] + h @ model.out[others]
-        grads = {n: np.zeros_like(getattr(model, n)) for n in names}
-        np.add.at(grads["out"], target, g[:, None] * q)
-        np.add.at(grads["out"], others, h.T @ q)
-        grads["bias"] += np.bincount(target, g, CLASSES).astype(np.float32)
-        np.add.at(grads["bias"], others, h.sum(0))
-        np.add.at(grads["words"], x, dq * model.far)
-        np.add.at(grads["words"], y, dq * model.near)
-        grads["far"], grads["near"] = (dq * far).sum(0), (dq * near).sum(0)
-        for n in names:
-            d = grads[n] / BATCH
-            squares[n] += d * d
-            getattr(model, n)[...] += RATE * d / np.sqrt(squares[n])
-    return model
+        s = q @ model.out.T + model.bias - log_noise
+        real = np.zeros((n, CLASSES), np.float32)
+        real[at, target] = share
+        # of each context and class: what is seen pulls up, and what noise there is pushes down
+        sure = _sigmoid(s)
+        g = real * (1 - sure) - seen[:, None] * (NOISE * unigram) * sure
+        dq = g @ model.out
+        words = np.zeros_like(model.words)
+        np.add.at(words, x, dq * model.far)
+        np.add.at(words, y, dq * model.near)
+        adam.step((words, g.T @ q, g.sum(0), (dq * near).sum(0), (dq * far).sum(0)))
+
+
+def _train_words(model: LogBilinear, cells: np.ndarray, counts: np.ndarray, steps: int) -> None:
+    y, w = np.divmod(cells, VOCABULARY)
+    n, total = len(model.word_class), counts.sum()
+    real = np.zeros((CLASSES, n), np.float32)
+    real[y, w] = counts / total
+    each = real.sum(0) + 1e-9
+    in_class = np.bincount(model.word_class, each, CLASSES)
+    unigram = (each / in_class[model.word_class]).astype(np.float32)
+    log_noise, model.shares = np.log(NOISE * unigram), np.log(unigram)
+    classes = np.unique(model.word_class)
+    starts = np.searchsorted(model.word_class, classes)
+    adam = Adam(model, ("before", "vectors", "shares"))
+    for _ in range(steps):
+        grads = np.zeros_like(model.before), np.zeros_like(model.vectors), np.zeros_like(model.shares)
+        for a, b in zip(starts, [*starts[1:], n], strict=True):  # a class of words at a time
+            s = model.before @ model.vectors[a:b].T + model.shares[a:b] - log_noise[a:b]
+            sure = _sigmoid(s)
+            mine = real[:, a:b]
+            g = mine * (1 - sure) - mine.sum(1, keepdims=True) * (NOISE * unigram[a:b]) * sure
+            grads[0][...] += g @ model.vectors[a:b]
+            grads[1][a:b] = g.T @ model.before
+            grads[2][a:b] = g.sum(0)
+        adam.step(grads)
 
 
 PARTIAL = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare_words array<binary>, rare_counts array<int>"
@@ -250,13 +341,14 @@ def partial_scores(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = shared.value
-        codes, counts, inside = ClassCodes(lexicon.frequent), lexicon.counts, lexicon.inside()
+        codes, counts, inside = ClassCodes(lexicon.frequent, lexicon.vectored), lexicon.counts, lexicon.inside()
+        table, with_vector = model.log10_words(), lexicon.with_vector()
         smoothed = {w: float(np.log10(n + 1)) for w, n in counts.items()}
         per_token = np.log10(lexicon.tokens + lexicon.distinct + 1.0)
-        end = smoothed.get(END_WORD, 0.0)
+        end, of_vector = smoothed.get(END_WORD, 0.0), np.log10(lexicon.word_counts + 1)
         for batch in slices(batches, "t"):
             raws = texts(batch.column("t"))
-            classes, contexts, sizes, words = class_sequences(raws, codes)
+            classes, vectors, contexts, sizes, words = class_sequences(raws, codes)
             distinct, at = np.unique(contexts, return_inverse=True)
             logs = np.empty(len(contexts))
             order = np.argsort(at, kind="stable")
@@ -264,7 +356,9 @@ def partial_scores(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon
             for k, (a, b) in zip(range(0, len(distinct), 4096), zip(edges, edges[1:], strict=False), strict=False):
                 rows = order[a:b]
                 logs[rows] = model.log10_rows(distinct[k : k + 4096])[at[rows] - k, classes[rows]]
-            logs -= inside[classes]
+            some = vectors >= 0
+            logs[~some] -= inside[classes[~some]]
+            logs[some] += with_vector[classes[some]] + table[contexts[some] % CLASSES, vectors[some]]
             by_class = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(sizes) else np.zeros(0)
             known, held, rare = [], [], []
             for x in words:
@@ -274,9 +368,11 @@ def partial_scores(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon
                 known.append(len(x) + (END_WORD in counts) - sum(missing.values()))
                 held.append(sum(f for f in found if f is not None) + end)
             held_ = np.array(held)
+            # a word with a vector has its share from that, not from its count
+            bare = held_ - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], of_vector[vectors[some]], len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("i"), batch.column("h"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(held_ - sizes * per_token), pa.array(by_class + held_),
+                    batch.column("i"), batch.column("h"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(held_ - sizes * per_token), pa.array(by_class + bare),
                     pa.array([[*x] for x in rare], pa.list_(pa.binary())), pa.array([[*x.values()] for x in rare], pa.list_(pa.int32())),
                 ],
                 [x.split()[0] for x in PARTIAL.split(", ")],
@@ -291,8 +387,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     training = docs.filter(~held_out(id_col)).select(text_col)
     counts = materialise(word_counts(training, text_col), "counts")
     lexicon = learn_lexicon(counts)
-    cells = cell_counts(training, text_col, lexicon.frequent).toPandas().sort_values("cell")
-    model = train(cells["cell"].to_numpy(), cells["n"].to_numpy())
+    cells = cell_counts(training, text_col, lexicon).toPandas().sort_values("cell")
+    model = train(cells["cell"].to_numpy(), cells["n"].to_numpy(), word_class=lexicon.word_class)
     partial = partial_scores(docs, id_col, text_col, lexicon, model).withColumn("row", F.monotonically_increasing_id())
     partial = materialise(partial, "partial")
     rare = partial.select("row", F.explode(F.arrays_zip(F.col("rare_words").alias("w"), F.col("rare_counts").alias("k"))).alias("x")).select("row", "x.w", "x.k")

@@ -61,24 +61,46 @@ def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(1)
     context, target = rng.integers(0, lm_score.CLASSES**2, 3000), rng.integers(0, lm_score.CLASSES, 3000)
     target = np.where(context % 2 == 0, 5, target)
-    cells, counts = np.unique(context * lm_score.CLASSES + target, return_counts=True)
-    model = lm_score.train(cells, counts, steps=300)
+    word_class = np.sort(rng.integers(112, 120, 400))
+    before, word = rng.integers(0, lm_score.CLASSES, 5000), rng.integers(0, 400, 5000)
+    word = np.where(before % 2 == 0, word // 2 * 2, word // 2 * 2 + 1)  # even words after even classes
+    tokens = np.concatenate([context * lm_score.CLASSES + target, lm_score.CLASSES**3 + before * lm_score.VOCABULARY + word])
+    cells, counts = np.unique(tokens, return_counts=True)
+    model = lm_score.train(cells, counts, word_class=word_class)
     logs = model.log10_rows(np.arange(0, lm_score.CLASSES**2, 97))
     assert np.allclose((10**logs).sum(1), 1)
-    assert model.log10_rows(np.array([2]))[0, 5] > model.log10_rows(np.array([3]))[0, 5]
-
-
-def test_class_probabilities_add_up():
-    words, counts = [b"a", lm_score.END_WORD, b"b"], [5, 3, 2]
+    assert model.log10_rows(np.array([2]))[0, 5] > model.log10_rows(np.array([3]))[0, 5] + 0.5
+    words = 10.0 ** model.log10_words()
+    for c in np.unique(word_class):
+        assert np.allclose(words[:, word_class == c].sum(1), 1, atol=1e-4)
+    assert words[::2, ::2].mean() > 2 * words[1::2, ::2].mean()
+
+
+def test_held_out_texts_are_told_better_than_by_counts(spark):
+    """Two tongues with words of their own: what came before tells which."""
+    rng = random.Random(3)
+    tongues = [[f"{a}{k % 83}{e}" for k in range(250)] for a, e in (("ba", "ne"), ("ko", "ru"))]
+    data = [(k, " ".join(rng.choice(tongues[k % 2]) for _ in range(120))) for k in range(300)]
+    out = [r for r in lm_score.score(spark.createDataFrame(data, "doc_id bigint, text string")).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in out)
+    assert len(out) > 20 and sum(r["score"] - r["base_score"] for r in out) / tokens > 0.15  # log10 a token; half the words is 0.3
+
+
+def test_class_probabilities_add_up(monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 1)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 2)
+    words, counts = [b"a", lm_score.END_WORD, b"bean", b"mean", b"keen", b"an"], [9, 5, 4, 3, 2, 1]
     totals, kinds = np.zeros(lm_score.CLASSES), np.zeros(lm_score.CLASSES)
     lexicon = lm_score.Lexicon(words, counts, totals, kinds)
     for w, n in zip(words, counts, strict=True):
         totals[lexicon.class_of(w)] += n
         kinds[lexicon.class_of(w)] += 1
-    inside = 10 ** -lexicon.inside()
-    for w, n in zip(words, counts, strict=True):
-        c = lexicon.class_of(w)
-        assert (n + 1) * inside[c] + 1 * inside[c] == pytest.approx(1)  # its only word and the unknown one
+    assert set(lexicon.vectored) == {b"bean", b"mean"}
+    inside, with_vector = 10 ** -lexicon.inside(), 10 ** lexicon.with_vector()
+    for c in {lexicon.class_of(w) for w in words}:
+        others = [n for w, n in zip(words, counts, strict=True) if lexicon.class_of(w) == c and w not in lexicon.vectored]
+        vectors = with_vector[c] if c in lexicon.word_class else 0
+        assert sum(n + 1 for n in others) * inside[c] + inside[c] + vectors == pytest.approx(1)  # an unknown word is counted in
 
 
 # ---- 2
