@@ -154,6 +154,13 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def all_gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """``gram_hashes`` of a string of any length, in blocks that overlap."""
+    step = 1 << _BLOCK_BITS
+    parts = [gram_hashes(data[lo : lo + step + k - 1], k) for lo in range(0, max(len(data) - k + 1, 0), step)]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` values in a row."""
     if width == 1:
@@ -179,7 +186,7 @@ def group_codes(raws: list[bytes], windows: list[int], short: int, length: int)
     own = np.repeat(np.arange(len(raws)), windows)
     offset = np.arange(len(own)) - np.repeat(np.cumsum([0, *windows[:-1]]), windows)
     place = (ends - sizes)[own] + offset
-    _, group, times = np.unique(gram_hashes(data, short)[place], return_inverse=True, return_counts=True)
+    _, group, times = np.unique(all_gram_hashes(data, short)[place], return_inverse=True, return_counts=True)
     live = np.flatnonzero(times[group] > 1)
     live = live[np.argsort(group[live], kind="stable")]
     kind_of, group, later, again = group, group[live], np.zeros(len(own), bool), np.zeros(len(own), bool)
