@@ -53,20 +53,26 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 class WordHashes(dict):
-    """Numbers words; ``values`` has their hashes."""
+    """Numbers words; ``values`` has their hashes. Long words are numbered anew each time and not held."""
 
-    LIMIT = 1 << 17
+    LIMIT, LONG = 1 << 17, 256
 
     def __init__(self):
         super().__init__()
-        self.values = np.zeros(self.LIMIT, np.uint64)
+        self.values, self.n = np.zeros(self.LIMIT, np.uint64), 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.n = 0
 
     def __missing__(self, word: bytes) -> int:
-        code = len(self)
+        code = self.n
+        self.n += 1
         if code >= len(self.values):  # only within one batch
             self.values = np.concatenate([self.values, np.zeros(len(self.values), np.uint64)])
-        self[word] = code
         self.values[code] = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.LONG:
+            self[word] = code
         return code
 
 
@@ -90,7 +96,7 @@ def _distinct(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(raws: list[bytes], words: WordHashes, ngram: int = NGRAM) -> list[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct ``ngram``-word shingles, A-Z in lower case."""
-    if len(words) >= words.LIMIT:
+    if words.n >= words.LIMIT:
         words.clear()
     found = [x.lower().split() for x in raws]
     codes = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
@@ -544,9 +550,9 @@ def class_links(docs: DataFrame, signed: DataFrame, ngram: int = NGRAM, percent:
     return found.unionByName(verify(candidates, tile_pairs(postings, ends, signed, n, percent), n, ngram, percent))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, hash_col: str | None = None) -> DataFrame:
-    """A row for each row of ``df``: ``doc_id, n_shingles, component_id`` and, if ``hash_col`` names it, the xxhash64 of its
-    text, which tells rows of one id apart."""
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, hash_col: str | None = None, group_col: str | None = None) -> DataFrame:
+    """A row for each row of ``df``: ``doc_id, n_shingles, component_id`` and, if named, ``hash_col``, the xxhash64 of its
+    text, which tells rows of one id apart, and ``group_col``, a number of its component, null if it has but this row."""
     docs = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
     signed = signatures(docs, learn_ranks(docs, partitions(df.sparkSession), ngram, percent), ngram, percent)
     labels = components(class_links(docs, signed, ngram, percent))
@@ -554,8 +560,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: i
     tied = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = tied.groupBy("comp").agg(F.min("least").alias("component"), F.sum("k").alias("k")).filter("k > 1").select("comp", "component")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    answers = tied.join(least, "comp").select("cls", "component", copies)
+    answers = tied.join(least, "comp").select("cls", "component", "comp", copies)
     salted = signed.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
     return salted.join(answers, ["cls", "salt"], "left").select(
-        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"), *([F.col("h").alias(hash_col)] if hash_col else [])
+        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"), *([F.col("h").alias(hash_col)] if hash_col else []),
+        *([F.col("comp").alias(group_col)] if group_col else []),
     )

@@ -73,6 +73,24 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, sf).columns == corpus_pipeline.COLUMNS, name
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    near, other = text.replace("w39", "x"), " ".join(f"v{k}" for k in range(40))
+    data = [(5, text), (5, text), (5, near), (5, other), (None, near), (None, "alone but for the id and of some more words"), (None, "another one without an id and with other words"), (None, None), (8, ""), (9, ""), (2, f"{text} {other}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint, _h string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    kept = [r for r in got if r[1] in (text, near)]
+    assert len(kept) == 1 and kept[0][0] == 5
+    assert sorted(got, key=repr) == sorted([*kept, *(r for r in data if r[1] not in (text, near))], key=repr)
+
+
+def test_stages_of_an_empty_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
+
+
 def test_registry_has_every_operator():
     names = [*__spark_entry__.queries()]
     for n in range(1, 11):
