@@ -29,6 +29,8 @@ from fabula.llm.common import slices, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHED_PIECES = 300_000
+#: Bytes of pieces that aren't held: those would fill a worker.
+LONG = 256
 
 
 def default_ranks() -> str:
@@ -108,7 +110,11 @@ class Encoder:
             part = missing[k : k + 4096]
             for piece, e in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
                 held[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(held.__getitem__, x)) for x in pieces]
+        out = [b"".join(map(held.__getitem__, x)) for x in pieces]
+        for piece in missing:
+            if len(piece) > LONG:
+                del held[piece]
+        return out
 
 
 def token_offsets(raw: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

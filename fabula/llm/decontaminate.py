@@ -37,6 +37,8 @@ LITERALS = 4
 COVERAGE = 0.5
 #: Items of fewer tokens are in too many texts by chance.
 LEAST = 3
+#: Bytes of words that are numbered anew each time, not held.
+LONG = 256
 BITS = 23
 SALTS = 8
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years k c f hz khz mhz ghz w kw j kj v a pa usd eur gbp dollar dollars euro euros cent cents percent % mile miles meter meters metre metres gram grams pound pounds inch inches foot feet".split())
@@ -62,7 +64,9 @@ class Tokens(dict):
         low = text.lower()
         digits = sum(c.isdigit() for c in text)
         kind = 1 if digits and 2 * digits >= len(text) else 3 if text[0].isupper() else 2 if low in UNITS else 0
-        self[word] = code = len(self.kind)
+        code = len(self.kind)
+        if len(word) <= LONG:
+            self[word] = code
         shown = NUMBER if kind == 1 else NAME if kind == 3 else low
         self.plain.append(xxhash.xxh64_intdigest(low))
         self.template.append(xxhash.xxh64_intdigest(shown))
@@ -94,7 +98,7 @@ class Templates:
 
     def of(self, raws: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, int, list[str | None]]]]]:
         """For each text the number of tokens and ``(width, hash, position, slots)`` of each window that passes."""
-        if len(self.codes) > 200_000:
+        if len(self.codes.kind) > 200_000:
             self.codes = Tokens()
         found = [x.split() for x in raws]
         all_ = [np.fromiter(map(self.codes.__getitem__, x), np.int64, len(x)) for x in found]

@@ -35,6 +35,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Sequences in a record batch, and ids in a shard before the next document begins a new one.
 ROWS, SHARD_IDS = 64, 32 << 20
 CACHED_WORDS = 1_800_000
+#: Bytes of words that aren't held for the next batch: those would fill a worker.
+LONG = 256
 MANIFEST = "bucket int, part int, path string, ids bigint, sequences bigint, documents bigint"
 
 
@@ -46,14 +48,38 @@ def vocabulary(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(2)
+def looks_at_words_alone(path: str) -> bool:
+    """Whether a vocabulary file says that letters become lower case, words are parted at white space, letters, digits and
+    other marks are pieces of their own, and a word's last token is marked."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    parts = lambda x, name: [y for z in [x or {}] for y in (z.get(name) or [z])]
+    normal = {x.get("type") for x in parts(found.get("normalizer"), "normalizers")}
+    cut = {x.get("type") for x in parts(found.get("pre_tokenizer"), "pretokenizers")}
+    model = found.get("model") or {}
+    return "Lowercase" in normal and "Split" in cut and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix")
+
+
 def encode_words(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int | None, bounds: list[int]) -> DataFrame:
     """``b``: how many of the ascending ``bounds`` are below the document's id; ``d``: the id; ``ids`` (binary:
     little-endian, of 16 bits if the vocabulary allows) with ``end_id`` last.
 
-    The vocabulary drops white space and never looks across it, so a text's ids are those of its words, and the library
-    encodes each word that the worker doesn't hold yet. It lower-cases too, so words that differ in A-Z only are one, but
-    for those that have an added token's text in any case: it looks for these tokens before it lower-cases."""
-    dtype = id_type(path)
+    A vocabulary that drops white space, lower-cases and never looks across words (``looks_at_words_alone``) gives a text
+    the ids of its words, and the library encodes each word that the worker doesn't hold yet. Words that differ in A-Z only
+    are one, but for those that have an added token's text in any case: it looks for these tokens before it lower-cases.
+    With any other vocabulary the library encodes whole texts."""
+    dtype, by_word = id_type(path), looks_at_words_alone(path)
+
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For a vocabulary that looks at more than one word."""
+        model = vocabulary(path)
+        for batch in slices(batches, "t"):
+            found = model.encode_batch([x.decode("utf-8", "replace") for x in texts(batch.column("t"))], add_special_tokens=False)
+            ids = [np.array([*e.ids, *([] if end_id is None else [end_id])], dtype).tobytes() for e in found]
+            d = batch.column("d").fill_null(np.iinfo(np.int64).min).to_numpy()
+            b = np.searchsorted(np.array(bounds, np.int64), d).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(b), batch.column("d"), pa.array(ids, pa.binary())], ["b", "d", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = WordIds(path, dtype)
@@ -62,11 +88,12 @@ def encode_words(df: DataFrame, id_col: str, text_col: str, path: str, end_id: i
             words = [held.split(x) for x in texts(batch.column("t"))]
             held.learn(words)
             ids = [b"".join(map(held.__getitem__, x)) + end for x in words]
+            held.forget()
             d = batch.column("d").fill_null(np.iinfo(np.int64).min).to_numpy()
             b = np.searchsorted(np.array(bounds, np.int64), d).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(b), batch.column("d"), pa.array(ids, pa.binary())], ["b", "d", "ids"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "b int, d bigint, ids binary")
+    return df.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).mapInArrow(run if by_word else run_whole, "b int, d bigint, ids binary")
 
 
 class WordIds(dict):
@@ -74,7 +101,7 @@ class WordIds(dict):
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
-        self.model, self.dtype = vocabulary(path), dtype
+        self.model, self.dtype, self.long = vocabulary(path), dtype, []
         self.last = np.zeros(self.model.get_vocab_size(), bool)
         self.last[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.added = [t.content.lower().encode() for t in self.model.get_added_tokens_decoder().values()]
@@ -87,12 +114,18 @@ class WordIds(dict):
             return low.split()
         return [w if any(t in x for t in self.added) else x for w, x in zip(text.split(), low.split(), strict=True)]
 
+    def forget(self) -> None:
+        for w in self.long:
+            self.pop(w, None)
+
     def learn(self, words: list[list[bytes]]) -> None:
         distinct = set(chain.from_iterable(words))
         missing = distinct.difference(self)
         if len(self) + len(missing) > CACHED_WORDS:
             self.clear()
             missing = distinct
+        self.long = [w for w in missing if len(w) > LONG]
+        self.long += [w.rstrip(_MARKS) for w in self.long]
         # the vocabulary parts letters and digits from the marks after them, so those have ids of their own
         ends = {w: base for w in missing if w[-1:] in _MARKS and (base := w.rstrip(_MARKS)) and base[-1:].isalnum()}
         plain = missing.difference(ends)
