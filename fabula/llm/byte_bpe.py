@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.common import slices, texts
+from fabula.llm.common import slices, small_batches, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHED_PIECES = 300_000
@@ -147,6 +147,7 @@ def _kept(df: DataFrame, keep: tuple[str, ...], **more: str) -> tuple[DataFrame,
 def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
     """``keep`` with ``ids`` (binary: little-endian unsigned 32-bit integers) and, on demand, ``starts`` and ``ends``:
     arrays with the code points where each token starts and ends."""
+    small_batches(df.sparkSession)
     source, names, kinds = _kept(df, keep, t=text_col)
     path = ranks or default_ranks()
 
@@ -168,6 +169,7 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), ranks: str | None = None) -> DataFrame:
     """``keep`` and the ids with ``decoded``: the bytes that the ids stand for."""
+    small_batches(df.sparkSession)
     source, names, kinds = _kept(df, keep, i=ids_col)
     path = ranks or default_ranks()
 

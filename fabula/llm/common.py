@@ -6,6 +6,7 @@ outlive any executor, and what was computed once isn't computed again by each re
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,9 +56,21 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows of texts that go to Python at once, at most; a batch is held there and on its way there.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long, so batches of them are to have few rows. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in their order, in pieces of about ``max_bytes`` of ``column`` (one row at least), so that
-    Python objects are never made for more than that at once."""
+    Python objects are never made for more than that at once. What they took is given back to the system when the batches
+    end, as workers live on."""
     for batch in batches:
         k, size = 0, 0
         for i, n in enumerate(byte_lengths(batch.column(column))):
@@ -67,6 +80,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             size += n
         if k < batch.num_rows:
             yield batch.slice(k)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def byte_lengths(column: pa.Array) -> list[int]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm.common import slices, texts
+from fabula.llm.common import slices, small_batches, texts
 
 WINDOW = 8
 #: A template window needs so many tokens that aren't placeholders.
@@ -195,6 +195,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, coverage: float) -> DataFrame:
     """The rows of ``find_leaks`` with ``k``, the xxhash64 of the document's text."""
+    small_batches(docs.sparkSession)
     wanted = item_windows(items, item_col, item_text_col)
     widths = sorted(r[0] for r in wanted.select("width").distinct().collect())  # WINDOW values at most
     passing = np.zeros(1 << BITS, bool)

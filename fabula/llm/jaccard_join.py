@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabula.llm.common import materialise, partitions, pick, slices, texts
+from fabula.llm.common import materialise, partitions, pick, slices, small_batches, texts
 
 NGRAM, PERCENT = 4, 85
 #: Bits of the bitmaps that rank shingles by frequency.
@@ -553,6 +553,7 @@ def class_links(docs: DataFrame, signed: DataFrame, ngram: int = NGRAM, percent:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, hash_col: str | None = None, group_col: str | None = None) -> DataFrame:
     """A row for each row of ``df``: ``doc_id, n_shingles, component_id`` and, if named, ``hash_col``, the xxhash64 of its
     text, which tells rows of one id apart, and ``group_col``, a number of its component, null if it has but this row."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
     signed = signatures(docs, learn_ranks(docs, partitions(df.sparkSession), ngram, percent), ngram, percent)
     labels = components(class_links(docs, signed, ngram, percent))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.common import materialise, slices, texts
+from fabula.llm.common import materialise, slices, small_batches, texts
 
 FREQUENT, ENDINGS = 111, 16
 #: Frequent words, classes of endings, and the end. The largest id is the end; it also stands before the first token.
@@ -384,6 +384,7 @@ def partial_scores(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    small_batches(docs.sparkSession)
     training = docs.filter(~held_out(id_col)).select(text_col)
     counts = materialise(word_counts(training, text_col), "counts")
     lexicon = learn_lexicon(counts)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.common import materialise, partitions, pick, slices, texts
+from fabula.llm.common import materialise, partitions, pick, slices, small_batches, texts
 
 LENGTH, SHORT = 400, 256
 #: Bytes of an anchor, a quarter of ``short`` at most.
@@ -407,6 +407,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     elsewhere too; ``kept``: the other bytes, joined, null if that is the whole text, and ``sha256`` their digest.
     ``later``: the runs that have an earlier match, those to remove if the first copy is to stay. ``n_near``: bytes in
     strings of ``short`` bytes that start elsewhere too; ``longest``: the longest run of these."""
+    small_batches(df.sparkSession)
     short = short or min(length, max(4, SHORT * length // LENGTH))
     gram = max(1, min(GRAM, short // 4))
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

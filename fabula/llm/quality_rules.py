@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.common import ASCII_SPACE, Codes, slices, texts
+from fabula.llm.common import ASCII_SPACE, Codes, slices, small_batches, texts
 
 #: Characters counted as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -122,6 +122,7 @@ def fail_bits() -> Column:
 
 def ledger(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every rule evaluated once: ``keep``, the measurements and ``fail_bits``."""
+    small_batches(df.sparkSession)
     return measurements(df, text_col, keep).withColumn("fail_bits", fail_bits())
 
 

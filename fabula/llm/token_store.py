@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabula.llm.common import materialise, new_folder, partitions, slices, texts
+from fabula.llm.common import materialise, new_folder, partitions, slices, small_batches, texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Sequences in a record batch, and ids in a shard before the next document begins a new one.
@@ -233,6 +233,7 @@ def write_store(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", t
     """Encodes the texts, writes the store into ``folder`` and returns its manifest, which is itself a written table.
 
     ``start`` in the manifest is the number of ids in all shards before."""
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     n, dtype = 3 * partitions(spark), id_type(path)
     points = [k / n for k in range(1, n)]
