@@ -1,5 +1,7 @@
+import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -85,6 +87,48 @@ def test_windows_are_alike_in_streams(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM windows").collect()) == want
 
 
+@pytest.fixture
+def small_state(spark):
+    """One state store, kept where stateful processors need it."""
+    told = {"spark.sql.shuffle.partitions": "1", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    before = {k: spark.conf.get(k) for k in told}
+    for k, v in told.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_ring_and_progress_as_streams(spark, small_state, tmp_path):
+    """Frames in two files, some again: each is passed once, a run that is done starts anew, progress is what the batch form says."""
+    first = [(1, s, "f") for s in range(6)] + [(2, 0, "f"), (2, 1, "done")]
+    second = [(1, s, "f") for s in range(4, 9)] + [(2, 2, "f")]
+    schema = "run_id bigint, seq bigint, frame string"
+
+    def run() -> None:
+        stream = runs.ring_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), size=4)
+        q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start(f"{tmp_path}/out")
+        for _ in range(100):  # timers keep such a stream going, so it never says that all is done
+            time.sleep(0.5)
+            if any(p["numInputRows"] for p in q.recentProgress):
+                break
+        q.stop()
+
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+    got = sorted((r["run_id"], r["seq"], r["held"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted([(1, s, min(s + 1, 4)) for s in range(9)] + [(2, 0, 1), (2, 1, 2), (2, 2, 1)])
+
+    states = spark.createDataFrame([(r, "ab"[s % 2], float(s), s) for r, s, _ in first + second], "run_id bigint, stage string, state double, s int")
+    states = states.select("run_id", "stage", "state", F.timestamp_seconds("s").alias("ts"))
+    states.repartition(2).write.parquet(f"{tmp_path}/states")
+    stream = runs.latest_progress(spark.readStream.schema(states.schema).parquet(f"{tmp_path}/states"))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("progress").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM progress").collect()) == sorted(tuple(r) for r in runs.latest_progress(states).collect())
+
+
 def test_sessions(spark):
     df = spark.createDataFrame([(1, 0), (1, 100), (1, 5000), (2, 0)], "u int, s int").select("u", F.timestamp_seconds("s").alias("ts"))
     assert sorted((r["u"], r["n"]) for r in runs.sessions(df, "10 minutes", "u").collect()) == [(1, 1), (1, 2), (2, 1)]
