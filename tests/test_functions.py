@@ -126,3 +126,23 @@ def test_sliding_chunks_cover(spark):
     got = one(spark, tx.sliding_chunks(F.lit("abcdefghij"), 4, 1))[0]
     assert [(c["start"], c["piece"]) for c in got] == [(0, "abcd"), (3, "defg"), (6, "ghij")]
     assert one(spark, tx.sliding_chunks(F.lit(""), 4, 1))[0] == []
+
+
+def test_names_lines_and_quotes(spark):
+    real = lambda x: one(spark, tx.real_name(F.lit(x)))[0]
+    assert [real(x) for x in ("林茵", "场景12", "宾客3", "同学10", "护士", "站起来", "场景")] == [True, False, False, False, False, False, True]
+    meta = lambda x: one(spark, tx.meta_line(F.lit(x)))[0]
+    assert [meta(x) for x in ("", "人物：a", "人物关系：a", "第3集", "1-2 a", "12场", "3个人", "说：好")] == [True, True, False, True, True, True, False, False]
+    quote = lambda x: tuple(one(spark, tx.best_quote(F.lit(x), 10))[0])
+    assert quote("人物：a\n甲：你好\n ▲走") == ("▲走", 3)
+    assert quote("第1集\n文字\n甲：你好") == ("甲：你好", 3)
+    assert quote("第1集\nplain and long text") == ("plain and…", 2)
+    assert quote("第1集") == ("第1集", 1)
+    assert one(spark, tx.keywords(F.lit("What is the Main Graph of graph x-ray DATA in it?")))[0] == ["Graph", "x-ray", "DATA"]
+
+
+def test_planner_artifacts(spark):
+    plan = '[{"title": "a", "question": "b", "depth": 1, "parent_title": null}]'
+    of = lambda *x: one(spark, tx.planner_artifact(*(F.lit(v).cast("string") for v in x), ("inner",)))[0]
+    assert of("x", "y", "INNER") and of("Answer as JSON", plan, None) and of("you are a research planner", f'{{"items": {plan}}}', "user")
+    assert not of("hello", plan, None) and not of("json", '[{"title": "a"}]', None) and not of(None, None, None)

@@ -1,6 +1,7 @@
 """Operators on small given inputs, and greedy ones against plain versions."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -288,3 +289,73 @@ def test_first_of(spark):
     a = spark.createDataFrame([(1, "a")], "k int, v string")
     b = spark.createDataFrame([(1, "b"), (2, "b")], "k int, v string")
     assert {(r["k"], r["x"], r["source"]) for r in relational.first_of([(a, "v"), (b, "v")], "k", "x").collect()} == {(1, "a", 0), (2, "b", 1)}
+
+
+def test_episodes_are_cut_each_by_its_own_marks(spark):
+    """One episode with scene numbers, one with headings alone, one with neither."""
+    told = ["第1集", "1-1 客厅 日内", "走廊 夜内", "a", "1-2 客厅 日内", "b", "第2集", "客厅 日内", "c", "走廊 夜内", "d", "第3集", "e", "f"]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(told)], "script_id string, pos bigint, line string")
+    got = {r["pos"]: (r["episode"], r["scene"]) for r in structure.segment_scripts(df).collect()}
+    assert [got[i] for i in range(len(told))] == [(1, 1), (1, 2), (1, 2), (1, 2), (1, 3), (1, 3), (2, 4), (2, 5), (2, 5), (2, 6), (2, 6), (3, 7), (3, 7), (3, 7)]
+
+
+def test_names_that_are_like_enough_are_asked_about(spark):
+    df = spark.createDataFrame([(1, "martha", 5), (1, "marhta", 2), (1, "marcus", 1), (1, "bob", 3)], "script_id bigint, name string, n bigint")
+    asked = {r["name"]: r["ask"] for r in graph.resolve_names(df).collect()}
+    assert asked["marhta"] is None and asked["bob"] is None and asked["marcus"] == "martha"
+
+
+def test_layout_match_against_a_plain_version(spark):
+    from difflib import SequenceMatcher
+
+    blocks = {1: ["the first block of words", "and then a second one with more", "last lines here"], 2: ["one two three four", "five six seven eight nine"], 3: ["nothing alike"]}
+    snippets = {1: "a second one", 2: "fiv six sevn eigth nine", 3: "0123456789 abc"}
+
+    def overlap(a, b):
+        x, y = ({t for t in re.split("[^a-z0-9]+", c) if len(t) > 1} for c in (a, b))
+        return len(x & y) / len(x | y) if x and y else 0.0
+
+    want = {}
+    for d, s in snippets.items():
+        held = [i for i, b in enumerate(blocks[d]) if s in b or b in s]
+        scores = []
+        for i, b in enumerate(blocks[d]):
+            both = " ".join(blocks[d][i : i + 2])
+            ratio = lambda x: SequenceMatcher(None, s, x).ratio()  # noqa: E731, B023
+            scores.append((max(0.7 * ratio(b) + 0.3 * overlap(s, b), 0.98 * (0.65 * ratio(both) + 0.35 * overlap(s, both))), -i))
+        if held:
+            want[d] = (held[0], 1.0)
+        elif max(scores)[0] >= 0.42:
+            want[d] = (-max(scores)[1], round(max(scores)[0], 9))
+    asked = spark.createDataFrame([*snippets.items()], "doc_id bigint, snippet string")
+    rows = spark.createDataFrame([(d, i, b) for d, bs in blocks.items() for i, b in enumerate(bs)], "doc_id bigint, pos bigint, text string")
+    got = {r["doc_id"]: (r["pos"], round(r["score"], 9)) for r in structure.layout_match(asked, rows).collect()}
+    assert got == want and set(got) == {1, 2}
+
+
+def test_routed_chunks_lose_nothing(spark):
+    long = "One sentence here. " * 120
+    data = [(1, 0, "table", long), (2, 0, "text", long), (3, 0, "code", long * 3), (4, 0, "code", "short"), (5, 0, "text", "  ")]
+    df = spark.createDataFrame(data, "doc_id bigint, pos bigint, kind string, text string")
+    got = structure.routed_chunks(df, 1200, 4000, 1000, 100, lambda t: [(0, t[:1000]), (1, t[1000:])]).collect()
+    of = lambda d: [r["piece"] for r in sorted(got, key=lambda r: (r["doc_id"], r["chunk"])) if r["doc_id"] == d]
+    assert of(1) == [long.strip()] and "".join(of(2)) == long and of(4) == ["short"] and of(5) == []
+    assert of(3)[0] + "".join(x[100:] for x in of(3)[1:]) == long * 3
+    assert {r["doc_id"]: r["route"] for r in got} == {1: "whole", 2: "semantic", 3: "sliding", 4: "whole"}
+
+
+def test_adaptive_pages(spark):
+    rows = [(q, i, i + 1, float((i * 37) % 101)) for q in (1, 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "qid bigint, id bigint, stored int, score double")
+    got = {}
+    for r in retrieval.adaptive_page(df, F.col("qid"), 10).collect():
+        got.setdefault(r["qid"], []).append((r["place"], r["id"]))
+    again = sorted((-s, i) for q, i, k, s in rows if q == 1 and k <= 128)[:10]
+    assert [i for _, i in sorted(got[1])] == [i for _, i in again]
+    assert [i for _, i in sorted(got[5])] == [*range(40, 50)]
+
+
+def test_bullets_that_only_look_so(spark):
+    df = spark.createDataFrame([("0. x",), ("12 3",), ("1... x",), ("2. x",), ("PART NINE",), ("第三节 x",)], "line string")
+    families = [[r[0] for r in df.select(structure.is_bullet(F.col("line"), f)).collect()] for f in structure.BULLETS]
+    assert families[1] == [False, False, False, True, False, False] and families[3][4] and families[0][5]
