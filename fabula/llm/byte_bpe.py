@@ -31,6 +31,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHED_PIECES = 300_000
 #: Bytes of pieces that aren't held: those would fill a worker.
 LONG = 256
+#: Bytes of text that are cut into pieces at once; each piece is an object some ten times its size.
+SLICE = 1 << 20
 
 
 def default_ranks() -> str:
@@ -152,8 +154,8 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     path = ranks or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lengths = Encoder(path, pattern), np.array([*map(len, byte_table(path))])
-        for batch in slices(batches, "t"):
+        encoder, lengths = Encoder(path, pattern), np.array([*map(len, byte_table(path))]) if offsets else None
+        for batch in slices(batches, "t", SLICE):
             raw = texts(batch.column("t"))
             ids = encoder.encode_batch([x.decode("utf-8", "replace") for x in raw])
             out = [*(batch.column(n) for n in names), pa.array(ids, pa.binary())]
@@ -175,7 +177,7 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = byte_table(path).__getitem__
-        for batch in slices(batches, "i"):
+        for batch in slices(batches, "i", SLICE):
             raw = [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in texts(batch.column("i"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
 
