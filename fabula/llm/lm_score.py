@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.common import materialise, slices, small_batches, texts
+from fabula.llm.common import give_back, materialise, slices, small_batches, texts
 
 FREQUENT, ENDINGS = 111, 16
 #: Frequent words, classes of endings, and the end. The largest id is the end; it also stands before the first token.
@@ -45,7 +45,7 @@ END_WORD = b" "
 HELD = 200_000
 #: Words with vectors: enough of them make up nearly all of a text, and their parameters fit into a worker.
 VOCABULARY = 32_768
-DIM, NOISE, STEPS, WORD_STEPS, RATE, SEED = 32, 24, 250, 60, 0.05, 20
+DIM, NOISE, STEPS, WORD_STEPS, RATE, SEED = 32, 24, 160, 40, 0.05, 20
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -127,9 +127,10 @@ def learn_lexicon(counts: DataFrame) -> Lexicon:
         if so_far > HELD:
             break
         least = r["n"]
-    top = counts.filter((F.col("n") >= least) | (F.col("w") == F.lit(END_WORD))).collect()
-    top.sort(key=lambda r: (-r["n"], bytes(r["w"])))
-    words, numbers = [bytes(r["w"]) for r in top], [r["n"] for r in top]
+    top = counts.filter((F.col("n") >= least) | (F.col("w") == F.lit(END_WORD))).select("w", "n").toArrow()
+    pairs = sorted(zip(top["w"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    words, numbers = [w for w, _ in pairs], [n for _, n in pairs]
+    del top, pairs
     lexicon = Lexicon(words, numbers, np.zeros(CLASSES), np.zeros(CLASSES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,8 +389,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     training = docs.filter(~held_out(id_col)).select(text_col)
     counts = materialise(word_counts(training, text_col), "counts")
     lexicon = learn_lexicon(counts)
-    cells = cell_counts(training, text_col, lexicon).toPandas().sort_values("cell")
-    model = train(cells["cell"].to_numpy(), cells["n"].to_numpy(), word_class=lexicon.word_class)
+    found = cell_counts(training, text_col, lexicon).toArrow()
+    cells, n = found["cell"].to_numpy(), found["n"].to_numpy()
+    del found
+    give_back()
+    model = train(cells, n, word_class=lexicon.word_class)
+    del cells, n
     partial = partial_scores(docs, id_col, text_col, lexicon, model).withColumn("row", F.monotonically_increasing_id())
     partial = materialise(partial, "partial")
     rare = partial.select("row", F.explode(F.arrays_zip(F.col("rare_words").alias("w"), F.col("rare_counts").alias("k"))).alias("x")).select("row", "x.w", "x.k")
