@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.common import slices, small_batches, texts
+from fabula.llm.common import give_back, slices, small_batches, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHED_PIECES = 300_000
+CACHED_PIECES = 120_000
 #: Bytes of pieces that aren't held: those would fill a worker.
 LONG = 256
 #: Bytes of text that are cut into pieces at once; each piece is an object some ten times its size.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def default_ranks() -> str:
@@ -100,6 +100,8 @@ class Encoder:
 
         self.find = pattern_of(pattern or public_tokenizers.PATTERN).findall
         self.model, self.cached, self.held = tokenizer(path), cached, {}
+        load_ranks.cache_clear()  # the model has them now
+        give_back()
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         pieces = [self.find(x) for x in batch]
@@ -177,6 +179,7 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = byte_table(path).__getitem__
+        load_ranks.cache_clear()
         for batch in slices(batches, "i", SLICE):
             raw = [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in texts(batch.column("i"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
