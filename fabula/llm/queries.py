@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import byte_bpe, chat, decontaminate, jaccard_join, lm_score, long_repeats, quality_rules, secrets, token_store, warc
+from fabula.llm import alignment, byte_bpe, chat, decontaminate, filter_audit, jaccard_join, lm_score, long_repeats, mixture, quality_rules, secrets, token_store, warc
 from fabula.llm.common import table
 
 
@@ -103,6 +103,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, items)
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of every document."""
+    return mixture.plan(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "rounds", "shard"
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, where they end together, and how common the pairs that overlap are."""
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove in each of their 120 orders, by language."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return filter_audit.audit(filter_audit.mask_counts(docs, labels))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -115,6 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_store": op8_token_store,
         "op9_chat": op9_chat,
         "op10_decontaminate": op10_decontaminate,
+        "op11_mixture": op11_mixture,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -157,4 +178,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
 def oracle_sql() -> dict[str, str]:
     """SQL of those queries that it can express on whole tables. The others are tested by brute force, a round trip or the
     library that they follow."""
-    return {"op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat": OP9_SQL}
+    return {
+        "op5_jaccard_join": OP5_SQL,
+        "op6_warc": OP6_SQL,
+        "op7_quality_rules": OP7_SQL,
+        "op9_chat": OP9_SQL,
+        "op11_mixture": mixture.sql(),
+        "op13_filter_audit": filter_audit.sql(),
+    }
