@@ -47,6 +47,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 ESCAPED = re.compile("[\ud800-\udfff]")
 #: Bytes of text aligned at once, words held, and bytes of words that aren't held.
 SLICE, HELD, LONG = 1 << 20, 100_000, 256
+#: Words that go to the tokenizers as one text.
+TOGETHER = 64
 #: Bitmap entries (documents by pair) and documents of a container, at most but for the last slice's.
 ENTRIES, PLACES = 4_000_000, (1 << 16) - 1
 #: Bits of a token's id in a pair, and of a document's place.
@@ -71,8 +73,9 @@ def load(a_path: str, b_path: str):
     a = Tokenizer.from_file(a_path)
     a.encode_special_tokens = True
     byte_of = {c: b for b, c in enumerate(byte_characters())}
-    a_bytes = {}
-    for token, k in a.get_vocab().items():
+    entries = a.get_vocab()
+    a_bytes = [b""] * (max(entries.values(), default=-1) + 1)
+    for token, k in entries.items():
         plain = all(c in byte_of for c in token)
         a_bytes[k] = bytes(byte_of[c] for c in token) if plain else token.encode()
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -82,40 +85,20 @@ def load(a_path: str, b_path: str):
         b_bytes.append(bytes([int(piece[3:5], 16)]) if b.is_byte(k) else piece.replace("▁", " ").encode())
         if re.search("[^ ] ", b_bytes[-1].decode("utf-8", "replace")):
             raise ValueError(f"a piece with a space inside: {piece!r}; texts can't be cut at spaces")
-    if max(len(b_bytes), max(a_bytes, default=0) + 1) >> ID_BITS:
+    if max(len(b_bytes), len(a_bytes)) >> ID_BITS:
         raise ValueError("a vocabulary of more than four million tokens")
     return a, a_bytes, b, b_bytes
 
 
-def match(a: list[int], b: list[int], a_bytes, b_bytes, wanted: bytes):
-    """(number of groups, digest text, pairs) of one word's tokens, or None where their bytes aren't those of the word."""
-    a_texts, b_texts = [a_bytes[x] for x in a], [b_bytes[x] for x in b]
-    if b"".join(a_texts) != wanted or b"".join(b_texts) != wanted:
-        return None
-    groups, pairs, i, j, first, second = [], [], 0, 0, 0, 0
-    end_a, end_b = len(a_texts[0]), len(b_texts[0])
-    while True:
-        pairs.append(a[i] << ID_BITS | b[j])
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[first : i + 1])) + "|" + ",".join(map(str, b[second : j + 1])))
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return len(groups), ";".join(groups), pairs
-            first, second = i, j
-            end_a, end_b = end_a + len(a_texts[i]), end_b + len(b_texts[j])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(a_texts[i])
-        else:
-            j += 1
-            end_b += len(b_texts[j])
-
-
 class Aligner:
-    """Aligns words and holds what it has aligned: tokens of each, groups, digest text and pairs, or None."""
+    """Aligns words and holds what it has aligned: numbers of tokens of each and of groups, parts of the digest text, pairs; or
+    None where the tokens' bytes aren't those of the word. ``shown`` has the digest text's parts: ids with what follows."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.a_bytes, self.b, self.b_bytes = load(a_path, b_path)
+        self.lengths = [np.array([*map(len, table)], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        self.shown = [f"{k}{mark}" for size, marks in ((n, ",|"), (m, ",;")) for mark in marks for k in range(size)]
         self.held: dict[str, tuple | None] = {}
 
     def align(self, words: list[str]) -> list[tuple | None]:
@@ -123,24 +106,68 @@ class Aligner:
         if len(self.held) + len(missing) > HELD:
             self.held.clear()
             missing = words
-        texts = []
-        for w in missing:
-            if ESCAPED.search(w):  # bytes that aren't UTF-8
-                self.held[w] = None
-            else:
-                texts.append(w)
-        for k in range(0, len(texts), 4096):
-            part = texts[k : k + 4096]
-            firsts = self.a.encode_batch([" " + w for w in part], add_special_tokens=False)
-            for w, x, y in zip(part, firsts, self.b.encode(part, num_threads=1), strict=True):
-                found = match(x.ids, y, self.a_bytes, self.b_bytes, b" " + w.encode())
-                self.held[w] = found and (len(x.ids), len(y), *found)
+        for k in range(0, len(missing), 8192):
+            self._add([w for w in missing[k : k + 8192] if not self._unreadable(w)])
         out = [self.held[w] for w in words]
         for w in missing:
             if len(w) > LONG:
                 self.held.pop(w, None)
         return out
 
+    def _unreadable(self, word: str) -> bool:
+        if word.isascii() or not ESCAPED.search(word):
+            return False
+        self.held[word] = None  # bytes that aren't UTF-8
+        return True
+
+    def _tokens(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts by both tokenizers, one list each."""
+        first = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
+        return [[i for x in first for i in x.ids], [i for x in self.b.encode(texts, num_threads=1) for i in x]]
+
+    def _sound(self, word: str, raw: bytes) -> bool:
+        """Whether the word's tokens have its bytes; if not it is held as such."""
+        for table, ids in zip((self.a_bytes, self.b_bytes), self._tokens([word]), strict=True):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                self.held[word] = None
+                return False
+        return True
+
+    def _add(self, words: list[str]) -> None:
+        """Aligns words: they are laid end to end, where the ends of both tokenizers' tokens cut each other's tokens. What lies
+        between two cuts is in one token of each: a link."""
+        if not words:
+            return
+        edge = [w for w in words if w[:1].isspace() or w[-1:].isspace()]
+        inner = [w for w in words if not (w[:1].isspace() or w[-1:].isspace())] if edge else words
+        words = [*inner, *edge]
+        # words side by side are what their texts are cut into, and fewer calls
+        texts = [*(" ".join(inner[k : k + TOGETHER]) for k in range(0, len(inner), TOGETHER)), *edge]
+        flat = self._tokens(texts)
+        wanted = [b" " + w.encode() for w in words]
+        if any(b"".join(map(table.__getitem__, ids)) != b"".join(wanted) for table, ids in zip((self.a_bytes, self.b_bytes), flat, strict=True)):
+            self._add([w for w, raw in zip(words, wanted, strict=True) if self._sound(w, raw)])
+            return
+        ids = [np.array(x, np.int64) for x in flat]
+        ends = [np.cumsum(n[x]) for n, x in zip(self.lengths, ids, strict=True)]
+        common = [y[np.searchsorted(y, x)] == x for x, y in (ends, ends[::-1])]  # the last tokens of groups
+        cuts = np.sort(np.concatenate([ends[0], ends[1][~common[1]]]), kind="stable")
+        i, j = (np.searchsorted(e, cuts) for e in ends)
+        pairs = ids[0][i] << ID_BITS | ids[1][j]
+        group = [np.cumsum(c) - c for c in common]
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        codes = np.empty(len(ids[0]) + len(ids[1]), np.int32)
+        before = np.searchsorted(group[1], group[0]), np.searchsorted(group[0], group[1], side="right")
+        codes[np.arange(len(ids[0])) + before[0]] = ids[0] + n * common[0]
+        codes[np.arange(len(ids[1])) + before[1]] = ids[1] + 2 * n + m * common[1]
+        word_ends = np.cumsum([*map(len, wanted)])
+        at = [np.searchsorted(e, word_ends, side="right") for e in (*ends, cuts, ends[0][common[0]])]
+        n_a, n_b, n_links, n_groups = (np.diff(x, prepend=0).tolist() for x in at)
+        p = t = 0
+        for w, x, y, z, g in zip(words, n_a, n_b, n_links, n_groups, strict=True):
+            self.held[w] = x, y, g, codes[t : t + x + y], pairs[p : p + z]
+            p, t = p + z, t + x + y
+
 
 def parts(raw: bytes) -> Iterator[str] | None:
     """A text in slices that end where it may be cut, or None if it isn't UTF-8."""
@@ -276,38 +303,49 @@ def _bitmap_rows(held: Container, names: list[str], types: list[pa.DataType]) ->
         yield _rows(names, types, n, filled)
 
 
+class Table:
+    """What a list of words (each aligned, or None) says, laid out for texts that are lists of their numbers."""
+
+    def __init__(self, kinds: list[tuple | None], shown: list[str]):
+        none = 0, 0, 0, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.known = np.array([x is not None for x in kinds], bool)
+        filled = [x or none for x in kinds]
+        self.sums = np.array([x[:3] for x in filled], np.int64).reshape(-1, 3)
+        self.shown, self.parts = shown, []
+        for k in (3, 4):
+            sizes = np.array([len(x[k]) for x in filled], np.int64)
+            self.parts.append((np.concatenate([x[k] for x in filled] or [none[k]]), sizes, np.cumsum(sizes) - sizes))
+
+    def gathered(self, words: np.ndarray, which: int) -> np.ndarray:
+        values, sizes, starts = self.parts[which]
+        n = sizes[words]
+        return values[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def text(self, words: np.ndarray) -> str:
+        """The groups of a text, each followed by its mark."""
+        return "".join(map(self.shown.__getitem__, self.gathered(words, 0).tolist()))
+
+    def entries(self, words: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """A document's pairs with their numbers of links, as keys of a container."""
+        found, counts = np.unique(self.gathered(words, 1), return_counts=True)
+        return found << PLACE_BITS | place, counts
+
+
 def _documents(aligner: Aligner, held: Container, texts: list[tuple[int, str]]) -> Iterator[tuple[int, tuple]]:
     """Digest rows of texts of a slice together, by their place in the batch; their pairs go to the container."""
     codes = Codes()
     split = [CUT.split(text) for _, text in texts]
     numbers = [np.fromiter(map(codes.__getitem__, words), np.int64, len(words)) for words in split]
-    kinds = aligner.align(list(codes))
-    known, sums, shown, pairs, sizes, starts = _tables(kinds)
+    table = Table(aligner.align(list(codes)), aligner.shown)
     for (k, _), words in zip(texts, numbers, strict=True):
-        if not known[words].all():
+        if not table.known[words].all():
             continue
-        n_a, n_b, n_groups = sums[words].sum(0).tolist()
-        digest = hashlib.sha256(";".join(map(shown.__getitem__, words.tolist())).encode()).hexdigest()
-        held.add(*_entries(words, pairs, sizes, starts, held.documents + k))
+        n_a, n_b, n_groups = table.sums[words].sum(0).tolist()
+        digest = hashlib.sha256(table.text(words)[:-1].encode()).hexdigest()
+        held.add(*table.entries(words, held.documents + k))
         yield k, (n_a, n_b, n_groups, n_a + n_b - n_groups, digest)
 
 
-def _tables(kinds: list[tuple | None]):
-    known = np.array([x is not None for x in kinds], bool)
-    sums = np.array([x[:3] if x else (0, 0, 0) for x in kinds], np.int64).reshape(-1, 3)
-    sizes = np.array([len(x[4]) if x else 0 for x in kinds], np.int64)
-    pairs = np.fromiter(itertools.chain.from_iterable(x[4] for x in kinds if x), np.int64, int(sizes.sum()))
-    return known, sums, [x[3] if x else "" for x in kinds], pairs, sizes, np.cumsum(sizes) - sizes
-
-
-def _entries(words: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, starts: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
-    """A document's pairs with their numbers of links, as keys of a container."""
-    n = sizes[words]
-    at = np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    found, counts = np.unique(pairs[at], return_counts=True)
-    return found << PLACE_BITS | place, counts
-
-
 def _long_document(aligner: Aligner, held: Container, k: int, raw: bytes) -> tuple:
     """The digest row of a text of several slices."""
     none, total, digest, found = (0, 0, 0, 0, ""), np.zeros(3, np.int64), hashlib.sha256(), []
@@ -318,12 +356,12 @@ def _long_document(aligner: Aligner, held: Container, k: int, raw: bytes) -> tup
         codes = Codes()
         words = CUT.split(part)
         numbers = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        known, sums, shown, pairs, sizes, starts = _tables(aligner.align(list(codes)))
-        if not known.all():
+        table = Table(aligner.align(list(codes)), aligner.shown)
+        if not table.known.all():
             return none
-        total += sums[numbers].sum(0)
-        digest.update((";" * (n > 0) + ";".join(map(shown.__getitem__, numbers.tolist()))).encode())
-        found.append(_entries(numbers, pairs, sizes, starts, held.documents + k))
+        total += table.sums[numbers].sum(0)
+        digest.update((";" * (n > 0) + table.text(numbers)[:-1]).encode())
+        found.append(table.entries(numbers, held.documents + k))
         if len(found) > 16:
             found = [merged(found)]
     held.add(*merged(found))
@@ -396,11 +434,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths:
             for k, raw in enumerate(batch.column("t").cast(pa.binary()).to_pylist()):
                 made = []
                 for part in parts(raw) or () if raw else ():
-                    found = aligner.align(CUT.split(part))
-                    if None in found:
+                    words = CUT.split(part)
+                    table = Table(aligner.align(words), aligner.shown)
+                    if not table.known.all():
                         made = []
                         break
-                    made.append(";".join(x[3] for x in found))
+                    made.append(table.text(np.arange(len(words)))[:-1])
                 at += [k] * max(1, len(made))
                 number += range(max(1, len(made)))
                 shown += made or [""]
