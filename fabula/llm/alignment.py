@@ -16,8 +16,8 @@ before it is written (a document's multiplicities are added up first).
 3. (pair, container), two numbers, meet the pairs' scores and go back to their containers, whose postings return them to
    the documents. A container with its scores is bounded by ``ENTRIES``, whatever the corpus, and so is any group.
 
-Both tokenizers must never look across a space between two characters that aren't white space; ``Aligner`` checks that of
-the second vocabulary, and the first splits there by its pattern. So texts are cut there, words are encoded once and held.
+Both tokenizers must never look across a space between two characters that aren't white space; ``load`` checks that of
+the second vocabulary, and the first splits there by its pattern. So texts are cut there, and a slice's words are encoded once.
 
 Edge cases: a null or empty text, one that isn't valid UTF-8 and one whose joined tokens differ from it have no tokens,
 zeros and an empty digest; rows of one id, null ids too, are documents of their own; an empty table gives an empty
@@ -44,9 +44,8 @@ from fabula.llm.common import Codes, give_back, materialise, slices, small_batch
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Where a text may be cut: the space belongs to what follows, as the second tokenizer puts one before its text.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ESCAPED = re.compile("[\ud800-\udfff]")
-#: Bytes of text aligned at once, words held, and bytes of words that aren't held.
-SLICE, HELD, LONG = 1 << 20, 100_000, 256
+#: Bytes of text aligned at once, each distinct word once.
+SLICE = 1 << 21
 #: Words that go to the tokenizers as one text.
 TOGETHER = 64
 #: Bitmap entries (documents by pair) and documents of a container, at most but for the last slice's.
@@ -90,64 +89,76 @@ def load(a_path: str, b_path: str):
     return a, a_bytes, b, b_bytes
 
 
+class Table:
+    """What distinct words say, laid out for texts that are lists of their numbers: ``sums`` (tokens of each tokenizer and
+    groups), parts of the digest text, pairs; ``known`` is false where the tokens' bytes aren't those of the word."""
+
+    def __init__(self, known: np.ndarray, sums: np.ndarray, codes: np.ndarray, pairs: np.ndarray, shown: list[str]):
+        self.known, self.sums, self.shown = known, sums, shown
+        sizes = sums[:, 0] + sums[:, 1], sums[:, 0] + sums[:, 1] - sums[:, 2]  # p + q - 1 links in each group
+        self.parts = [(values, n, np.cumsum(n) - n) for values, n in zip((codes, pairs), sizes, strict=True)]
+
+    def gathered(self, words: np.ndarray, which: int) -> np.ndarray:
+        values, sizes, starts = self.parts[which]
+        n = sizes[words]
+        return values[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def text(self, words: np.ndarray) -> str:
+        """The groups of a text, each followed by its mark."""
+        return "".join(map(self.shown.__getitem__, self.gathered(words, 0).tolist()))
+
+    def entries(self, words: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """A document's pairs with their numbers of links, as keys of a container."""
+        found, counts = np.unique(self.gathered(words, 1), return_counts=True)
+        return found << PLACE_BITS | place, counts
+
+
 class Aligner:
-    """Aligns words and holds what it has aligned: numbers of tokens of each and of groups, parts of the digest text, pairs; or
-    None where the tokens' bytes aren't those of the word. ``shown`` has the digest text's parts: ids with what follows."""
+    """Aligns texts by their distinct words. ``shown`` has the parts of the digest text: ids with what follows them."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.a_bytes, self.b, self.b_bytes = load(a_path, b_path)
         self.lengths = [np.array([*map(len, table)], np.int64) for table in (self.a_bytes, self.b_bytes)]
         n, m = len(self.a_bytes), len(self.b_bytes)
         self.shown = [f"{k}{mark}" for size, marks in ((n, ",|"), (m, ",;")) for mark in marks for k in range(size)]
-        self.held: dict[str, tuple | None] = {}
-
-    def align(self, words: list[str]) -> list[tuple | None]:
-        missing = [w for w in words if w not in self.held]
-        if len(self.held) + len(missing) > HELD:
-            self.held.clear()
-            missing = words
-        for k in range(0, len(missing), 8192):
-            self._add([w for w in missing[k : k + 8192] if not self._unreadable(w)])
-        out = [self.held[w] for w in words]
-        for w in missing:
-            if len(w) > LONG:
-                self.held.pop(w, None)
-        return out
-
-    def _unreadable(self, word: str) -> bool:
-        if word.isascii() or not ESCAPED.search(word):
-            return False
-        self.held[word] = None  # bytes that aren't UTF-8
-        return True
-
-    def _tokens(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts by both tokenizers, one list each."""
+
+    def align(self, texts: list[str]) -> tuple[list[np.ndarray], Table]:
+        """Each text as numbers of words, and the table of those."""
+        codes = Codes()
+        split = [CUT.split(x) for x in texts]
+        # only the ends of texts may be white space, which mustn't stand beside other words
+        edge = {w for words in split for w in (words[0], words[-1]) if w[:1].isspace() or w[-1:].isspace()}
+        for w in edge:
+            codes[w]
+        numbers = [np.fromiter(map(codes.__getitem__, words), np.int64, len(words)) for words in split]
+        words = list(codes)
+        found = [self._aligned(words[: len(edge)], 1)] if edge else []
+        found += [self._aligned(words[k : k + 8192], TOGETHER) for k in range(len(edge), len(words), 8192)]
+        return numbers, Table(*(np.concatenate([x[k] for x in found]) for k in range(4)), self.shown)
+
+    def _tokens(self, words: list[str], together: int) -> tuple[list[list[int]], bool]:
+        """Ids of words by both tokenizers, one list each, and whether both have the words' bytes. Words side by side are what
+        their texts were cut into, and fewer calls."""
+        texts = [" ".join(words[k : k + together]) for k in range(0, len(words), together)]
         first = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
-        return [[i for x in first for i in x.ids], [i for x in self.b.encode(texts, num_threads=1) for i in x]]
-
-    def _sound(self, word: str, raw: bytes) -> bool:
-        """Whether the word's tokens have its bytes; if not it is held as such."""
-        for table, ids in zip((self.a_bytes, self.b_bytes), self._tokens([word]), strict=True):
-            if b"".join(map(table.__getitem__, ids)) != raw:
-                self.held[word] = None
-                return False
-        return True
-
-    def _add(self, words: list[str]) -> None:
-        """Aligns words: they are laid end to end, where the ends of both tokenizers' tokens cut each other's tokens. What lies
-        between two cuts is in one token of each: a link."""
-        if not words:
-            return
-        edge = [w for w in words if w[:1].isspace() or w[-1:].isspace()]
-        inner = [w for w in words if not (w[:1].isspace() or w[-1:].isspace())] if edge else words
-        words = [*inner, *edge]
-        # words side by side are what their texts are cut into, and fewer calls
-        texts = [*(" ".join(inner[k : k + TOGETHER]) for k in range(0, len(inner), TOGETHER)), *edge]
-        flat = self._tokens(texts)
-        wanted = [b" " + w.encode() for w in words]
-        if any(b"".join(map(table.__getitem__, ids)) != b"".join(wanted) for table, ids in zip((self.a_bytes, self.b_bytes), flat, strict=True)):
-            self._add([w for w, raw in zip(words, wanted, strict=True) if self._sound(w, raw)])
-            return
+        flat = [[i for x in first for i in x.ids], [i for x in self.b.encode(texts, num_threads=1) for i in x]]
+        raw = "".join(" " + x for x in texts).encode()
+        return flat, all(b"".join(map(table.__getitem__, ids)) == raw for table, ids in zip((self.a_bytes, self.b_bytes), flat, strict=True))
+
+    def _aligned(self, words: list[str], together: int) -> tuple[np.ndarray, ...]:
+        """Known or not, sums, codes and pairs of words. They are laid end to end, where the ends of both tokenizers' tokens cut
+        each other's tokens. What lies between two cuts is in one token of each: a link."""
+        flat, sound = self._tokens(words, together)
+        if not sound:
+            known = np.array([self._tokens([w], 1)[1] for w in words])
+            good = [w for w, ok in zip(words, known, strict=True) if ok]
+            sums = np.zeros((len(words), 3), np.int64)
+            if len(good) == len(words):
+                raise AssertionError("words that stand side by side are encoded otherwise than alone")
+            if not good:
+                return known, sums, np.zeros(0, np.int32), np.zeros(0, np.int64)
+            _, sums[known], codes, pairs = self._aligned(good, together)
+            return known, sums, codes, pairs
         ids = [np.array(x, np.int64) for x in flat]
         ends = [np.cumsum(n[x]) for n, x in zip(self.lengths, ids, strict=True)]
         common = [y[np.searchsorted(y, x)] == x for x, y in (ends, ends[::-1])]  # the last tokens of groups
@@ -160,25 +171,28 @@ class Aligner:
         before = np.searchsorted(group[1], group[0]), np.searchsorted(group[0], group[1], side="right")
         codes[np.arange(len(ids[0])) + before[0]] = ids[0] + n * common[0]
         codes[np.arange(len(ids[1])) + before[1]] = ids[1] + 2 * n + m * common[1]
-        word_ends = np.cumsum([*map(len, wanted)])
-        at = [np.searchsorted(e, word_ends, side="right") for e in (*ends, cuts, ends[0][common[0]])]
-        n_a, n_b, n_links, n_groups = (np.diff(x, prepend=0).tolist() for x in at)
-        p = t = 0
-        for w, x, y, z, g in zip(words, n_a, n_b, n_links, n_groups, strict=True):
-            self.held[w] = x, y, g, codes[t : t + x + y], pairs[p : p + z]
-            p, t = p + z, t + x + y
+        word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        at = [np.searchsorted(e, word_ends, side="right") for e in (*ends, ends[0][common[0]])]
+        return np.ones(len(words), bool), np.stack([np.diff(x, prepend=0) for x in at], axis=1), codes, pairs
 
 
-def parts(raw: bytes) -> Iterator[str] | None:
-    """A text in slices that end where it may be cut, or None if it isn't UTF-8."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return _parts(text)
+#: What a document without tokens has.
+NONE = (0, 0, 0, 0, "")
 
 
-def _parts(text: str) -> Iterator[str]:
+def readable(column: pa.Array) -> list[str]:
+    """Each value as text; a null and bytes that aren't UTF-8 count as empty."""
+    out = []
+    for raw in column.cast(pa.binary()).to_pylist():
+        try:
+            out.append((raw or b"").decode())
+        except UnicodeDecodeError:
+            out.append("")
+    return out
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text in slices that end where it may be cut."""
     at = 0
     while len(text) - at > SLICE:
         cut = CUT.search(text, at + SLICE)
@@ -265,14 +279,10 @@ def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             if held.entries > ENTRIES or held.documents + batch.num_rows > PLACES:
                 yield from _bitmap_rows(held, names, types)
                 held = Container(held.number + 1)
-            whole = [(k, x or b"") for k, x in enumerate(batch.column("t").cast(pa.binary()).to_pylist())]
-            small = [(k, x.decode("utf-8", "surrogateescape")) for k, x in whole if 0 < len(x) <= SLICE]
-            rows = dict(_documents(aligner, held, small))
-            for k, raw in whole:
-                if len(raw) > SLICE:
-                    rows[k] = _long_document(aligner, held, k, raw)
-            none = (0, 0, 0, 0, "")
-            columns = list(zip(*(rows.get(k, none) for k in range(batch.num_rows)), strict=True))
+            texts = [*enumerate(readable(batch.column("t")))]
+            rows = dict(_documents(aligner, held, [(k, x) for k, x in texts if 0 < len(x) <= SLICE]))
+            rows |= {k: _long_document(aligner, held, k, x) for k, x in texts if len(x) > SLICE}
+            columns = list(zip(*(rows.get(k, NONE) for k in range(batch.num_rows)), strict=True))
             places = np.arange(held.documents, held.documents + batch.num_rows)
             held.documents += batch.num_rows
             filled = {"container": np.full(batch.num_rows, held.number), "place": places, "id": batch.column("id")}
@@ -303,40 +313,11 @@ def _bitmap_rows(held: Container, names: list[str], types: list[pa.DataType]) ->
         yield _rows(names, types, n, filled)
 
 
-class Table:
-    """What a list of words (each aligned, or None) says, laid out for texts that are lists of their numbers."""
-
-    def __init__(self, kinds: list[tuple | None], shown: list[str]):
-        none = 0, 0, 0, np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.known = np.array([x is not None for x in kinds], bool)
-        filled = [x or none for x in kinds]
-        self.sums = np.array([x[:3] for x in filled], np.int64).reshape(-1, 3)
-        self.shown, self.parts = shown, []
-        for k in (3, 4):
-            sizes = np.array([len(x[k]) for x in filled], np.int64)
-            self.parts.append((np.concatenate([x[k] for x in filled] or [none[k]]), sizes, np.cumsum(sizes) - sizes))
-
-    def gathered(self, words: np.ndarray, which: int) -> np.ndarray:
-        values, sizes, starts = self.parts[which]
-        n = sizes[words]
-        return values[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-
-    def text(self, words: np.ndarray) -> str:
-        """The groups of a text, each followed by its mark."""
-        return "".join(map(self.shown.__getitem__, self.gathered(words, 0).tolist()))
-
-    def entries(self, words: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
-        """A document's pairs with their numbers of links, as keys of a container."""
-        found, counts = np.unique(self.gathered(words, 1), return_counts=True)
-        return found << PLACE_BITS | place, counts
-
-
 def _documents(aligner: Aligner, held: Container, texts: list[tuple[int, str]]) -> Iterator[tuple[int, tuple]]:
     """Digest rows of texts of a slice together, by their place in the batch; their pairs go to the container."""
-    codes = Codes()
-    split = [CUT.split(text) for _, text in texts]
-    numbers = [np.fromiter(map(codes.__getitem__, words), np.int64, len(words)) for words in split]
-    table = Table(aligner.align(list(codes)), aligner.shown)
+    if not texts:
+        return
+    numbers, table = aligner.align([text for _, text in texts])
     for (k, _), words in zip(texts, numbers, strict=True):
         if not table.known[words].all():
             continue
@@ -346,22 +327,16 @@ def _documents(aligner: Aligner, held: Container, texts: list[tuple[int, str]])
         yield k, (n_a, n_b, n_groups, n_a + n_b - n_groups, digest)
 
 
-def _long_document(aligner: Aligner, held: Container, k: int, raw: bytes) -> tuple:
+def _long_document(aligner: Aligner, held: Container, k: int, text: str) -> tuple:
     """The digest row of a text of several slices."""
-    none, total, digest, found = (0, 0, 0, 0, ""), np.zeros(3, np.int64), hashlib.sha256(), []
-    slices_of = parts(raw)
-    if slices_of is None:
-        return none
-    for n, part in enumerate(slices_of):
-        codes = Codes()
-        words = CUT.split(part)
-        numbers = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        table = Table(aligner.align(list(codes)), aligner.shown)
+    total, digest, found = np.zeros(3, np.int64), hashlib.sha256(), []
+    for n, part in enumerate(parts(text)):
+        (words,), table = aligner.align([part])
         if not table.known.all():
-            return none
-        total += table.sums[numbers].sum(0)
-        digest.update((";" * (n > 0) + table.text(numbers)[:-1]).encode())
-        found.append(table.entries(numbers, held.documents + k))
+            return NONE
+        total += table.sums[words].sum(0)
+        digest.update((";" * (n > 0) + table.text(words)[:-1]).encode())
+        found.append(table.entries(words, held.documents + k))
         if len(found) > 16:
             found = [merged(found)]
     held.add(*merged(found))
@@ -431,15 +406,14 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths:
         aligner = Aligner(a_path, b_path)
         for batch in slices(batches, "t", SLICE):
             at, number, shown = [], [], []
-            for k, raw in enumerate(batch.column("t").cast(pa.binary()).to_pylist()):
+            for k, text in enumerate(readable(batch.column("t"))):
                 made = []
-                for part in parts(raw) or () if raw else ():
-                    words = CUT.split(part)
-                    table = Table(aligner.align(words), aligner.shown)
+                for part in parts(text) if text else ():
+                    (words,), table = aligner.align([part])
                     if not table.known.all():
                         made = []
                         break
-                    made.append(table.text(np.arange(len(words)))[:-1])
+                    made.append(table.text(words)[:-1])
                 at += [k] * max(1, len(made))
                 number += range(max(1, len(made)))
                 shown += made or [""]
