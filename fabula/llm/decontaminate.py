@@ -8,14 +8,17 @@ template window with a value that doesn't is no match; plain windows match whate
 asked again with other numbers or names is caught, a verbatim one with an edit too, and a chance meeting of templates isn't.
 
 Plan: one scan of the documents. A bitmap of BITS bits, whatever the benchmark's size, passes the windows that may be in
-the benchmark; those few go into the exact join, which is salted, since one item may be leaked into a third of all
-documents. The rest is grouping by document and item.
+the benchmark. Both sides are then a row for each text and distinct window, with where its template windows stand, and
+these rows meet in the exact join, which is salted, since one item may be leaked into a third of all documents. So a text
+that repeats a window n times and an item that repeats it m times meet in one row, not in n x m. A document and an item go
+on if the windows that they share could cover enough of the item, and only then are placements looked at, some hundred
+at a time.
 
 Edge cases: null or empty texts and items have no windows; an item of fewer than WINDOW tokens is one window of all its
-tokens; an item of fewer than LEAST tokens says too little to be found anywhere and is never reported; rows that share an
-id, a null one too, are different documents, each with rows of its own, but equal rows are reported once; rows of items
-that share an id are one item in parts; a text of any length is one row of windows, of which only those that may be in
-the benchmark are kept; empty tables give an empty result; other columns of the inputs are ignored.
+tokens; an item of fewer than ``least`` tokens is never reported (``skipped_items`` lists those, ``least=1`` skips none that
+has a token); rows that share an id, a null one too, are different documents or different items, each with rows of its own,
+but equal rows are reported once; a text of any length is one row of windows, of which only those that may be in the
+benchmark are kept; empty tables give an empty result; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +39,10 @@ WINDOW = 8
 LITERALS = 4
 #: An item is leaked into a document if so large a part of its tokens is covered by plain windows and those with consistent slots.
 COVERAGE = 0.5
-#: Items of fewer tokens are in too many texts by chance.
+#: Items of fewer tokens are in too many texts by chance. A parameter; 1 looks for all that have a token.
 LEAST = 3
+#: Placements of an item in a document that are judged at once.
+SHIFTS = 512
 #: Bytes of words that are numbered anew each time, not held.
 LONG = 256
 BITS = 23
@@ -133,25 +139,39 @@ class Templates:
 
 
 def _arrow(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"id": pa.int64(), "h": pa.int64(), "pos": pa.int32(), "slots": pa.list_(pa.string()), "width": pa.int32(), "tokens": pa.int32(), "k": pa.int64()}
+    kinds = {"id": pa.int64(), "h": pa.int64(), "pos": pa.int32(), "slots": pa.list_(pa.string()), "width": pa.int32(), "tokens": pa.int32(), "k": pa.int64(), "ik": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names)
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every window of every item: WINDOWS, ``width`` and the item's number of ``tokens``."""
+def item_windows(items: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
+    """Every window of every item: WINDOWS, ``width``, the item's number of ``tokens`` and ``ik``, the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, names = Templates(), ["id", "h", "pos", "slots", "width", "tokens"]
+        made, names = Templates(), ["id", "h", "pos", "slots", "width", "tokens", "ik"]
         for batch in slices(batches, "t"):
             rows = []
-            for i, (n, found) in zip(batch.column("i").to_pylist(), made.of(texts(batch.column("t"))), strict=True):
-                if n >= LEAST:
-                    rows += [(i, h, at, slots, width, n) for width, h, at, slots in found]
+            for i, k, (n, found) in zip(batch.column("i").to_pylist(), batch.column("k").to_pylist(), made.of(texts(batch.column("t"))), strict=True):
+                if n >= least:
+                    rows += [(i, h, at, slots, width, n, k) for width, h, at, slots in found]
             if rows:
                 yield _arrow(rows, names)
 
-    source = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return source.mapInArrow(run, f"{WINDOWS}, width int, tokens int")
+    text = F.col(text_col).cast("string")
+    source = items.select(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text).alias("k"), text.alias("t"))
+    return source.mapInArrow(run, f"{WINDOWS}, width int, tokens int, ik bigint")
+
+
+def skipped_items(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """``item_id, tokens`` of the items that are never reported: those of fewer than ``least`` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Templates()
+        for batch in slices(batches, "t"):
+            counts = pa.array([n for n, _ in made.of(texts(batch.column("t")))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("i"), counts], ["item_id", "tokens"])
+
+    source = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).cast("string").alias("t"))
+    return source.mapInArrow(run, "item_id bigint, tokens int").filter(F.col("tokens") < least)
 
 
 def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[int], passing: np.ndarray) -> DataFrame:
@@ -177,80 +197,127 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[i
     return source.mapInArrow(run, DOCUMENT_WINDOWS)
 
 
-def _pairs(windows: str) -> Column:
-    """The distinct values in slots, of benchmark (a) and document (b), of an array of windows; plain windows have none."""
-    return F.array_distinct(F.filter(F.flatten(F.transform(windows, lambda w: w["slots"])), lambda s: s["a"].isNotNull()))
+def find_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, least: int = LEAST
+) -> DataFrame:
+    """A row for each document and item that it contains: ``doc_id, item_id, n_windows, covered_tokens, item_tokens,
+    coverage, n_slots, reparameterised``."""
+    return leaks(docs, items, id_col, text_col, item_col, item_text_col, coverage, least).drop("k", "ik")
 
 
-def _unclear(pairs: Column) -> Column:
-    """The benchmark values of sorted ``pairs`` that meet more than one document value."""
-    return F.transform(F.filter(pairs, lambda s, k: (k > 0) & s["a"].eqNullSafe(F.get(pairs, k - 1)["a"])), lambda s: s["a"])
+def _distinct(windows: DataFrame, *keys: str) -> DataFrame:
+    """A row for each of ``keys`` and window ``h``, with the places and slots of template windows (``at``) and the places of
+    all (``spots``)."""
+    template = F.exists("slots", lambda s: s.isNotNull())
+    return windows.groupBy(*keys, "h").agg(F.collect_set(F.when(template, F.struct("pos", "slots"))).alias("at"), F.collect_set("pos").alias("spots"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """A row for each document and item that it contains: ``doc_id, item_id, n_windows, covered_tokens, item_tokens,
-    coverage, n_slots, reparameterised``."""
-    return leaks(docs, items, id_col, text_col, item_col, item_text_col, coverage).drop("k")
+def _covered(spots: Column) -> Column:
+    """How many tokens the windows of ``width`` at sorted ``spots`` cover."""
+    wide = F.col("width")
+    return F.aggregate(
+        spots,
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct((x + wide).alias("end"), (acc["n"] + x + wide - F.greatest(acc["end"], x)).alias("n")),
+        lambda acc: acc["n"],
+    )
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, coverage: float) -> DataFrame:
-    """The rows of ``find_leaks`` with ``k``, the xxhash64 of the document's text."""
+def sound_windows(met: list[dict]) -> tuple[list[int], int, bool]:
+    """Of template windows that a document and an item share (``own`` and ``item``: places and slots), the item's places that
+    some placement finds with consistent slots; the number of different values in the slots of those, benchmark and
+    document; and whether any of them differ. A placement is a difference of places."""
+    codes: dict[str | None, int] = {}
+    number = lambda slots: [codes.setdefault(x, len(codes)) if x is not None else -1 for x in slots]
+    kinds, spots, sides = ([], []), ([], []), ([], [])
+    for h, both in enumerate(met):
+        for side, name in enumerate(("item", "own")):
+            rows = sorted({(x["pos"], *number(x["slots"])) for x in both[name]})
+            kinds[side].extend([h] * len(rows))
+            spots[side].extend(r[0] for r in rows)
+            sides[side].extend(r[1:] for r in rows)
+    kind, pos = (np.array(x[0], np.int64) for x in (kinds, spots))
+    at, a, b = np.array(spots[1], np.int64), np.array(sides[0], np.int64), np.array(sides[1], np.int64)
+    span = int(max(at.max(), pos.max())) + 1
+    order = np.array(kinds[1], np.int64) * 2 * span + at  # sorted: by window, then place
+    found, pairs = np.zeros(len(pos), bool), []
+    for low in range(int(at.min() - pos.max()), int(at.max() - pos.min()) + 1, SHIFTS):
+        first = np.searchsorted(order, kind * 2 * span + np.clip(pos + low, 0, span))
+        n = np.searchsorted(order, kind * 2 * span + np.clip(pos + low + SHIFTS, 0, span)) - first
+        i = np.repeat(np.arange(len(pos)), n)
+        j = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(i))
+        if not len(i):
+            continue
+        row, column = np.nonzero(a[i] >= 0)
+        value = np.stack([at[j[row]] - pos[i[row]], a[i[row], column], b[j[row], column]])
+        by = np.lexsort(value[::-1])
+        same = (value[:2, by[1:]] == value[:2, by[:-1]]).all(0)
+        starts = np.flatnonzero(np.r_[True, ~same])
+        other = value[2, by]
+        mixed = np.minimum.reduceat(other, starts) != np.maximum.reduceat(other, starts)
+        unclear = np.zeros(len(i), bool)
+        unclear[row[by[np.repeat(mixed, np.diff(np.r_[starts, len(by)]))]]] = True
+        found[i[~unclear]] = True
+        pairs.append(np.unique(value[1:, ~unclear[row]], axis=1))
+    seen = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), int)
+    return sorted(set(pos[found].tolist())), seen.shape[1], bool((seen[0] != seen[1]).any())
+
+
+def _sound(met: Column) -> Column:
+    """``sound_windows`` of a column, as ``spots``, ``slots`` and ``changed``."""
+
+    @F.pandas_udf("struct<spots:array<int>,slots:int,changed:boolean>")
+    def sound(rows: pd.Series) -> pd.DataFrame:
+        found = [sound_windows(list(x)) if x is not None and len(x) else ([], 0, False) for x in rows]
+        return pd.DataFrame(found, columns=["spots", "slots", "changed"])
+
+    return sound(met)
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, coverage: float, least: int = LEAST) -> DataFrame:
+    """The rows of ``find_leaks`` with ``k`` and ``ik``, the xxhash64 of the document's and of the item's text."""
     small_batches(docs.sparkSession)
-    wanted = item_windows(items, item_col, item_text_col)
+    wanted = item_windows(items, item_col, item_text_col, least)
     widths = sorted(r[0] for r in wanted.select("width").distinct().collect())  # WINDOW values at most
     passing = np.zeros(1 << BITS, bool)
     bits = wanted.select(F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("bit")).distinct().toPandas()["bit"]
     passing[bits.to_numpy(dtype=np.int64)] = True
-    seen = document_windows(docs, id_col, text_col, widths or [WINDOW], passing)
-    salt = F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")
+    seen = _distinct(document_windows(docs, id_col, text_col, widths or [WINDOW], passing), "id", "k").drop("spots")
+    asked = _distinct(wanted, "id", "ik", "tokens", "width")
+    salt = F.pmod(F.xxhash64("id", "k"), F.lit(SALTS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     met = (
         seen.withColumn("salt", salt)
         .alias("d")
-        .join(wanted.withColumn("salt", copies).alias("i"), ["h", "salt"])
+        .join(asked.withColumn("salt", copies).alias("i"), ["h", "salt"])
         .select(
-            F.col("d.id").alias("doc_id"), F.col("d.k").alias("k"), F.col("i.id").alias("item_id"), F.col("d.pos").alias("at"), F.col("i.pos").alias("pos"),
-            "width", "tokens", F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
+            F.col("d.id").alias("doc_id"), "k", F.col("i.id").alias("item_id"), "ik", "tokens", "width",
+            F.struct(F.col("d.at").alias("own"), F.col("i.at").alias("item"), F.col("spots")).alias("window"),
         )
     )
-    # The placement of an item in a document is told by the difference of positions; slots are judged in each placement.
-    place = ["doc_id", "k", "item_id", "tokens"]
-    placed = met.groupBy(*place, (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set(F.struct("pos", "width", "slots")).alias("windows"))
-    one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda s: s["a"]))) == F.size("pairs")
-    clear = F.filter("windows", lambda w: ~F.coalesce(F.arrays_overlap(w["slots"]["a"], _unclear(F.array_sort("pairs"))), F.lit(False)))
-    sound = placed.withColumn("pairs", _pairs("windows")).select(*place, F.when(one_to_one, F.col("windows")).otherwise(clear).alias("windows"))
-    sound = sound.filter(F.size("windows") > 0).select(
-        *place, F.transform("windows", lambda w: F.struct(w["pos"].alias("pos"), w["width"].alias("width"))).alias("at"), _pairs("windows").alias("pairs")
-    )
-    joined = sound.groupBy(*place).agg(
-        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-    )
-    spans = F.array_sort("at")
-    covered = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["end"], x["pos"] + x["width"]).alias("end"),
-            (acc["n"] + F.greatest(F.lit(0), x["pos"] + x["width"] - F.greatest(acc["end"], x["pos"]))).alias("n"),
-        ),
-        lambda acc: acc["n"],
-    )
-    out = joined.select(
+    pair = ["doc_id", "k", "item_id", "ik", "tokens", "width"]
+    both = met.groupBy(*pair).agg(F.collect_list("window").alias("windows"))
+    flat = lambda windows: F.array_sort(F.array_distinct(F.flatten(F.transform(windows, lambda w: w["spots"]))))
+    likely = both.filter(_covered(flat(F.col("windows"))) >= coverage * F.col("tokens"))
+    plain, templates = F.filter("windows", lambda w: F.size(w["own"]) == 0), F.filter("windows", lambda w: F.size(w["own"]) > 0)
+    short = F.transform(templates, lambda w: F.struct(w["own"].alias("own"), w["item"].alias("item")))
+    judged = likely.select(*pair, flat(plain).alias("plain"), _sound(short).alias("sound"))
+    out = judged.withColumn("spots", F.array_sort(F.array_union("plain", "sound.spots"))).select(
         "doc_id",
         "k",
         "item_id",
-        F.size("at").alias("n_windows"),
-        covered.alias("covered_tokens"),
+        "ik",
+        F.size("spots").alias("n_windows"),
+        _covered(F.col("spots")).alias("covered_tokens"),
         F.col("tokens").alias("item_tokens"),
-        F.size("pairs").alias("n_slots"),
-        F.exists("pairs", lambda s: ~s["a"].eqNullSafe(s["b"])).alias("reparameterised"),
+        F.col("sound.slots").alias("n_slots"),
+        F.col("sound.changed").alias("reparameterised"),
     )
     return out.withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens")).filter(F.col("coverage") >= coverage)
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
     """``docs`` without the rows that contain an item; others of the same id, or without one, stay."""
-    found = leaks(docs, items, id_col, text_col, item_col, item_text_col, coverage).select(F.col("doc_id").alias("_leaked_id"), F.col("k").alias("_leaked_text")).distinct()
+    found = leaks(docs, items, id_col, text_col, item_col, item_text_col, coverage, least).select(F.col("doc_id").alias("_leaked_id"), F.col("k").alias("_leaked_text")).distinct()
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_leaked_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_leaked_text"))
     return docs.join(found, same, "left_anti")
