@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,30 +69,53 @@ def similar_names(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.withColumn("similarity", similar(a, b))
 
 
-def resolve_names(mentions: DataFrame, merge_at: float = 0.85, ask_at: float = 0.65) -> DataFrame:
-    """``script_id, name, entity, ask``: names of a script (``script_id, name, n``) joined greedily, the frequent ones first, each
-    to the most similar entity that there is by then; ``ask`` is an entity that is similar enough to ask about. Order decides,
-    so a script's names are one group; a script has few."""
+def resolve_names(mentions: DataFrame, merge_at: float = 0.85, ask_at: float = 0.65, often: int = 8, large: int = 5) -> DataFrame:
+    """``script_id, name, entity, place, ask``: names of a script (script_id, name, n) joined greedily, by mentions and then
+    by length, the larger first (ties by name). A name joins the first entity whose own name is ``merge_at`` like it; before
+    that, an entity that is ``ask_at`` like it is asked about if it has more than ``large`` names or both names have ``often``
+    mentions together, and joined if ``approved`` (a column of mentions, an array of entities, if there is one) has it.
+    ``ask`` is the first entity that was asked about in vain; ``place`` an entity's place in the order in which they were
+    made. Order decides, so a script's names are one group; a script has few."""
+    asked = F.col("approved") if "approved" in mentions.columns else F.array().cast("array<string>")
+    rows = mentions.select("script_id", "name", F.col("n").cast("bigint").alias("n"), asked.alias("approved"))
 
-    def resolve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
+    def resolve(key: tuple, names: pd.DataFrame) -> pd.DataFrame:
+        heads: list[tuple[str, int]] = []
+        sizes: list[int] = []
         out = []
-        for name in rows.sort_values(["n", "name"], ascending=[False, True])["name"]:
-            best = max(heads, key=lambda h: (name_similarity(h, name), -heads.index(h)), default=None)
-            like, ask = name_similarity(best, name) if best is not None else 0.0, None
-            if like < merge_at:
-                heads.append(name)
-                best, ask = name, best if like >= ask_at else None
-            out.append((key[0], name, best, ask))
-        return pd.DataFrame(out, columns=["script_id", "name", "entity", "ask"])
-
-    return mentions.groupBy("script_id").applyInPandas(resolve, "script_id bigint, name string, entity string, ask string")
+        order = sorted(zip(names["name"], names["n"], names["approved"], strict=True), key=lambda x: (-x[1], -len(x[0]), x[0]))
+        for name, n, approved in order:
+            home, ask = None, None
+            allowed = set(approved) if approved is not None else set()
+            for place, (head, m) in enumerate(heads):
+                like = name_similarity(name, head)
+                if like >= merge_at or (like >= ask_at and (sizes[place] > large or n + m >= often) and head in allowed):
+                    home = place
+                    break
+                if ask is None and like >= ask_at and (sizes[place] > large or n + m >= often):
+                    ask = head
+            if home is None:
+                home = len(heads)
+                heads.append((name, n))
+                sizes.append(0)
+            sizes[home] += 1
+            out.append((key[0], name, heads[home][0], home, ask))
+        return pd.DataFrame(out, columns=["script_id", "name", "entity", "place", "ask"])
+
+    return rows.groupBy("script_id").applyInPandas(resolve, "script_id bigint, name string, entity string, place int, ask string")
 
 
 def roles(entities: DataFrame) -> DataFrame:
-    """Roles by rank of appearances in a script: the first leads, the next two oppose or support, others are minor."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("script_id").orderBy(F.desc("n"), "entity"))
-    return entities.withColumn("rank", rank).withColumn("role", F.when(F.col("rank") == 1, "protagonist").when(F.col("rank") <= 3, "support").otherwise("minor"))
-
+    """``entities`` (script_id, entity, place, scenes) with ``rank`` (from 0) and ``role``. By number of scenes, then place: the
+    first leads; the second opposes if it is in two scenes and in half as many as the first; who else is in two scenes
+    supports, and others are minor."""
+    by_script = Window.partitionBy("script_id")
+    rank = F.row_number().over(by_script.orderBy(F.desc("scenes"), "place")) - 1
+    half = F.greatest(F.lit(2), F.floor(F.max("scenes").over(by_script) * 0.5))
+    role = (
+        F.when(F.col("rank") == 0, "protagonist")
+        .when((F.col("rank") == 1) & (F.col("scenes") >= F.col("_half")), "antagonist")
+        .when(F.col("scenes") >= 2, "supporting")
+        .otherwise("minor")
+    )
+    return entities.withColumns({"rank": rank, "_half": half}).withColumn("role", role).drop("_half")

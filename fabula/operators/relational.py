@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -85,16 +84,26 @@ def first_of(parts: Sequence[tuple[DataFrame, str]], key: str, name: str) -> Dat
     return found.select(key, F.coalesce(*(f"_v{i}" for i in range(len(parts)))).alias(name), F.coalesce(*(F.when(F.col(f"_v{i}").isNotNull(), i) for i in range(len(parts)))).alias("source"))
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as a table and read from there, so that what several readers share is computed once and outlives any
-    executor. The folder is that of ``spark.checkpoint.dir``; where none is set, in local mode only, a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of ``spark.checkpoint.dir``; where none is set, in local mode only, a
+    temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/fabula-{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/fabula-{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read from there, so that what several readers share is computed once
+    and outlives any executor."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -142,11 +142,9 @@ def token_similarity(weights: DataFrame, doc_terms: DataFrame) -> DataFrame:
 
 
 def field_tokens(docs: DataFrame, id_col: str, content: Column, title: Column, important: Column, question: Column) -> DataFrame:
-    """``id, term, times``: a document's tokens, those of its title twice, of its important words five times and of its
-    question six times."""
-    fields = F.array(*(F.struct(F.lit(times).alias("times"), tokens(F.coalesce(c, F.lit(""))).alias("ws")) for c, times in ((content, 1), (title, 2), (important, 5), (question, 6))))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(fields).alias("f")).select("id", "f.times", F.explode("f.ws").alias("term"))
-    return rows.groupBy("id", "term").agg(F.sum("times").alias("times"))
+    """``id, term``: the distinct tokens of a document's fields."""
+    fields = F.array(*(tokens(F.coalesce(c, F.lit(""))) for c in (content, title, important, question)))
+    return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(fields))).alias("term"))
 
 
 def hybrid(hits: DataFrame, similarity: DataFrame, query_vectors: DataFrame, vectors: DataFrame, by_terms: float = 0.3, by_vector: float = 0.7) -> DataFrame:
@@ -192,15 +190,24 @@ def weighted_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return words.unionByName(like).unionByName(phrases).groupBy("item_id", "kind", "term").agg(F.max("w").alias("w"))
 
 
-def tag_portion(tags: DataFrame, smoothing: int = 1000, top: int = 3) -> DataFrame:
-    """``id, tag, score``: tags of documents (``id, tag, c``) over their share everywhere, as whole numbers, the best ``top``."""
+def tag_shares(tags: DataFrame, smoothing: int = 1000) -> DataFrame:
+    """``tag, share``: each tag's part of all tags (id, tag, c)."""
     counts = tags.groupBy("tag").agg(F.sum("c").alias("n"))
-    share = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("tag", ((F.col("n") + 1) / (F.col("all") + smoothing)).alias("share"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("tag", ((F.col("n") + 1) / (F.col("all") + smoothing)).alias("share"))
+
+
+def tag_portion(tags: DataFrame, shares: DataFrame, smoothing: int = 1000, top: int = 3, least: int | None = None) -> DataFrame:
+    """``id, tag, score, rank``: tags found for documents or questions (id, tag, c) over their ``shares`` everywhere (tag,
+    share; one that isn't there counts as 0.0001), as whole numbers. Of each id's ``top`` those of score 0 are left out, as for
+    documents, or raised to ``least``, as for questions."""
     own = tags.groupBy("id").agg(F.sum("c").alias("cnt"))
-    rows = tags.join(share, "tag").join(own, "id")
-    score = F.bround(0.1 * (F.col("c") + 1) / (F.col("cnt") + smoothing) / F.greatest(F.lit(1e-6), F.col("share")), 0).cast("bigint")
+    rows = tags.join(shares, "tag", "left").join(own, "id")
+    share = F.greatest(F.lit(1e-6), F.coalesce("share", F.lit(0.0001)))
+    score = F.bround(0.1 * (F.col("c") + 1) / (F.col("cnt") + smoothing) / share, 0).cast("bigint")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "tag")
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", "tag", "score", "rank")
+    found = rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    found = found.filter("score > 0") if least is None else found.withColumn("score", F.greatest(F.lit(least).cast("bigint"), "score"))
+    return found.select("id", "tag", "score", "rank")
 
 
 def cascade(levels: Sequence[DataFrame]) -> DataFrame:
@@ -228,3 +235,88 @@ def trigrams(text: Column) -> Column:
     n = F.length(text)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)))
     return F.when(n > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+
+def hash_vectors(text: Column | str) -> Column:
+    """Embeddings where no model is at hand: counts of hashed words, 64 of them."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        import zlib
+
+        rows = ([zlib.crc32(w.encode()) % 64 for w in (text or "").lower().split()] for text in texts)
+        return pd.Series([np.bincount(np.array(x, np.int64), minlength=64).astype(np.float32) for x in rows])
+
+    return vectors(text)
+
+
+def line_scores(terms: Column | str, line: Column | str, before: Column | str, after: Column | str) -> Column:
+    """``line_score`` for many pairs of queries and long lines, in batches: sets in place of arrays."""
+
+    @F.pandas_udf("double")
+    def scores(t: pd.Series, x: pd.Series, b: pd.Series, a: pd.Series) -> pd.Series:
+        import regex
+
+        find, held, out = regex.compile(r"[\p{L}\p{N}]+").findall, {}, []
+        grams = lambda text: {text[k : k + 3] for k in range(max(len(text) - 2, 1))} if text else set()
+        for asked, own, previous, following in zip(t, x, b, a, strict=True):
+            key = tuple(asked)
+            if key not in held:
+                held[key] = " ".join(key), {*key}, grams(" ".join(key))
+            joined, words, wanted = held[key]
+            low = (own or "").lower()
+            near = {*find((previous or "").lower()), *find((following or "").lower())}
+            shared = lambda there: len(words & there) / len(words) if words else 0.0  # noqa: B023, E731
+            mine = grams(low)
+            alike = len(wanted & mine) / len(wanted | mine) if wanted or mine else 0.0
+            out.append(1.8 * (joined in low) + 1.4 * shared({*find(low)}) + 0.45 * shared(near) + 1.1 * alike + 0.12)
+        return pd.Series(out, dtype=float)
+
+    return scores(terms, line, before, after)
+
+
+def searched_lines(queries: DataFrame, lines: DataFrame, k: int, chunk: int = 20, by_vector: float = 0.78, by_line: float = 0.22) -> DataFrame:
+    """``qid, id, line, score, cosine, lexical, rank``: the ``k`` best lines for queries (qid, text) of files' lines (id, line,
+    text; lines from 0).
+
+    Files are chunks of ``chunk`` lines with a vector each. The ``4 * k`` chunks nearest to a query, those with a cosine above
+    0, give their best line by words and characters; both scores are weighed, and a line counts once. Queries are a stated
+    set; chunks and not lines meet them, and lines are joined again only for the chunks that were found."""
+    parts = lines.withColumn("part", F.expr(f"line div {chunk}"))
+    texts = parts.groupBy("id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    chunks = texts.select(F.struct("id", "part").alias("id"), hash_vectors("text").alias("vec"))
+    near = vector_top_k(queries.select("qid", hash_vectors("text").alias("vec")), chunks, 4 * k).filter("score > 0")
+    found = near.select("qid", "id.id", "id.part", F.col("score").alias("cosine"))
+    around = Window.partitionBy("id").orderBy("line")
+    shown = lines.join(found.select("id").distinct(), "id", "left_semi")
+    shown = shown.withColumns({"part": F.expr(f"line div {chunk}"), "before": F.lag("text").over(around), "after": F.lead("text").over(around)})
+    asked = queries.select("qid", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    rows = found.join(shown, ["id", "part"]).join(asked, "qid").withColumn("lexical", line_scores("terms", "text", "before", "after"))
+    best = rows.groupBy("qid", "id", "part", "cosine").agg(F.max_by(F.struct("line", "lexical"), F.struct(F.round("lexical", 9), -F.col("line"))).alias("b"))
+    scored = best.select("qid", "id", "b.line", "cosine", "b.lexical", F.round(by_vector * F.col("cosine") + by_line * F.col("b.lexical"), 4).alias("score"))
+    once = scored.groupBy("qid", "id", "line").agg(F.max_by(F.struct("score", "cosine", "lexical"), "score").alias("s")).select("qid", "id", "line", "s.*")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "line")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def cited_chunks(pieces: DataFrame, chunks: DataFrame, by_terms: float = 0.1, by_vector: float = 0.9, start: float = 0.63, decay: float = 0.8, floor: float = 0.3, most: int = 4) -> DataFrame:
+    """``qid, piece, chunk, score, bar``: the chunks (qid, chunk, terms, vec) that support the pieces (qid, piece, terms, vec) of
+    an answer.
+
+    Similarity is that of terms (the part of a piece's that a chunk has) and of vectors, weighted. A piece cites the chunks
+    that come within a hundredth of its best, ``most`` at most, if that reaches the bar; the bar falls from ``start`` by
+    ``decay``, while above ``floor``, to the first height that any piece of the answer reaches. An answer's chunks are the few
+    that its search found."""
+    own = pieces.select("qid", "piece", F.array_distinct("terms").alias("own"), F.col("vec").alias("q"))
+    share = F.coalesce(ratio(F.size(F.array_intersect("own", "terms")), F.size("own")), F.lit(0.0))
+    rows = own.join(chunks, "qid").select("qid", "piece", "chunk", (by_terms * share + by_vector * F.coalesce(cosine(F.col("vec"), F.col("q")), F.lit(0.0))).alias("score"))
+    rows = rows.withColumn("near", 0.99 * F.max("score").over(Window.partitionBy("qid", "piece")))
+    bars, bar = [], start
+    while bar > floor:
+        bars.append(bar)
+        bar *= decay
+    reached = F.filter(F.array(*map(F.lit, bars)), lambda b: b <= F.col("top"))
+    rows = rows.withColumn("top", F.max("near").over(Window.partitionBy("qid"))).withColumn("bar", F.array_max(reached))
+    order = Window.partitionBy("qid", "piece").orderBy(F.desc("score"), "chunk")
+    hits = rows.filter((F.col("near") >= F.col("bar")) & (F.col("score") > F.col("near")))
+    return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("qid", "piece", "chunk", "score", "bar")

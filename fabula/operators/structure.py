@@ -114,22 +114,6 @@ def attach_to_text(blocks: DataFrame, kind: str) -> DataFrame:
     return blocks.withColumn("owner", F.coalesce(before, after)).filter(F.col("type") == kind)
 
 
-def merge_short(blocks: Sequence[str], least: int = 40) -> list[str]:
-    """Text blocks with each short one joined to the one before, or to the next if it begins like a bullet or caption."""
-    out: list[str] = []
-    waiting = ""
-    for text in blocks:
-        text = f"{waiting}\n{text}" if waiting else text
-        waiting = ""
-        if len(text) < least and re.match(r"\s*([-*•·]|fig\b|figure\b|table\b|图|表)", text, re.IGNORECASE):
-            waiting = text
-        elif len(text) < least and out:
-            out[-1] = f"{out[-1]}\n{text}"
-        else:
-            out.append(text)
-    return [*out, waiting] if waiting else out
-
-
 # ---- chunks
 
 
@@ -238,26 +222,7 @@ def budget_prefix(costs: Column, budget: int) -> Column:
     return F.aggregate(F.transform(costs, lambda c: c.cast("bigint")), start, step, lambda acc: acc["at"])
 
 
-# ---- diffs and patterns
-
-
-def line_changes(old: str, new: str) -> tuple[int, int]:
-    """Lines added and removed."""
-    added = removed = 0
-    for op, a, b, c, d in difflib.SequenceMatcher(None, old.splitlines(), new.splitlines(), autojunk=False).get_opcodes():
-        if op != "equal":
-            removed, added = removed + b - a, added + d - c
-    return added, removed
-
-
-def diff_stats(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """``pairs`` with ``added`` and ``removed``."""
-
-    @F.pandas_udf("added bigint, removed bigint")
-    def stats(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([line_changes(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["added", "removed"])
-
-    return pairs.withColumn("_d", stats(old, new)).select("*", "_d.added", "_d.removed").drop("_d")
+# ---- patterns
 
 
 #: Families of bullets, each from the outer to the inner level (fixed values).

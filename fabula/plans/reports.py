@@ -9,6 +9,7 @@ from fabula.functions import scoring as fn
 from fabula.functions import text as tx
 from fabula.operators import graph, retrieval, scoring, structure
 from fabula.operators import relational as ops
+from fabula.operators.relational import new_folder
 from fabula.plans import story
 from fabula.plans.adapters import SCENES, UNITS, events, read, scenes, units, with_
 from fabula.plans.registry import query
@@ -135,12 +136,15 @@ def units_with_scenes(spark: S, sf: str) -> DataFrame:
 
 @query("cmp4_entities_with_roles")
 def entities_with_roles(spark: S, sf: str) -> DataFrame:
-    """Names joined to entities, those too unlike to join but like enough to ask about, and the entities' roles. Greedy."""
+    """Names joined to entities, those too unlike to join but like enough to ask about, and the entities' roles by the scenes
+    that they are in. Greedy, tested against a plain version."""
     u = units(spark, sf).withColumn("name", F.substr("event_type", F.lit(1), (3 + F.col("k") % 6).cast("int")))
-    mentions = ops.stored(u.groupBy("script_id", "name").agg(F.count(F.lit(1)).alias("n")), "mentions")
-    resolved = graph.resolve_names(mentions)
-    sizes = resolved.join(mentions, ["script_id", "name"]).groupBy("script_id", "entity").agg(F.sum("n").alias("n"))
-    return resolved.join(graph.roles(sizes).select("script_id", "entity", "role"), ["script_id", "entity"]).select("script_id", "name", "entity", "ask", "role")
+    mentions = ops.stored(u.groupBy("script_id", "name").agg(F.count(F.lit(1)).alias("n"), F.collect_set("episode_no").alias("in_scenes")), "mentions")
+    resolved = ops.stored(graph.resolve_names(mentions), "resolved")
+    scenes_of = resolved.join(mentions, ["script_id", "name"]).select("script_id", "entity", "place", F.explode("in_scenes").alias("scene"))
+    sizes = scenes_of.groupBy("script_id", "entity", "place").agg(F.count_distinct("scene").alias("scenes"))
+    told = graph.roles(sizes).select("script_id", "entity", "scenes", "role")
+    return resolved.join(told, ["script_id", "entity"]).select("script_id", "name", "entity", "ask", "scenes", "role")
 
 
 @query("str24_numbered_lines", "SELECT doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: '[L' || i || '] ' || l), chr(10))) AS digest FROM documents")
@@ -182,7 +186,7 @@ def score_labels(spark: S, sf: str) -> DataFrame:
 @query("src1_src5_src16_text_files", "WITH t AS (SELECT source, string_agg(replace(text, chr(13), ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT source, len(list_filter(string_split(t, chr(10)), lambda l: trim(l) <> '')) AS lines FROM t")
 def text_files(spark: S, sf: str) -> DataFrame:
     """Each source's documents as text files in a folder of its own, listed and read line by line."""
-    folder = files.new_folder(spark, "texts")
+    folder = new_folder(spark, "texts")
     read(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(folder)
     rows = files.read_text_lines(spark, f"{folder}/*/*.txt")
     source = F.regexp_extract("path", r"source=([^/]+)/", 1)
@@ -192,7 +196,7 @@ def text_files(spark: S, sf: str) -> DataFrame:
 @query("src12_src14_snk_label_files", "SELECT event_type AS dim, count(*) AS n, count(DISTINCT user_id) AS targets FROM events GROUP BY 1")
 def label_files(spark: S, sf: str) -> DataFrame:
     """Raw labels as JSON lines by dimension, read again."""
-    folder = files.new_folder(spark, "labels")
+    folder = new_folder(spark, "labels")
     rows = events(spark, sf).select(F.col("event_type").alias("dim"), F.col("user_id").cast("string").alias("target_id"), F.dayofmonth("ts").alias("run"), F.col("value").cast("string").alias("value"))
     files.append_labels(rows, folder)
     return files.read_labels(spark, folder).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target_id").cast("bigint").alias("targets"))
@@ -201,7 +205,7 @@ def label_files(spark: S, sf: str) -> DataFrame:
 @query("snk1_parents_with_children", "SELECT o_orderkey AS k, count(l_orderkey) AS n_children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def parents_with_children(spark: S, sf: str) -> DataFrame:
     """Orders and their lines written as one batch, and again as if it had failed: a batch that is there is replaced."""
-    folder = files.new_folder(spark, "orders")
+    folder = new_folder(spark, "orders")
     parents = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     children = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber")
     for _ in range(2):

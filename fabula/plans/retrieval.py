@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fabula.functions import text as tx
+from fabula.operators import positions, vector_index
 from fabula.operators import retrieval as ops
 from fabula.operators.relational import stored
 from fabula.plans.adapters import UNIT_TAGS, UNITS, read, unit_tags, units, with_
@@ -49,6 +51,62 @@ def any_term_bm25(spark: S, sf: str) -> DataFrame:
     return _bm25(spark, sf, False).withColumn("score", F.round("score", 6))
 
 
+_SPOTS = f"spots AS (SELECT doc_id AS id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT doc_id, {_TOK.format('text')} AS ws FROM documents))"
+#: From unit occurrences ``occ`` (qid, id, unit, s, e), the number of units ``need`` and the tokens' positions ``tok`` (qid, id, p).
+_COVERS = """lasts AS (SELECT a.qid, a.id, a.e, b.unit, max(b.s) AS s FROM (SELECT DISTINCT qid, id, e FROM occ) a JOIN occ b ON a.qid = b.qid AND a.id = b.id AND b.e <= a.e GROUP BY ALL),
+whole AS (SELECT qid, id, e, min(s) AS s FROM lasts JOIN need USING (qid) GROUP BY qid, id, e HAVING count(*) = any_value(need)),
+cover AS (SELECT qid, id, s, min(e) AS e FROM whole GROUP BY 1, 2, 3),
+noisy AS (SELECT c.qid, c.id, s, e, e - s + 1 - count(*) AS noise FROM cover c JOIN tok t ON t.qid = c.qid AND t.id = c.id AND t.p BETWEEN s AND e GROUP BY c.qid, c.id, s, e)"""
+_DENSITY = "SELECT qid, id, round(sum(0.1 / (1 + noise)), 9) AS score, count(*) AS n_covers, min((noise, s, e))[2]::INT AS first, min((noise, s, e))[3]::INT AS last FROM noisy GROUP BY 1, 2"
+
+
+def _density(queries: DataFrame, spark: S, sf: str) -> DataFrame:
+    out = positions.cover_density(queries, positions.build(docs(spark, sf), "doc_id", "text"))
+    return out.withColumn("score", F.round("score", 9))
+
+
+@query("ret2_cover_density", with_(QUESTIONS, _SPOTS, "tok AS (SELECT qid, id, p FROM questions JOIN spots USING (term))", "occ AS (SELECT qid, id, term AS unit, p AS s, p AS e FROM questions JOIN spots USING (term))", "need AS (SELECT qid, count(*) AS need FROM questions GROUP BY 1)", _COVERS, select=_DENSITY))
+def cover_density(spark: S, sf: str) -> DataFrame:
+    """Documents with all three words of a question, by how close together they are, from positions alone."""
+    units = questions(spark, sf).groupBy("qid").agg(F.collect_list(F.array("term")).alias("units"))
+    return _density(units, spark, sf)
+
+
+_PHRASES = f"ph AS (SELECT item_id AS qid, ws[1] AS one, ws[2] AS two, list_sort(list_distinct(ws), 'DESC')[1] AS word FROM (SELECT item_id, {_TOK.format('text')} AS ws FROM benchmark) WHERE len(ws) > 1)"
+
+
+@query("ret2_phrase_cover_density", with_(_PHRASES, _SPOTS, "tok AS (SELECT DISTINCT qid, id, p FROM ph JOIN spots ON term IN (one, two, word))", "occ AS (SELECT qid, a.id, 0 AS unit, a.p AS s, b.p AS e FROM ph JOIN spots a ON a.term = one JOIN spots b ON b.term = two AND b.id = a.id AND b.p = a.p + 1 UNION ALL SELECT qid, id, 1, p, p FROM ph JOIN spots ON term = word)", "need AS (SELECT qid, 2 AS need FROM ph)", _COVERS, select=_DENSITY))
+def phrase_cover_density(spark: S, sf: str) -> DataFrame:
+    """Documents with the first two words of an item side by side and a third one anywhere."""
+    words = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), ops.tokens(F.col("text")).alias("ws")).filter(F.size("ws") > 1)
+    phrase, word = F.slice("ws", 1, 2), F.array(F.array_max("ws"))
+    return _density(words.select("qid", F.array(phrase, word).alias("units")), spark, sf)
+
+
+def _vector_sides(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return rows.filter("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), rows
+
+
+def _found(spark: S, sf: str) -> DataFrame:
+    queries, rows = _vector_sides(spark, sf)
+    centres = vector_index.fit(rows)
+    index = stored(vector_index.assign(rows, centres), "lists")
+    return vector_index.search(queries, index, centres, 10, vector_index.tuned_probes(rows, centres))
+
+
+@query("ret22_vector_index")
+def indexed_neighbours(spark: S, sf: str) -> DataFrame:
+    """The neighbours of every fiftieth vector by an index of lists; approximate, so its recall is measured beside it."""
+    return _found(spark, sf).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query("ret22_index_recall")
+def index_recall(spark: S, sf: str) -> DataFrame:
+    """How many of the ten exact neighbours of each query the index finds."""
+    return vector_index.recall(_found(spark, sf), _vectors(spark, sf, 10))
+
+
 @query("ret3_keyword_hits", with_(QUESTIONS, select="SELECT qid, doc_id AS id, count(DISTINCT term) AS hits FROM questions JOIN documents ON contains(lower(text), term) GROUP BY 1, 2"))
 def keyword_hits(spark: S, sf: str) -> DataFrame:
     return ops.keyword_hits(questions(spark, sf), _index(spark, sf))
@@ -185,8 +243,6 @@ def hybrid_rerank(spark: S, sf: str) -> DataFrame:
 )
 def adaptive_page(spark: S, sf: str) -> DataFrame:
     """One of five pages of ten for each question: the first three ranked again from a wide pool, the others as stored."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "id")
     ranked = _hybrid(spark, sf).select("qid", "id", F.row_number().over(order).alias("stored"), F.round("hybrid", 5).alias("score"))
     out = ops.adaptive_page(ranked, (F.col("qid") % 5 + 1).cast("bigint"), 10)
@@ -227,17 +283,35 @@ def rank_features(spark: S, sf: str) -> DataFrame:
     return dot.join(norm, "script_id").crossJoin(F.broadcast(own)).select("script_id", F.round(F.col("dot") / F.col("norm") / F.col("own") * 10, 6).alias("score"))
 
 
-@query("ret16_tag_suggestions", with_(UNITS, UNIT_TAGS, "c AS (SELECT script_id AS id, value AS tag, count(*) AS c FROM unit_tags GROUP BY 1, 2)", "s AS (SELECT tag, (sum(c) + 1) / (sum(sum(c)) OVER () + 1000) AS share FROM c GROUP BY 1)", "o AS (SELECT id, sum(c) AS cnt FROM c GROUP BY 1)", "r AS (SELECT id, tag, round_even(0.1 * (c + 1) / (cnt + 1000) / greatest(1e-6, share), 0)::BIGINT AS score FROM c JOIN s USING (tag) JOIN o USING (id))", select="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rank FROM r) WHERE rank <= 3"))
+_TAG_SCORE = "round_even(0.1 * (c + 1) / (cnt + {s}) / greatest(1e-6, share), 0)::BIGINT"
+_TAGS = f"c AS (SELECT id, term AS tag, count(*) AS c FROM words WHERE length(term) >= 8 GROUP BY 1, 2), s AS (SELECT tag, (sum(c) + 1) / (sum(sum(c)) OVER () + 1000) AS share FROM c GROUP BY 1)"
+
+
+def _long_words(spark: S, sf: str) -> DataFrame:
+    words = docs(spark, sf).select(F.col("doc_id").alias("id"), F.explode(ops.tokens(F.col("text"))).alias("tag"))
+    return words.filter("length(tag) >= 8").groupBy("id", "tag").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query("ret16_tag_suggestions", with_(WORDS, _TAGS, "o AS (SELECT id, sum(c) AS cnt FROM c GROUP BY 1)", f"r AS (SELECT id, tag, {_TAG_SCORE.format(s=1000)} AS score FROM c JOIN s USING (tag) JOIN o USING (id))", select="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rank FROM r) WHERE rank <= 3 AND score > 0"))
 def tag_suggestions(spark: S, sf: str) -> DataFrame:
-    c = unit_tags(units(spark, sf)).groupBy(F.col("script_id").alias("id"), F.col("value").alias("tag")).agg(F.count(F.lit(1)).alias("c"))
-    return ops.tag_portion(c).withColumn("rank", F.col("rank").cast("bigint"))
+    """Documents' long words as tags: those that are more frequent in a document than anywhere; none of score 0."""
+    c = stored(_long_words(spark, sf), "tags")
+    return ops.tag_portion(c, ops.tag_shares(c)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("ret16_question_tags", with_(QUESTIONS, WORDS, _TAGS, "hit AS (SELECT DISTINCT qid, id FROM questions JOIN words USING (term))", "qc AS (SELECT qid AS id, tag, sum(c) AS c FROM hit JOIN c USING (id) GROUP BY 1, 2)", "o AS (SELECT id, sum(c) AS cnt FROM qc GROUP BY 1)", f"r AS (SELECT id, tag, {_TAG_SCORE.format(s=1000)} AS score FROM qc JOIN s USING (tag) JOIN o USING (id))", select="SELECT id, tag, greatest(1, score) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rank FROM r) WHERE rank <= 3"))
+def question_tags(spark: S, sf: str) -> DataFrame:
+    """Tags of questions by the documents that have a word of theirs; three each, of score 1 at least."""
+    c = stored(_long_words(spark, sf), "tags")
+    words = docs(spark, sf).select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(ops.tokens(F.col("text")))).alias("term"))
+    hits = words.join(questions(spark, sf), "term").select("qid", "id").distinct()
+    found = hits.join(c, "id").groupBy(F.col("qid").alias("id"), "tag").agg(F.sum("c").alias("c"))
+    return ops.tag_portion(found, ops.tag_shares(c), least=1).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("ret17_document_prefetch", with_(QUESTIONS, WORDS, LENS, _BM25, "t AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS k FROM bm) WHERE k <= 3)", "ls AS (SELECT doc_id AS id, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)", select="SELECT qid, id, line FROM t JOIN ls USING (id)"))
 def document_prefetch(spark: S, sf: str) -> DataFrame:
     """Chunks (lines) of each question's three best documents."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
     top = _bm25(spark, sf, False).withColumn("k", F.row_number().over(order)).filter("k <= 3").select("qid", "id")
     lines = docs(spark, sf).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "_"))
@@ -253,8 +327,6 @@ def facets_and_page(spark: S, sf: str) -> DataFrame:
 @query("ret20_conversation_memory", "WITH r AS (SELECT conv_id, turn, length(text) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), s AS (SELECT *, round(0.7 * l / 2000.0 + 0.3 * exp(-0.1 * back), 9) AS score FROM r WHERE back <= 40), t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS k FROM s) SELECT conv_id, turn, CASE WHEN score >= 0.6 THEN 'full' WHEN score >= 0.4 THEN 'short' ELSE 'title' END AS form FROM t WHERE k <= 6")
 def conversation_memory(spark: S, sf: str) -> DataFrame:
     """Of a conversation's last 40 turns the six that count most, in one of three forms."""
-    from pyspark.sql import Window
-
     from fabula.functions.scoring import decay, label
 
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
@@ -264,31 +336,26 @@ def conversation_memory(spark: S, sf: str) -> DataFrame:
     return scored.withColumn("k", k).filter("k <= 6").select("conv_id", "turn", label(F.col("score"), [(0.6, "full"), (0.4, "short")], "title").alias("form"))
 
 
+def _question_texts(spark: S, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
 @query("ret21_line_search")
 def line_search(spark: S, sf: str) -> DataFrame:
-    """The best line of each question's three best documents, by likeness of tokens and characters."""
-    from pyspark.sql import Window
-
-    terms = questions(spark, sf).groupBy("qid").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    top = _bm25(spark, sf, False).withColumn("k", F.row_number().over(order)).filter("k <= 3")
-    by_doc = Window.partitionBy("id").orderBy("line")
-    top = stored(top, "top")
-    searched = docs(spark, sf).join(top.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    lines = searched.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    lines = lines.withColumns({"before": F.lag("t").over(by_doc), "after": F.lead("t").over(by_doc)})
-    scored = top.join(terms, "qid").join(lines, "id").withColumn("s", ops.line_score(F.col("terms"), F.col("t"), F.col("before"), F.col("after")))
-    return scored.groupBy("qid", "id").agg(F.max_by("line", F.struct(F.round("s", 9), -F.col("line"))).cast("bigint").alias("line"), F.round(F.max("s"), 6).alias("score"))
+    """The ten lines that answer each benchmark item best: chunks by vectors, their best lines by words."""
+    rows = docs(spark, sf).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    out = ops.searched_lines(_question_texts(spark, sf), rows, 10)
+    return out.select("qid", "id", F.col("line").cast("bigint").alias("line"), F.col("rank").cast("bigint").alias("rank"), *(F.round(c, 4).alias(c) for c in ("score", "cosine", "lexical")))
 
 
 @query("ret14_citation_support")
 def citation_support(spark: S, sf: str) -> DataFrame:
-    """Which neighbours support a vector: similarity above 0.99 of the best, over a threshold that decays until one is met."""
-    from pyspark.sql import Window
-
-    near = _vectors(spark, sf, 20).filter("qid <> id").withColumn("best", F.max("score").over(Window.partitionBy("qid")))
-    rungs = F.array(*(F.lit(round(0.63 * 0.8**i, 6)) for i in range(4) if 0.63 * 0.8**i >= 0.3))
-    bar = F.array_max(F.filter(rungs, lambda t: t <= F.col("best")))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    hits = near.drop("rank").withColumn("bar", bar).filter((F.col("score") >= F.col("bar")) & (F.col("score") >= 0.99 * F.col("best")))
-    return hits.withColumn("rank", rank).filter("rank <= 4").select("qid", "id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """Which chunks of the three best documents of a question support each sentence of its item."""
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    top = _bm25(spark, sf, False).withColumn("k", F.row_number().over(order)).filter("k <= 3").select("qid", "id")
+    cut = docs(spark, sf).join(top, F.col("doc_id") == F.col("id")).select("qid", "id", F.posexplode(tx.sliding_chunks(F.col("text"), 800, 80)).alias("k", "c"))
+    chunks = cut.select("qid", F.struct("id", "k").alias("chunk"), ops.tokens(F.col("c.piece")).alias("terms"), ops.hash_vectors("c.piece").alias("vec"))
+    said = _question_texts(spark, sf).select("qid", F.posexplode(tx.sentences(F.col("text"))).alias("piece", "s")).filter("length(s) >= 5")
+    pieces = said.select("qid", "piece", ops.tokens(F.col("s")).alias("terms"), ops.hash_vectors("s").alias("vec"))
+    out = ops.cited_chunks(pieces, chunks)
+    return out.select("qid", F.col("piece").cast("bigint").alias("piece"), F.col("chunk.id").alias("id"), F.col("chunk.k").cast("bigint").alias("chunk"), F.round("score", 5).alias("score"), F.round("bar", 5).alias("bar"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from fabula.functions import scoring as fn
 from fabula.functions import text as tx
-from fabula.operators import graph, retrieval, structure
+from fabula.operators import diff, folds, graph, retrieval, segmentation, structure, table_functions
+from fabula.operators.relational import new_folder, stored
 from fabula.plans.adapters import LINES, UNITS, events, lines, read, scenes, units, with_
 from fabula.plans.registry import query
-from fabula.sources import files
+from fabula.sources import commits, files
 from fabula.streaming import runs
 
 S = SparkSession
@@ -304,12 +305,29 @@ def budget_prefix(spark: S, sf: str) -> DataFrame:
     return turns.select("conv_id", F.array_join(F.transform(structure.budget_prefix(F.col("x.n"), 1500), lambda i: i.cast("string")), ",").alias("taken"))
 
 
+def _neighbours(spark: S, sf: str) -> DataFrame:
+    d = docs(spark, sf).select("doc_id", "text")
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+
+
 @query("agg30_str32_line_changes")
 def line_changes(spark: S, sf: str) -> DataFrame:
     """Lines added and removed between each document and the next; a longest common subsequence isn't built in."""
-    d = docs(spark, sf).select("doc_id", "text")
-    pairs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    return structure.diff_stats(pairs, "text", "other").select("doc_id", "added", "removed")
+    return diff.line_diffs(_neighbours(spark, sf), "text", "other").select("doc_id", "added", "removed")
+
+
+@query("str32_line_diff")
+def line_diff(spark: S, sf: str) -> DataFrame:
+    """The hunks from each document to the next, and what a preview shows of both."""
+    return diff.line_diffs(_neighbours(spark, sf), "text", "other").drop("text", "other")
+
+
+@query("str32_word_diff")
+def word_diff(spark: S, sf: str) -> DataFrame:
+    """Words changed from each line to the next of its document, one row for each change."""
+    d = lines(spark, sf)
+    pairs = d.select("doc_id", "pos", F.col("line").alias("old"), F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos")).alias("new")).filter("new IS NOT NULL")
+    return diff.word_changes(pairs, "old", "new").select("doc_id", "pos", F.explode("changes").alias("c")).select("doc_id", "pos", F.col("c.at").alias("at"), "c.went", "c.came")
 
 
 _LISTED = """bl AS (SELECT doc_id, pos, CASE (doc_id + pos) % 9 WHEN 0 THEN '第一章 ' WHEN 1 THEN '（二）' WHEN 2 THEN '3. ' WHEN 3 THEN '2.1 ' WHEN 4 THEN '4.1.2' WHEN 5 THEN 'PART SEVEN ' WHEN 6 THEN '0. ' WHEN 7 THEN '12 3' ELSE '' END || line AS line FROM lines)"""
@@ -366,6 +384,48 @@ def routed_chunks(spark: S, sf: str) -> DataFrame:
     return structure.routed_chunks(_blocks(spark, sf), 1200, 4000, 1000, 100, _by_meaning)
 
 
+@query("cmp16_lateral_chunks")
+def lateral_chunks(spark: S, sf: str) -> DataFrame:
+    """The same chunks in SQL: each block beside the table function of its route."""
+    table_functions.register(spark)
+    routed = _blocks(spark, sf).withColumn("route", structure.chunk_route(F.col("kind"), F.col("text"))).filter(F.trim("text") != "")
+    return spark.sql(
+        """SELECT doc_id, pos, route, CAST(chunk AS bigint) AS chunk, piece FROM {b} b, LATERAL sliding_chunks(b.text, 1000, 100) WHERE route = 'sliding'
+        UNION ALL SELECT doc_id, pos, route, CAST(chunk AS bigint), piece FROM {b} b, LATERAL semantic_chunks(b.text, 300, 900, 0.2D) WHERE route = 'semantic'
+        UNION ALL SELECT doc_id, pos, route, 0, trim(text) FROM {b} b WHERE route = 'whole'""",
+        b=routed,
+    )
+
+
+@query("str30_partitioned_merge")
+def partitioned_merge(spark: S, sf: str) -> DataFrame:
+    """Lines joined up to a budget of words by a table function over the lines of each document."""
+    table_functions.register(spark)
+    lines(spark, sf).createOrReplaceTempView("budget_lines")
+    out = spark.sql("SELECT * FROM budget_merge(TABLE(SELECT doc_id, pos, line AS text, 120 AS budget FROM budget_lines) PARTITION BY doc_id ORDER BY pos)")
+    return out.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), "first", "last", "piece")
+
+
+@query("str11_str12_segmented_lines")
+def segmented_lines(spark: S, sf: str) -> DataFrame:
+    """Lines written without spaces and cut into words again, by a dictionary of the words of all documents."""
+    given = lines(spark, sf)
+    joined = given.select("doc_id", "pos", F.regexp_replace(F.lower("line"), r"[^\p{L}]+", "").alias("run")).filter("run <> ''")
+    words = docs(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("term"))
+    terms = segmentation.dictionary(words)
+    return segmentation.segmented(joined, "run", terms).select("doc_id", "pos", F.array_join("tokens", " ").alias("tokens"), F.array_join("fine", " ").alias("fine"), F.size("unclear").alias("n_unclear"))
+
+
+@query("snk1_committed_families", with_(LINES, select="SELECT d.doc_id, lang, coalesce(n, 0) AS n_lines, coalesce(c, 0)::BIGINT AS n_chars FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(line)) AS c FROM lines GROUP BY 1) USING (doc_id)"))
+def committed_families(spark: S, sf: str) -> DataFrame:
+    """Documents and their lines written as one commit and read back together."""
+    store = commits.Families(new_folder(spark, "families"))
+    store.write(docs(spark, sf).select("doc_id", "lang", "source"), lines(spark, sf))
+    parents, children = store.read(spark)
+    counted = children.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    return parents.join(counted, "doc_id", "left").select("doc_id", "lang", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
 @query("cmp13_str33_layout_match")
 def layout_match(spark: S, sf: str) -> DataFrame:
     """Where a document's longest line, damaged in every second document, is found among its blocks of 400 characters."""
@@ -376,6 +436,33 @@ def layout_match(spark: S, sf: str) -> DataFrame:
     return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.round("score", 6).alias("score"))
 
 
+def _pieces(spark: S, sf: str) -> DataFrame:
+    cut = docs(spark, sf).select("doc_id", F.posexplode(tx.sliding_chunks(F.col("text"), 400, 0)).alias("pos", "c"))
+    return cut.select("doc_id", "pos", F.col("c.piece").alias("text"))
+
+
+@query("cmp13_growing_windows")
+def growing_windows(spark: S, sf: str) -> DataFrame:
+    """The blocks that each document's longest line and the one after it take in, damaged in every second document. A fold
+    with a sequence ratio, tested against a plain one."""
+    d = lines(spark, sf).withColumn("after", F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos")))
+    target = F.max_by(F.concat_ws(" ", "line", "after"), F.struct(F.length("line"), -F.col("pos"))).alias("line")
+    longest = d.groupBy("doc_id").agg(target)
+    damaged = longest.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.translate("line", "et", "ae")).otherwise(F.col("line")).alias("snippet"))
+    blocks = stored(_pieces(spark, sf), "blocks")
+    begun = stored(structure.layout_match(damaged, blocks), "begun").join(damaged, "doc_id")
+    matches = begun.select("doc_id", F.lit(0).alias("key"), "pos", F.col("snippet").alias("target"))
+    out = folds.growing_windows(matches, blocks)
+    return out.select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("first", "last", "n_blocks")), "outcome")
+
+
+@query("cmp13a_short_blocks")
+def short_blocks(spark: S, sf: str) -> DataFrame:
+    """Documents' lines as blocks, the short ones joined to their neighbours. A fold, tested against a plain one."""
+    kind = F.when(F.col("line").startswith("#"), "section").when(F.length("line") % 11 == 3, "table").otherwise("paragraph")
+    return folds.merge_short_blocks(lines(spark, sf).select("doc_id", "pos", kind.alias("kind"), F.col("line").alias("text"), F.contains("line", F.lit("$$")).alias("whole")))
+
+
 @query("cmp13d_metadata", r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
 def metadata(spark: S, sf: str) -> DataFrame:
     part = lambda c, p: F.regexp_extract(c, p, 1)
@@ -465,17 +552,17 @@ def ring_buffer(spark: S, sf: str) -> DataFrame:
     return runs.ring(frames(spark, sf), 20).select("run_id", "seq")
 
 
-@query("stm3_stm4_live_runs", "WITH r AS (SELECT user_id * 100 + day(ts) AS run_id, max(ts) AS latest, count(*) AS frames FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup') = 0) SELECT run_id, frames FROM r WHERE floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(latest)) <= 86400 ORDER BY latest DESC, run_id LIMIT 256")
+@query("stm3_stm4_live_runs", "WITH r AS (SELECT user_id * 100000 + (ts::DATE - DATE '1970-01-01') AS run_id, max(ts) AS latest, count(*) AS frames FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup') = 0) SELECT run_id, frames FROM r WHERE floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(latest)) <= 86400 ORDER BY latest DESC, run_id LIMIT 256")
 def live_runs(spark: S, sf: str) -> DataFrame:
     """Runs, here a user's days, with a frame in the last day and no completion."""
-    f = frames(spark, sf).withColumn("run_id", F.col("run_id") * 100 + F.dayofmonth("ts"))
+    f = frames(spark, sf).withColumn("run_id", F.col("run_id") * 100000 + F.unix_date(F.to_date("ts")))
     return runs.alive(f, "2024-01-31", 86400).select("run_id", "frames")
 
 
 @query("stm8_byte_quota")
 def byte_quota(spark: S, sf: str) -> DataFrame:
     """Events of a user's day that fit into a quota of value; refused ones use up nothing. A fold, tested against a plain one."""
-    rows = events(spark, sf).withColumn("day", F.dayofmonth("ts"))
+    rows = events(spark, sf).withColumn("day", F.to_date("ts"))
     return runs.byte_quota(rows, ["user_id", "day"], "value", 120, ["ts", "event_id"], "event_id")
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -115,20 +113,9 @@ def insert_with_children(parent: DataFrame, children: DataFrame, folder: str, ke
     parent.join(n, key, "left").fillna(0, subset=["n_children"]).write.mode("overwrite").parquet(f"{folder}/parents/batch={batch}")
 
 
-def new_folder(spark: SparkSession, tag: str) -> str:
-    """A folder of its own under ``spark.checkpoint.dir``, or, in local mode where that isn't set, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/fabula-{tag}-{uuid.uuid4().hex}"
-
-
 def yaml_items(text: Column) -> Column:
     """The items of the first list in a flat YAML text as maps of strings; quotes and comments are taken off."""
-    items = F.slice(F.split(text, r"(?m)^\s*-\s+"), 2, 1_000_000)
+    items = F.slice(F.split(text, r"(?m)^\s*-\s+"), F.lit(2), F.size(F.split(text, r"(?m)^\s*-\s+")))
     plain = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"\s#.*$", "")), "^[\"']|[\"']$", "")
     entry = lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)).alias("key"), plain(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"))
     return F.transform(items, lambda x: F.map_from_entries(F.transform(F.filter(F.split(x, "\n"), lambda line: line.contains(":")), entry)))
