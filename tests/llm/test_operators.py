@@ -496,3 +496,58 @@ def test_clean_keeps_other_rows_of_an_id(spark):
     items = spark.createDataFrame([(1, item), (2, "clean"), (3, None)], "item_id bigint, text string")
     assert rows(decontaminate.clean(docs, items), "k") == [(2,), (4,), (5,), (6,)]
     assert decontaminate.clean(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == 6
+
+
+def test_leaks_of_texts_that_repeat_themselves(spark):
+    """Equal windows on both sides meet once, not as often as there are pairs of them."""
+    import time
+
+    docs = spark.createDataFrame([(1, "ha " * 4000), (2, "the cat has 5 red hats and sleeps " * 500), (3, "hm " * 4000)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "ha " * 1000), (8, "the cat has 6 red hats and sleeps " * 100)], "item_id bigint, text string")
+    decontaminate.find_leaks(docs.limit(1), items).collect()  # starts workers
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"]): (r["covered_tokens"], r["item_tokens"], r["n_slots"], r["reparameterised"]) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert time.time() - began < 30
+    assert got == {(1, 7): (1000, 1000, 0, False), (2, 8): (800, 800, 1, True)}
+
+
+def test_parts_of_one_item_are_judged_alone(spark):
+    """Rows of items that share an id are items of their own, whatever their lengths."""
+    one, two = " ".join(f"alpha{i}" for i in range(32)), " ".join(f"beta{i}" for i in range(32))
+    bits = " ".join(one.split()[:8]) + " x y " + " ".join(two.split()[:8])
+    docs = spark.createDataFrame([(1, bits), (2, f"{bits} {one}")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, one), (5, two), (5, one)], "item_id bigint, text string")
+    assert rows(decontaminate.find_leaks(docs, items), "doc_id", "item_id", "item_tokens", "coverage") == [(2, 5, 32, 1.0)]
+
+
+def test_short_items_on_demand(spark):
+    docs = spark.createDataFrame([(1, "yes no maybe"), (2, "no"), (3, "other words"), (4, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "no"), (2, "yes no"), (3, "yes no maybe"), (4, ""), (5, None)], "item_id bigint, text string")
+    assert rows(decontaminate.find_leaks(docs, items), "doc_id", "item_id") == [(1, 3)]
+    assert rows(decontaminate.find_leaks(docs, items, least=1), "doc_id", "item_id") == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert rows(decontaminate.skipped_items(items), "item_id", "tokens") == [(1, 1), (2, 2), (4, 0), (5, 0)]
+
+
+def test_placements_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        values, met = "abc", []
+        for _ in range(rng.randrange(1, 4)):
+            side = lambda most: [{"pos": p, "slots": [None, *(rng.choice(values) for _ in range(2))]} for p in rng.sample(range(12), rng.randrange(1, most))]
+            met.append({"item": side(4), "own": side(6)})
+        places = defaultdict(list)
+        for both in met:
+            for i in both["item"]:
+                for j in both["own"]:
+                    places[j["pos"] - i["pos"]].append((i["pos"], [*zip(i["slots"][1:], j["slots"][1:], strict=True)]))
+        spots, pairs = set(), set()
+        for windows in places.values():
+            told = defaultdict(set)
+            for _, slots in windows:
+                for a, b in slots:
+                    told[a].add(b)
+            for pos, slots in windows:
+                if all(len(told[a]) == 1 for a, _ in slots):
+                    spots.add(pos)
+                    pairs |= set(slots)
+        assert decontaminate.sound_windows(met) == (sorted(spots), len(pairs), any(a != b for a, b in pairs))
