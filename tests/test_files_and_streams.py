@@ -137,7 +137,9 @@ def test_sessions(spark):
 def test_every_query_has_sql_or_is_known_to_have_none():
     without = {
         "st11_boundary_similarity", "ret9_mmr", "ret14_citation_support", "ret21_line_search", "str8_name_similarity", "str26_recursive_chunks", "str28_semantic_chunks", "str30_budget_merge",
-        "cmp4_entities_with_roles", "cmp3_units_with_scenes", "cmp13_str33_layout_match", "cmp16_routed_chunks", "win11_repair_intervals", "top7_budget_prefix", "agg30_str32_line_changes", "stm8_byte_quota", "str32_line_diff", "cmp13_growing_windows", "cmp13a_short_blocks", "str11_str12_segmented_lines", "str30_partitioned_merge", "ret22_index_recall",
+        "cmp4_entities_with_roles", "cmp3_units_with_scenes", "cmp13_str33_layout_match", "cmp16_routed_chunks", "win11_repair_intervals", "top7_budget_prefix", "agg30_str32_line_changes", "stm8_byte_quota",
+        "str32_line_diff", "cmp13_growing_windows", "cmp13a_short_blocks", "str11_str12_segmented_lines", "str30_partitioned_merge", "ret22_index_recall",
+        "ret22_vector_index", "str32_word_diff", "cmp16_lateral_chunks",
     }
     from fabula.plans import QUERIES, SQL
 
