@@ -193,6 +193,27 @@ def text_files(spark: S, sf: str) -> DataFrame:
     return rows.filter(F.trim("line") != "").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("src5_ingested_folder", "WITH f AS (SELECT source || CASE WHEN source IN ('src1', 'src2') THEN '.csv' WHEN source = 'src3' THEN '/完整本_x.md' ELSE '.txt' END AS path, count(*) AS n FROM documents GROUP BY source), s AS (SELECT path, CASE WHEN contains(path, '完整本_') THEN 'guarded' WHEN path LIKE '%.csv' THEN 'skipped' WHEN n < 3 THEN 'short' ELSE 'ingested' END AS status, n AS scenes FROM f), k AS (SELECT *, sum((status = 'ingested')::INT) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) - (status = 'ingested')::INT AS before FROM s) SELECT path, status, scenes FROM k WHERE before < 9")
+def ingested_folder(spark: S, sf: str) -> DataFrame:
+    """Sources seen as files, their documents as scenes: the first nine files that can be used, and what was left out on the
+    way there. Two are of another format and one is a report of a data set."""
+    ending = F.when(F.col("source").isin("src1", "src2"), ".csv").when(F.col("source") == "src3", "/完整本_x.md").otherwise(".txt")
+    scenes = read(spark, sf, "documents").groupBy(F.concat("source", ending).alias("path")).agg(F.count(F.lit(1)).alias("scenes"))
+    listed = scenes.select("path", F.when(files.suffix(F.col("path")).isin(*files.TEXT, *files.DOCX), "supported").otherwise("skipped").alias("status"))
+    return files.ingested(listed, scenes, 9)
+
+
+@query("src12_report_files", "SELECT event_type AS dim, 'reported' AS status, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT r_name, 'missing', 0 FROM region")
+def report_files(spark: S, sf: str) -> DataFrame:
+    """Reports written as a JSON file each and read again, with the wanted dimensions that none of them has."""
+    folder = new_folder(spark, "reports")
+    made = events(spark, sf).groupBy(F.col("event_type").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    made.write.option("maxRecordsPerFile", 1).json(folder)
+    wanted = made.select("dim").unionByName(read(spark, sf, "region").select(F.col("r_name").alias("dim")))
+    reports, missing = files.read_reports(spark, folder, wanted)
+    return reports.select("dim", F.lit("reported").alias("status"), "n").unionByName(missing.select("dim", F.lit("missing").alias("status"), F.lit(0).cast("bigint").alias("n")))
+
+
 @query("src12_src14_snk_label_files", "SELECT event_type AS dim, count(*) AS n, count(DISTINCT user_id) AS targets FROM events GROUP BY 1")
 def label_files(spark: S, sf: str) -> DataFrame:
     """Raw labels as JSON lines by dimension, read again."""

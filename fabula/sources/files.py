@@ -76,6 +76,32 @@ def ingest_summary(files: DataFrame, lines: DataFrame) -> DataFrame:
     return files.join(counts, "path", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
 
 
+#: Reports of whole data sets, which lie among scripts but are none (fixed values), and scenes that a script has at least.
+GUARDED = r"/完整本_[^/]*\.[mM][dD]$"
+LEAST_SCENES = 3
+
+
+def ingested(listed: DataFrame, scenes: DataFrame, limit: int | None = None, least: int = LEAST_SCENES) -> DataFrame:
+    """``path, status, scenes`` of a folder's files (as ``listing`` gives them) with their numbers of scenes (path, scenes).
+
+    A file is ``guarded`` if it is a report of a data set, ``skipped`` if its format isn't supported, ``empty`` without a scene,
+    ``short`` with fewer than ``least``, and else ``ingested``. Files are taken in order of their paths, and after the
+    ``limit``-th that is ingested the others aren't reached: they have no row. Only that one path goes through the driver."""
+    n = F.coalesce("scenes", F.lit(0))
+    status = (
+        F.when(F.col("path").rlike(GUARDED), "guarded")
+        .when(F.col("status") != "supported", "skipped")
+        .when(n == 0, "empty")
+        .when(n < least, "short")
+        .otherwise("ingested")
+    )
+    rows = listed.select("path", "status").join(scenes, "path", "left").select("path", status.alias("status"), n.cast("bigint").alias("scenes"))
+    if not limit:
+        return rows
+    taken = rows.filter("status = 'ingested'").orderBy("path").limit(limit).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last")).first()
+    return rows.filter(F.col("path") <= taken["last"]) if taken["n"] == limit else rows
+
+
 def first_parse(*parsed: DataFrame) -> DataFrame:
     """Lines of the first parser, in order, that gave any for a path."""
     out = parsed[0]

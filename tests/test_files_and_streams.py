@@ -134,6 +134,16 @@ def test_sessions(spark):
     assert sorted((r["u"], r["n"]) for r in runs.sessions(df, "10 minutes", "u").collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_folders_are_ingested_in_order_up_to_a_limit(spark):
+    listed = spark.createDataFrame([(f"/d/{p}", "skipped" if p.endswith("csv") else "supported") for p in ("a.txt", "b.csv", "c.txt", "完整本_d.md", "d.md", "e.txt", "f.txt")], "path string, status string")
+    scenes = spark.createDataFrame([("/d/a.txt", 5), ("/d/c.txt", 2), ("/d/d.md", 3), ("/d/f.txt", 9), ("/d/完整本_d.md", 30)], "path string, scenes int")
+    told = lambda limit: {r["path"][3:]: r["status"] for r in files.ingested(listed, scenes, limit).collect()}
+    every = {"a.txt": "ingested", "b.csv": "skipped", "c.txt": "short", "d.md": "ingested", "e.txt": "empty", "f.txt": "ingested", "完整本_d.md": "guarded"}
+    assert told(None) == told(9) == every
+    assert told(2) == {k: v for k, v in every.items() if k <= "d.md"}
+    assert told(1) == {"a.txt": "ingested"}
+
+
 def test_every_query_has_sql_or_is_known_to_have_none():
     without = {
         "st11_boundary_similarity", "ret9_mmr", "ret14_citation_support", "ret21_line_search", "str8_name_similarity", "str26_recursive_chunks", "str28_semantic_chunks", "str30_budget_merge",
