@@ -45,6 +45,8 @@ POLICIES: dict[str, tuple[str, ...]] = {
 }
 
 CODE_BITS = 21  # three word codes fit in 63 bits
+#: Bytes of texts whose words are held at once, about; numbers of words needn't outlive a text.
+HELD = 16 << 20
 
 
 def mask_of(names: tuple[str, ...]) -> int:
@@ -103,9 +105,15 @@ def measurements(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
         source = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        codes, held = Codes(), 0
         for batch in slices(batches, text):
-            rows = [measure(x, codes) for x in texts(batch.column(text))]
+            rows = []
+            for x in texts(batch.column(text)):
+                if held > HELD:  # however long its words are
+                    codes.clear()
+                    held = 0
+                rows.append(measure(x, codes))
+                held += len(x)
             found = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], [*names, *MEASURES])
 

@@ -551,3 +551,10 @@ def test_placements_by_brute_force():
                     spots.add(pos)
                     pairs |= set(slots)
         assert decontaminate.sound_windows(met) == (sorted(spots), len(pairs), any(a != b for a, b in pairs))
+
+
+def test_quality_rules_of_many_long_words(spark):
+    """More bytes of words than are held at once."""
+    texts = [f"{k:04d}" * 200_000 + " a b c a b c" for k in range(30)]
+    got = quality_rules.ledger(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").coalesce(1)).collect()
+    assert {(r["n_words"], r["word_chars"], r["n_repeat_words"]) for r in got} == {(7, 800_006, 6)}
