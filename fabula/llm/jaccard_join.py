@@ -12,7 +12,9 @@ otherwise) or more, and the components that these links make. No link between di
    that connect are kept. Two turns of this, dealt differently, join large groups of near copies without listing pairs.
 5. Tiles. What is left are buckets whose classes are in different components. A bucket is cut by set size into bands and
    those into tiles; tiles of neighbouring bands meet in a group of bounded size. Of two sets of different components, the
-   places of the shared shingle bound the overlap from above, and so do bit counts of the bitmaps.
+   places of the shared shingle bound the overlap from above, and so do bit counts of the bitmaps. Crowded buckets do this
+   and 6 with a few classes of each component first: two large components that link become one there, so their classes
+   needn't all be paired when every posting is taken.
 6. Exact check. Partners' sets, sorted arrays of 64-bit hashes computed again from the texts, are streamed past each
    other and intersected. Links give components by alternating small and large stars.
 
@@ -44,6 +46,8 @@ SLOTS = 1 << 27
 FEW = 64
 #: How often blocks of about so many shingles are dealt, and about how many classes a tile has.
 TURNS, BLOCK, TILE = 2, 65_536, 256
+#: Where a bucket has over CROWD classes of one component, its components meet by BRIDGES classes each before all do.
+CROWD, BRIDGES = 64, 8
 #: How many partners a class meets in one group of the exact check.
 PER_GROUP = 500
 #: Bytes of text whose sets a task holds at once.
@@ -511,6 +515,14 @@ def tile_pairs(postings: DataFrame, ends: DataFrame, signed: DataFrame, n: int,
     return materialise(met.select(*names, "side", "cls", "n", "pos", "comp", "sig").mapInArrow(run, "a bigint, b bigint").distinct(), "tile-pairs")
 
 
+def bridge_postings(postings: DataFrame, ends: DataFrame) -> DataFrame:
+    """Of each component BRIDGES postings, other ones in each bucket, for buckets that hold over CROWD classes of one
+    component. Written as a table. Links found among these only spare work, as all postings are taken afterwards."""
+    dealt = Window.partitionBy("tok", "comp").orderBy(F.xxhash64("tok", "cls"), "cls")
+    crowded = postings.join(ends.filter(F.col("k") > CROWD).select("tok"), "tok", "left_semi")
+    return materialise(crowded.withColumn("r", F.row_number().over(dealt)).filter(F.col("r") <= BRIDGES).drop("r"), "bridges")
+
+
 def verify(candidates: DataFrame, pairs: DataFrame, n: int, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The pairs ``a, b`` of classes that link, by intersection of their sorted arrays. Written as a table.
 
@@ -547,6 +559,11 @@ def class_links(docs: DataFrame, signed: DataFrame, ngram: int = NGRAM, percent:
         more = block_links(postings, ends, candidates, n, turn, ngram, percent)
         found = more if found is None else found.unionByName(more)
         postings, ends = open_postings(postings.drop("comp"), components(found))
+    some = bridge_postings(postings, ends)
+    if not some.isEmpty():
+        theirs = signed.join(some.select("cls").distinct(), "cls", "left_semi")
+        found = found.unionByName(verify(candidates, tile_pairs(some, ends, theirs, n, percent), n, ngram, percent))
+        postings, ends = open_postings(postings.drop("comp"), components(found))
     return found.unionByName(verify(candidates, tile_pairs(postings, ends, signed, n, percent), n, ngram, percent))
 
 
