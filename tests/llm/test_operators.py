@@ -239,6 +239,20 @@ def test_many_tiles(spark, monkeypatch):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(data), key=repr)
 
 
+def test_bridges_between_crowded_components(spark, monkeypatch):
+    """Near copies that blocks of a few leave apart: bridges join them, and what they miss is found by all postings."""
+    for name, value in {"TILE": 6, "BLOCK": 800, "TURNS": 1, "CROWD": 3, "BRIDGES": 2}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    verified, verify = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda *a: verified.append(a[1].count()) or verify(*a))
+    w = [f"t{k}" for k in range(120)]
+    data = [(k, " ".join(f"x{k}" if j == 2 * k else t for j, t in enumerate(w))) for k in range(50)]
+    data += [(200 + k, " ".join(f"z{k}" if j % 30 == k else t for j, t in enumerate(w))) for k in range(10)]
+    got = jaccard_join.join(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3))
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(data), key=repr)
+    assert len(verified) == 2 and verified[0] > 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.binary(min_size=5, max_size=30).map(lambda b: bytes(x % 2 + 97 for x in b)), min_size=2, max_size=8), st.integers(3, 5), st.integers(0, 4), st.sampled_from([3, 50_000]))
 def test_previous_factors_in_a_group(raws, short, more, chunk):
