@@ -7,6 +7,7 @@ outlive any executor, and what was computed once isn't computed again by each re
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """One temporary folder for an application; the setting itself can't be changed while Spark runs."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Where none is set, a temporary one is made, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,9 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
