@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -84,6 +85,12 @@ def first_of(parts: Sequence[tuple[DataFrame, str]], key: str, name: str) -> Dat
     return found.select(key, F.coalesce(*(f"_v{i}" for i in range(len(parts)))).alias(name), F.coalesce(*(F.when(F.col(f"_v{i}").isNotNull(), i) for i in range(len(parts)))).alias("source"))
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """One temporary folder for an application; the setting itself can't be changed while Spark runs."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: that of ``spark.checkpoint.dir``; where none is set, in local mode only, a
     temporary one."""
@@ -91,8 +98,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder(spark.sparkContext.applicationId)
     return base.rstrip("/")
 
 
