@@ -62,6 +62,12 @@ def pairwise_jaccard(labels: DataFrame) -> DataFrame:
     return pairs(labels).groupBy("item").agg(F.avg(jaccard(F.col("a"), F.col("b"))).alias("similarity"), F.count(F.lit(1)).alias("pairs"))
 
 
+def similar_items(similarities: DataFrame, least: float = 0.5) -> DataFrame:
+    """``items, stable``: how many items there are, and how many reach a mean similarity of ``least``. A mean that is a tie but
+    for the last bits of a double reaches it, in whatever order its pairs were added."""
+    return similarities.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("similarity") + 1e-9 >= least).alias("stable"))
+
+
 def majority(labels: DataFrame) -> DataFrame:
     """The most frequent value of each item, empty ones aside; of equals the one that the earliest run gave."""
     counts = labels.filter("value IS NOT NULL AND value <> ''").groupBy("item", "value").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("first"))

@@ -132,7 +132,7 @@ def multi_label_jaccard(spark: S, sf: str) -> DataFrame:
 
 @query("st9_jaccard_stable", with_(_SETS, _SIM, "s AS (SELECT count(*) AS n, count(*) FILTER (similarity >= 0.5) AS stable FROM sim)", _W, select=f"SELECT n AS items, stable, {_WILSON} AS wilson FROM w"))
 def jaccard_stable(spark: S, sf: str) -> DataFrame:
-    s = ops.pairwise_jaccard(_sets(spark, sf)).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("similarity") >= 0.5).alias("stable"))
+    s = ops.similar_items(ops.pairwise_jaccard(_sets(spark, sf)))
     return s.withColumn("wilson", F.round(fn.wilson(F.col("stable"), F.col("items")), 6))
 
 
