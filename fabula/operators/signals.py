@@ -60,6 +60,13 @@ def longest_run(df: DataFrame, keys: list[str], order: list[str], condition: Col
     return runs.groupBy(*keys).agg(F.max("_n").alias(name))
 
 
+def spread(whole: Column) -> Column:
+    """Standard deviation of whole numbers from their sums, so that the order of rows doesn't decide its last bits."""
+    n, s = F.count(whole).cast("decimal(19,0)"), F.sum(whole.cast("bigint")).cast("decimal(19,0)")
+    squares = F.sum(whole.cast("bigint") * whole.cast("bigint")).cast("decimal(19,0)")
+    return F.when(n > 0, F.sqrt((n * squares - s * s).cast("double")) / n.cast("double"))
+
+
 def unit_facts(units: DataFrame) -> DataFrame:
     """``units``: script_id, idx, episode_no and the tag dimensions as columns. A row for each script."""
     level = intensity(*(F.col(c) for c in ("plot_hook", "conflict_type", "payoff_type", "emotional_driver")))
@@ -92,7 +99,7 @@ def unit_facts(units: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("units"),
         F.count_distinct("episode_no").alias("unit_episodes"),
         F.avg("x").alias("x_mean"),
-        F.stddev_pop("x").alias("x_std"),
+        spread(F.col("x")).alias("x_std"),
         F.avg(F.when(middle, F.col("x"))).alias("x_middle"),
         F.count_if(F.col("x") >= 3).alias("effective"),
         F.min(F.when(F.col("x") >= 3, F.col("rn"))).alias("opening"),
@@ -153,7 +160,7 @@ def scene_facts(scenes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("scenes"),
         F.count("len").alias("told_scenes"),
         F.avg("len").alias("len_mean"),
-        F.stddev_pop("len").alias("len_std"),
+        spread(F.col("len")).alias("len_std"),
         F.count_if(F.size("said") >= 2).alias("talking"),
         F.sum(F.aggregate("said", F.lit(0), lambda a, x: a + x)).alias("said_chars"),
         F.sum(F.size("said")).alias("said_lines"),

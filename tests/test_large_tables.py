@@ -1,5 +1,8 @@
 """Cases that only large tables brought up."""
 
+import itertools
+
+import pytest
 from pyspark.sql import functions as F
 
 from fabula.operators import agreement, signals
@@ -10,3 +13,10 @@ def test_a_mean_that_is_a_tie_is_stable_in_any_order(spark):
     means = [((a + b) + c) / 3, ((b + c) + a) / 3, ((c + a) + b) / 3, 0.5 - 2**-54, 0.4999]
     rows = spark.createDataFrame([(i, m) for i, m in enumerate(means)], "item int, similarity double")
     assert agreement.similar_items(rows).first().asDict() == {"items": 5, "stable": 4}
+
+
+@pytest.mark.parametrize(("lengths", "step"), [((1, 5, 13, 14, 17), 0.6), ((1, 7, 9, 15, 18), 0.6), ((1, 3, 7, 19, 20), 0.8), ((1, 1, 1, 16, 31), 1.2)])
+def test_the_spread_of_lengths_does_not_depend_on_the_order_of_rows(spark, lengths, step):
+    rows = [(i, "x" * n) for i, order in enumerate(sorted(set(itertools.permutations(lengths)))) for n in order]
+    facts = signals.scene_facts(spark.createDataFrame(rows, "script_id int, text string").coalesce(1))
+    assert {r[0] for r in facts.select(F.col("len_std") / F.col("len_mean")).collect()} == {step}
