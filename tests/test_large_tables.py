@@ -2,10 +2,13 @@
 
 import itertools
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fabula.operators import agreement, signals
+from fabula.functions.scoring import cosine
+from fabula.operators import agreement, retrieval, signals
 
 
 def test_a_mean_that_is_a_tie_is_stable_in_any_order(spark):
@@ -20,3 +23,27 @@ def test_the_spread_of_lengths_does_not_depend_on_the_order_of_rows(spark, lengt
     rows = [(i, "x" * n) for i, order in enumerate(sorted(set(itertools.permutations(lengths)))) for n in order]
     facts = signals.scene_facts(spark.createDataFrame(rows, "script_id int, text string").coalesce(1))
     assert {r[0] for r in facts.select(F.col("len_std") / F.col("len_mean")).collect()} == {step}
+
+
+def test_neighbours_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """Copies, vectors of another length, null ones and such without a direction; both sides in several parts."""
+    monkeypatch.setattr(retrieval, "ITEM_PART", (100, 100))
+    monkeypatch.setattr(retrieval, "QUERY_PART", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    rows += [(i, rows[i % 3][1]) for i in range(300, 400)] + [(400, [0.0] * 8), (401, None), (402, [1.0, None] + [0.0] * 6), (403, rows[0][1][:5]), (404, [])]
+    items = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    queries = items.filter("id % 40 = 0 OR id IN (1, 401, 403)").select(F.col("id").alias("qid"), "vec")
+    found = retrieval.vector_top_k(queries, items, 7)
+    scored = items.crossJoin(queries.select("qid", F.col("vec").alias("q"))).select("qid", "id", cosine(F.col("vec"), F.col("q")).alias("score"))
+    want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter("rank <= 7")
+    rows_of = lambda df: sorted((r["qid"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    assert rows_of(found) == rows_of(want)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_neighbours_of_rows_named_by_structs(spark):
+    items = spark.range(50).select(F.struct((F.col("id") % 5).alias("a"), F.expr("id div 5").alias("b")).alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    found = retrieval.vector_top_k(spark.sql("SELECT 1 AS qid, array(2d, 4d) AS vec"), items, 3)
+    assert [tuple(r["id"]) for r in found.orderBy("rank").collect()] == [(0, 0), (0, 1), (0, 2)]
