@@ -47,3 +47,25 @@ def test_neighbours_of_rows_named_by_structs(spark):
     items = spark.range(50).select(F.struct((F.col("id") % 5).alias("a"), F.expr("id div 5").alias("b")).alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
     found = retrieval.vector_top_k(spark.sql("SELECT 1 AS qid, array(2d, 4d) AS vec"), items, 3)
     assert [tuple(r["id"]) for r in found.orderBy("rank").collect()] == [(0, 0), (0, 1), (0, 2)]
+
+
+def test_postings_are_counted_inside_their_documents(spark):
+    docs = spark.createDataFrame([(1, "b a B c a b"), (2, ""), (3, None), (4, "x"), (5, "é É e")], "doc bigint, text string")
+    index = retrieval.postings(docs, "doc", "text")
+    got = {(r["id"], r["term"], r["tf"], r["len"]) for r in index.collect()}
+    assert got == {(1, "a", 2, 6), (1, "b", 3, 6), (1, "c", 1, 6), (2, None, 1, 0), (3, None, 1, None), (4, "x", 1, 1), (5, "é", 2, 3), (5, "e", 1, 3)}
+    assert "Aggregate" not in index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_are_dealt_by_document_to_parts_of_bounded_size(spark, monkeypatch):
+    """A term of all documents doesn't come together in one task."""
+    monkeypatch.setattr(retrieval, "HITS_PART", 50)
+    docs = spark.range(600).select(F.col("id").alias("doc"), F.concat(F.lit("common word"), F.col("id")).alias("text"))
+    queries = spark.createDataFrame([(1, "common"), (2, "common"), (2, "word7"), (3, "omm")], "qid bigint, term string")
+    index = retrieval.postings(docs, "doc", "text").cache()
+    for found in (retrieval.term_scores(queries, index), retrieval.keyword_hits(queries, index), retrieval.token_similarity(queries.withColumn("w", F.lit(1.0)), index.select("id", "term"))):
+        sizes = found.groupBy(F.spark_partition_id()).count().agg(F.count(F.lit(1)), F.max("count")).first()
+        assert sizes[0] >= 20 and sizes[1] <= 150
+    assert {(r["qid"], r["n"]) for r in retrieval.keyword_hits(queries, index).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, 600), (2, 600), (3, 600)}
+    both = retrieval.bm25(queries, index, True).filter("qid = 2").collect()
+    assert [r["id"] for r in both] == [7]
