@@ -69,3 +69,19 @@ def test_hits_are_dealt_by_document_to_parts_of_bounded_size(spark, monkeypatch)
     assert {(r["qid"], r["n"]) for r in retrieval.keyword_hits(queries, index).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, 600), (2, 600), (3, 600)}
     both = retrieval.bm25(queries, index, True).filter("qid = 2").collect()
     assert [r["id"] for r in both] == [7]
+
+
+def test_tags_of_queries_are_those_of_all_pairs(spark):
+    """More queries than bits of a number, and tags that go over several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        hits = spark.range(400).select(F.explode(F.sequence(F.lit(0), F.lit(69))).alias("qid"), "id").filter("(id * 7 + qid * 13) % 5 = 0")
+        tags = spark.range(400).select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).selectExpr("id", "concat('tag', (id * k) % 11) AS tag", "k + 1 AS c")
+        tags = tags.groupBy("id", "tag").agg(F.sum("c").alias("c"))
+        found = retrieval.query_tags(hits.unionByName(hits), tags)
+        rows = found.collect()
+        want = hits.join(tags, "id").groupBy("qid", "tag").agg(F.sum("c").alias("c")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
