@@ -11,10 +11,12 @@ import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions import text as tx
+from fabula.operators.relational import slices
 
 # ---- scripts
 
@@ -328,16 +330,21 @@ def layout_match(snippets: DataFrame, blocks: DataFrame, least: float = 0.42) ->
 def routed_chunks(blocks: DataFrame, prose: int, most: int, size: int, overlap: int, cut: Callable[[str], list[tuple[int, str]]]) -> DataFrame:
     """``doc_id, pos, route, chunk, piece`` of blocks (doc_id, pos, kind, text): each is chunked as its route says.
 
-    Blocks kept whole and those cut by size are expressions; those cut by meaning go through ``cut`` in batches."""
+    Blocks kept whole and those cut by size are expressions; those cut by meaning go through ``cut``, a megabyte of texts at a time."""
     rows = blocks.withColumn("route", chunk_route(F.col("kind"), F.col("text"), prose, most)).filter(F.trim("text") != "")
     whole = rows.filter("route = 'whole'").select("doc_id", "pos", "route", F.lit(0).cast("bigint").alias("chunk"), F.trim("text").alias("piece"))
     slid = rows.filter("route = 'sliding'").select("doc_id", "pos", "route", F.posexplode(tx.sliding_chunks(F.col("text"), size, overlap)).alias("chunk", "c"))
     slid = slid.select("doc_id", "pos", "route", F.col("chunk").cast("bigint").alias("chunk"), "c.piece")
 
+    names = ["doc_id", "pos", "route", "chunk", "piece"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+
     def run(batches):
         for batch in batches:
-            out = [(d, p, "semantic", k, piece) for d, p, t in zip(batch["doc_id"], batch["pos"], batch["text"], strict=True) for k, (_, piece) in enumerate(cut(t))]
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "route", "chunk", "piece"])
+            for part in slices(batch, ["text"]):
+                each = zip(*(part.column(c).to_pylist() for c in ("doc_id", "pos", "text")), strict=True)
+                out = [(d, p, "semantic", k, piece) for d, p, t in each for k, (_, piece) in enumerate(cut(t))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)], names)
 
-    meant = rows.filter("route = 'semantic'").select("doc_id", "pos", "text").mapInPandas(run, "doc_id bigint, pos bigint, route string, chunk bigint, piece string")
+    meant = rows.filter("route = 'semantic'").select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, pos bigint, route string, chunk bigint, piece string")
     return whole.unionByName(slid).unionByName(meant)

@@ -3,12 +3,13 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula.functions.scoring import cosine
-from fabula.operators import agreement, retrieval, signals
+from fabula.operators import agreement, diff, relational, retrieval, signals, structure
 
 
 def test_a_mean_that_is_a_tie_is_stable_in_any_order(spark):
@@ -85,3 +86,24 @@ def test_tags_of_queries_are_those_of_all_pairs(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, rows)) == sorted(map(tuple, want))
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.record_batch({"a": ["x" * 10, None, "y" * 30, "zz", ""], "b": ["", "é" * 5, "", "", None]})
+    parts = [*relational.slices(batch, ["a", "b"], 20)]
+    assert [p.num_rows for p in parts] == [2, 1, 2]
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in relational.slices(batch.slice(0, 0), ["a"], 20)] == []
+
+
+def test_line_diffs_and_chunks_go_in_slices(spark):
+    """Nothing collects a whole batch of results in Python."""
+    pairs = spark.createDataFrame([(1, "a\nb", "a\nc"), (2, None, "x"), (3, "same", "same")], "k bigint, old string, new string")
+    out = diff.line_diffs(pairs, "old", "new")
+    assert [(r["k"], r["added"], r["removed"]) for r in out.orderBy("k").collect()] == [(1, 1, 1), (2, 1, 0), (3, 0, 0)]
+    blocks = spark.createDataFrame([(1, 0, "text", "Some words here. " * 200), (2, 0, "table", " t "), (3, 0, "text", "short")], "doc_id int, pos int, kind string, text string")
+    routed = structure.routed_chunks(blocks, 1200, 4000, 1000, 100, lambda t: [(0, t[:5]), (1, t[5:])])
+    assert {(r["doc_id"], r["route"], r["chunk"]) for r in routed.collect()} == {(1, "semantic", 0), (1, "semantic", 1), (2, "whole", 0), (3, "whole", 0)}
+    for df in (out, routed):
+        plan = df._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
