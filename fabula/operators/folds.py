@@ -103,7 +103,8 @@ def growing_windows(matches: DataFrame, blocks: DataFrame, tile: int = 4096) ->
     (``aligned``); past TOO_MUCH of the target it stops at the second block that finds it LOST (``lost``); else it goes on to
     the document's last block (``end``). Alignment compares as much of the window as of the target, by sequence and tokens,
     so it is settled once the window is as long as the target: only blocks up to that meet their match, by tiles of the
-    document's length, and what lies beyond follows from their numbers."""
+    document's length, and what lies beyond follows from their numbers. A window that covers less than ENOUGH decides
+    nothing, so it isn't compared."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     order = Window.partitionBy("doc_id").orderBy("pos")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -145,19 +146,23 @@ def _grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each match: the number of its last block, or none if it goes on to the end."""
 
     def rows() -> Iterator[tuple]:
-        now, window, open_, first, target, score = None, "", False, 0, "", 0.0
+        now, pieces, size, open_, first, target, score = None, [], 0, False, 0, "", None
         for batch in batches:
             for doc, key, n, text, wanted, start in zip(*(batch[c] for c in ("doc_id", "key", "n", "b", "target", "from")), strict=True):
                 if (doc, key) != now:
                     if open_:
                         yield (*now, first, None, "end")
-                    now, window, open_, first, target = (doc, key), "", True, int(start), wanted
+                    now, pieces, size, open_, first, target, score = (doc, key), [], 0, True, int(start), wanted, None
                 if not open_:
                     continue
-                settled = len(window) >= len(target) and window
-                window = f"{window} {text}" if window else text
-                score = score if settled else alignment(target, window)
-                covered = len(window) / max(len(target), 1)
+                settled = score is not None and size >= len(target)
+                pieces.append(text)
+                size += len(text) + (len(pieces) > 1)
+                covered = size / max(len(target), 1)
+                if covered < ENOUGH:
+                    continue
+                if not settled:
+                    score = alignment(target, " ".join(pieces))
                 if covered >= ENOUGH and score >= ALIGNED:
                     open_ = False
                     yield (*now, first, int(n), "aligned")
