@@ -423,23 +423,20 @@ def block_links(postings: DataFrame, ends: DataFrame, candidates: DataFrame, n:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``cls, comp`` for every class of the edges ``a, b``; ``comp`` is the component's least class.
 
-    Alternates large stars (neighbours above a node are tied to its least neighbour) and small stars (those below) until
-    nothing changes; each round is written as a table."""
-
-    def least(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-
+    Alternates large stars (neighbours above a node are tied to its least neighbour) and small stars (those below) until all
+    are stars; each step is written as a table, so that none is planned or computed again inside the next."""
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    ends = F.inline(F.array(F.struct(F.col("u").alias("w"), F.col("v").alias("m"), F.lit(1).alias("up")), F.struct(F.col("v").alias("w"), F.col("v").alias("m"), F.lit(0).alias("up"))))
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(least(large), "u")
-        tied = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = materialise(tied.filter("u <> v").distinct(), "edges")
-        was, state = state, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if was == state:
+        # a node's least neighbour, if that is below it, and how often it is an edge's upper and lower end
+        nodes = materialise(now.select(ends).groupBy("w").agg(F.min("m").alias("m"), F.sum("up").alias("ups"), F.sum(1 - F.col("up")).alias("downs")), "nodes")
+        if nodes.filter("ups > 1 OR (ups = 1 AND downs > 0)").isEmpty():
             break
+        large = now.join(nodes.select(F.col("w").alias("v"), "m"), "v").select("u", F.col("m").alias("v")).distinct()
+        large = materialise(large, "large-stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
+        now = materialise(tied.filter("u <> v").distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ones = now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("cls"), "comp")

@@ -239,6 +239,23 @@ def test_many_tiles(spark, monkeypatch):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(data), key=repr)
 
 
+def test_components_in_small_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    for n, m in ((40, 0), (40, 25), (300, 280), (60, 200)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(1000, 1020)]
+        label = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in label:
+            for a, b in edges:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+        plans, write = [], jaccard_join.materialise
+        with monkeypatch.context() as patch:
+            patch.setattr(jaccard_join, "materialise", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, tag))
+            got = jaccard_join.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert {r["cls"]: r["comp"] for r in got.collect()} == label and got.count() == len(label)
+        assert max(p.count("Join ") for p in plans) <= 1
+
+
 def test_bridges_between_crowded_components(spark, monkeypatch):
     """Near copies that blocks of a few leave apart: bridges join them, and what they miss is found by all postings."""
     for name, value in {"TILE": 6, "BLOCK": 800, "TURNS": 1, "CROWD": 3, "BRIDGES": 2}.items():
