@@ -58,6 +58,19 @@ def test_postings_are_counted_inside_their_documents(spark):
     assert "Aggregate" not in index._jdf.queryExecution().executedPlan().toString()
 
 
+def test_statistics_of_a_corpus_take_one_row_of_each_document(spark):
+    """No pass over all postings deals them again, and postings of terms are found once."""
+    docs = spark.createDataFrame([(1, "b a B c a b"), (2, ""), (3, None), (4, "x b")], "doc bigint, text string")
+    index = retrieval.postings(docs, "doc", "text")
+    heads = index.filter("head").collect()
+    assert sorted((r["id"], r["len"]) for r in heads if r["len"] is not None) == [(1, 6), (2, 0), (4, 2)] and len(heads) == 4
+    found = retrieval.term_scores(spark.createDataFrame([(1, "b"), (2, "x")], "qid bigint, term string"), index)
+    weight = lambda df, tf, n: np.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (8 / 3)))
+    got = {(r["qid"], r["id"]): r["score"] for r in found.collect()}
+    assert got == {k: pytest.approx(v) for k, v in {(1, 1): weight(2, 3, 6), (1, 4): weight(2, 1, 2), (2, 4): weight(1, 1, 2)}.items()}
+    assert "first" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hits_are_dealt_by_document_to_parts_of_bounded_size(spark, monkeypatch):
     """A term of all documents doesn't come together in one task."""
     monkeypatch.setattr(retrieval, "HITS_PART", 50)
