@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula.functions.scoring import cosine
-from fabula.operators import agreement, diff, relational, retrieval, signals, structure
+from fabula.operators import agreement, diff, relational, retrieval, segmentation, signals, structure
 
 
 def test_a_mean_that_is_a_tie_is_stable_in_any_order(spark):
@@ -120,3 +120,20 @@ def test_line_diffs_and_chunks_go_in_slices(spark):
     for df in (out, routed):
         plan = df._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
+
+
+def test_a_worker_makes_the_trie_of_a_dictionary_once():
+    """Tasks of one worker share it; another dictionary takes its place."""
+    table = type("Table", (), {"value": {"ab": 3.0, "abc": 2.0, "c": 4.0, "cab": 1.0}})()
+    first = segmentation._of_worker("one", table)
+    assert segmentation._of_worker("one", table) is first
+    trie = first[0]
+    for run in ("", "c", "abcab", "abxcab", "ccabcabab"):
+        cuts = [[]]
+        for at in range(len(run)):  # all cuts, by brute force
+            cuts += [[*c, run[sum(map(len, c)) : at + 1]] for c in cuts if sum(map(len, c)) <= at]
+        cuts = [c for c in cuts if "".join(c) == run and all(t in trie.weight or len(t) == 1 for t in c)]
+        score = lambda c: sum(trie.weight.get(t, trie.unknown) for t in c)
+        ends = trie.best(run)
+        assert score([run[a:b] for a, b in zip([0, *ends], ends, strict=False)]) == pytest.approx(max(map(score, cuts)))
+    assert segmentation._of_worker("two", table) is not first and [*segmentation._TRIES] == ["two"]
