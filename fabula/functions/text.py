@@ -237,8 +237,12 @@ def sentences(text: Column) -> Column:
 
 
 def sliding_chunks(text: Column, size: int, overlap: int) -> Column:
-    """Pieces of ``size`` characters, each beginning ``size - overlap`` after the last."""
+    """Pieces of ``size`` characters, each beginning ``size - overlap`` after the last. Without overlap they are found in one
+    pass over the text; ``substr`` counts from the beginning each time."""
     n = F.length(text)
+    if not overlap:
+        pieces = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda p, i: F.struct((i * size).alias("start"), p.alias("piece")))
+        return F.when(n > 0, pieces).otherwise(F.array().cast("array<struct<start:int,piece:string>>"))
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
     return F.when(n > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.substr(text, s + 1, F.lit(size)).alias("piece")))).otherwise(
         F.array().cast("array<struct<start:int,piece:string>>")

@@ -10,6 +10,7 @@ import difflib
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -291,40 +292,107 @@ def sequence_ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-def overlap_ratio(a: Column, b: Column) -> Column:
-    """Shared distinct tokens (two or more of a-z, 0-9) of two texts over the tokens of both."""
-    toks = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
-    x, y = toks(a), toks(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+def common_lengths(short: Sequence[str], long: Sequence[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of texts, all pairs moved together. A bit of a pair's row is 0 where
+    the subsequence grows with that character of the short text; words of 64 bits, so texts of some hundred characters."""
+    n, width = len(short), -(-max(map(len, short), default=0) // 64)
+    if not width:
+        return np.zeros(n, np.int64)
+    number: dict[str, int] = {}
+    of = np.array([number.setdefault(x, len(number)) for x in short], np.int64)
+    points = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes, lengths = np.array([*map(len, number)], np.int64), np.array([*map(len, long)], np.int64)
+    within = lambda counts: np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    keys, which = np.unique(np.repeat(np.arange(len(sizes)), sizes) << 21 | points(number), return_inverse=True)
+    at = within(sizes)
+    masks = np.zeros((width, len(keys) + 1), np.uint64)  # the last one is that of characters that the short text doesn't have
+    np.bitwise_or.at(masks, (at // 64, which), np.uint64(1) << (at % 64).astype(np.uint64))
+    asked = np.repeat(of, lengths) << 21 | points(long)
+    place = np.searchsorted(keys, asked)
+    place[keys[np.minimum(place, len(keys) - 1)] != asked] = len(keys)
+    steps = np.full((int(lengths.max(initial=0)), n), len(keys), np.int64)
+    steps[within(lengths), np.repeat(np.arange(n), lengths)] = place
+    rows = np.full((width, n), ~np.uint64(0))
+    for step in steps:
+        carry = None
+        for row, mask in zip(rows, masks, strict=True):
+            shared = row & mask[step]
+            total = row + shared
+            over = total < shared
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over.astype(np.uint64)
+            row ^= shared
+            row |= total
+    return 64 * width - np.bitwise_count(rows).sum(0, dtype=np.int64)
+
+
+#: Pairs of texts that are compared together.
+TOGETHER = 1024
+
+
+def likeliest(docs: Sequence, heads: Sequence[str | None], texts: Sequence[str | None], firsts: Sequence[int | None], least: float) -> list[float]:
+    """How like the beginning of a document's snippet a block is, or the block and the next: ``texts`` is both, of which
+    ``firsts`` characters are the block. Compared with as much of a block as of a snippet, and some more of two blocks.
+
+    0 where the score is under ``least`` or that of another row of the same document: a ratio counts characters of a common
+    subsequence, so the lengths, and then the longest one's length, say how high a score can be at most."""
+    out, words, tried = [0.0] * len(heads), {}, []
+    find = re.compile("[a-z0-9]{2,}").findall
+    for i, (doc, head, text, n) in enumerate(zip(docs, heads, texts, firsts, strict=True)):
+        if head is None or text is None:
+            continue
+        if head not in words:
+            words[head] = {*find(head)}
+        wanted, size = words[head], max(len(head), 240)
+        block = {*find(text[:n])}
+        for there, a, b, whole, part in ((block, 0.7, 0.3, 1.0, text[: min(n, size)]), (block.union(find(text[n:])), 0.65, 0.35, 0.98, text[: size + 120])):
+            shared = len(wanted & there) / len(wanted | there) if wanted and there else 0.0
+            if whole * (a * 2 * min(len(head), len(part)) / (len(head) + len(part)) + b * shared) >= least - 1e-8:
+                tried.append((doc, i, head, part, a, b * shared, whole))
+    bounds: dict = {}
+    for k in range(0, len(tried), TOGETHER):
+        some = tried[k : k + TOGETHER]
+        for (doc, *t), common in zip(some, common_lengths([t[2] for t in some], [t[3] for t in some]).tolist(), strict=True):
+            _, head, part, a, shared, whole = t
+            bounds.setdefault(doc, []).append((whole * (a * (2 * common / (len(head) + len(part))) + shared), t))
+    for found in bounds.values():
+        best = least
+        for bound, (i, head, part, a, shared, whole) in sorted(found, key=lambda x: -x[0]):
+            if bound < best - 1e-8:
+                break
+            score = whole * (a * sequence_ratio(head, part) + shared)
+            out[i], best = max(out[i], score), max(best, score)
+    return out
 
 
 def layout_match(snippets: DataFrame, blocks: DataFrame, least: float = 0.42) -> DataFrame:
     """``doc_id, pos, score``: the block (doc_id, pos, text) where a document's ``snippet`` begins.
 
     The first block that holds the snippet's beginning or is held in the snippet, with score 1; else the likeliest, by
-    sequence and tokens of the block or of it and the next, if it reaches ``least``. Only documents without the former
-    meet all their blocks."""
+    sequence and tokens of the block or of it and the next, if it reaches ``least``. Only blocks of documents without the
+    former are compared, and those that can't be the likeliest aren't compared in full."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    rows = blocks.select("doc_id", "pos", plain("text").alias("b")).withColumn("both", F.trim(F.concat_ws(" ", "b", F.lead("b").over(by_doc)))).filter("b <> ''")
+    by_doc = Window.partitionBy("doc_id")
+    rows = blocks.select("doc_id", "pos", plain("text").alias("b"))
+    rows = rows.withColumn("both", F.trim(F.concat_ws(" ", "b", F.lead("b").over(by_doc.orderBy("pos"))))).filter("b <> ''")
     asked = snippets.select("doc_id", plain("snippet").alias("s")).filter("s <> ''").withColumn("head", F.left("s", F.lit(160)))
-    met = rows.join(asked, "doc_id").withColumn("held", F.contains("b", "head") | F.contains("s", "b"))
-    found = met.groupBy("doc_id").agg(F.min(F.when(F.col("held"), F.col("pos"))).alias("first"))
-
-    @F.pandas_udf("struct<one:double,two:double>")
-    def ratios(head: pd.Series, one: pd.Series, two: pd.Series) -> pd.DataFrame:
-        # compared with as much of a block as of a snippet, and some more of two blocks
-        found = [(sequence_ratio(h, x[: max(len(h), 240)]), sequence_ratio(h, y[: max(len(h), 240) + 120])) for h, x, y in zip(head, one, two, strict=True)]
-        return pd.DataFrame(found, columns=["one", "two"])
-
-    left = met.join(found.filter("first IS NULL").select("doc_id"), "doc_id").withColumn("r", ratios("head", "b", "both"))
-    single = 0.7 * F.col("r.one") + 0.3 * overlap_ratio(F.col("head"), F.col("b"))
-    merged = 0.98 * (0.65 * F.col("r.two") + 0.35 * overlap_ratio(F.col("head"), F.col("both")))
-    best = left.select("doc_id", "pos", F.greatest(single, merged).alias("score")).groupBy("doc_id").agg(
-        F.max_by("pos", F.struct(F.round("score", 9), -F.col("pos"))).alias("pos"), F.max("score").alias("score")
+    held = F.when(F.contains("b", "head") | F.contains("s", "b"), F.col("pos"))
+    met = rows.join(asked, "doc_id").select("doc_id", "pos", "head", "both", F.length("b").alias("n"), held.alias("held"))
+    met = met.withColumn("first", F.min("held").over(by_doc))
+
+    @F.arrow_udf("double")
+    def likeness(doc: pa.Array, head: pa.Array, both: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array(likeliest(*(c.to_pylist() for c in (doc, head, both, n)), least), pa.float64())
+
+    open_ = lambda c: F.when(F.col("first").isNull(), F.col(c))
+    scored = met.select("doc_id", "pos", "first", likeness("doc_id", open_("head"), open_("both"), open_("n")).alias("score"))
+    best = scored.groupBy("doc_id").agg(
+        F.first("first").alias("first"), F.max_by("pos", F.struct(F.round("score", 9), -F.col("pos"))).alias("pos"), F.max("score").alias("score")
     )
-    held = found.filter("first IS NOT NULL").select("doc_id", F.col("first").alias("pos"), F.lit(1.0).alias("score"))
-    return held.unionByName(best.filter(F.col("score") >= least))
+    found = F.col("first").isNotNull()
+    return best.filter(found | (F.col("score") >= least)).select("doc_id", F.coalesce("first", "pos").alias("pos"), F.when(found, 1.0).otherwise(F.col("score")).alias("score"))
 
 
 def routed_chunks(blocks: DataFrame, prose: int, most: int, size: int, overlap: int, cut: Callable[[str], list[tuple[int, str]]]) -> DataFrame:

@@ -146,3 +146,11 @@ def test_planner_artifacts(spark):
     of = lambda *x: one(spark, tx.planner_artifact(*(F.lit(v).cast("string") for v in x), ("inner",)))[0]
     assert of("x", "y", "INNER") and of("Answer as JSON", plan, None) and of("you are a research planner", f'{{"items": {plan}}}', "user")
     assert not of("hello", plan, None) and not of("json", '[{"title": "a"}]', None) and not of(None, None, None)
+
+
+def test_pieces_without_overlap_are_found_in_one_pass(spark):
+    texts = ["", None, "a", "abc", "abcd", "é\n字😀\r\n\u2028x" * 5, " " * 7]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").withColumn("c", tx.sliding_chunks(F.col("t"), 3, 0))
+    got = {r["id"]: [(c["start"], c["piece"]) for c in r["c"]] for r in df.collect()}
+    assert got == {i: [(k, t[k : k + 3]) for k in range(0, len(t), 3)] if t else [] for i, t in enumerate(texts)}
+    assert "substr" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -328,6 +328,44 @@ def test_layout_match_against_a_plain_version(spark):
     assert got == want and set(got) == {1, 2}
 
 
+def test_blocks_that_cannot_be_the_likeliest_are_not_compared(monkeypatch):
+    """A ratio counts characters of a common subsequence; the same snippet in two documents is two searches."""
+    rng, compared = random.Random(6), []
+    ratio = structure.sequence_ratio
+    monkeypatch.setattr(structure, "sequence_ratio", lambda a, b: compared.append(b) or ratio(a, b))
+    monkeypatch.setattr(structure, "TOGETHER", 7)
+    words = [["".join(rng.choice("etaoinsh") for _ in range(rng.randrange(2, 9))) for _ in range(30)] for _ in range(40)]
+    blocks = [" ".join(w) for w in words]
+    head = " ".join(w if rng.random() < 0.8 else "zq" for w in words[11])[:160]
+    rows = [(doc, head, f"{blocks[i]} {blocks[i + 1]}" if i + 1 < end else blocks[i], len(blocks[i])) for doc, first, end in ((1, 0, 30), (2, 20, 40), (3, 30, 34)) for i in range(first, end)]
+    toks = lambda c: {*re.findall("[a-z0-9]{2,}", c)}
+    overlap = lambda a, b: len(toks(a) & toks(b)) / len(toks(a) | toks(b))
+    scores = [max(0.7 * ratio(h, t[:n][:240]) + 0.3 * overlap(h, t[:n]), 0.98 * (0.65 * ratio(h, t[:360]) + 0.35 * overlap(h, t))) for _, h, t, n in rows]
+    best = lambda found: {d: max((round(s, 9), -i, s) for i, s in enumerate(found) if rows[i][0] == d) for d in (1, 2, 3)}
+    for least in (0.0, 0.1, 0.42):
+        compared.clear()
+        got = structure.likeliest(*zip(*rows, strict=True), least)
+        assert {d: x for d, x in best(got).items() if x[2] >= least} == {d: x for d, x in best(scores).items() if x[2] >= least}
+    assert len(compared) < 10 and best(scores)[1][1] == -11
+    assert structure.likeliest([1, 2], [None, "a"], [None, ""], [None, 0], 0.0) == [0.0, 0.0]
+
+
+def test_common_lengths_are_those_of_the_longest_common_subsequences():
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("abc\u00e9\u5b57\U0001f600") for _ in range(rng.randrange(most))) for most in (150, 200)) for _ in range(40)]
+    short, long = zip(*([*p] for p in pairs), strict=True)
+    want = []
+    for a, b in zip(short, long, strict=True):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        want.append(row[-1])
+    assert structure.common_lengths(short, long).tolist() == want
+    assert structure.common_lengths(["", "a"], ["b", ""]).tolist() == [0, 0] and structure.common_lengths([], []).tolist() == []
+
+
 def test_routed_chunks_lose_nothing(spark):
     long = "One sentence here. " * 120
     data = [(1, 0, "table", long), (2, 0, "text", long), (3, 0, "code", long * 3), (4, 0, "code", "short"), (5, 0, "text", "  ")]
