@@ -137,3 +137,26 @@ def test_a_worker_makes_the_trie_of_a_dictionary_once():
         ends = trie.best(run)
         assert score([run[a:b] for a, b in zip([0, *ends], ends, strict=False)]) == pytest.approx(max(map(score, cuts)))
     assert segmentation._of_worker("two", table) is not first and [*segmentation._TRIES] == ["two"]
+
+
+def test_hits_of_hybrid_and_cascade_are_dealt_in_bounded_parts(spark, monkeypatch):
+    """A task's share of the hits doesn't grow with the table, and hits carry no vector through a shuffle."""
+    monkeypatch.setattr(retrieval, "HITS_PART", 5)
+    rows = [(q, i, float(i + q)) for q in (1, 2) for i in range(40)]
+    hits = spark.createDataFrame(rows, "qid bigint, id bigint, score double")
+    alike = spark.createDataFrame([(q, i, i / 40) for q, i, _ in rows if i % 2], "qid bigint, id bigint, similarity double")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid bigint, q array<float>")
+    vectors = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(0, 40, 3)], "id bigint, vec array<float>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = retrieval.hybrid(hits, alike, asked, vectors)
+        got = {(r["qid"], r["id"]): round(r["hybrid"], 6) for r in out.collect()}
+        assert got == {(q, i): round(0.3 * (i / 40 if i % 2 else 0) + (0.42 if q == 1 and i % 3 == 0 else 0), 6) for q, i, _ in rows}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "16), REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" in plan
+        found = retrieval.cascade([hits.filter("qid = 1 AND score > 30"), hits.filter("score > 38")])
+        assert {(r["qid"], r["level"]) for r in found.collect()} == {(1, 0), (2, 1)}
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
