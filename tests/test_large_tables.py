@@ -160,3 +160,12 @@ def test_hits_of_hybrid_and_cascade_are_dealt_in_bounded_parts(spark, monkeypatc
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_rows_of_term_weights_are_dealt_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "HITS_PART", 5)
+    terms = spark.createDataFrame([(i % 40, "ab"[i % 3 % 2]) for i in range(90)], "id bigint, term string")
+    out = retrieval.term_weights(terms, spark.createDataFrame([(40,)], "n bigint"))
+    rows = {r["term"]: (r["df"], r["w"]) for r in out.collect()}
+    assert {t: df for t, (df, _) in rows.items()} == {t: len({i % 40 for i in range(90) if "ab"[i % 3 % 2] == t}) for t in "ab"}
+    assert sum(w for _, w in rows.values()) == pytest.approx(1) and "18), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
