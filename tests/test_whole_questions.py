@@ -5,7 +5,7 @@ import pytest
 
 from fabula.plans import QUERIES, SQL
 
-NAMES = ["ret10_mth6_metadata_rescoring", "ret11_relaxed_fusion"]
+NAMES = ["ret10_mth6_metadata_rescoring", "ret11_relaxed_fusion", "ret12_hybrid_rerank"]
 
 
 @pytest.fixture(scope="module")
