@@ -5,7 +5,7 @@ import pytest
 
 from fabula.plans import QUERIES, SQL
 
-NAMES = ["ret10_mth6_metadata_rescoring", "ret11_relaxed_fusion", "ret12_hybrid_rerank", "ret16_question_tags", "ret17_document_prefetch", "ret4_any_term_bm25"]
+NAMES = ["ret10_mth6_metadata_rescoring", "ret11_relaxed_fusion", "ret12_hybrid_rerank", "ret16_question_tags", "ret17_document_prefetch", "ret4_any_term_bm25", "str14_token_similarity"]
 
 
 @pytest.fixture(scope="module")
